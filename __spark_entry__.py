@@ -20,7 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from statlens.operators import outliers, profile, quality
+from statlens.operators import (changepoint, outliers, profile, quality, rolling, seasonal,
+                                stationarity, trend)
 
 SF0001 = "/root/testdata/sf0.001"
 
@@ -54,6 +55,29 @@ def events_dup(spark: SparkSession, sf: str) -> DataFrame:
 EVENTS_DUP_SQL = """(SELECT user_id, event_type,
     CASE WHEN event_id % 7 <> 0 THEN floor(value / 10) END AS v10 FROM events)"""
 
+def daily_quantity(spark: SparkSession, sf: str) -> DataFrame:
+    """Daily shipped quantity: integer-valued, so sums are exact on both sides."""
+    li = _t(spark, sf, "lineitem")
+    return li.groupBy("l_shipdate").agg(F.sum("l_quantity").alias("qty"))
+
+
+DAILY_QTY_SQL = "(SELECT l_shipdate, sum(l_quantity) AS qty FROM lineitem GROUP BY l_shipdate)"
+EV_ORDER = ["ts", "event_id"]
+Z95 = 1.959963984540054
+
+
+def _t_sql(nu: str, z: float = Z95) -> str:
+    """Student t quantile as a series in 1/nu around the normal quantile z
+    (Abramowitz & Stegun 26.7.5); error < 1e-9 for nu > 50."""
+    z = f"CAST({z!r} AS DOUBLE)"
+    g1 = f"(({z})^3 + {z}) / 4"
+    g2 = f"(5 * ({z})^5 + 16 * ({z})^3 + 3 * {z}) / 96"
+    g3 = f"(3 * ({z})^7 + 19 * ({z})^5 + 17 * ({z})^3 - 15 * {z}) / 384"
+    g4 = f"(79 * ({z})^9 + 776 * ({z})^7 + 1482 * ({z})^5 - 1920 * ({z})^3 - 945 * {z}) / 92160"
+    v = f"CAST({nu} AS DOUBLE)"
+    return f"({z} + {g1} / {v} + {g2} / ({v})^2 + {g3} / ({v})^3 + {g4} / ({v})^4)"
+
+
 LINEITEM_NUMERIC = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
                     "l_extendedprice", "l_discount", "l_tax"]
 
@@ -140,6 +164,25 @@ def _queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     Q["consistency_score"] = lambda s, sf: r6(quality.consistency_score(_t(s, sf, "part")))
     Q["validity_score"] = lambda s, sf: r6(quality.validity_score(_t(s, sf, "customer"), ["c_acctbal"]))
     Q["quality_summary"] = lambda s, sf: r6(quality.quality_summary(events_dirty(s, sf)))
+
+    def ev(s, sf):
+        return _t(s, sf, "events")
+    Q["row_index"] = lambda s, sf: rolling.row_index(ev(s, sf), EV_ORDER).select("event_id", "idx")
+    Q["row_index_by_user"] = lambda s, sf: rolling.row_index(ev(s, sf), EV_ORDER, ["user_id"]).select(
+        "event_id", "user_id", "idx")
+    Q["rolling"] = lambda s, sf: r6(rolling.rolling(ev(s, sf), "value", EV_ORDER))
+    Q["rolling_by_user"] = lambda s, sf: r6(rolling.rolling(ev(s, sf), "value", EV_ORDER, ["user_id"]))
+    Q["rolling_summary"] = lambda s, sf: r6(rolling.rolling_summary(ev(s, sf), "value", EV_ORDER))
+    Q["linear_trend"] = lambda s, sf: r6(trend.linear_trend(ev(s, sf), "value", EV_ORDER))
+    Q["trend_band"] = lambda s, sf: r6(trend.trend_band(ev(s, sf), "value", EV_ORDER))
+    Q["seasonal_decompose"] = lambda s, sf: r6(seasonal.seasonal_decompose(
+        daily_quantity(s, sf), "qty", ["l_shipdate"]))
+    Q["seasonal_summary"] = lambda s, sf: r6(seasonal.seasonal_summary(
+        daily_quantity(s, sf), "qty", ["l_shipdate"]))
+    Q["change_points"] = lambda s, sf: r6(changepoint.change_points(ev(s, sf), "value", EV_ORDER))
+    Q["change_point_count"] = lambda s, sf: changepoint.change_point_count(ev(s, sf), "value", EV_ORDER)
+    Q["df_test"] = lambda s, sf: r6(stationarity.df_test(ev(s, sf), "value", EV_ORDER))
+    Q["adf_test"] = lambda s, sf: r6(stationarity.adf_test(daily_quantity(s, sf), "qty", ["l_shipdate"]))
     return Q
 
 
@@ -261,4 +304,85 @@ def oracle_sql() -> dict[str, str]:
           CASE WHEN (completeness + uniqueness + consistency + validity) / 4.0 >= 90 THEN 'Excellent'
                WHEN (completeness + uniqueness + consistency + validity) / 4.0 >= 75 THEN 'Good' ELSE 'Poor' END AS verdict
         FROM al"""
+
+    ordered = """(SELECT ts, event_id, user_id, value, row_number() OVER (ORDER BY ts, event_id) - 1 AS idx,
+        count(*) OVER () AS n FROM events)"""
+    S["row_index"] = "SELECT event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS idx FROM events"
+    S["row_index_by_user"] = """SELECT event_id, user_id,
+        row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS idx FROM events"""
+    roll = f"""b AS (SELECT ts, event_id, user_id, value, row_number() OVER (PARTITION BY _PK_ ORDER BY ts, event_id) - 1 AS idx,
+          count(*) OVER (PARTITION BY _PK_) AS n FROM events),
+        c AS (SELECT *, CASE WHEN n > 10 THEN least(30, n // 10) ELSE 0 END AS w FROM b),
+        r AS (SELECT *, count(value) OVER fr AS wc, avg(value) OVER fr AS wm, stddev_samp(value) OVER fr AS ws FROM c
+          WINDOW fr AS (PARTITION BY _PK_ ORDER BY idx ROWS BETWEEN greatest(w, 1) // 2 PRECEDING AND (greatest(w, 1) - 1) // 2 FOLLOWING)),
+        m AS (SELECT *, CASE WHEN w > 0 AND wc = w THEN wm END AS rm, CASE WHEN w > 0 AND wc = w THEN ws END AS rs FROM r),
+        o AS (SELECT *, rm - {Z95} * rs / sqrt(w) AS lo, rm + {Z95} * rs / sqrt(w) AS hi FROM m)"""
+    cols = """ts, event_id, idx, round(value, 6) AS value, CAST(w AS INTEGER) AS window_size,
+        round(rm, 6) AS rolling_mean, round(rs, 6) AS rolling_std, round(lo, 6) AS ci_lower, round(hi, 6) AS ci_upper"""
+    S["rolling"] = f"WITH {roll.replace('PARTITION BY _PK_', '').replace('(PARTITION BY _PK_)', '()')} SELECT {cols} FROM o"
+    S["rolling_by_user"] = f"WITH {roll.replace('_PK_', 'user_id')} SELECT user_id, {cols} FROM o"
+    S["rolling_summary"] = f"""WITH {roll.replace('PARTITION BY _PK_', '')},
+        f AS (SELECT max(w) AS w, avg(rm) AS mm, avg(rs) AS ms, avg(hi - lo) AS mw,
+          arg_min(rm, idx) FILTER (WHERE rm IS NOT NULL) AS fm, arg_max(rm, idx) FILTER (WHERE rm IS NOT NULL) AS lm, count(rm) AS nm,
+          arg_min(rs, idx) FILTER (WHERE rs IS NOT NULL) AS fs, arg_max(rs, idx) FILTER (WHERE rs IS NOT NULL) AS ls, count(rs) AS ns FROM o)
+        SELECT CAST(w AS INTEGER) AS window_size, round(mm, 6) AS mean_rolling_mean, round(ms, 6) AS mean_rolling_std,
+          round(CASE WHEN mm <> 0 THEN mw / mm * 100.0 ELSE 0.0 END, 6) AS ci_width_pct,
+          CASE WHEN ms < mm * 0.1 THEN 'Stable' ELSE 'Volatile' END AS volatility_status,
+          CASE WHEN nm < 2 THEN 'Insufficient data' WHEN lm > fm * 1.1 THEN 'Strongly Increasing'
+            WHEN lm > fm * 1.02 THEN 'Moderately Increasing' WHEN lm < fm * 0.9 THEN 'Strongly Decreasing'
+            WHEN lm < fm * 0.98 THEN 'Moderately Decreasing' ELSE 'Relatively Stable' END AS trend_direction,
+          CASE WHEN ns < 2 THEN 'Insufficient data' WHEN ls > fs * 1.1 THEN 'Increasing'
+            WHEN ls < fs * 0.9 THEN 'Decreasing' ELSE 'Stable' END AS volatility_pattern FROM f"""
+    fit = f"""fit AS (SELECT CAST(regr_count(value, idx) AS BIGINT) AS n, regr_slope(value, idx) AS slope,
+          regr_intercept(value, idx) AS intercept, regr_r2(value, idx) AS r2, regr_avgx(value, idx) AS xbar,
+          regr_sxx(value, idx) AS sxx, regr_syy(value, idx) AS syy, stddev_pop(value) AS sp FROM {ordered} o)"""
+    S["linear_trend"] = f"""WITH {fit} SELECT n, round(slope, 6) AS slope, round(intercept, 6) AS intercept,
+        round(r2, 6) AS r_squared, round(sp, 6) AS std_pop,
+        CASE WHEN abs(slope) > sp * 0.1 THEN 'Strong' ELSE 'Weak' END AS trend_strength,
+        CASE WHEN slope > 0 THEN 'Increasing' WHEN slope < 0 THEN 'Decreasing' ELSE 'Stable' END AS direction FROM fit"""
+    S["trend_band"] = f"""WITH {fit}, g AS (SELECT *, sqrt(syy * (1 - r2) / n) AS sigma, {_t_sql('n - 2')} AS t FROM fit),
+        rows AS (SELECT o.ts, o.event_id, o.idx, o.value, g.intercept + g.slope * o.idx AS fitted,
+          g.t * g.sigma * sqrt(1.0 / g.n + (o.idx - g.xbar) ^ 2 / g.sxx) AS half FROM {ordered} o, g)
+        SELECT ts, event_id, idx, round(value, 6) AS value, round(fitted, 6) AS fitted, round(value - fitted, 6) AS residual,
+          round(half, 6) AS half_width, round(fitted - half, 6) AS lower, round(fitted + half, 6) AS upper FROM rows"""
+    dec = f"""b AS (SELECT l_shipdate, qty AS observed, row_number() OVER (ORDER BY l_shipdate) - 1 AS idx,
+          count(*) OVER () AS n FROM {DAILY_QTY_SQL} d WHERE qty IS NOT NULL),
+        ma AS (SELECT *, CASE WHEN count(observed) OVER fr = 13 THEN (sum(observed) OVER fr - 0.5 * first_value(observed) OVER fr
+            - 0.5 * last_value(observed) OVER fr) / 12 END AS t FROM b
+          WINDOW fr AS (ORDER BY idx ROWS BETWEEN 6 PRECEDING AND 6 FOLLOWING)),
+        ends AS (SELECT regr_slope(t, idx) FILTER (WHERE idx >= 6 AND idx < least(18, n - 7)) AS fs,
+          regr_intercept(t, idx) FILTER (WHERE idx >= 6 AND idx < least(18, n - 7)) AS fi,
+          regr_slope(t, idx) FILTER (WHERE idx >= greatest(6, n - 7 - 12) AND idx < n - 7) AS bs,
+          regr_intercept(t, idx) FILTER (WHERE idx >= greatest(6, n - 7 - 12) AND idx < n - 7) AS bi FROM ma),
+        tr AS (SELECT ma.*, CASE WHEN t IS NOT NULL THEN t WHEN idx < 6 THEN fi + fs * idx ELSE bi + bs * idx END AS trend
+          FROM ma, ends),
+        ph AS (SELECT idx % 12 AS phase, avg(observed - trend) AS pa FROM tr GROUP BY 1),
+        ph2 AS (SELECT phase, pa - (SELECT avg(pa) FROM ph) AS seasonal FROM ph),
+        dd AS (SELECT tr.l_shipdate, tr.idx, tr.observed, tr.trend, ph2.seasonal, tr.observed - tr.trend - ph2.seasonal AS resid
+          FROM tr JOIN ph2 ON tr.idx % 12 = ph2.phase)"""
+    S["seasonal_decompose"] = f"""WITH {dec} SELECT l_shipdate, idx, round(observed, 6) AS observed, round(trend, 6) AS trend,
+        round(seasonal, 6) AS seasonal, round(resid, 6) AS resid FROM dd"""
+    S["seasonal_summary"] = f"""WITH {dec}, a AS (SELECT count(*) AS n, var_samp(resid) AS vr, var_samp(observed) AS vo,
+          stddev_samp(trend) AS st, stddev_samp(observed) AS so, skewness(resid) AS sk FROM dd),
+        b2 AS (SELECT *, greatest(0.0, 1 - vr / vo) AS ss FROM a)
+        SELECT n, 12 AS period, round(ss, 6) AS seasonal_strength,
+          CASE WHEN ss > 0.6 THEN 'Strong' WHEN ss > 0.3 THEN 'Moderate' ELSE 'Weak' END AS seasonal_label,
+          CASE WHEN st > so * 0.1 THEN 'Clear' ELSE 'Subtle' END AS trend_clarity, round(sk, 6) AS resid_skew,
+          CASE WHEN abs(sk) < 1 THEN 'Random' ELSE 'Systematic' END AS residual_pattern FROM b2"""
+    cp = """b AS (SELECT ts, event_id, value, row_number() OVER (ORDER BY ts, event_id) - 1 AS idx, count(*) OVER () AS n
+          FROM events WHERE value IS NOT NULL),
+        c AS (SELECT *, n // 10 AS w FROM b WHERE n >= 20),
+        r AS (SELECT *, count(value) OVER fr AS wc, avg(value) OVER fr AS wm, stddev_samp(value) OVER fr AS ws FROM c
+          WINDOW fr AS (ORDER BY idx ROWS BETWEEN w // 2 PRECEDING AND (w - 1) // 2 FOLLOWING)),
+        m AS (SELECT *, CASE WHEN wc = w THEN wm END AS rm, CASE WHEN wc = w THEN ws END AS rs FROM r),
+        z AS (SELECT *, CASE WHEN rs <> 0 THEN abs((value - rm) / rs) END AS z FROM m)"""
+    S["change_points"] = f"""WITH {cp} SELECT ts, event_id, idx, round(value, 6) AS value, CAST(w AS INTEGER) AS window_size,
+        round(rm, 6) AS rolling_mean, round(rs, 6) AS rolling_std, round(z, 6) AS z FROM z WHERE z > 2"""
+    S["change_point_count"] = f"WITH {cp} SELECT count(*) AS n_change_points FROM z WHERE z > 2"
+    S["df_test"] = """WITH b AS (SELECT value AS y, lag(value) OVER (ORDER BY ts, event_id) AS prev FROM events WHERE value IS NOT NULL),
+        p AS (SELECT y - prev AS dy, prev FROM b WHERE prev IS NOT NULL),
+        a AS (SELECT CAST(regr_count(dy, prev) AS BIGINT) AS n, regr_slope(dy, prev) AS g, regr_sxx(dy, prev) AS sxx,
+          regr_syy(dy, prev) AS syy, regr_r2(dy, prev) AS r2 FROM p),
+        s AS (SELECT *, sqrt(syy * (1 - r2) / (n - 2) / sxx) AS se FROM a)
+        SELECT n, round(g, 6) AS gamma, round(se, 6) AS se, round(g / se, 6) AS tau FROM s"""
     return S

@@ -21,9 +21,9 @@ task.  Everything here works on *range buckets* of the order key instead:
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -162,6 +162,36 @@ def frame_bounds(w: int) -> tuple[int, int]:
     return w // 2, (w - 1) // 2
 
 
+def framed(df: DataFrame, order_by: Sequence[str], by: Sequence[str] = (), *, lo: int, hi: int,
+           aggs: Callable[[WindowSpec], dict[str, Column]], idx: str = "idx",
+           buckets: int | None = None, n: int | None = None) -> DataFrame:
+    """Evaluate window aggregates over the row frame [idx-lo, idx+hi].
+
+    ``aggs(frame)`` returns {name: window expression}.  They run inside each
+    range bucket; rows whose frame crosses a bucket edge are recomputed on
+    the rows near edges only (<= 2(lo+hi) per bucket), then both parts are
+    united.  Adds ``idx``.
+    """
+    by, order_by = list(by), list(order_by)
+    reach = lo + hi
+    base = dense_index(df, order_by, by, idx=idx, buckets=buckets, n=n, keep_bucket=True)
+    cols = [c for c in base.columns if c not in ("_b", "_rn", "_cnt")]
+    inner = Window.partitionBy(*by, "_b").orderBy(idx).rowsBetween(-lo, hi)
+    names = list(aggs(inner))
+
+    def evaluated(frame):
+        return [c.alias(nm) for nm, c in aggs(frame).items()]
+    crosses = (F.col("_rn") < lo) | (F.col("_rn") > F.col("_cnt") - 1 - hi)
+    pass1 = base.select(*[q(c) for c in cols], "_rn", "_cnt", *evaluated(inner))
+    keep = pass1.where(~crosses).select(*[q(c) for c in cols], *[q(c) for c in names])
+    edge = base.where((F.col("_rn") < reach) | (F.col("_rn") >= F.col("_cnt") - reach))
+    outer = Window.partitionBy(*by).orderBy(idx).rowsBetween(-lo, hi)
+    fixed = (edge.select(*[q(c) for c in cols], "_rn", "_cnt", *evaluated(outer))
+             .where(crosses)
+             .select(*[q(c) for c in cols], *[q(c) for c in names]))
+    return keep.unionByName(fixed)
+
+
 def rolling_frame(df: DataFrame, value: str, order_by: Sequence[str], by: Sequence[str] = (),
                   *, w: int, idx: str = "idx", buckets: int | None = None,
                   n: int | None = None) -> DataFrame:
@@ -170,27 +200,11 @@ def rolling_frame(df: DataFrame, value: str, order_by: Sequence[str], by: Sequen
     Adds ``idx``, ``_wcount``, ``_wmean``, ``_wstd``; the caller applies
     min-periods rules.
     """
-    by, order_by = list(by), list(order_by)
     lo, hi = frame_bounds(w)
-    base = dense_index(df, order_by, by, idx=idx, buckets=buckets, n=n, keep_bucket=True)
     v = q(value)
-
-    def stats(frame):
-        return [F.count(v).over(frame).alias("_wcount"), F.avg(v).over(frame).alias("_wmean"),
-                F.stddev_samp(v).over(frame).alias("_wstd")]
-
-    inner = Window.partitionBy(*by, "_b").orderBy(idx).rowsBetween(-lo, hi)
-    cols = [c for c in base.columns if c not in ("_b", "_rn", "_cnt")]
-    pass1 = base.select(*[q(c) for c in cols], "_rn", "_cnt", *stats(inner))
-    crosses = (F.col("_rn") < lo) | (F.col("_rn") > F.col("_cnt") - 1 - hi)
-    near_edge = (F.col("_rn") < lo + hi) | (F.col("_rn") >= F.col("_cnt") - (lo + hi))
-    keep = pass1.where(~crosses).select(*[q(c) for c in cols], "_wcount", "_wmean", "_wstd")
-    edge = base.where(near_edge)
-    outer = Window.partitionBy(*by).orderBy(idx).rowsBetween(-lo, hi)
-    fixed = (edge.select(*[q(c) for c in cols], "_rn", "_cnt", *stats(outer))
-             .where((F.col("_rn") < lo) | (F.col("_rn") > F.col("_cnt") - 1 - hi))
-             .select(*[q(c) for c in cols], "_wcount", "_wmean", "_wstd"))
-    return keep.unionByName(fixed)
+    return framed(df, order_by, by, lo=lo, hi=hi, idx=idx, buckets=buckets, n=n,
+                  aggs=lambda fr: {"_wcount": F.count(v).over(fr), "_wmean": F.avg(v).over(fr),
+                                   "_wstd": F.stddev_samp(v).over(fr)})
 
 
 def wide_frame(df: DataFrame, value: str, order_by: Sequence[str], by: Sequence[str] = (),

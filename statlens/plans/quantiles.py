@@ -79,11 +79,14 @@ def exact_quantiles(long: DataFrame, keys: Sequence[str], value: str,
                .where((F.col("_vbefore") <= F.col("_rr")) & (F.col("_rr") < F.col("_vbefore") + F.col("_vc")))
                .select(*keys, "_r", "_v"))
 
-    v0 = at_rank.select(*keys, F.col("_r").alias("_r0"), F.col("_v").alias("_v0"))
-    v1 = at_rank.select(*keys, F.col("_r").alias("_r1"), F.col("_v").alias("_v1"))
-    out = (want.join(v0, keys + ["_r0"]).join(v1, keys + ["_r1"])
-           .select(*keys, "p", F.col("_n").alias("n"),
-                   (F.col("_v0") + F.col("_frac") * (F.col("_v1") - F.col("_v0"))).alias("quantile")))
+    # one join brings both interpolation ends to each (key, p)
+    ends = (want.join(at_rank, keys)
+            .where((F.col("_r") == F.col("_r0")) | (F.col("_r") == F.col("_r1")))
+            .groupBy(*keys, "p", "_n", "_frac")
+            .agg(F.max(F.when(F.col("_r") == F.col("_r0"), F.col("_v"))).alias("_v0"),
+                 F.max(F.when(F.col("_r") == F.col("_r1"), F.col("_v"))).alias("_v1")))
+    out = ends.select(*keys, "p", F.col("_n").alias("n"),
+                      (F.col("_v0") + F.col("_frac") * (F.col("_v1") - F.col("_v0"))).alias("quantile"))
     return out
 
 
