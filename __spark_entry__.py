@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from statlens.operators import (changepoint, outliers, profile, quality, rolling, seasonal,
-                                stationarity, trend)
+from statlens.operators import (changepoint, correlation, distribution, outliers, pca, profile, quality,
+                                rolling, seasonal, stationarity, trend)
 
 SF0001 = "/root/testdata/sf0.001"
 
@@ -78,6 +78,21 @@ def _t_sql(nu: str, z: float = Z95) -> str:
     return f"({z} + {g1} / {v} + {g2} / ({v})^2 + {g3} / ({v})^3 + {g4} / ({v})^4)"
 
 
+CORR_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "unit_price"]
+
+
+def lineitem_corr(spark: SparkSession, sf: str) -> DataFrame:
+    """Numeric lineitem columns plus a derived one with gaps (pairwise-complete rows)."""
+    li = _t(spark, sf, "lineitem")
+    return li.select("l_quantity", "l_extendedprice", "l_discount", "l_tax",
+                     F.when(F.col("l_orderkey") % 5 != 0, F.col("l_extendedprice") / F.col("l_quantity"))
+                     .alias("unit_price"))
+
+
+LINEITEM_CORR_SQL = """(SELECT l_quantity, l_extendedprice, l_discount, l_tax,
+    CASE WHEN l_orderkey % 5 <> 0 THEN l_extendedprice / l_quantity END AS unit_price FROM lineitem)"""
+
+
 LINEITEM_NUMERIC = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
                     "l_extendedprice", "l_discount", "l_tax"]
 
@@ -183,6 +198,27 @@ def _queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     Q["change_point_count"] = lambda s, sf: changepoint.change_point_count(ev(s, sf), "value", EV_ORDER)
     Q["df_test"] = lambda s, sf: r6(stationarity.df_test(ev(s, sf), "value", EV_ORDER))
     Q["adf_test"] = lambda s, sf: r6(stationarity.adf_test(daily_quantity(s, sf), "qty", ["l_shipdate"]))
+
+    Q["corr_matrix"] = lambda s, sf: r6(correlation.corr_matrix(lineitem_corr(s, sf), CORR_COLS))
+    Q["corr_ci"] = lambda s, sf: r6(correlation.corr_test(lineitem_corr(s, sf), CORR_COLS).drop("p_value"))
+    Q["corr_pvalue"] = lambda s, sf: r6(correlation.corr_test(lineitem_corr(s, sf), CORR_COLS))
+    Q["significant_corrs"] = lambda s, sf: r6(correlation.significant_corrs(lineitem_corr(s, sf), CORR_COLS)
+                                              .drop("p_value"))
+    Q["mean_ci"] = lambda s, sf: r6(distribution.mean_ci(ev(s, sf), "value"))
+    Q["mean_ci_by_type"] = lambda s, sf: r6(distribution.mean_ci(ev(s, sf), "value", by=["event_type"]))
+    Q["histogram"] = lambda s, sf: r6(distribution.histogram(ev(s, sf), "value"))
+    Q["kde_curve"] = lambda s, sf: r6(distribution.kde_curve(ev(s, sf), "value"))
+    Q["box_stats"] = lambda s, sf: r6(distribution.box_stats(ev(s, sf), "value"))
+    Q["box_stats_by_type"] = lambda s, sf: r6(distribution.box_stats(ev(s, sf), "value", by=["event_type"]))
+    Q["standardize"] = lambda s, sf: r6(pca.standardize(_t(s, sf, "lineitem"),
+                                                        ["l_quantity", "l_extendedprice", "l_discount"],
+                                                        keep=["l_orderkey", "l_linenumber"]))
+    Q["pca_variance"] = lambda s, sf: r6(pca.pca_variance(_t(s, sf, "lineitem"), ["l_quantity", "l_extendedprice"]))
+    PCA_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    Q["pca_loadings"] = lambda s, sf: pca.pca_loadings(_t(s, sf, "lineitem"), PCA_COLS)
+    Q["pca_scores"] = lambda s, sf: r6(pca.pca_scores(_t(s, sf, "lineitem"), PCA_COLS,
+                                                      keep=["l_orderkey", "l_linenumber"]))
+    Q["pca_n95"] = lambda s, sf: pca.pca_n95(_t(s, sf, "lineitem"), PCA_COLS)
     return Q
 
 
@@ -385,4 +421,71 @@ def oracle_sql() -> dict[str, str]:
           regr_syy(dy, prev) AS syy, regr_r2(dy, prev) AS r2 FROM p),
         s AS (SELECT *, sqrt(syy * (1 - r2) / (n - 2) / sxx) AS se FROM a)
         SELECT n, round(g, 6) AS gamma, round(se, 6) AS se, round(g / se, 6) AS tau FROM s"""
+
+    C = LINEITEM_CORR_SQL
+    pairs = [(a, b) for a in CORR_COLS for b in CORR_COLS if a != b]
+    corr_rows = " UNION ALL ".join(
+        f"""SELECT '{a}' AS var1, '{b}' AS var2, count(*) FILTER (WHERE {a} IS NOT NULL AND {b} IS NOT NULL) AS n,
+            corr({a}, {b}) AS r FROM {C} c""" for a, b in pairs)
+    diag_rows = " UNION ALL ".join(
+        f"SELECT '{a}' AS var1, '{a}' AS var2, count({a}) AS n, 1.0 AS r FROM {C} c" for a in CORR_COLS)
+    S["corr_matrix"] = f"""SELECT var1, var2, n, round(CASE WHEN n >= 3 THEN greatest(-1.0, least(1.0, r)) END, 6) AS corr
+        FROM ({corr_rows} UNION ALL {diag_rows})"""
+    ci = f"""cr AS (SELECT var1, var2, n, CASE WHEN n >= 3 THEN greatest(-1.0, least(1.0, r)) END AS r FROM ({corr_rows})),
+        ci AS (SELECT *, CASE WHEN n = 3 THEN -1.0 ELSE tanh(atanh(r) - {Z95} / sqrt(n - 3)) END AS lo,
+          CASE WHEN n = 3 THEN 1.0 ELSE tanh(atanh(r) + {Z95} / sqrt(n - 3)) END AS hi FROM cr)"""
+    S["corr_ci"] = f"""WITH {ci} SELECT var1, var2, n, round(r, 6) AS corr, round(lo, 6) AS ci_low, round(hi, 6) AS ci_high FROM ci
+        UNION ALL SELECT var1, var2, n, 1.0, NULL, NULL FROM ({diag_rows})"""
+    order = ", ".join(f"'{c}'" for c in CORR_COLS)
+    S["significant_corrs"] = f"""WITH {ci}, ordn AS (SELECT unnest([{order}]) AS name, generate_subscripts([{order}], 1) AS pos)
+        SELECT var1, var2, n, round(r, 6) AS corr, round(lo, 6) AS ci_low, round(hi, 6) AS ci_high FROM ci
+        JOIN ordn a ON a.name = var1 JOIN ordn b ON b.name = var2
+        WHERE a.pos < b.pos AND r IS NOT NULL
+          AND (abs(r) = 1 OR abs(r * sqrt((n - 2) / (1 - r * r))) > {_t_sql('n - 2')})"""
+    mci = f"""SELECT CAST(count(value) AS BIGINT) AS n, avg(value) AS m, stddev_samp(value) AS sd FROM events"""
+    mci_cols = f"""n, round(m, 6) AS mean, round(sd, 6) AS std, round(CASE WHEN n > 1 THEN sd / sqrt(n) END, 6) AS se,
+        round(m - CASE WHEN n > 1 THEN {_t_sql('n - 1')} * sd / sqrt(n) ELSE 0 END, 6) AS ci_lower,
+        round(m + CASE WHEN n > 1 THEN {_t_sql('n - 1')} * sd / sqrt(n) ELSE 0 END, 6) AS ci_upper"""
+    S["mean_ci"] = f"SELECT {mci_cols} FROM ({mci})"
+    S["mean_ci_by_type"] = f"SELECT event_type, {mci_cols} FROM ({mci.replace('FROM events', ', event_type FROM events GROUP BY event_type')})"
+    S["histogram"] = """WITH v AS (SELECT value FROM events WHERE value IS NOT NULL),
+        st AS (SELECT count(*) AS n, min(value) AS lo0, max(value) AS hi0, quantile_cont(value, 0.25) AS q1,
+          quantile_cont(value, 0.75) AS q3 FROM v),
+        w AS (SELECT *, (hi0 - lo0) / (log2(n) + 1.0) AS sturges, 2.0 * (q3 - q1) * pow(n, CAST(-1 AS DOUBLE) / 3.0) AS fd FROM st),
+        b AS (SELECT CASE WHEN hi0 > lo0 THEN CAST(ceil((hi0 - lo0) / CASE WHEN fd > 0 THEN least(sturges, fd) ELSE sturges END) AS INTEGER)
+            ELSE 1 END AS bins, CASE WHEN hi0 > lo0 THEN lo0 ELSE lo0 - 0.5 END AS lo,
+            CASE WHEN hi0 > lo0 THEN hi0 ELSE hi0 + 0.5 END AS hi FROM w),
+        c AS (SELECT least(CAST(floor((value - lo) / (hi - lo) * bins) AS INTEGER), bins - 1) AS bin, count(*) AS cnt FROM v, b GROUP BY 1),
+        g AS (SELECT CAST(unnest(generate_series(0, bins - 1)) AS INTEGER) AS bin, lo, hi, bins FROM b)
+        SELECT g.bin, round(lo + bin * ((hi - lo) / bins), 6) AS lower, round(lo + (bin + 1) * ((hi - lo) / bins), 6) AS upper,
+          CAST(coalesce(cnt, 0) AS BIGINT) AS count FROM g LEFT JOIN c USING (bin)"""
+    S["kde_curve"] = """WITH v AS (SELECT value AS x FROM events WHERE value IS NOT NULL),
+        st AS (SELECT count(*) AS n, min(x) AS lo, max(x) AS hi, stddev_samp(x) * pow(count(*), -0.2) AS h FROM v),
+        g AS (SELECT CAST(generate_series AS INTEGER) AS point FROM generate_series(0, 199))
+        SELECT point, round(h, 6) AS bandwidth, round(lo + point * ((hi - lo) / 199.0), 6) AS x,
+          round(sum(exp(-0.5 * pow((lo + point * ((hi - lo) / 199.0) - x) / h, 2))) / (n * h * sqrt(2 * pi())), 6) AS density
+        FROM g, st, v GROUP BY point, lo, hi, h, n"""
+    box = """WITH q AS (SELECT GKEY count(value) AS n, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS med,
+          quantile_cont(value, 0.75) AS q3 FROM events GBY),
+        j AS (SELECT e.value, q.* FROM events e JOIN q ON JCOND WHERE e.value IS NOT NULL)
+        SELECT GKEY 'value' AS column_name, CAST(max(n) AS BIGINT) AS n, round(max(q1), 6) AS q1, round(max(med), 6) AS median,
+          round(max(q3), 6) AS q3, round(max(q3) - max(q1), 6) AS iqr,
+          round(min(value) FILTER (WHERE value >= q1 - 1.5 * (q3 - q1) AND value <= q3 + 1.5 * (q3 - q1)), 6) AS whisker_low,
+          round(max(value) FILTER (WHERE value >= q1 - 1.5 * (q3 - q1) AND value <= q3 + 1.5 * (q3 - q1)), 6) AS whisker_high,
+          count(*) FILTER (WHERE NOT (value >= q1 - 1.5 * (q3 - q1) AND value <= q3 + 1.5 * (q3 - q1))) AS n_fliers FROM j GBY2"""
+    S["box_stats"] = box.replace("GKEY ", "").replace("GBY2", "").replace("GBY", "").replace("JCOND", "true")
+    S["box_stats_by_type"] = (box.replace("GKEY ", "event_type, ").replace("GBY2", "GROUP BY event_type")
+                              .replace("GBY", "GROUP BY event_type").replace("JCOND", "e.event_type = q.event_type")
+                              .replace("SELECT e.value, q.*", "SELECT e.value, q.n, q.q1, q.med, q.q3, q.event_type"))
+    S["standardize"] = """WITH b AS (SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice, l_discount FROM lineitem
+          WHERE l_quantity IS NOT NULL AND l_extendedprice IS NOT NULL AND l_discount IS NOT NULL),
+        s AS (SELECT avg(l_quantity) mq, stddev_pop(l_quantity) sq, avg(l_extendedprice) me, stddev_pop(l_extendedprice) se,
+          avg(l_discount) md, stddev_pop(l_discount) sd FROM b)
+        SELECT l_orderkey, l_linenumber, round(coalesce((l_quantity - mq) / nullif(sq, 0), 0), 6) AS l_quantity,
+          round(coalesce((l_extendedprice - me) / nullif(se, 0), 0), 6) AS l_extendedprice,
+          round(coalesce((l_discount - md) / nullif(sd, 0), 0), 6) AS l_discount FROM b, s"""
+    S["pca_variance"] = """WITH r AS (SELECT abs(corr(l_quantity, l_extendedprice)) AS a FROM lineitem
+          WHERE l_quantity IS NOT NULL AND l_extendedprice IS NOT NULL)
+        SELECT 1 AS component, round((1 + a) / 2, 6) AS explained_variance_ratio, round((1 + a) / 2, 6) AS cumulative_ratio FROM r
+        UNION ALL SELECT 2, round((1 - a) / 2, 6), 1.0 FROM r"""
     return S
