@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from statlens.session import scratch_path
+from statlens.sources import files
 from statlens.operators import (changepoint, correlation, distribution, outliers, pca, profile, quality,
                                 rolling, seasonal, stationarity, trend)
 
@@ -199,6 +201,20 @@ def _queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     Q["df_test"] = lambda s, sf: r6(stationarity.df_test(ev(s, sf), "value", EV_ORDER))
     Q["adf_test"] = lambda s, sf: r6(stationarity.adf_test(daily_quantity(s, sf), "qty", ["l_shipdate"]))
 
+    def csv_roundtrip(s, sf):
+        src = ev(s, sf).select("event_id", F.col("ts").alias("event_time"), "user_id", "event_type", "value", "props")
+        path = files.export_csv(src, scratch_path(s, "events-csv"))
+        return r6(files.infer_dates(files.load_csv(s, path)))
+    Q["csv_roundtrip"] = csv_roundtrip
+
+    def dates(s, sf):
+        text = F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS")
+        d = ev(s, sf).select("event_id", text.alias("event_time"),
+                             F.when(F.col("event_id") % 97 == 0, F.lit("not a date")).otherwise(text).alias("bad_date"))
+        return files.infer_dates(d)
+    Q["infer_dates"] = dates
+    Q["load_any"] = lambda s, sf: r6(files.load_any(s, f"{sf}/lineitem.parquet"))
+
     Q["corr_matrix"] = lambda s, sf: r6(correlation.corr_matrix(lineitem_corr(s, sf), CORR_COLS))
     Q["corr_ci"] = lambda s, sf: r6(correlation.corr_test(lineitem_corr(s, sf), CORR_COLS).drop("p_value"))
     Q["corr_pvalue"] = lambda s, sf: r6(correlation.corr_test(lineitem_corr(s, sf), CORR_COLS))
@@ -422,6 +438,13 @@ def oracle_sql() -> dict[str, str]:
         s AS (SELECT *, sqrt(syy * (1 - r2) / (n - 2) / sxx) AS se FROM a)
         SELECT n, round(g, 6) AS gamma, round(se, 6) AS se, round(g / se, 6) AS tau FROM s"""
 
+    S["csv_roundtrip"] = """SELECT event_id, ts AS event_time, user_id, event_type, round(value, 6) AS value, props FROM events"""
+    S["infer_dates"] = """SELECT event_id, ts AS event_time,
+        CASE WHEN event_id % 97 = 0 THEN 'not a date' ELSE strftime(ts, '%Y-%m-%d %H:%M:%S.%f') END AS bad_date FROM events"""
+    S["load_any"] = """SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, round(l_quantity, 6) AS l_quantity,
+        round(l_extendedprice, 6) AS l_extendedprice, round(l_discount, 6) AS l_discount, round(l_tax, 6) AS l_tax,
+        l_returnflag, l_linestatus, l_shipdate FROM lineitem"""
+
     C = LINEITEM_CORR_SQL
     pairs = [(a, b) for a in CORR_COLS for b in CORR_COLS if a != b]
     corr_rows = " UNION ALL ".join(
