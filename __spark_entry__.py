@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from statlens.session import scratch_path
 from statlens.sources import files
-from statlens.operators import (changepoint, correlation, distribution, outliers, pca, profile, quality,
+from statlens.operators import (changepoint, correlation, distribution, evaluation, outliers, pca, profile, quality,
                                 rolling, seasonal, stationarity, trend)
 
 SF0001 = "/root/testdata/sf0.001"
@@ -215,6 +215,24 @@ def _queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     Q["infer_dates"] = dates
     Q["load_any"] = lambda s, sf: r6(files.load_any(s, f"{sf}/lineitem.parquet"))
 
+    def labelled(s, sf):
+        return _t(s, sf, "labels").join(_t(s, sf, "documents").select("doc_id", "n_chars"), "doc_id")
+    Q["confusion_matrix"] = lambda s, sf: evaluation.confusion_matrix(_t(s, sf, "labels"), "quality", "toxic")
+    Q["class_report"] = lambda s, sf: r6(evaluation.class_report(_t(s, sf, "labels"), "quality", "toxic"))
+    Q["roc_curve"] = lambda s, sf: r6(evaluation.roc_curve(labelled(s, sf), "quality", "n_chars"))
+    Q["roc_auc"] = lambda s, sf: r6(evaluation.roc_auc(labelled(s, sf), "quality", "n_chars"))
+
+    def reg(s, sf):
+        li = _t(s, sf, "lineitem").join(_t(s, sf, "part").select("p_partkey", "p_retailprice"),
+                                        F.col("l_partkey") == F.col("p_partkey"))
+        m = evaluation.regression_metrics(li.withColumn("pred", F.col("l_quantity") * F.col("p_retailprice")),
+                                          "l_extendedprice", "pred")
+        return r6(m.withColumn("mse", F.round("mse", 2)))
+    Q["regression_metrics"] = reg
+    Q["k_fold"] = lambda s, sf: evaluation.k_fold(_t(s, sf, "orders"), "o_orderkey").groupBy("fold").count()
+    Q["train_test_split"] = lambda s, sf: (evaluation.train_test_split(_t(s, sf, "orders"), "o_orderkey")
+                                           .groupBy("is_test").count())
+
     Q["corr_matrix"] = lambda s, sf: r6(correlation.corr_matrix(lineitem_corr(s, sf), CORR_COLS))
     Q["corr_ci"] = lambda s, sf: r6(correlation.corr_test(lineitem_corr(s, sf), CORR_COLS).drop("p_value"))
     Q["corr_pvalue"] = lambda s, sf: r6(correlation.corr_test(lineitem_corr(s, sf), CORR_COLS))
@@ -445,6 +463,30 @@ def oracle_sql() -> dict[str, str]:
         round(l_extendedprice, 6) AS l_extendedprice, round(l_discount, 6) AS l_discount, round(l_tax, 6) AS l_tax,
         l_returnflag, l_linestatus, l_shipdate FROM lineitem"""
 
+    S["confusion_matrix"] = "SELECT quality AS label, toxic AS prediction, count(*) AS count FROM labels GROUP BY ALL"
+    S["class_report"] = """WITH cm AS (SELECT quality AS l, toxic AS p, count(*) AS c FROM labels GROUP BY ALL),
+        cls AS (SELECT DISTINCT CAST(l AS VARCHAR) AS class FROM cm UNION SELECT DISTINCT CAST(p AS VARCHAR) FROM cm),
+        per AS (SELECT class, coalesce((SELECT sum(c) FROM cm WHERE CAST(l AS VARCHAR) = class), 0) AS support,
+          coalesce((SELECT sum(c) FROM cm WHERE CAST(p AS VARCHAR) = class), 0) AS predicted,
+          coalesce((SELECT sum(c) FROM cm WHERE l = p AND CAST(l AS VARCHAR) = class), 0) AS tp FROM cls),
+        acc AS (SELECT sum(c) FILTER (WHERE l = p) / sum(c) AS accuracy FROM cm)
+        SELECT class, CAST(support AS BIGINT) AS support, round(CASE WHEN predicted > 0 THEN tp / predicted END, 6) AS precision,
+          round(CASE WHEN support > 0 THEN tp / support END, 6) AS recall,
+          round(CASE WHEN predicted > 0 AND support > 0 AND tp > 0 THEN 2 * (tp / predicted) * (tp / support) / (tp / predicted + tp / support) END, 6) AS f1,
+          round(accuracy, 6) AS accuracy FROM per, acc"""
+    roc = """pts AS (SELECT CAST(n_chars AS DOUBLE) AS threshold, sum(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS pos,
+          sum(CASE WHEN quality = 1 THEN 0 ELSE 1 END) AS neg FROM labels JOIN documents USING (doc_id) GROUP BY 1),
+        cum AS (SELECT *, sum(pos) OVER w AS cp, sum(neg) OVER w AS cn FROM pts
+          WINDOW w AS (ORDER BY threshold DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"""
+    S["roc_curve"] = f"""WITH {roc} SELECT round(threshold, 6) AS threshold, round(cn / (SELECT sum(neg) FROM pts), 6) AS fpr,
+        round(cp / (SELECT sum(pos) FROM pts), 6) AS tpr FROM cum"""
+    S["roc_auc"] = f"""WITH {roc} SELECT CAST(sum(pos) AS BIGINT) AS n_pos, CAST(sum(neg) AS BIGINT) AS n_neg,
+        round(sum(neg * (cp - pos + 0.5 * pos)) / (sum(pos) * sum(neg)), 6) AS auc FROM cum"""
+    S["regression_metrics"] = """WITH e AS (SELECT l_extendedprice AS y, l_extendedprice - l_quantity * p_retailprice AS e
+          FROM lineitem JOIN part ON l_partkey = p_partkey)
+        SELECT count(*) AS n, round(avg(abs(e)), 6) AS mae, round(avg(e * e), 2) AS mse, round(sqrt(avg(e * e)), 6) AS rmse,
+          round(1 - sum(e * e) / (var_pop(y) * count(*)), 6) AS r2 FROM e"""
+
     C = LINEITEM_CORR_SQL
     pairs = [(a, b) for a in CORR_COLS for b in CORR_COLS if a != b]
     corr_rows = " UNION ALL ".join(
