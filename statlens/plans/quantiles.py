@@ -36,23 +36,28 @@ def _bucket(v: Column, lo: Column, hi: Column, buckets: int) -> Column:
 
 def exact_quantiles(long: DataFrame, keys: Sequence[str], value: str,
                     probs: Sequence[float], buckets: int = DEFAULT_BUCKETS,
-                    small_keys: bool = False) -> DataFrame:
+                    small_keys: bool = False, extra_aggs: Sequence[Column] = ()) -> DataFrame:
     """Quantiles of ``value`` per ``keys``: rows (keys..., p, n, quantile).
 
     ``small_keys`` states that the number of distinct keys is bounded by the
     caller (e.g. the key is a column name): the per-key tables are then
     broadcast explicitly; otherwise AQE picks the join at run time from the
-    measured size.
+    measured size.  ``extra_aggs`` (over ``_v``, nulls included) ride along
+    in the first aggregate and come out as extra columns.
     """
     keys = list(keys)
     hint = F.broadcast if small_keys else (lambda d: d)
-    vals = long.select(*keys, F.col(value).alias("_v")).where(F.col("_v").isNotNull())
-
-    stats = vals.groupBy(*keys).agg(F.count("_v").alias("_n"), F.min("_v").alias("_lo"),
-                                    F.max("_v").alias("_hi"))
+    cells = long.select(*keys, F.col(value).alias("_v"))
+    vals = cells.where(F.col("_v").isNotNull())
+
+    extra = list(extra_aggs)
+    extra_names = [f"_x{i}" for i in range(len(extra))]
+    stats = cells.groupBy(*keys).agg(F.count("_v").alias("_n"), F.min("_v").alias("_lo"),
+                                     F.max("_v").alias("_hi"),
+                                     *[e.alias(nm) for e, nm in zip(extra, extra_names)])
     probs_col = F.array(*[F.lit(float(p)) for p in probs])
-    want = (stats
-            .select(*keys, "_n", "_lo", "_hi", F.explode(probs_col).alias("p"))
+    want = (stats.where(F.col("_n") > 0)
+            .select(*keys, "_n", "_lo", "_hi", *extra_names, F.explode(probs_col).alias("p"))
             .withColumn("_h", (F.col("_n") - 1).cast("double") * F.col("p"))
             .withColumn("_r0", F.floor("_h").cast("long"))
             .withColumn("_r1", F.least(F.col("_r0") + 1, F.col("_n") - 1))
@@ -82,17 +87,20 @@ def exact_quantiles(long: DataFrame, keys: Sequence[str], value: str,
     # one join brings both interpolation ends to each (key, p)
     ends = (want.join(at_rank, keys)
             .where((F.col("_r") == F.col("_r0")) | (F.col("_r") == F.col("_r1")))
-            .groupBy(*keys, "p", "_n", "_frac")
+            .groupBy(*keys, "p", "_n", "_frac", *extra_names)
             .agg(F.max(F.when(F.col("_r") == F.col("_r0"), F.col("_v"))).alias("_v0"),
                  F.max(F.when(F.col("_r") == F.col("_r1"), F.col("_v"))).alias("_v1")))
-    out = ends.select(*keys, "p", F.col("_n").alias("n"),
+    out = ends.select(*keys, "p", F.col("_n").alias("n"), *extra_names,
                       (F.col("_v0") + F.col("_frac") * (F.col("_v1") - F.col("_v0"))).alias("quantile"))
     return out
 
 
 def quantile_table(long: DataFrame, keys: Sequence[str], value: str,
                    probs: Sequence[float], names: Sequence[str], **kw) -> DataFrame:
-    """Wide form: one row per key, one column per probability (named)."""
-    qs = exact_quantiles(long, keys, value, probs, **kw)
+    """Wide form: one row per key, one column per probability (named).
+    ``extra={name: aggregate over _v}`` adds columns from the first pass."""
+    extra = dict(kw.pop("extra", {}))
+    qs = exact_quantiles(long, keys, value, probs, extra_aggs=list(extra.values()), **kw)
     aggs = [F.max(F.when(F.col("p") == float(p), F.col("quantile"))).alias(nm) for p, nm in zip(probs, names)]
-    return qs.groupBy(*keys).agg(F.max("n").alias("n"), *aggs)
+    carried = [F.max(f"_x{i}").alias(nm) for i, nm in enumerate(extra)]
+    return qs.groupBy(*keys).agg(F.max("n").alias("n"), *carried, *aggs)
