@@ -198,6 +198,8 @@ def _queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         daily_quantity(s, sf), "qty", ["l_shipdate"]))
     Q["change_points"] = lambda s, sf: r6(changepoint.change_points(ev(s, sf), "value", EV_ORDER))
     Q["change_point_count"] = lambda s, sf: changepoint.change_point_count(ev(s, sf), "value", EV_ORDER)
+    Q["change_points_by_type"] = lambda s, sf: r6(changepoint.change_points(ev(s, sf), "value", EV_ORDER,
+                                                                          by=["event_type"]))
     Q["df_test"] = lambda s, sf: r6(stationarity.df_test(ev(s, sf), "value", EV_ORDER))
     Q["adf_test"] = lambda s, sf: r6(stationarity.adf_test(daily_quantity(s, sf), "qty", ["l_shipdate"]))
 
@@ -480,6 +482,16 @@ def _oracle_sql() -> dict[str, str]:
     S["change_points"] = f"""WITH {cp} SELECT ts, event_id, idx, round(value, 6) AS value, CAST(w AS INTEGER) AS window_size,
         round(rm, 6) AS rolling_mean, round(rs, 6) AS rolling_std, round(z, 6) AS z FROM z WHERE z > 2"""
     S["change_point_count"] = f"WITH {cp} SELECT count(*) AS n_change_points FROM z WHERE z > 2"
+    S["change_points_by_type"] = """WITH b AS (SELECT event_type, ts, event_id, value,
+          row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS idx,
+          count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL),
+        c AS (SELECT *, n // 10 AS w FROM b WHERE n >= 20),
+        r AS (SELECT *, count(value) OVER fr AS wc, avg(value) OVER fr AS wm, stddev_samp(value) OVER fr AS ws FROM c
+          WINDOW fr AS (PARTITION BY event_type ORDER BY idx ROWS BETWEEN w // 2 PRECEDING AND (w - 1) // 2 FOLLOWING)),
+        m AS (SELECT *, CASE WHEN wc = w THEN wm END AS rm, CASE WHEN wc = w THEN ws END AS rs FROM r),
+        z AS (SELECT *, CASE WHEN rs <> 0 THEN abs((value - rm) / rs) END AS z FROM m)
+        SELECT event_type, ts, event_id, idx, round(value, 6) AS value, CAST(w AS INTEGER) AS window_size,
+          round(rm, 6) AS rolling_mean, round(rs, 6) AS rolling_std, round(z, 6) AS z FROM z WHERE z > 2"""
     S["df_test"] = """WITH b AS (SELECT value AS y, lag(value) OVER (ORDER BY ts, event_id) AS prev FROM events WHERE value IS NOT NULL),
         p AS (SELECT y - prev AS dy, prev FROM b WHERE prev IS NOT NULL),
         a AS (SELECT CAST(regr_count(dy, prev) AS BIGINT) AS n, regr_slope(dy, prev) AS g, regr_sxx(dy, prev) AS sxx,
