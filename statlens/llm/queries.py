@@ -6,18 +6,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from statlens.llm import line_dedup as _line_dedup
+from statlens.llm import ngram_join as _ngram_join
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents linked at 90 per cent of common 3-word shingles."""
+    return (_ngram_join.ngram_join(_t(spark, sf_dir, "documents"), width=3, percent=90)
+            .select("doc_id", "n_shingles", "component_id", "links"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with later repeated runs of lines deleted."""
     return (_line_dedup.line_dedup(_t(spark, sf_dir, "documents"))
             .select("doc_id", "text", F.col("_ld_deleted").alias("deleted_lines")))
 
 
-QUERIES = {"op6_line_dedup": op6_line_dedup}
+QUERIES = {
+    "op1_ngram_join": op1_ngram_join,
+    "op6_line_dedup": op6_line_dedup,
+}
 
 ORACLE_SQL = {"op6_line_dedup": _line_dedup.ORACLE_SQL}
