@@ -5,9 +5,13 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zlib
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 _LOCAL: dict[str, str] = {}
 
@@ -60,3 +64,24 @@ def free_name(df: DataFrame, wanted: str) -> str:
     while wanted.lower() in taken:
         wanted += "_"
     return wanted
+
+
+def with_text_columns(df: DataFrame, make, fields: list[tuple[str, str]], text: str = "text", rows: int = 256) -> DataFrame:
+    """``df`` with columns that ``make(texts)`` returns for lists of whole texts.
+
+    ``make`` gives one list for each of ``fields`` (name, SQL type); it gets at
+    most ``rows`` texts at a time, so a task holds few of them as objects.  All
+    columns of ``df`` pass through unchanged.
+    """
+    schema = T.StructType(df.schema.fields + [T.StructField(n, T._parse_datatype_string(t)) for n, t in fields])
+    types = [to_arrow_type(f.dataType) for f in schema.fields[len(df.columns):]]
+    names, at = schema.names, df.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, rows):
+                b = whole.slice(start, rows)
+                new = make(b.column(at).to_pylist())
+                yield pa.RecordBatch.from_arrays(b.columns + [pa.array(x, t) for x, t in zip(new, types)], names)
+
+    return df.mapInArrow(run, schema)

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from statlens.llm import language_id as _language_id
 from statlens.llm import line_dedup as _line_dedup
 from statlens.llm import ngram_join as _ngram_join
+from statlens.llm import quality as _quality
+from statlens.llm import secrets as _secrets
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +22,21 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", "n_shingles", "component_id", "links"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learnt from three folds of four."""
+    return _language_id.language_id(_t(spark, sf_dir, "documents"))
+
+
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document: counts, digest of the base spans, all spans."""
+    return _secrets.secrets(_t(spark, sf_dir, "documents"))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learnt from four folds of five of the labels."""
+    return _quality.quality(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "labels"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with later repeated runs of lines deleted."""
     return (_line_dedup.line_dedup(_t(spark, sf_dir, "documents"))
@@ -27,6 +45,9 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
+    "op3_language_id": op3_language_id,
+    "op4_secrets": op4_secrets,
+    "op5_quality": op5_quality,
     "op6_line_dedup": op6_line_dedup,
 }
 
