@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from statlens.llm import decontaminate as _decontaminate
 from statlens.llm import language_id as _language_id
 from statlens.llm import line_dedup as _line_dedup
+from statlens.llm import main_text as _main_text
 from statlens.llm import ngram_join as _ngram_join
+from statlens.llm import packing as _packing
 from statlens.llm import quality as _quality
 from statlens.llm import secrets as _secrets
 
@@ -43,12 +46,31 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", "text", F.col("_ld_deleted").alias("deleted_lines")))
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 2048 tokens."""
+    return _packing.pack(_t(spark, sf_dir, "documents"))
+
+
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return _main_text.main_text(_t(spark, sf_dir, "pages"))
+
+
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, with the best alignment of each."""
+    return (_decontaminate.contaminated(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "benchmark"))
+            .select("doc_id", "item_id", "score", "item_words", "similarity", "end_word"))
+
+
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
     "op3_language_id": op3_language_id,
     "op4_secrets": op4_secrets,
     "op5_quality": op5_quality,
     "op6_line_dedup": op6_line_dedup,
+    "op8_packing": op8_packing,
+    "op9_main_text": op9_main_text,
+    "op10_decontaminate": op10_decontaminate,
 }
 
 ORACLE_SQL = {"op6_line_dedup": _line_dedup.ORACLE_SQL}
