@@ -9,6 +9,7 @@ from statlens.llm import decontaminate as _decontaminate
 from statlens.llm import language_id as _language_id
 from statlens.llm import line_dedup as _line_dedup
 from statlens.llm import main_text as _main_text
+from statlens.llm import nearest as _nearest
 from statlens.llm import ngram_join as _ngram_join
 from statlens.llm import packing as _packing
 from statlens.llm import quality as _quality
@@ -25,6 +26,11 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", "n_shingles", "component_id", "links"))
 
 
+def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 largest inner products of every vector whose id is divisible by 20."""
+    return _nearest.nearest(_t(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learnt from three folds of four."""
     return _language_id.language_id(_t(spark, sf_dir, "documents"))
@@ -64,6 +70,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
+    "op2_nearest": op2_nearest,
     "op3_language_id": op3_language_id,
     "op4_secrets": op4_secrets,
     "op5_quality": op5_quality,
