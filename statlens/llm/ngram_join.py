@@ -36,8 +36,10 @@ from pyspark.sql import functions as F
 from statlens.llm import shingles as S
 from statlens.llm.common import written
 from statlens.llm.components import components
+from statlens.llm.shingles import U
 
-BLOCK = 64
+#: Nodes of a block: their sketches are compared as one matrix.
+BLOCK = 2048
 #: Texts that a task holds as numpy arrays at once.
 ROWS = 256
 
@@ -194,17 +196,22 @@ def _apart(members: DataFrame, labels: DataFrame, nodes: DataFrame, percent: int
     sent = sent.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "label", "n", "sketch")
 
     def rows(g: pd.DataFrame) -> pd.DataFrame:
-        i, j = int(g["i"].iloc[0]), int(g["j"].iloc[0])
-        left = g[g["block"] == i]
-        right = g[g["block"] == j]
+        size = min(map(len, g["sketch"]))
+        bits = np.array([S.folded(sk, size) for sk in g["sketch"]]).view(U)
+        node, label, n, block = (g[c].to_numpy() for c in ("node", "label", "n", "block"))
+        left, right = (np.flatnonzero(block == g[c].iloc[0]) for c in ("i", "j"))
+        step = max(1, 4_000_000 // (len(right) * bits.shape[1]))
         out = []
-        cols = ["node", "label", "n", "sketch"]
-        left, right = (list(zip(*(x[c] for c in cols))) for x in (left, right))
-        for x, (node, label, n, sk) in enumerate(left):
-            for other in (left[x + 1:] if i == j else right):
-                if other[1] != label and S.may_link(n, sk, other[2], other[3], percent):
-                    out.append((min(node, other[0]), max(node, other[0])))
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+        for at in range(0, len(left), step):
+            x = left[at:at + step]
+            apart = np.bitwise_count(bits[x, None] ^ bits[None, right]).sum(axis=2, dtype=np.int64)
+            total = n[x, None] + n[None, right]
+            near = (100 * np.minimum(n[x, None], n[None, right]) >= percent * np.maximum(n[x, None], n[None, right]))
+            near &= (apart <= total * (100 - percent) // (100 + percent)) & (label[x, None] != label[None, right])
+            p, q = np.nonzero(near)
+            out.append(np.column_stack([node[x[p]], node[right[q]]]))
+        pairs = np.unique(np.sort(np.concatenate(out), axis=1), axis=0)
+        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
     return sent.groupBy("key", "i", "j").applyInPandas(rows, "a long, b long").distinct()
 
