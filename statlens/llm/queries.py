@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from statlens.llm import decontaminate as _decontaminate
 from statlens.llm import language_id as _language_id
 from statlens.llm import line_dedup as _line_dedup
+from statlens.llm import lm_score as _lm_score
 from statlens.llm import main_text as _main_text
 from statlens.llm import nearest as _nearest
 from statlens.llm import ngram_join as _ngram_join
@@ -52,6 +53,13 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", "text", F.col("_ld_deleted").alias("deleted_lines")))
 
 
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's stupid-backoff score under the whole corpus."""
+    return (_lm_score.lm_score(_t(spark, sf_dir, "documents"))
+            .select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"),
+                    F.round("mean_log_score", 6).alias("mean_log_score"), "backed_off"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 2048 tokens."""
     return _packing.pack(_t(spark, sf_dir, "documents"))
@@ -75,9 +83,10 @@ QUERIES = {
     "op4_secrets": op4_secrets,
     "op5_quality": op5_quality,
     "op6_line_dedup": op6_line_dedup,
+    "op7_lm_score": op7_lm_score,
     "op8_packing": op8_packing,
     "op9_main_text": op9_main_text,
     "op10_decontaminate": op10_decontaminate,
 }
 
-ORACLE_SQL = {"op6_line_dedup": _line_dedup.ORACLE_SQL}
+ORACLE_SQL = {"op6_line_dedup": _line_dedup.ORACLE_SQL, "op7_lm_score": _lm_score.ORACLE_SQL}
