@@ -41,7 +41,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 SPACE = frozenset("br wbr img hr input".split())
 ZONES = {"nav": "menu", "menu": "menu", "header": "header", "footer": "footer", "aside": "aside", "form": "form", "fieldset": "form",
          "head": "head", "article": "content", "main": "content", "dialog": "notice"}
-OPEN = frozenset(("content", "body"))  # zones that can be content
+OPEN = frozenset(("content", "body", "beside"))  # zones that can be content
 #: Words in class, id and role names that make an element a zone.
 NAMES = {w: zone for zone, names in {
     "menu": "nav navbar navigation menu menubar breadcrumb breadcrumbs pagination pager toc tabs toolbar",
@@ -183,10 +183,11 @@ def _lower(page: str) -> str:
 
 
 def _zone(zones: list[list]) -> str:
-    """The zone in force: the outermost that is never content, else the inmost."""
-    for z in zones:
+    """The zone in force: the outermost that is never content ("inset" where it
+    stands in an article), else the inmost."""
+    for k, z in enumerate(zones):
         if z[0] not in OPEN:
-            return z[0]
+            return "inset" if k else z[0]
     return zones[-1][0] if zones else "body"
 
 
@@ -196,13 +197,21 @@ def feature(kind: str, value: str, zone: str, link: bool) -> str:
     return f"tag {value if value in BLOCKS or value in RAW or value in VOID or value in ('a', 'b', 'i', 'em', 'strong', 'span') else 'other'}"
 
 
+def marked(page: str) -> list[tuple[str, str, str, bool]]:
+    """The page's events; plain body beside an article or main is a zone of its own."""
+    found = list(events(page))
+    if any(kind == "+" and value in ("article", "main") for kind, value, _, _ in found):
+        found = [(k, v, "beside" if z == "body" else z, a) for k, v, z, a in found]
+    return found
+
+
 def tally(page: str) -> dict[str, list[int]]:
     """For a page that labels its content, counts of each feature inside and
     outside; empty for other pages."""
     inside = Counter()
     outside = Counter()
     depth = seen = 0
-    for kind, value, zone, link in events(page):
+    for kind, value, zone, link in marked(page):
         if kind != "t" and value in ("article", "main"):
             seen += kind == "+"
             depth += 1 if kind == "+" else -1
@@ -218,17 +227,19 @@ def tally(page: str) -> dict[str, list[int]]:
 def weights(counts: dict[str, tuple[int, int]]) -> dict[str, float]:
     """Scores of features from counts (inside, outside) and the prior's."""
     out = {}
-    zones = ["body", "content", "head", *sorted(set(ZONES.values()) | set(NAMES.values()))]
+    zones = ["body", "beside", "content", "inset", *sorted(set(ZONES.values()) | set(NAMES.values()))]
     names = {f"word {z}{k}" for z in zones for k in ("", " link")} | set(counts)
     for f in names:
         i, o = counts.get(f, (0, 0))
         if f.startswith("word "):
             zone = f.split()[1]
-            share = 0.9 if zone == "content" else 0.7 if zone == "body" else 0.05
+            share = {"content": 0.9, "body": 0.7}.get(zone, 0.05)
             if f.endswith("link"):
                 share *= 0.6
             odds = math.log((i + PRIOR * share) / (o + PRIOR * (1 - share)))
-            out[f] = max(-LIMIT, min(LIMIT, odds)) if zone in OPEN else -LIMIT
+            # Zones that are never content are left out anyway; their words must not
+            # cut a text in two.
+            out[f] = max(-LIMIT, min(LIMIT, odds)) if zone in OPEN else -0.02 if zone == "inset" else -0.5
             if zone == "content":  # what a page itself calls content is never below zero
                 out[f] = max(out[f], 0.1)
             if f == "word body":  # plain text may be the content of other pages
@@ -240,12 +251,12 @@ def weights(counts: dict[str, tuple[int, int]]) -> dict[str, float]:
 
 def extract(page: str | None, weight: dict[str, float]) -> str:
     """The blocks of the best stretch, joined by line feeds."""
-    found = list(events(page or ""))
+    found = marked(page or "")
     best, total, start = 0.0, 0.0, 0
     stretch = (0, 0)
     for k, (kind, value, zone, link) in enumerate(found):
         n = len(value.split()) if kind == "t" else 1
-        total += n * weight.get(feature(kind, value, zone, link), -0.5)
+        total += n * weight.get(feature(kind, value, zone, link), -0.1)
         if total <= 0:
             total, start = 0.0, k + 1
         elif total > best:
