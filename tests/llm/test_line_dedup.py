@@ -7,20 +7,19 @@ from statlens.llm.line_dedup import MIN_WORDS, dedup_stage, line_dedup
 
 
 def later_runs(rows):
-    """Lines inside minimal runs of MIN_WORDS words that stand earlier too."""
+    """Lines inside runs of MIN_WORDS words or more that stand earlier too."""
     seen, need = set(), defaultdict(set)
     for doc, text in sorted(rows):
         lines = [(k, x.strip(" ")) for k, x in enumerate(text.split("\n")) if x.strip(" ")]
         for a in range(len(lines)):
-            words = 0
+            words, run = 0, 0
             for b in range(a, len(lines)):
                 words += lines[b][1].count(" ") + 1
+                run = hash((run, lines[b][1]))
                 if words >= MIN_WORDS:
-                    run = tuple(x for _, x in lines[a:b + 1])
                     if run in seen:
-                        need[doc] |= {k for k, _ in lines[a:b + 1]}
+                        need[doc] |= set(range(lines[a][0], lines[b][0] + 1))
                     seen.add(run)
-                    break
     return need
 
 
