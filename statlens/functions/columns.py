@@ -50,6 +50,26 @@ def q(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner",
+            small: bool = False) -> DataFrame:
+    """Equi-join on ``keys`` where NULL equals NULL (a group whose key is NULL
+    is a group like any other); the result has the left side's keys.
+
+    Without keys the right side is one row.  ``small`` states a bound on the
+    right side that the caller proves; else AQE chooses by the measured size.
+    """
+    keys = list(keys)
+    if not keys:
+        return left.crossJoin(F.broadcast(right))
+    names = {k: f"_right_key_{i}" for i, k in enumerate(keys)}
+    right = right.withColumnsRenamed(names)
+    cond = None
+    for k, n in names.items():
+        same = q(k).eqNullSafe(q(n))
+        cond = same if cond is None else cond & same
+    return left.join(F.broadcast(right) if small else right, cond, how).drop(*names.values())
+
+
 def as_list(cols: str | Sequence[str] | None) -> list[str]:
     if cols is None:
         return []

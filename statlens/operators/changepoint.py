@@ -12,11 +12,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statlens.functions.columns import as_double, as_list, q
-from statlens.plans.ordered import frame_bounds, rolling_frame, wide_frame
+from statlens.functions.columns import as_double, as_list, join_on, q
+from statlens.plans.ordered import dense_index, wide_frame
 
 MIN_N = 20
-NARROW = 64
 
 
 def _frames(df, value, order_by, by, window):
@@ -24,33 +23,18 @@ def _frames(df, value, order_by, by, window):
     keep = list(dict.fromkeys(by + order_by))
     base = (df.select(*[q(c) for c in keep], as_double(value).alias("value"))
             .where(F.col("value").isNotNull()))
-    if not by:
-        n = base.count()
-        w = window if window is not None else n // 10
-        if n < MIN_N or w < 1:
-            return None, keep, by
-        if w <= NARROW:
-            r = rolling_frame(base, "value", order_by, w=w, n=n)
-        else:
-            lo, hi = frame_bounds(w)
-            r = wide_frame(base, "value", order_by, lo=lo, hi=hi, n=n)
-        return r.withColumn("window_size", F.lit(w)), keep, by
-    sizes = base.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
     w_col = F.lit(window) if window is not None else F.floor(F.col("_n") / 10)
-    sized = (base.join(sizes, by).where(F.col("_n") >= MIN_N)
-             .withColumn("window_size", w_col.cast("int")).drop("_n"))
-    r = wide_frame(sized, "value", order_by, by, lo=F.floor(F.col("window_size") / 2),
-                   hi=F.floor((F.col("window_size") - 1) / 2))
+    ix = (dense_index(base, order_by, by, size="_n").where(F.col("_n") >= MIN_N)
+          .withColumn("window_size", w_col.cast("int")).where(F.col("window_size") >= 1).drop("_n"))
+    r = wide_frame(ix, "value", by, lo=F.floor(F.col("window_size") / 2), hi=F.floor((F.col("window_size") - 1) / 2))
     return r, keep, by
 
 
 def change_points(df: DataFrame, value: str, order_by: Sequence[str], by: Sequence[str] = (),
                   window: int | None = None, k: float = 2.0) -> DataFrame:
-    """Rows with |x - rolling mean| / rolling std > k (n >= 20)."""
+    """Rows with |x - rolling mean| / rolling std > k (n >= 20; a shorter
+    series has none)."""
     r, keep, by = _frames(df, value, order_by, by, window)
-    if r is None:
-        spark = df.sparkSession
-        return spark.createDataFrame([], "idx bigint, value double").limit(0)
     full = F.col("_wcount") == F.col("window_size")
     mean = F.when(full, F.col("_wmean"))
     std = F.when(full, F.col("_wstd"))
@@ -62,7 +46,12 @@ def change_points(df: DataFrame, value: str, order_by: Sequence[str], by: Sequen
 
 def change_point_count(df: DataFrame, value: str, order_by: Sequence[str], by: Sequence[str] = (),
                        window: int | None = None, k: float = 2.0) -> DataFrame:
-    """Number of change points (per group)."""
+    """Number of change points (per group; a group without any has 0)."""
     by = as_list(by)
-    cp = change_points(df, value, order_by, by, window, k)
-    return cp.groupBy(*[q(b) for b in by]).agg(F.count(F.lit(1)).alias("n_change_points"))
+    cp = (change_points(df, value, order_by, by, window, k)
+          .groupBy(*[q(b) for b in by]).agg(F.count(F.lit(1)).alias("n_change_points")))
+    if not by:
+        return cp
+    groups = df.select(*[q(b) for b in by]).distinct()
+    return join_on(groups, cp, by, "left").select(
+        *[q(b) for b in by], F.coalesce("n_change_points", F.lit(0).cast("long")).alias("n_change_points"))

@@ -12,17 +12,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from statlens.functions.columns import as_double, as_list, q
+from statlens.functions.columns import as_double, as_list, join_on, q
 from statlens.functions.udfs import two_sided_t_col
 from statlens.plans.quantiles import quantile_table
 
 INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
 
-def _small(big: DataFrame, small: DataFrame, by: list[str]) -> DataFrame:
-    return big.crossJoin(F.broadcast(small)) if not by else big.join(small, by)
-
-
 def mean_ci(df: DataFrame, column: str, level: float = 0.95, by: Sequence[str] = ()) -> DataFrame:
     """N, mean, std (ddof 1), se and the t interval; n = 1 -> mean."""
     by = as_list(by)
@@ -50,7 +46,7 @@ def histogram(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
     keys = by + ["column_name"]
     qt = quantile_table(long, keys, "value", [0.25, 0.75], ["q1", "q3"], small_keys=not by)
     mm = long.groupBy(*keys).agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
-    st = qt.join(mm, keys)
+    st = join_on(qt, mm, keys)
     rng = F.col("hi") - F.col("lo")
     n = F.col("n").cast("double")
     sturges = rng / (F.log2(n) + 1.0)
@@ -67,11 +63,11 @@ def histogram(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
     b = F.least(F.floor((F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo")) * F.col("bins")).cast("int"),
                 F.col("bins") - 1)
     per_key = st.select(*keys, "lo", "hi", "bins")
-    counts = (long.where(F.col("value").isNotNull()).join(F.broadcast(per_key) if not by else per_key, keys)
+    counts = (join_on(long.where(F.col("value").isNotNull()), per_key, keys, small=not by)
               .groupBy(*keys, b.alias("bin")).agg(F.count(F.lit(1)).alias("count")))
     grid = st.select(*keys, "lo", "hi", "bins", F.explode(F.sequence(F.lit(0), F.col("bins") - 1)).alias("bin"))
     step = (F.col("hi") - F.col("lo")) / F.col("bins")
-    return (grid.join(counts, keys + ["bin"], "left")
+    return (join_on(grid, counts, keys + ["bin"], "left")
             .select(*by, "bin", (F.col("lo") + F.col("bin") * step).alias("lower"),
                     (F.col("lo") + (F.col("bin") + 1) * step).alias("upper"),
                     F.coalesce(F.col("count"), F.lit(0).cast("bigint")).alias("count")))
@@ -117,14 +113,14 @@ def kde_curve(df: DataFrame, column: str, grid: int = 200, by: Sequence[str] = (
     st = df.groupBy(*[q(b) for b in by]).agg(
         F.count(x).alias("n"), F.min(x).alias("lo"), F.max(x).alias("hi"), F.stddev_samp(x).alias("sd"))
     st = st.withColumn("h", F.col("sd") * F.pow(F.col("n").cast("double"), -0.2))
-    rows = _small(df.select(*[q(b) for b in by], x.alias("_x")).where(F.col("_x").isNotNull()),
+    rows = join_on(df.select(*[q(b) for b in by], x.alias("_x")).where(F.col("_x").isNotNull()),
                   st.select(*by, "lo", "hi", "h"), by)
     key_fields = [f for f in df.schema.fields if f.name in by]
     schema = T.StructType(key_fields + [T.StructField("point", T.IntegerType()),
                                         T.StructField("_ksum", T.DoubleType())])
     sums = (rows.select(*by, "_x", "lo", "hi", "h").mapInPandas(_kde_partials(by, grid), schema)
             .groupBy(*by, "point").agg(F.sum("_ksum").alias("_ksum")))
-    out = _small(sums, st.select(*by, "n", "lo", "hi", "h"), by)
+    out = join_on(sums, st.select(*by, "n", "lo", "hi", "h"), by)
     step = (F.col("hi") - F.col("lo")) / float(grid - 1)
     norm = F.col("n") * F.col("h") * math.sqrt(2 * math.pi)
     return out.select(*by, "point", F.col("h").alias("bandwidth"), (F.col("lo") + F.col("point") * step).alias("x"),
@@ -142,7 +138,7 @@ def box_stats(df: DataFrame, column: str, by: Sequence[str] = (), k: float = 1.5
     lo_f, hi_f = F.col("q1") - k * iqr, F.col("q3") + k * iqr
     v = F.col("value")
     inside = (v >= lo_f) & (v <= hi_f)
-    joined = long.where(v.isNotNull()).join(F.broadcast(qt) if not by else qt, keys)
+    joined = join_on(long.where(v.isNotNull()), qt, keys, small=not by)
     agg = joined.groupBy(*keys).agg(
         F.max("n").alias("n"), F.max("q1").alias("q1"), F.max("median").alias("median"), F.max("q3").alias("q3"),
         F.min(F.when(inside, v)).alias("whisker_low"), F.max(F.when(inside, v)).alias("whisker_high"),

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from statlens.functions.columns import q
-from statlens.plans.ordered import dense_index
+from statlens.plans.ordered import dense_index, running_sums
 
 
 def confusion_matrix(df: DataFrame, label: str, prediction: str) -> DataFrame:
@@ -48,7 +48,7 @@ def _roc_points(df: DataFrame, label: str, score: str) -> DataFrame:
                  .groupBy(q(score).cast("double").alias("threshold"))
                  .agg(F.sum(pos).cast("bigint").alias("pos"), F.sum(1 - pos).cast("bigint").alias("neg"))
                  .withColumn("_desc", -F.col("threshold")))
-    return dense_index(per_score, ["_desc"], running=["pos", "neg"])
+    return running_sums(dense_index(per_score, ["_desc"]), ["pos", "neg"])
 
 
 def roc_curve(df: DataFrame, label: str, score: str) -> DataFrame:

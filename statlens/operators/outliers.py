@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statlens.functions.columns import as_double, as_list, numeric_columns, q, unpivot_numeric
+from statlens.functions.columns import as_double, as_list, join_on, numeric_columns, q, unpivot_numeric
 from statlens.plans.quantiles import quantile_table
 
 KEY = "column_name"
@@ -28,7 +28,7 @@ def _long(df: DataFrame, columns, by) -> tuple[DataFrame, list[str], list[str]]:
 def _attach(long: DataFrame, stats: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
     # per-column statistics: bounded by #columns when ungrouped -> broadcast;
     # with groups AQE chooses from the measured size.
-    return long.join(F.broadcast(stats) if not by else stats, keys)
+    return join_on(long, stats, keys, small=not by)
 
 
 def moments(df: DataFrame, columns: Sequence[str] | None = None, by: Sequence[str] = ()) -> DataFrame:
@@ -52,7 +52,7 @@ def zscore(df: DataFrame, columns: Sequence[str] | None = None, by: Sequence[str
     for i, c in enumerate(cols):
         aggs += [F.avg(as_double(c)).alias(f"_mu{i}"), F.stddev_pop(as_double(c)).alias(f"_sd{i}")]
     stats = df.groupBy(*[q(b) for b in by]).agg(*aggs)
-    joined = df.crossJoin(F.broadcast(stats)) if not by else df.join(stats, by)
+    joined = join_on(df, stats, by)
     zs = [F.try_divide(as_double(c) - F.col(f"_mu{i}"), F.col(f"_sd{i}")).alias(f"z_{c}")
           for i, c in enumerate(cols)]
     return joined.select(*[q(c) for c in df.columns], *zs)
@@ -119,7 +119,7 @@ def outlier_flags(df: DataFrame, column: str, by: Sequence[str] = (), k: float =
     with the fences and the side ('low' / 'high')."""
     by = as_list(by)
     b = iqr_bounds(df, [column], by, k).select(*by, "lower", "upper")
-    joined = df.crossJoin(F.broadcast(b)) if not by else df.join(b, by)
+    joined = join_on(df, b, by)
     x = as_double(column)
     return (joined.where((x < F.col("lower")) | (x > F.col("upper")))
             .withColumn("side", F.when(x < F.col("lower"), "low").otherwise("high")))

@@ -44,20 +44,14 @@ def rolling_raw(df: DataFrame, value: str, order_by: Sequence[str], by: Sequence
     by, order_by = as_list(by), as_list(order_by)
     base = _series(df, value, order_by, by)
     if not by or window is not None:
-        n = base.count() if window is None else None
-        w = window if window is not None else default_window(n)
-        r = rolling_frame(base, "value", order_by, by, w=max(w, 1), n=n)
+        w = window if window is not None else default_window(base.count())
+        r = rolling_frame(base, "value", order_by, by, w=max(w, 1))
         return r.withColumn("window_size", F.lit(w))
-    sizes = base.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    sized = base.join(sizes, by).withColumn("window_size", _window_col(F.col("_n")))
-    # groups with n >= 300 share w = 30: exact frame windows in range buckets
-    full = sized.where(F.col("window_size") == MAX_WINDOW).drop("_n")
-    r_full = rolling_frame(full, "value", order_by, by, w=MAX_WINDOW)
-    # smaller groups (w < 30 varies per group): prefix sums with per-row bounds
-    small = sized.where(F.col("window_size") < MAX_WINDOW).drop("_n")
+    # each group has its own window: running sums with per-row bounds
+    ix = dense_index(base, order_by, by, size="_n")
+    ix = ix.withColumn("window_size", _window_col(F.col("_n"))).drop("_n")
     w1 = F.greatest(F.col("window_size"), F.lit(1))
-    r_small = wide_frame(small, "value", order_by, by, lo=F.floor(w1 / 2), hi=F.floor((w1 - 1) / 2))
-    return r_full.unionByName(r_small.select(*r_full.columns))
+    return wide_frame(ix, "value", by, lo=F.floor(w1 / 2), hi=F.floor((w1 - 1) / 2))
 
 
 def rolling(df: DataFrame, value: str, order_by: Sequence[str], by: Sequence[str] = (),
@@ -97,6 +91,7 @@ def rolling_summary(df: DataFrame, value: str, order_by: Sequence[str], by: Sequ
         fm.alias("_fm"), lm.alias("_lm"), nm.alias("_nm"),
         fs.alias("_fs"), ls.alias("_ls"), ns.alias("_ns"))
     width = F.when(F.col("_mm") != 0, F.col("_mw") / F.col("_mm") * 100.0).otherwise(F.lit(0.0))
+    # Label texts and thresholds (shares of the first value).
     direction = (F.when(F.col("_nm") < 2, "Insufficient data")
                  .when(F.col("_lm") > F.col("_fm") * 1.1, "Strongly Increasing")
                  .when(F.col("_lm") > F.col("_fm") * 1.02, "Moderately Increasing")

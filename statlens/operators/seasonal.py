@@ -16,20 +16,13 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statlens.functions.columns import as_double, as_list, bias_corrected_skew, q
+from statlens.functions.columns import as_double, as_list, bias_corrected_skew, join_on, q
 from statlens.plans.ordered import framed
 
 MIN_ROWS = 50
 DEFAULT_PERIOD = 12
 
 
-def _small(big: DataFrame, small: DataFrame, on: list[str]) -> DataFrame:
-    # per-group tables: one row (or p rows) when ungrouped -> broadcast
-    if not on:
-        return big.crossJoin(F.broadcast(small))
-    return big.join(small, on)
-
-
 def seasonal_decompose(df: DataFrame, value: str, order_by: Sequence[str], by: Sequence[str] = (),
                        period: int | None = None) -> DataFrame:
     """Rows (by..., order..., idx, observed, trend, seasonal, resid)."""
@@ -50,12 +43,10 @@ def seasonal_decompose(df: DataFrame, value: str, order_by: Sequence[str], by: S
         def aggs(fr):
             return {"_fc": F.count(v).over(fr), "_ma": F.sum(v).over(fr) / p}
         full = p
-    ma = framed(base, order_by, by, lo=half, hi=half, aggs=aggs)
+    ma = framed(base, order_by, by, lo=half, hi=half, aggs=aggs, size="_n")
     ma = ma.withColumn("_t", F.when(F.col("_fc") == full, F.col("_ma"))).drop("_fc", "_ma")
 
-    sizes = ma.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    sizes = _small(sizes, sizes_all, by).where((F.col("_rows") >= MIN_ROWS) & (F.col("_n") >= 2 * p))
-    ma = _small(ma, sizes, by)
+    ma = join_on(ma, sizes_all, by).where((F.col("_rows") >= MIN_ROWS) & (F.col("_n") >= 2 * p))
     front, back = F.lit(half), F.col("_n") - 1 - half
     x = F.col("idx").cast("double")
     in_front = (F.col("idx") >= front) & (F.col("idx") < F.least(front + p, back))
@@ -64,16 +55,16 @@ def seasonal_decompose(df: DataFrame, value: str, order_by: Sequence[str], by: S
     ends = ma.groupBy(*by).agg(
         F.regr_slope(F.when(in_front, t), x).alias("_fs"), F.regr_intercept(F.when(in_front, t), x).alias("_fi"),
         F.regr_slope(F.when(in_back, t), x).alias("_bs"), F.regr_intercept(F.when(in_back, t), x).alias("_bi"))
-    tr = _small(ma, ends, by).withColumn(
+    tr = join_on(ma, ends, by).withColumn(
         "trend", F.when(t.isNotNull(), t)
         .when(F.col("idx") < front, F.col("_fi") + F.col("_fs") * x)
         .otherwise(F.col("_bi") + F.col("_bs") * x))
     tr = tr.withColumn("_phase", F.pmod(F.col("idx"), F.lit(p)))
     phases = tr.groupBy(*by, "_phase").agg(F.avg(F.col("observed") - F.col("trend")).alias("_pa"))
     centre = phases.groupBy(*by).agg(F.avg("_pa").alias("_pm"))
-    phases = _small(phases, centre, by).select(*by, "_phase", (F.col("_pa") - F.col("_pm")).alias("seasonal"))
+    phases = join_on(phases, centre, by).select(*by, "_phase", (F.col("_pa") - F.col("_pm")).alias("seasonal"))
     # <= p rows per group: broadcast when ungrouped
-    out = tr.join(F.broadcast(phases) if not by else phases, by + ["_phase"])
+    out = join_on(tr, phases, by + ["_phase"], small=not by)
     return out.select(*[q(c) for c in keep], "idx", "observed", "trend", "seasonal",
                       (F.col("observed") - F.col("trend") - F.col("seasonal")).alias("resid"))
 

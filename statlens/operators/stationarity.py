@@ -107,7 +107,7 @@ def adf_test(df: DataFrame, value: str, order_by: Sequence[str], max_lag: int |
     lmax = int(math.ceil(12.0 * (n / 100.0) ** 0.25)) if max_lag is None else max_lag
     lmax = max(0, min(n // 2 - 2, lmax))
     y = F.col("y")
-    fr = framed(base, order_by, lo=lmax + 1, hi=0, n=n,
+    fr = framed(base, order_by, lo=lmax + 1, hi=0,
                 aggs=lambda w: {"_win": F.collect_list(y).over(w)})
 
     def vec(lags: int):

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statlens.functions.columns import as_double, as_list, q
+from statlens.functions.columns import as_double, as_list, join_on, q
 from statlens.functions.udfs import two_sided_t_col
 from statlens.plans.ordered import dense_index
 
@@ -51,8 +51,7 @@ def trend_band(df: DataFrame, value: str, order_by: Sequence[str], by: Sequence[
     fit = fit.select(*[q(b) for b in by], "n", "slope", "intercept", "_xbar", "_sxx",
                      F.sqrt(F.try_divide(sse, (F.col("n") - residual_ddof).cast("double"))).alias("_sigma"),
                      two_sided_t_col(level, F.col("n") - 2).alias("_t"))
-    # one row per group: broadcast when ungrouped (one row), AQE otherwise
-    joined = ix.crossJoin(F.broadcast(fit)) if not by else ix.join(fit, by)
+    joined = join_on(ix, fit, by)
     x = F.col("idx").cast("double")
     fitted = F.col("intercept") + F.col("slope") * x
     half = F.col("_t") * F.col("_sigma") * F.sqrt(

@@ -1,159 +1,64 @@
 """Ordered-series building blocks that never put a whole series in one task.
 
 ``Window.orderBy(ts)`` without a partition key moves every row to a single
-task.  Everything here works on *range buckets* of the order key instead:
-
-* ``range_buckets``: bucket boundaries are drawn from a bounded sample of the
-  full order tuple (a unique tie-breaker belongs in ``order_by``), so ties and
-  hot groups are split like any other range; the bucket id is a literal
-  comparison tree evaluated in the scan's projection.
-* ``dense_index``: ``row_number`` inside ``(by, bucket)``; per-bucket counts
-  (and sums for running totals) come from a partial aggregate; their running
-  offsets are computed on that small table and joined back.
-* ``rolling_frame``: a centred row frame evaluated by Spark's window inside
-  each bucket; only rows whose frame crosses a bucket edge are recomputed, on
-  the small set of rows near bucket edges (at most ``buckets * 2w`` per key).
-* ``wide_frame``: frames that grow with n (w = n/10) use global prefix sums;
-  the sums at ``i+hi`` and ``i-lo-1`` are brought to row ``i`` by one
+task.  Everything here starts from a range partitioning instead:
+
+* ``dense_index``: rows are range-partitioned by (by, order), which also splits
+  a hot group or a hot time stamp, sorted inside the partitions, numbered there
+  and written once to the shared folder.  One small aggregate (rows per group
+  and partition) gives each partition's offset.  NULL sorts first and NaN last,
+  as in Spark's ORDER BY; rows that tie in the order columns are ordered by a
+  hash of the row, so the index is the same in every run and use.
+* ``framed``: a row frame is evaluated in blocks of consecutive indexes.  Rows
+  near a block's edge are also sent to the neighbouring block, so one exchange
+  serves all frames and no window runs over a whole series.
+* ``running_sums``: running sums inside the blocks plus the blocks' offsets.
+* ``wide_frame``: frames that grow with n (w = n/10) are differences of running
+  sums; the sums at ``i+hi`` and ``i-lo-1`` are brought to row ``i`` by one
   exchange that sends each row's sums to the two rows that need them.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from statlens.functions.columns import q
-
-SAMPLES_PER_BUCKET = 24
-MAX_BUCKETS = 512
-ROWS_PER_BUCKET = 1_000_000
-
-
-def _sort_key(field: T.StructField) -> Column:
-    """Strictly order-preserving key with plain Python literals."""
-    c = q(field.name)
-    t = field.dataType
-    if isinstance(t, T.TimestampNTZType):
-        return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', `{field.name}`)")
-    if isinstance(t, T.TimestampType):
-        return F.unix_micros(c)
-    if isinstance(t, T.DateType):
-        return F.unix_date(c)
-    if isinstance(t, T.BooleanType):
-        return c.cast("int")
-    if isinstance(t, (T.FloatType, T.DoubleType)):
-        return F.when(~F.isnan(c), c.cast("double"))
-    return c
-
-
-def _lt(keys: list[Column], bound: tuple) -> Column:
-    """keys < bound in lexicographic order, NULL smallest (Spark's ASC)."""
-    expr = F.lit(False)
-    for k, v in reversed(list(zip(keys, bound))):
-        if v is None:
-            less, equal = F.lit(False), k.isNull()
-        else:
-            lit = F.lit(v)
-            less = k.isNull() | (k < lit)
-            equal = k.isNotNull() & (k == lit)
-        expr = less | (equal & expr)
-    return expr
-
-
-def _tree(keys: list[Column], bounds: list[tuple], lo: int, hi: int) -> Column:
-    if lo == hi:
-        return F.lit(lo)
-    mid = (lo + hi + 1) // 2
-    return F.when(_lt(keys, bounds[mid - 1]), _tree(keys, bounds, lo, mid - 1)).otherwise(
-        _tree(keys, bounds, mid, hi))
-
-
-def _py_key(row):
-    return tuple((v is not None, v) for v in row)
-
+from statlens.functions.columns import join_on, q
+from statlens.session import written
 
-def choose_buckets(spark: SparkSession, n: int, buckets: int | None) -> int:
-    if buckets is not None:
-        return max(1, buckets)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    want = max(math.ceil(n / ROWS_PER_BUCKET), min(2 * parts, math.ceil(n / 20_000)))
-    return int(max(1, min(MAX_BUCKETS, want)))
-
-
-def range_buckets(df: DataFrame, order_by: Sequence[str], n: int, buckets: int,
-                  seed: int = 20240101) -> Column:
-    """Column expression giving the range bucket (0..B-1) of each row."""
-    if buckets <= 1 or n <= 1:
-        return F.lit(0)
-    fields = {f.name: f for f in df.schema.fields}
-    keys = [_sort_key(fields[c]) for c in order_by]
-    frac = min(1.0, SAMPLES_PER_BUCKET * buckets / n)
-    sample = df.select(*[k.alias(f"_k{i}") for i, k in enumerate(keys)])
-    if frac < 1.0:
-        sample = sample.sample(withReplacement=False, fraction=frac, seed=seed)
-    rows = sorted((tuple(r) for r in sample.collect()), key=_py_key)
-    if len(rows) < 2:
-        return F.lit(0)
-    bounds: list[tuple] = []
-    for j in range(1, buckets):
-        b = rows[len(rows) * j // buckets]
-        if not bounds or _py_key(b) > _py_key(bounds[-1]):
-            bounds.append(b)
-    if not bounds:
-        return F.lit(0)
-    return _tree(keys, bounds, 0, len(bounds))
-
-
-def _join_small(big: DataFrame, small: DataFrame, on: list[str], bounded: bool) -> DataFrame:
-    """Join a per-bucket table back.  Ungrouped it has <= buckets rows: a
-    proven bound, so it is broadcast; grouped, AQE sizes it at run time."""
-    if not on:
-        return big.crossJoin(F.broadcast(small))
-    return big.join(F.broadcast(small) if bounded else small, on)
+#: Consecutive rows of a series that one window sorts together.
+BLOCK = 65_536
+_LOW = (1 << 33) - 1  # monotonically_increasing_id: partition above bit 33, row below
 
 
 def dense_index(df: DataFrame, order_by: Sequence[str], by: Sequence[str] = (), *,
-                idx: str = "idx", running: Sequence[str] = (), buckets: int | None = None,
-                n: int | None = None, keep_bucket: bool = False) -> DataFrame:
-    """Add ``idx`` = 0-based position in ``order_by`` within each ``by`` group,
-    and ``cum_<c>`` = running sum of ``c`` (nulls as 0) up to and including the row.
+                idx: str = "idx", size: str | None = None, partitions: int | None = None) -> DataFrame:
+    """Add ``idx`` = 0-based position in ``order_by`` within each ``by`` group
+    and, if named, ``size`` = rows of the group.
 
-    ``order_by`` should be a total order (append a unique tie-breaker);
-    otherwise equal rows get an arbitrary but consistent order.
+    ``partitions`` is the number of ranges, by default the session's shuffle
+    partitions, as for any sort.  Rows equal in ``order_by`` get an arbitrary
+    but repeatable order.
     """
     by, order_by = list(by), list(order_by)
-    spark = df.sparkSession
-    if n is None:
-        n = df.count()
-    nb = choose_buckets(spark, n, buckets)
-    bucket = range_buckets(df, order_by, n, nb)
-    d = df.withColumn("_b", bucket)
-    w = Window.partitionBy(*by, "_b").orderBy(*[q(c) for c in order_by])
-    w_run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    d = d.withColumn("_rn", F.row_number().over(w) - 1)
-    for c in running:
-        d = d.withColumn(f"_run_{c}", F.sum(F.coalesce(q(c), F.lit(0))).over(w_run))
-    sums = [F.sum(F.coalesce(q(c), F.lit(0))).alias(f"_tot_{c}") for c in running]
-    counts = (df.select(*[q(c) for c in by], *[q(c) for c in running], bucket.alias("_b"))
-              .groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_cnt"), *sums))
-    w_off = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offs = counts.select(*by, "_b", "_cnt",
-                         F.coalesce(F.sum("_cnt").over(w_off), F.lit(0)).alias("_off"),
-                         *[F.coalesce(F.sum(f"_tot_{c}").over(w_off), F.lit(0)).alias(f"_offs_{c}")
-                           for c in running])
-    out = _join_small(d, offs, by + ["_b"], bounded=not by)
-    out = out.withColumn(idx, F.col("_off") + F.col("_rn"))
-    for c in running:
-        out = out.withColumn(f"cum_{c}", F.col(f"_offs_{c}") + F.col(f"_run_{c}"))
-    drop = ["_off"] + [f"_run_{c}" for c in running] + [f"_offs_{c}" for c in running]
-    if not keep_bucket:
-        drop += ["_b", "_rn", "_cnt"]
-    return out.drop(*drop)
+    hashable = [q(f.name) for f in df.schema.fields if not isinstance(f.dataType, T.MapType)]
+    keys = [q(c) for c in dict.fromkeys(by + order_by)] + [F.xxhash64(*hashable)]
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    base = written(df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+                   .withColumn("_m", F.monotonically_increasing_id()), "ordered")
+    base = base.select(*[q(c) for c in df.columns], F.shiftright("_m", 33).alias("_b"),
+                       F.col("_m").bitwiseAND(F.lit(_LOW)).alias("_pos"))
+    counts = base.groupBy(*[q(c) for c in by], "_b").agg(F.count(F.lit(1)).alias("_cnt"), F.min("_pos").alias("_first"))
+    own = Window.partitionBy(*[q(c) for c in by])
+    before = own.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offs = counts.select(*[q(c) for c in by], "_b", (F.coalesce(F.sum("_cnt").over(before), F.lit(0)) - F.col("_first")).alias("_off"),
+                         *([F.sum("_cnt").over(own).alias(size)] if size else []))
+    # ungrouped: one row per range partition, a proven bound
+    out = join_on(base, offs, by + ["_b"], small=not by)
+    return out.select(*[q(c) for c in df.columns], (F.col("_off") + F.col("_pos")).alias(idx), *([q(size)] if size else []))
 
 
 def frame_bounds(w: int) -> tuple[int, int]:
@@ -162,39 +67,32 @@ def frame_bounds(w: int) -> tuple[int, int]:
     return w // 2, (w - 1) // 2
 
 
-def framed(df: DataFrame, order_by: Sequence[str], by: Sequence[str] = (), *, lo: int, hi: int,
-           aggs: Callable[[WindowSpec], dict[str, Column]], idx: str = "idx",
-           buckets: int | None = None, n: int | None = None) -> DataFrame:
-    """Evaluate window aggregates over the row frame [idx-lo, idx+hi].
+def framed_index(ix: DataFrame, by: Sequence[str] = (), *, lo: int, hi: int,
+                 aggs: Callable[[WindowSpec], dict[str, Column]], idx: str = "idx", block: int = BLOCK) -> DataFrame:
+    """Window aggregates over the row frame [idx-lo, idx+hi] of an indexed series.
 
-    ``aggs(frame)`` returns {name: window expression}.  They run inside each
-    range bucket; rows whose frame crosses a bucket edge are recomputed on
-    the rows near edges only (<= 2(lo+hi) per bucket), then both parts are
-    united.  Adds ``idx``.
+    ``aggs(frame)`` returns {name: window expression}.
     """
-    by, order_by = list(by), list(order_by)
-    reach = lo + hi
-    base = dense_index(df, order_by, by, idx=idx, buckets=buckets, n=n, keep_bucket=True)
-    cols = [c for c in base.columns if c not in ("_b", "_rn", "_cnt")]
-    inner = Window.partitionBy(*by, "_b").orderBy(idx).rowsBetween(-lo, hi)
-    names = list(aggs(inner))
+    by, cols = list(by), ix.columns
+    size = max(block, lo + hi + 1)
+    own, place = F.floor(q(idx) / size).cast("long"), F.pmod(q(idx), F.lit(size))
+    blocks = F.array(own, F.when((place < hi) & (own > 0), own - 1), F.when(place >= size - lo, own + 1))
+    sent = ix.select("*", F.explode(F.array_compact(blocks)).alias("_blk"))
+    frame = Window.partitionBy(*[q(c) for c in by], "_blk").orderBy(q(idx)).rowsBetween(-lo, hi)
+    out = sent.select(*[q(c) for c in cols], "_blk", *[c.alias(nm) for nm, c in aggs(frame).items()])
+    return out.where(F.col("_blk") == own).drop("_blk")
 
-    def evaluated(frame):
-        return [c.alias(nm) for nm, c in aggs(frame).items()]
-    crosses = (F.col("_rn") < lo) | (F.col("_rn") > F.col("_cnt") - 1 - hi)
-    pass1 = base.select(*[q(c) for c in cols], "_rn", "_cnt", *evaluated(inner))
-    keep = pass1.where(~crosses).select(*[q(c) for c in cols], *[q(c) for c in names])
-    edge = base.where((F.col("_rn") < reach) | (F.col("_rn") >= F.col("_cnt") - reach))
-    outer = Window.partitionBy(*by).orderBy(idx).rowsBetween(-lo, hi)
-    fixed = (edge.select(*[q(c) for c in cols], "_rn", "_cnt", *evaluated(outer))
-             .where(crosses)
-             .select(*[q(c) for c in cols], *[q(c) for c in names]))
-    return keep.unionByName(fixed)
+
+def framed(df: DataFrame, order_by: Sequence[str], by: Sequence[str] = (), *, lo: int, hi: int,
+           aggs: Callable[[WindowSpec], dict[str, Column]], idx: str = "idx", size: str | None = None,
+           partitions: int | None = None, block: int = BLOCK) -> DataFrame:
+    """``dense_index`` and ``framed_index`` in one."""
+    ix = dense_index(df, order_by, by, idx=idx, size=size, partitions=partitions)
+    return framed_index(ix, by, lo=lo, hi=hi, aggs=aggs, idx=idx, block=block)
 
 
 def rolling_frame(df: DataFrame, value: str, order_by: Sequence[str], by: Sequence[str] = (),
-                  *, w: int, idx: str = "idx", buckets: int | None = None,
-                  n: int | None = None) -> DataFrame:
+                  *, w: int, idx: str = "idx", partitions: int | None = None, block: int = BLOCK) -> DataFrame:
     """Centred rolling ``count/mean/std`` of ``value`` over w rows (sample std).
 
     Adds ``idx``, ``_wcount``, ``_wmean``, ``_wstd``; the caller applies
@@ -202,58 +100,66 @@ def rolling_frame(df: DataFrame, value: str, order_by: Sequence[str], by: Sequen
     """
     lo, hi = frame_bounds(w)
     v = q(value)
-    return framed(df, order_by, by, lo=lo, hi=hi, idx=idx, buckets=buckets, n=n,
+    return framed(df, order_by, by, lo=lo, hi=hi, idx=idx, partitions=partitions, block=block,
                   aggs=lambda fr: {"_wcount": F.count(v).over(fr), "_wmean": F.avg(v).over(fr),
                                    "_wstd": F.stddev_samp(v).over(fr)})
 
 
-def wide_frame(df: DataFrame, value: str, order_by: Sequence[str], by: Sequence[str] = (),
-               *, lo: int | Column, hi: int | Column, idx: str = "idx",
-               buckets: int | None = None, n: int | None = None) -> DataFrame:
-    """Rolling ``count/mean/std`` over rows [idx-lo, idx+hi] by prefix sums.
+def running_sums(ix: DataFrame, columns: Sequence[str], by: Sequence[str] = (), *, idx: str = "idx",
+                 block: int = BLOCK) -> DataFrame:
+    """Add ``cum_<c>`` = sum of ``c`` (NULL as 0) over the rows up to and with this one."""
+    by = list(by)
+    keys = [q(c) for c in by]
+    cells = {c: F.coalesce(q(c), F.lit(0)) for c in columns}
+    d = ix.withColumn("_blk", F.floor(q(idx) / block).cast("long"))
+    run = Window.partitionBy(*keys, "_blk").orderBy(q(idx)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    totals = d.groupBy(*keys, "_blk").agg(*[F.sum(x).alias(f"_tot_{c}") for c, x in cells.items()])
+    offs = totals.select(*keys, "_blk", *[F.coalesce(F.sum(f"_tot_{c}").over(before), F.lit(0)).alias(f"_off_{c}") for c in columns])
+    d = d.select("*", *[F.sum(x).over(run).alias(f"_run_{c}") for c, x in cells.items()])
+    return join_on(d, offs, by + ["_blk"]).select(
+        *[q(c) for c in ix.columns], *[(F.col(f"_off_{c}") + F.col(f"_run_{c}")).alias(f"cum_{c}") for c in columns])
+
+
+def wide_frame(ix: DataFrame, value: str, by: Sequence[str] = (), *, lo: int | Column, hi: int | Column,
+               idx: str = "idx", block: int = BLOCK) -> DataFrame:
+    """Rolling ``count/mean/std`` over rows [idx-lo, idx+hi] of an indexed series
+    (``dense_index``) by running sums.
 
     ``lo``/``hi`` may be columns (e.g. derived from a per-group n).  Values are
     centred by the group mean first, so the running sums stay small.
-    Adds ``idx``, ``_wcount``, ``_wmean``, ``_wstd``.
+    Adds ``_wcount``, ``_wmean``, ``_wstd``.
     """
-    by, order_by = list(by), list(order_by)
+    by = list(by)
+    keys = [q(c) for c in by]
     v = q(value)
-    mu = df.groupBy(*by).agg(F.avg(v).alias("_mu"))
-    centred = _join_small(df, mu, by, bounded=not by)
+    centred = join_on(ix, ix.groupBy(*keys).agg(F.avg(v).alias("_mu")), by)
     centred = (centred.withColumn("_y", v - F.col("_mu"))
                .withColumn("_y2", F.col("_y") * F.col("_y"))
                .withColumn("_c", F.when(v.isNotNull(), F.lit(1)).otherwise(F.lit(0))))
-    indexed = dense_index(centred, order_by, by, idx=idx, running=["_y", "_y2", "_c"],
-                          buckets=buckets, n=n)
+    indexed = running_sums(centred, ["_y", "_y2", "_c"], by, idx=idx, block=block)
     lo_c = lo if isinstance(lo, Column) else F.lit(lo)
     hi_c = hi if isinstance(hi, Column) else F.lit(hi)
     indexed = indexed.withColumn("_lo", lo_c.cast("long")).withColumn("_hi", hi_c.cast("long"))
     sums = F.struct(F.col("cum__y").alias("s"), F.col("cum__y2").alias("s2"), F.col("cum__c").alias("c"))
-    # each row is sent to itself, to the row whose frame ends here and to the
-    # row whose frame starts right after it
+    # each row is sent to the row whose frame ends here and to the row whose
+    # frame starts right after it
     msgs = indexed.select(
-        *[q(c) for c in by],
-        F.explode(F.array(
-            F.struct(F.col(idx).alias("_k"), F.lit(0).alias("_role"), sums.alias("_s")),
-            F.struct((F.col(idx) - F.col("_hi")).alias("_k"), F.lit(1).alias("_role"), sums.alias("_s")),
-            F.struct((F.col(idx) + F.col("_lo") + 1).alias("_k"), F.lit(2).alias("_role"), sums.alias("_s")),
-        )).alias("_m"))
-    msgs = msgs.select(*[q(c) for c in by], "_m._k", "_m._role", "_m._s")
-    agg = (msgs.groupBy(*by, "_k")
-           .agg(F.max(F.when(F.col("_role") == 1, F.col("_s"))).alias("_up"),
-                F.max(F.when(F.col("_role") == 2, F.col("_s"))).alias("_down"))
-           .withColumnRenamed("_k", idx))
-    rows = indexed.join(agg, by + [idx], "left")
-    start_ok = F.col(idx) - F.col("_lo") - 1 == -1
-    down_s = F.when(start_ok, F.lit(0.0)).otherwise(F.col("_down.s"))
-    down_s2 = F.when(start_ok, F.lit(0.0)).otherwise(F.col("_down.s2"))
-    down_c = F.when(start_ok, F.lit(0)).otherwise(F.col("_down.c"))
+        *keys, F.explode(F.array(
+            F.struct((q(idx) - F.col("_hi")).alias("_k"), F.lit(True).alias("_ends"), sums.alias("_s")),
+            F.struct((q(idx) + F.col("_lo") + 1).alias("_k"), F.lit(False).alias("_ends"), sums.alias("_s")))).alias("_m"))
+    agg = (msgs.groupBy(*keys, F.col("_m._k").alias("_at"))
+           .agg(F.max(F.when(F.col("_m._ends"), F.col("_m._s"))).alias("_up"),
+                F.max(F.when(~F.col("_m._ends"), F.col("_m._s"))).alias("_down")))
+    rows = join_on(indexed.withColumn("_at", q(idx)), agg, by + ["_at"], "left")
+    start = q(idx) == F.col("_lo")
+    down_s = F.when(start, F.lit(0.0)).otherwise(F.col("_down.s"))
+    down_s2 = F.when(start, F.lit(0.0)).otherwise(F.col("_down.s2"))
+    down_c = F.when(start, F.lit(0)).otherwise(F.col("_down.c"))
     cnt = F.col("_up.c") - down_c
     s = F.col("_up.s") - down_s
     s2 = F.col("_up.s2") - down_s2
     mean_y = F.try_divide(s, cnt.cast("double"))
     var = F.try_divide(s2 - s * mean_y, (cnt - 1).cast("double"))
-    out = (rows.withColumn("_wcount", cnt)
-           .withColumn("_wmean", F.col("_mu") + mean_y)
-           .withColumn("_wstd", F.when(cnt > 1, F.sqrt(F.greatest(var, F.lit(0.0))))))
-    return out.drop("_mu", "_y", "_y2", "_c", "cum__y", "cum__y2", "cum__c", "_lo", "_hi", "_up", "_down")
+    return rows.select(*[q(c) for c in ix.columns], cnt.alias("_wcount"), (F.col("_mu") + mean_y).alias("_wmean"),
+                       F.when(cnt > 1, F.sqrt(F.greatest(var, F.lit(0.0)))).alias("_wstd"))

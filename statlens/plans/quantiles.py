@@ -5,15 +5,16 @@ Spark's ``percentile`` keeps a map of every distinct value of a group in one
 buffer, and an ungrouped aggregate ends in one task: fine for thousands of
 rows, not for a column of a 100 TB table.  This is a selection plan instead:
 
-1. one aggregate: ``n, min, max`` per key (partial aggregation, tiny output);
-2. one aggregate: row count per equal-width bucket of ``[min, max]``
-   (``buckets`` per key, partial aggregation), running count per key over
-   the small bucket table -> the bucket that holds each wanted rank;
-3. only rows of those buckets go on: ``groupBy(key, bucket, value).count()``
-   collapses repeated values map-side, so a value that fills a third of the
-   table arrives as one row; a running count over the distinct values of the
-   bucket gives each wanted rank its value.
-
+1. one aggregate: ``n`` and, by ``percentile_approx`` (a mergeable sketch of
+   bounded size), a bracket ``[lo, hi]`` around each wanted quantile.  Brackets
+   follow ranks, so neither spread nor extreme values matter;
+2. while a bracket may hold more than ``LIMIT`` rows, it is narrowed by the
+   quantiles of the rows inside it (from about 10^9 rows on);
+3. one aggregate: rows inside a bracket are counted per value, which collapses
+   repeated values map-side, rows between brackets are counted together.  The
+   running count over these few groups gives each wanted rank its value.
+
+No window sees more than ``LIMIT`` distinct values for each wanted quantile.
 The wanted ranks are those of numpy/pandas' linear method: ``h = (n-1)p``,
 value = ``v[floor h] + (h - floor h) * (v[ceil h] - v[floor h])``.
 """
@@ -25,74 +26,103 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_BUCKETS = 4096
+from statlens.functions.columns import join_on, q
+from statlens.session import written
+
+ACCURACY = 10_000
+#: Half width of a bracket as a share of the rows: five times the sketch's error.
+MARGIN = 5 / ACCURACY
+LIMIT = 1_000_000
+GRID = 256
+
+
+def _clip(p: float) -> float:
+    return min(1.0, max(0.0, p))
+
+
+def _bracketed(cells: DataFrame, brackets: DataFrame, keys: list[str], small_keys: bool) -> DataFrame:
+    return join_on(cells.where(F.col("_v").isNotNull()), brackets.select(*[q(k) for k in keys], "_n", "_q"), keys, small=small_keys)
 
 
-def _bucket(v: Column, lo: Column, hi: Column, buckets: int) -> Column:
-    width = hi - lo
-    raw = F.floor((v - lo) / width * F.lit(float(buckets))).cast("long")
-    return F.when(width > 0, F.least(raw, F.lit(buckets - 1))).otherwise(F.lit(0).cast("long"))
+def _narrowed(cells: DataFrame, brackets: DataFrame, keys: list[str], probs: list[float], small_keys: bool) -> DataFrame:
+    """Brackets narrowed by a grid of quantiles of the rows inside them."""
+    names = [q(k) for k in keys]
+    pairs = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(p).alias("p"), F.get("_q", F.lit(2 * i)).alias("lo"),
+                               F.get("_q", F.lit(2 * i + 1)).alias("hi")) for i, p in enumerate(probs)])
+    rows = (_bracketed(cells, brackets, keys, small_keys).select(*names, "_n", "_v", F.explode(pairs).alias("b"))
+            .where(F.col("_v") <= F.col("b.hi")))
+    inside = F.col("_v") >= F.col("b.lo")
+    grid = F.array(*[F.lit(k / GRID) for k in range(GRID + 1)])
+    got = rows.groupBy(*names, "_n", "b").agg(F.count_if(~inside).alias("below"), F.count_if(inside).alias("m"),
+                                             F.percentile_approx(F.when(inside, F.col("_v")), grid, ACCURACY).alias("g"))
+    rank = F.floor((F.col("_n") - 1) * F.col("b.p"))
+    at = [((rank - F.col("below")) / F.col("m") - MARGIN) * GRID, ((rank + 2 - F.col("below")) / F.col("m") + MARGIN) * GRID]
+    lo = F.get("g", F.greatest(F.lit(0), F.floor(at[0])).cast("int"))
+    hi = F.get("g", F.least(F.lit(GRID), F.ceil(at[1])).cast("int"))
+    return (got.select(*names, "_n", F.struct(F.col("b.i").alias("i"), F.array(lo, hi).alias("e")).alias("e"))
+            .groupBy(*names, "_n").agg(F.sort_array(F.collect_list("e")).alias("e"))
+            .select(*names, "_n", F.flatten(F.transform("e", lambda x: x["e"])).alias("_q")))
 
 
-def exact_quantiles(long: DataFrame, keys: Sequence[str], value: str,
-                    probs: Sequence[float], buckets: int = DEFAULT_BUCKETS,
-                    small_keys: bool = False, extra_aggs: Sequence[Column] = ()) -> DataFrame:
+def exact_quantiles(long: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float],
+                    small_keys: bool = False, extra_aggs: Sequence[Column] = (), limit: int = LIMIT) -> DataFrame:
     """Quantiles of ``value`` per ``keys``: rows (keys..., p, n, quantile).
 
     ``small_keys`` states that the number of distinct keys is bounded by the
     caller (e.g. the key is a column name): the per-key tables are then
     broadcast explicitly; otherwise AQE picks the join at run time from the
     measured size.  ``extra_aggs`` (over ``_v``, nulls included) ride along
-    in the first aggregate and come out as extra columns.
+    in the first aggregate and come out as extra columns.  NULL keys are keys.
     """
-    keys = list(keys)
-    hint = F.broadcast if small_keys else (lambda d: d)
-    cells = long.select(*keys, F.col(value).alias("_v"))
-    vals = cells.where(F.col("_v").isNotNull())
-
-    extra = list(extra_aggs)
-    extra_names = [f"_x{i}" for i in range(len(extra))]
-    stats = cells.groupBy(*keys).agg(F.count("_v").alias("_n"), F.min("_v").alias("_lo"),
-                                     F.max("_v").alias("_hi"),
-                                     *[e.alias(nm) for e, nm in zip(extra, extra_names)])
-    probs_col = F.array(*[F.lit(float(p)) for p in probs])
-    want = (stats.where(F.col("_n") > 0)
-            .select(*keys, "_n", "_lo", "_hi", *extra_names, F.explode(probs_col).alias("p"))
+    keys, probs = list(keys), [float(p) for p in probs]
+    names = [q(k) for k in keys]
+    cells = long.select(*names, F.col(value).alias("_v"))
+    extra_names = [f"_x{i}" for i in range(len(extra_aggs))]
+    ends = F.array(*[F.lit(_clip(e)) for p in probs for e in (p - MARGIN, p + MARGIN)])
+    stats = cells.groupBy(*names).agg(F.count("_v").alias("_n"), F.percentile_approx("_v", ends, ACCURACY).alias("_q"),
+                                      *[e.alias(nm) for e, nm in zip(extra_aggs, extra_names)])
+    stats = stats.where(F.col("_n") > 0)
+    brackets = stats
+    # A bracket holds at most the margin and the sketch's error on either side.
+    held = cells.count() * 2.4 * MARGIN
+    if held > limit:  # by the largest key; each narrowing leaves a grid step and the error
+        held = (stats.agg(F.max("_n")).first()[0] or 0) * 2.4 * MARGIN
+    while held > limit:
+        brackets = written(_narrowed(cells, brackets, keys, probs, small_keys), "brackets")
+        held *= 4 / GRID
+
+    lo = [F.get("_q", F.lit(2 * i)) for i in range(len(probs))]
+    hi = [F.get("_q", F.lit(2 * i + 1)) for i in range(len(probs))]
+    v = F.col("_v")
+    inside, gap = F.lit(False), F.lit(0)
+    for a, b in zip(lo, hi):
+        inside = inside | ((v >= a) & (v <= b))
+        gap = gap + F.when(v > b, 1).otherwise(0)
+    groups = (_bracketed(cells, brackets, keys, small_keys)
+              .groupBy(*names, F.when(inside, F.lit(-1)).otherwise(gap).alias("_gap"), F.when(inside, v).alias("_at"))
+              .agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_least"), F.max("_v").alias("_most")))
+    run = Window.partitionBy(*names).orderBy("_most").rowsBetween(Window.unboundedPreceding, -1)
+    groups = groups.withColumn("_before", F.coalesce(F.sum("_c").over(run), F.lit(0)))
+
+    want = (stats.select(*names, "_n", *extra_names, F.explode(F.array(*map(F.lit, probs))).alias("p"))
             .withColumn("_h", (F.col("_n") - 1).cast("double") * F.col("p"))
             .withColumn("_r0", F.floor("_h").cast("long"))
             .withColumn("_r1", F.least(F.col("_r0") + 1, F.col("_n") - 1))
             .withColumn("_frac", F.col("_h") - F.col("_r0")))
-    ranks = (want.select(*keys, "_lo", "_hi", F.explode(F.array("_r0", "_r1")).alias("_r"))
-             .distinct())
-
-    with_b = (vals.join(hint(stats.select(*keys, "_lo", "_hi")), keys)
-              .withColumn("_b", _bucket(F.col("_v"), F.col("_lo"), F.col("_hi"), buckets)))
-    per_bucket = with_b.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_c"))
-    w_cum = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    per_bucket = per_bucket.withColumn("_before", F.coalesce(F.sum("_c").over(w_cum), F.lit(0)))
-    # bucket holding each wanted rank
-    located = (ranks.join(per_bucket, keys)
-               .where((F.col("_before") <= F.col("_r")) & (F.col("_r") < F.col("_before") + F.col("_c")))
-               .select(*keys, "_b", "_r", (F.col("_r") - F.col("_before")).alias("_rr")))
-    target_buckets = located.select(*keys, "_b").distinct()
-
-    distinct_vals = (with_b.join(hint(target_buckets), keys + ["_b"])
-                     .groupBy(*keys, "_b", "_v").agg(F.count(F.lit(1)).alias("_vc")))
-    w_val = Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    distinct_vals = distinct_vals.withColumn("_vbefore", F.coalesce(F.sum("_vc").over(w_val), F.lit(0)))
-    at_rank = (located.join(distinct_vals, keys + ["_b"])
-               .where((F.col("_vbefore") <= F.col("_rr")) & (F.col("_rr") < F.col("_vbefore") + F.col("_vc")))
-               .select(*keys, "_r", "_v"))
-
-    # one join brings both interpolation ends to each (key, p)
-    ends = (want.join(at_rank, keys)
-            .where((F.col("_r") == F.col("_r0")) | (F.col("_r") == F.col("_r1")))
-            .groupBy(*keys, "p", "_n", "_frac", *extra_names)
-            .agg(F.max(F.when(F.col("_r") == F.col("_r0"), F.col("_v"))).alias("_v0"),
-                 F.max(F.when(F.col("_r") == F.col("_r1"), F.col("_v"))).alias("_v1")))
-    out = ends.select(*keys, "p", F.col("_n").alias("n"), *extra_names,
+    near = join_on(want, groups, keys).where((F.col("_before") <= F.col("_r1")) & (F.col("_r0") < F.col("_before") + F.col("_c")))
+
+    def value_at(rank: Column) -> Column:
+        """The value of a rank in a group: its only one, or the first or last of a gap."""
+        place = rank - F.col("_before")
+        known = (F.when(F.col("_least") == F.col("_most"), F.col("_least")).when(place == 0, F.col("_least"))
+                 .when(place == F.col("_c") - 1, F.col("_most"))
+                 .otherwise(F.raise_error(F.lit("a quantile lies outside its bracket")).cast("double")))
+        return F.max(F.when((place >= 0) & (place < F.col("_c")), known))
+
+    out = (near.groupBy(*names, "p", "_n", "_frac", *extra_names)
+           .agg(value_at(F.col("_r0")).alias("_v0"), value_at(F.col("_r1")).alias("_v1")))
+    return out.select(*names, "p", F.col("_n").alias("n"), *extra_names,
                       (F.col("_v0") + F.col("_frac") * (F.col("_v1") - F.col("_v0"))).alias("quantile"))
-    return out
 
 
 def quantile_table(long: DataFrame, keys: Sequence[str], value: str,
@@ -103,4 +133,4 @@ def quantile_table(long: DataFrame, keys: Sequence[str], value: str,
     qs = exact_quantiles(long, keys, value, probs, extra_aggs=list(extra.values()), **kw)
     aggs = [F.max(F.when(F.col("p") == float(p), F.col("quantile"))).alias(nm) for p, nm in zip(probs, names)]
     carried = [F.max(f"_x{i}").alias(nm) for i, nm in enumerate(extra)]
-    return qs.groupBy(*keys).agg(F.max("n").alias("n"), *carried, *aggs)
+    return qs.groupBy(*[q(k) for k in keys]).agg(F.max("n").alias("n"), *carried, *aggs)
