@@ -65,6 +65,24 @@ def events_dup(spark: SparkSession, sf: str) -> DataFrame:
 EVENTS_DUP_SQL = """(SELECT user_id, event_type,
     CASE WHEN event_id % 7 <> 0 THEN floor(value / 10) END AS v10 FROM events)"""
 
+
+def events_null_key(spark: SparkSession, sf: str) -> DataFrame:
+    """Events whose group key is NULL in every fifth row; one value is extreme."""
+    ev = _t(spark, sf, "events")
+    return ev.select("event_id", "ts", F.when(F.col("event_id") % 5 != 0, F.col("event_type")).alias("event_type"),
+                     F.when(F.col("event_id") == 77, F.lit(1e12)).otherwise(F.col("value")).alias("value"))
+
+
+EVENTS_NULL_KEY_SQL = """(SELECT event_id, ts, CASE WHEN event_id % 5 <> 0 THEN event_type END AS event_type,
+    CASE WHEN event_id = 77 THEN 1e12 ELSE value END AS value FROM events)"""
+PLAIN_NULL_KEY_SQL = """(SELECT event_id, ts, CASE WHEN event_id % 5 <> 0 THEN event_type END AS event_type, value FROM events)"""
+
+
+def events_plain_null_key(spark: SparkSession, sf: str) -> DataFrame:
+    ev = _t(spark, sf, "events")
+    return ev.select("event_id", "ts", F.when(F.col("event_id") % 5 != 0, F.col("event_type")).alias("event_type"), "value")
+
+
 def daily_quantity(spark: SparkSession, sf: str) -> DataFrame:
     """Daily shipped quantity: integer-valued, so sums are exact on both sides."""
     li = _t(spark, sf, "lineitem")
@@ -211,6 +229,20 @@ def _queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     Q["df_test"] = lambda s, sf: r6(stationarity.df_test(ev(s, sf), "value", EV_ORDER))
     Q["adf_test"] = lambda s, sf: r6(stationarity.adf_test(daily_quantity(s, sf), "qty", ["l_shipdate"]))
 
+    # group keys that are NULL are groups; an extreme value doesn't disturb quantiles
+    by = ["event_type"]
+    Q["row_index_null_key"] = lambda s, sf: rolling.row_index(events_plain_null_key(s, sf), EV_ORDER, by).select(
+        "event_id", "event_type", "idx")
+    Q["rolling_null_key"] = lambda s, sf: r6(rolling.rolling(events_plain_null_key(s, sf), "value", EV_ORDER, by))
+    Q["trend_band_null_key"] = lambda s, sf: r6(trend.trend_band(events_plain_null_key(s, sf), "value", EV_ORDER, by))
+    Q["change_points_null_key"] = lambda s, sf: r6(changepoint.change_points(events_plain_null_key(s, sf), "value", EV_ORDER, by,
+                                                                           window=30))
+    Q["change_point_count_by_user"] = lambda s, sf: changepoint.change_point_count(ev(s, sf), "value", EV_ORDER, ["user_id"], k=2.5)
+    Q["outlier_report_null_key"] = lambda s, sf: r6(outliers.outlier_report(events_null_key(s, sf), ["value"], by))
+    Q["box_stats_null_key"] = lambda s, sf: r6(distribution.box_stats(events_null_key(s, sf), "value", by))
+    Q["histogram_null_key"] = lambda s, sf: r6(distribution.histogram(events_plain_null_key(s, sf), "value", by))
+    Q["iqr_bounds_extreme"] = lambda s, sf: r6(outliers.iqr_bounds(events_null_key(s, sf), ["value"]))
+
     def csv_roundtrip(s, sf):
         src = ev(s, sf).select("event_id", F.col("ts").alias("event_time"), "user_id", "event_type", "value", "props")
         path = files.export_csv(src, scratch_path(s, "events-csv"))
@@ -572,11 +604,11 @@ def _oracle_sql() -> dict[str, str]:
         st AS (SELECT count(*) AS n, min(value) AS lo0, max(value) AS hi0, quantile_cont(value, 0.25) AS q1,
           quantile_cont(value, 0.75) AS q3 FROM v),
         w AS (SELECT *, (hi0 - lo0) / (log2(n) + 1.0) AS sturges, 2.0 * (q3 - q1) * pow(n, CAST(-1 AS DOUBLE) / 3.0) AS fd FROM st),
-        b AS (SELECT CASE WHEN hi0 > lo0 THEN CAST(ceil((hi0 - lo0) / CASE WHEN fd > 0 THEN least(sturges, fd) ELSE sturges END) AS INTEGER)
+        b AS (SELECT CASE WHEN hi0 > lo0 THEN CAST(ceil((hi0 - lo0) / CASE WHEN fd > 0 THEN least(sturges, fd) ELSE sturges END) AS BIGINT)
             ELSE 1 END AS bins, CASE WHEN hi0 > lo0 THEN lo0 ELSE lo0 - 0.5 END AS lo,
             CASE WHEN hi0 > lo0 THEN hi0 ELSE hi0 + 0.5 END AS hi FROM w),
-        c AS (SELECT least(CAST(floor((value - lo) / (hi - lo) * bins) AS INTEGER), bins - 1) AS bin, count(*) AS cnt FROM v, b GROUP BY 1),
-        g AS (SELECT CAST(unnest(generate_series(0, bins - 1)) AS INTEGER) AS bin, lo, hi, bins FROM b)
+        c AS (SELECT least(CAST(floor((value - lo) / (hi - lo) * bins) AS BIGINT), bins - 1) AS bin, count(*) AS cnt FROM v, b GROUP BY 1),
+        g AS (SELECT unnest(generate_series(0, bins - 1)) AS bin, lo, hi, bins FROM b)
         SELECT g.bin, round(lo + bin * ((hi - lo) / bins), 6) AS lower, round(lo + (bin + 1) * ((hi - lo) / bins), 6) AS upper,
           CAST(coalesce(cnt, 0) AS BIGINT) AS count FROM g LEFT JOIN c USING (bin)"""
     S["kde_curve"] = """WITH v AS (SELECT value AS x FROM events WHERE value IS NOT NULL),
@@ -608,4 +640,48 @@ def _oracle_sql() -> dict[str, str]:
           WHERE l_quantity IS NOT NULL AND l_extendedprice IS NOT NULL)
         SELECT 1 AS component, round((1 + a) / 2, 6) AS explained_variance_ratio, round((1 + a) / 2, 6) AS cumulative_ratio FROM r
         UNION ALL SELECT 2, round((1 - a) / 2, 6), 1.0 FROM r"""
+    N, X = PLAIN_NULL_KEY_SQL, EVENTS_NULL_KEY_SQL
+    S["row_index_null_key"] = f"""SELECT event_id, event_type,
+        row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS idx FROM {N} e"""
+    by_type = roll.replace("_PK_", "event_type").replace("event_id, user_id,", "event_id, event_type,").replace("FROM events", f"FROM {N} e")
+    S["rolling_null_key"] = f"WITH {by_type} SELECT event_type, {cols} FROM o"
+    S["trend_band_null_key"] = f"""WITH o AS (SELECT ts, event_id, event_type, value,
+          row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS idx FROM {N} e),
+        fit AS (SELECT event_type, CAST(regr_count(value, idx) AS BIGINT) AS n, regr_slope(value, idx) AS slope,
+          regr_intercept(value, idx) AS intercept, regr_r2(value, idx) AS r2, regr_avgx(value, idx) AS xbar,
+          regr_sxx(value, idx) AS sxx, regr_syy(value, idx) AS syy FROM o GROUP BY event_type),
+        g AS (SELECT *, sqrt(syy * (1 - r2) / n) AS sigma, {_t_sql('n - 2')} AS t FROM fit),
+        rows AS (SELECT o.event_type, o.ts, o.event_id, o.idx, o.value, g.intercept + g.slope * o.idx AS fitted,
+          g.t * g.sigma * sqrt(1.0 / g.n + (o.idx - g.xbar) ^ 2 / g.sxx) AS half FROM o JOIN g ON o.event_type IS NOT DISTINCT FROM g.event_type)
+        SELECT event_type, ts, event_id, idx, round(value, 6) AS value, round(fitted, 6) AS fitted, round(value - fitted, 6) AS residual,
+          round(half, 6) AS half_width, round(fitted - half, 6) AS lower, round(fitted + half, 6) AS upper FROM rows"""
+    S["change_points_null_key"] = S["change_points_by_type"].replace("FROM events", f"FROM {N} e").replace("n // 10 AS w", "30 AS w")
+    S["change_point_count_by_user"] = (S["change_points_by_type"].replace("event_type", "user_id").split("SELECT user_id, ts, event_id, idx, round")[0]
+        + "SELECT e.user_id, count(z.user_id) AS n_change_points FROM (SELECT DISTINCT user_id FROM events) e LEFT JOIN (SELECT * FROM z WHERE z > 2.5) z USING (user_id) GROUP BY e.user_id")
+    S["outlier_report_null_key"] = f"""WITH e AS {X}, st AS (SELECT event_type, count(*) AS n, avg(value) AS mu, stddev_pop(value) AS sd,
+          quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM e GROUP BY event_type),
+        c AS (SELECT st.event_type, max(st.n) AS n, count(*) FILTER (WHERE sd <> 0 AND abs((value - mu) / sd) > 3) AS z_outliers,
+          count(*) FILTER (WHERE value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1)) AS iqr_outliers
+          FROM e JOIN st ON e.event_type IS NOT DISTINCT FROM st.event_type GROUP BY st.event_type),
+        p AS (SELECT *, greatest(z_outliers, iqr_outliers) / n * 100.0 AS pct FROM c)
+        SELECT event_type, 'value' AS column_name, z_outliers, iqr_outliers, round(round(pct, 2), 6) AS outlier_pct,
+          CASE WHEN pct > 5 THEN 'High' WHEN pct > 1 THEN 'Medium' ELSE 'Low' END AS outlier_status FROM p"""
+    S["box_stats_null_key"] = (S["box_stats_by_type"].replace("FROM events e", f"FROM {X} e").replace("FROM events GROUP", f"FROM {X} x GROUP")
+                               .replace("e.event_type = q.event_type", "e.event_type IS NOT DISTINCT FROM q.event_type"))
+    S["histogram_null_key"] = f"""WITH v AS (SELECT event_type, value FROM {N} e WHERE value IS NOT NULL),
+        st AS (SELECT event_type, count(*) AS n, min(value) AS lo0, max(value) AS hi0, quantile_cont(value, 0.25) AS q1,
+          quantile_cont(value, 0.75) AS q3 FROM v GROUP BY event_type),
+        w AS (SELECT *, (hi0 - lo0) / (log2(n) + 1.0) AS sturges, 2.0 * (q3 - q1) * pow(n, CAST(-1 AS DOUBLE) / 3.0) AS fd FROM st),
+        b AS (SELECT event_type, CASE WHEN hi0 > lo0 THEN CAST(ceil((hi0 - lo0) / CASE WHEN fd > 0 THEN least(sturges, fd) ELSE sturges END) AS BIGINT)
+            ELSE 1 END AS bins, CASE WHEN hi0 > lo0 THEN lo0 ELSE lo0 - 0.5 END AS lo,
+            CASE WHEN hi0 > lo0 THEN hi0 ELSE hi0 + 0.5 END AS hi FROM w),
+        c AS (SELECT v.event_type, least(CAST(floor((value - lo) / (hi - lo) * bins) AS BIGINT), bins - 1) AS bin, count(*) AS cnt
+          FROM v JOIN b ON v.event_type IS NOT DISTINCT FROM b.event_type GROUP BY 1, 2),
+        g AS (SELECT event_type, unnest(generate_series(0, bins - 1)) AS bin, lo, hi, bins FROM b)
+        SELECT g.event_type, g.bin, round(lo + g.bin * ((hi - lo) / bins), 6) AS lower, round(lo + (g.bin + 1) * ((hi - lo) / bins), 6) AS upper,
+          CAST(coalesce(cnt, 0) AS BIGINT) AS count FROM g LEFT JOIN c ON g.event_type IS NOT DISTINCT FROM c.event_type AND g.bin = c.bin"""
+    S["iqr_bounds_extreme"] = f"""WITH st AS (SELECT 'value' AS column_name, count(value) AS n, quantile_cont(value, 0.25) AS q1,
+          quantile_cont(value, 0.75) AS q3 FROM {X} e)
+        SELECT column_name, n, round(q1, 6) AS q1, round(q3, 6) AS q3, round(q3 - q1, 6) AS iqr,
+          round(q1 - 1.5 * (q3 - q1), 6) AS lower, round(q3 + 1.5 * (q3 - q1), 6) AS upper FROM st"""
     return S

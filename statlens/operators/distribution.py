@@ -36,10 +36,12 @@ def _long(df: DataFrame, column: str, by: list[str]) -> DataFrame:
     return df.select(*[q(b) for b in by], F.lit(column).alias("column_name"), as_double(column).alias("value"))
 
 
-def histogram(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
+def histogram(df: DataFrame, column: str, by: Sequence[str] = (), max_bins: int = 10_000_000) -> DataFrame:
     """Counts in equal-width bins chosen like numpy's ``bins='auto'``
     (the smaller of the Sturges and Freedman-Diaconis widths); empty bins
-    are listed with 0."""
+    are listed with 0.  A column whose spread asks for more than ``max_bins``
+    bins raises an error that says so (an extreme value makes bins without
+    number); nothing is cut."""
     by = as_list(by)
     integral = isinstance(df.schema[column].dataType, INTEGRAL)
     long = _long(df, column, by)
@@ -54,18 +56,22 @@ def histogram(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
     width = F.when(fd > 0, F.least(sturges, fd)).otherwise(sturges)
     if integral:
         width = F.greatest(width, F.lit(1.0))
-    bins = F.when(rng > 0, F.ceil(rng / width).cast("int")).otherwise(F.lit(1))
+    wanted = F.when(rng > 0, F.ceil(rng / width)).otherwise(F.lit(1.0))
+    bins = F.when(wanted <= max_bins, wanted.cast("long")).otherwise(F.raise_error(F.concat(
+        F.lit(f"histogram of {column}: "), wanted.cast("string"), F.lit(f" bins; raise max_bins ({max_bins}) or drop extreme values"))).cast("long"))
     st = st.select(*keys, "n", "lo", "hi", bins.alias("bins"))
     # numpy: a constant column spans [x - 0.5, x + 0.5]
     lo = F.when(F.col("hi") > F.col("lo"), F.col("lo")).otherwise(F.col("lo") - 0.5)
     hi = F.when(F.col("hi") > F.col("lo"), F.col("hi")).otherwise(F.col("hi") + 0.5)
     st = st.select(*keys, "n", "bins", lo.alias("lo"), hi.alias("hi"))
-    b = F.least(F.floor((F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo")) * F.col("bins")).cast("int"),
+    b = F.least(F.floor((F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo")) * F.col("bins")).cast("long"),
                 F.col("bins") - 1)
     per_key = st.select(*keys, "lo", "hi", "bins")
     counts = (join_on(long.where(F.col("value").isNotNull()), per_key, keys, small=not by)
               .groupBy(*keys, b.alias("bin")).agg(F.count(F.lit(1)).alias("count")))
-    grid = st.select(*keys, "lo", "hi", "bins", F.explode(F.sequence(F.lit(0), F.col("bins") - 1)).alias("bin"))
+    # bins are made a thousand at a time, so no row holds all of them
+    grid = (st.select(*keys, "lo", "hi", "bins", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bins") - 1, F.lit(1000).cast("long"))).alias("_from"))
+            .select(*keys, "lo", "hi", "bins", F.explode(F.sequence("_from", F.least(F.col("_from") + 999, F.col("bins") - 1))).alias("bin")))
     step = (F.col("hi") - F.col("lo")) / F.col("bins")
     return (join_on(grid, counts, keys + ["bin"], "left")
             .select(*by, "bin", (F.col("lo") + F.col("bin") * step).alias("lower"),
