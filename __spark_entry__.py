@@ -249,6 +249,18 @@ def _queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         return r6(files.infer_dates(files.load_csv(s, path)))
     Q["csv_roundtrip"] = csv_roundtrip
 
+    def csv_documents(s, sf):
+        """Texts with line breaks and quotes, out to CSV and back."""
+        src = _t(s, sf, "documents")
+        return files.load_csv(s, files.export_csv(src, scratch_path(s, "documents-csv")))
+    Q["csv_documents"] = csv_documents
+
+    def us_dates(s, sf):
+        d = _t(s, sf, "orders").select("o_orderkey", F.date_format("o_orderdate", "MM/dd/yyyy").alias("order_date"),
+                                       F.date_format("o_orderdate", "dd.MM.yyyy HH:mm").alias("ship_time"))
+        return files.infer_dates(d)
+    Q["infer_dates_us"] = us_dates
+
     def dates(s, sf):
         text = F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS")
         d = ev(s, sf).select("event_id", text.alias("event_time"),
@@ -684,4 +696,7 @@ def _oracle_sql() -> dict[str, str]:
           quantile_cont(value, 0.75) AS q3 FROM {X} e)
         SELECT column_name, n, round(q1, 6) AS q1, round(q3, 6) AS q3, round(q3 - q1, 6) AS iqr,
           round(q1 - 1.5 * (q3 - q1), 6) AS lower, round(q3 + 1.5 * (q3 - q1), 6) AS upper FROM st"""
+    S["csv_documents"] = "SELECT doc_id, text, lang, source, n_chars FROM documents"
+    S["infer_dates_us"] = """SELECT o_orderkey, date_trunc('day', o_orderdate) AS order_date, date_trunc('minute', o_orderdate) AS ship_time
+        FROM orders"""
     return S

@@ -25,39 +25,58 @@ DEFAULT_NA = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-na
 DATE_NAME_PARTS = ("date", "time")
 
 
-def _csv_reader(spark: SparkSession):
-    return (spark.read.option("header", True).option("inferSchema", False)
-            .option("escape", '"').option("multiLine", False).option("mode", "PERMISSIVE"))
+# Date formats tried on text columns, in this order, after ISO 8601;
+# each also with a time of day behind a space.
+DATE_FORMATS = ("MM/dd/yyyy", "dd/MM/yyyy", "yyyy/MM/dd", "MM-dd-yyyy", "dd-MM-yyyy", "dd.MM.yyyy", "MMM d, yyyy", "MMMM d, yyyy",
+                "d MMM yyyy", "d MMMM yyyy", "yyyyMMdd")
+TIMES = ("", " HH:mm", " HH:mm:ss")
+
+_INTEGER = r"^[+-]?[0-9]+$"
+_NUMBER = r"(?i)^[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?|inf|infinity)$"
+_SURPLUS = "_statlens_surplus"
+
+
+def _csv_reader(spark: SparkSession, multi_line: bool):
+    return (spark.read.option("header", True).option("inferSchema", False).option("escape", '"')
+            .option("multiLine", multi_line).option("lineSep", "\n").option("mode", "PERMISSIVE")
+            .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False))
+
+
+def _name(c: str) -> str:
+    return "`" + c.replace("`", "``") + "`"
 
 
 def infer_types(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Cast string columns to bigint / double / boolean when every non-null
-    value parses as such (one aggregate over the data)."""
+    value reads as such (one aggregate over the data).  A column with rows but
+    no value is double, like any all-missing column."""
     cols = list(columns) if columns is not None else [
         f.name for f in df.schema.fields if isinstance(f.dataType, STRING_TYPES)]
     if not cols:
         return df
-    aggs = []
+    aggs = [F.count(F.lit(1)).alias("_rows")]
+    whole, number = {}, {}
     for i, c in enumerate(cols):
         s = F.trim(q(c))
-        aggs += [F.count(q(c)).alias(f"_n{i}"),
-                 F.count(F.expr(f"try_cast(trim(`{c}`) AS BIGINT)")).alias(f"_l{i}"),
-                 F.count(F.expr(f"try_cast(trim(`{c}`) AS DOUBLE)")).alias(f"_d{i}"),
+        # the patterns keep out what a cast alone takes, such as 10d or 0x1p3
+        whole[c] = F.when(s.rlike(_INTEGER), F.expr(f"try_cast(trim({_name(c)}) AS BIGINT)"))
+        number[c] = F.when(s.rlike(_NUMBER), F.expr(f"try_cast(trim({_name(c)}) AS DOUBLE)"))
+        aggs += [F.count(q(c)).alias(f"_n{i}"), F.count(whole[c]).alias(f"_l{i}"), F.count(number[c]).alias(f"_d{i}"),
                  F.count_if(F.lower(s).isin("true", "false")).alias(f"_b{i}")]
     counts = df.agg(*aggs).first()  # 4 numbers per column
     out = []
     for f in df.schema.fields:
         c = f.name
-        if c not in cols:
+        if c not in cols or not counts["_rows"]:
             out.append(q(c))
             continue
         i = cols.index(c)
         n = counts[f"_n{i}"]
         if n and counts[f"_l{i}"] == n:
-            out.append(F.expr(f"try_cast(trim(`{c}`) AS BIGINT)").alias(c))
-        elif n and counts[f"_d{i}"] == n:
-            out.append(F.expr(f"try_cast(trim(`{c}`) AS DOUBLE)").alias(c))
-        elif n and counts[f"_b{i}"] == n:
+            out.append(whole[c].alias(c))
+        elif counts[f"_d{i}"] == n:
+            out.append(number[c].alias(c))
+        elif counts[f"_b{i}"] == n:
             out.append((F.lower(F.trim(q(c))) == "true").alias(c))
         else:
             out.append(q(c))
@@ -65,38 +84,59 @@ def infer_types(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
 
 
 def load_csv(spark: SparkSession, path: str, schema=None, na_values: Sequence[str] = DEFAULT_NA,
-             infer: bool = True) -> DataFrame:
+             infer: bool = True, multi_line: bool = True) -> DataFrame:
     """CSV with a header row; ``na_values`` cells are NULL; types
-    inferred from the values (or ``schema`` applied)."""
-    raw = _csv_reader(spark).csv(path)
+    inferred from the values (or ``schema`` applied).
+
+    Quoted cells may hold line breaks; a file is then read by one task.  Where
+    no cell does, ``multi_line=False`` lets Spark split large files.  Missing
+    cells at a line's end are NULL; a line with more cells than the header
+    raises an error.
+    """
+    names = _csv_reader(spark, multi_line).csv(path).columns
+    text = ", ".join(f"{_name(c)} STRING" for c in [*names, _SURPLUS])
+    raw = _csv_reader(spark, multi_line).schema(text).csv(path)
     tokens = list(na_values)
-    raw = raw.select(*[F.when(~q(c).isin(tokens), q(c)).alias(c) for c in raw.columns])
+    surplus = F.raise_error(F.concat(F.lit(f"a line has more than {len(names)} cells: "), q(_SURPLUS)))
+    first, *rest = names
+    cells = [F.when(q(_SURPLUS).isNotNull(), surplus.cast("string")).otherwise(F.when(~q(first).isin(tokens), q(first))).alias(first)]
+    raw = raw.select(*cells, *[F.when(~q(c).isin(tokens), q(c)).alias(c) for c in rest])
     if schema is not None:
         return raw.select(*[q(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
     return infer_types(raw) if infer else raw
 
 
-def infer_dates(df: DataFrame, name_parts: Sequence[str] = DATE_NAME_PARTS) -> DataFrame:
+def infer_dates(df: DataFrame, name_parts: Sequence[str] = DATE_NAME_PARTS,
+                formats: Sequence[str] = DATE_FORMATS) -> DataFrame:
     """String columns whose lower-cased name contains a part are turned
-    into timestamps when every non-null value parses; otherwise left as they
-    are (all or nothing, one aggregate for all candidates)."""
+    into timestamps when every non-null value reads in one form: ISO 8601, or
+    the first of ``formats`` that fits them all; otherwise left as they are (all
+    or nothing, one aggregate for all candidates and forms)."""
     cand = [f.name for f in df.schema.fields
             if isinstance(f.dataType, STRING_TYPES) and any(p in f.name.lower() for p in name_parts)]
     if not cand:
         return df
 
-    def parsed(c):
-        return F.expr(f"try_cast(`{c}` AS TIMESTAMP_NTZ)")
+    def forms(c):
+        text = F.trim(q(c))
+        return [F.expr(f"try_cast({_name(c)} AS TIMESTAMP_NTZ)")] + [
+            F.try_to_timestamp(text, F.lit(f + t)).cast("timestamp_ntz") for f in formats for t in TIMES]
 
-    counts = df.agg(*[x for i, c in enumerate(cand)
-                      for x in (F.count(q(c)).alias(f"_n{i}"), F.count(parsed(c)).alias(f"_p{i}"))]).first()
-    convert = {c for i, c in enumerate(cand) if counts[f"_n{i}"] == counts[f"_p{i}"]}
-    return df.select(*[parsed(c).alias(c) if c in convert else q(c) for c in df.columns])
+    counts = df.agg(*[F.count(q(c)).alias(f"_n{i}") for i, c in enumerate(cand)],
+                    *[F.count(x).alias(f"_p{i}_{k}") for i, c in enumerate(cand) for k, x in enumerate(forms(c))]).first()
+    out = {}
+    for i, c in enumerate(cand):
+        for k, x in enumerate(forms(c)):
+            if counts[f"_p{i}_{k}"] == counts[f"_n{i}"]:
+                out[c] = x.alias(c)
+                break
+    return df.select(*[out.get(c, q(c)) for c in df.columns])
 
 
 def export_csv(df: DataFrame, path: str, mode: str = "overwrite") -> str:
     """CSV with a header, one part file per task (no index column)."""
     (df.write.mode(mode).option("header", True).option("escape", '"')
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
      .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS")
      .option("timestampFormat", "yyyy-MM-dd HH:mm:ss.SSSSSSXXX").csv(path))
     return path
@@ -105,18 +145,34 @@ def export_csv(df: DataFrame, path: str, mode: str = "overwrite") -> str:
 _READERS = {".parquet": "parquet", ".orc": "orc", ".json": "json", ".jsonl": "json"}
 
 
-def load_any(spark: SparkSession, uri: str, **kw) -> DataFrame:
-    """S3: pick the reader from the file (or folder) suffix."""
+def _suffix(uri: str) -> str | None:
     low = uri.lower().rstrip("/")
-    if low.endswith(".csv") or low.endswith(".csv.gz"):
+    known = [".csv", ".csv.gz", ".xlsx", *_READERS]
+    return next((x for x in known if low.endswith(x)), None)
+
+
+def load_any(spark: SparkSession, uri: str, **kw) -> DataFrame:
+    """S3: pick the reader from the file's (or folder's) suffix; without a known
+    one, from that of the files in the folder; else try CSV, then a workbook."""
+    suffix = _suffix(uri)
+    if suffix is None:
+        inside = spark.read.format("binaryFile").load(uri).select("path").take(1)  # lists files, reads none
+        suffix = _suffix(inside[0]["path"]) if inside else None
+    if suffix is None:
+        try:
+            return load_csv(spark, uri, **kw)
+        except Exception as not_csv:
+            from statlens.sources.workbooks import load_workbooks
+            try:
+                return load_workbooks(spark, uri, **kw)
+            except Exception:
+                raise ValueError(f"Unsupported file format: {os.path.basename(uri)} (use CSV, XLSX, Parquet, ORC or JSON)") from not_csv
+    if suffix.startswith(".csv"):
         return load_csv(spark, uri, **kw)
-    if low.endswith(".xlsx"):
+    if suffix == ".xlsx":
         from statlens.sources.workbooks import load_workbooks
         return load_workbooks(spark, uri, **kw)
-    for suffix, fmt in _READERS.items():
-        if low.endswith(suffix):
-            return spark.read.format(fmt).load(uri)
-    raise ValueError(f"Unsupported file format: {os.path.basename(uri)} (use CSV, XLSX, Parquet, ORC or JSON)")
+    return spark.read.format(_READERS[suffix]).load(uri)
 
 
 def sample_table(spark: SparkSession, n: int = 200, seed: int = 42) -> DataFrame:

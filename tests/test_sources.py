@@ -4,6 +4,8 @@ import os
 import tempfile
 import zipfile
 
+import pytest
+
 from pyspark.sql import types as T
 
 from statlens.sources import files
@@ -68,6 +70,28 @@ def test_csv_tokens_and_dates(spark):
     assert r[2]["score"] is None and r[2]["label"] is None and r[3]["score"] is None
 
 
+def test_csv_line_breaks_numbers_and_lines(spark, tmp_path):
+    rows = [(1, 'a "quoted"\nline', "10d", None), (2, "  spaces, and\n\ncommas ", "0x1p3", None), (3, "back\\slash", "20f", None)]
+    df = spark.createDataFrame(rows, "id long, text string, size string, nothing string")
+    got = files.load_any(spark, files.export_csv(df, str(tmp_path / "out")))  # a folder without a suffix
+    assert [f.dataType.simpleString() for f in got.schema.fields] == ["bigint", "string", "string", "double"]
+    assert sorted(tuple(r) for r in got.collect()) == rows
+    short = tmp_path / "short.csv"
+    short.write_text("a,`b`,c\n1,2\n3,4,5\n")
+    assert sorted(tuple(r) for r in files.load_csv(spark, str(short)).collect()) == [(1, 2, None), (3, 4, 5)]
+    long = tmp_path / "long.csv"
+    long.write_text("a,b\n1,2\n3,4,5\n")
+    with pytest.raises(Exception, match="more than 2 cells"):
+        files.load_csv(spark, str(long)).collect()
+
+
+def test_date_formats(spark):
+    rows = [("01/31/2024", "31.01.2024 10:05", "Jan 5, 2024", "20240131", "01/31/2024"), ("12/01/2024", "01.02.2024 00:00", "Feb 10, 2024", "20231201", "31/01/2024")]
+    df = files.infer_dates(spark.createDataFrame(rows, "us_date string, time1 string, date2 string, date3 string, mixed_date string"))
+    assert [f.dataType.simpleString() for f in df.schema.fields] == ["timestamp_ntz"] * 4 + ["string"]
+    assert str(df.first()["us_date"]) == "2024-01-31 00:00:00" and str(df.first()["time1"]) == "2024-01-31 10:05:00"
+
+
 def test_sample_table(spark):
     df = files.sample_table(spark)
     assert df.count() == 200
