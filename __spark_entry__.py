@@ -699,4 +699,17 @@ def _oracle_sql() -> dict[str, str]:
     S["csv_documents"] = "SELECT doc_id, text, lang, source, n_chars FROM documents"
     S["infer_dates_us"] = """SELECT o_orderkey, date_trunc('day', o_orderdate) AS order_date, date_trunc('minute', o_orderdate) AS ship_time
         FROM orders"""
+    # two-sided p of Student's t: one minus Simpson's rule over the density on [0, |t|]
+    S["corr_pvalue"] = f"""WITH {ci}, tt AS (SELECT *, abs(r) * sqrt((n - 2) / (1 - r * r)) AS t, CAST(n - 2 AS DOUBLE) AS v FROM ci),
+        g AS (SELECT var1, var2, least(t, 60.0) AS t, v, least(t, 60.0) / 4000 AS h, CAST(unnest(generate_series(0, 4000)) AS INTEGER) AS i
+          FROM tt WHERE abs(r) < 1),
+        p AS (SELECT var1, var2, greatest(1 - 2 * sum(CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END
+            * exp(lgamma((v + 1) / 2) - lgamma(v / 2) - (v + 1) / 2 * ln(1 + (i * h) * (i * h) / v)) / sqrt(v * pi())) * max(h) / 3, 0) AS p
+          FROM g GROUP BY var1, var2)
+        SELECT tt.var1, tt.var2, tt.n, round(r, 6) AS corr, round(lo, 6) AS ci_low, round(hi, 6) AS ci_high,
+          round(CASE WHEN abs(r) = 1 THEN 0.0 ELSE p.p END, 6) AS p_value FROM tt LEFT JOIN p ON tt.var1 = p.var1 AND tt.var2 = p.var2
+        UNION ALL SELECT var1, var2, n, 1.0, NULL, NULL, NULL FROM ({diag_rows})"""
+    draw = "CAST('0x' || left(md5('42:' || o_orderkey), 8) AS BIGINT)"
+    S["k_fold"] = f"SELECT CAST({draw} % 5 AS INTEGER) AS fold, count(*) AS count FROM orders GROUP BY 1"
+    S["train_test_split"] = f"SELECT {draw} < {int(0.2 * 2**32)} AS is_test, count(*) AS count FROM orders GROUP BY 1"
     return S

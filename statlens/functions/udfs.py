@@ -22,13 +22,12 @@ def _nan_to_none(x: float):
 
 @F.pandas_udf(T.DoubleType())
 def t_quantile(p: pd.Series, nu: pd.Series) -> pd.Series:
-    out = []
-    for pi, ni in zip(p, nu):
-        if pd.isna(pi) or pd.isna(ni) or ni <= 0 or not 0 < pi < 1:
-            out.append(None)
-        else:
-            out.append(dist.t_ppf(float(pi), float(ni)))
-    return pd.Series(out, dtype="float64")
+    known: dict[tuple, float | None] = {}  # groups of one size share a value
+    for key in set(zip(p, nu)):
+        pi, ni = key
+        bad = pd.isna(pi) or pd.isna(ni) or ni <= 0 or not 0 < pi < 1
+        known[key] = None if bad else dist.t_ppf(float(pi), float(ni))
+    return pd.Series([known.get(k) for k in zip(p, nu)], dtype="float64")
 
 
 @F.pandas_udf(T.DoubleType())

@@ -1,42 +1,71 @@
 """Pearson correlation with significance and Fisher intervals.
 
-All pairs come from ONE aggregate over the table: for each pair i < j the
-pairwise-complete moments (``covar_pop`` and the two population stds on the
-rows where both are present).  Constant columns give NULL instead of the
-DIVIDE_BY_ZERO that ``corr`` raises under ANSI mode.  The k x k result is
-mirrored from the i < j half; p-values are computed on that small table.
+All ordered pairs come from one pass: each task sums masked Gram matrices of its
+rows (numpy on Arrow batches, columns shifted by their means), so counts and
+moments of a pair are over the rows where both are present.  A task sends k rows
+of 6k numbers, however long the table is.  Constant columns give NULL.  p-values
+are computed on the small result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from statlens.functions.columns import as_double, as_list, numeric_columns, q
+from statlens.functions.columns import as_double, as_list, join_on, numeric_columns, q
 from statlens.functions.dist import two_sided_z
 from statlens.functions.udfs import t_two_sided_p
 
+_SUMS = ("n", "x", "y", "xx", "yy", "xy")
+
+
+def _gram_rows(k: int, by: list[str]):
+    """Per task and group: for each column i, sums over the rows where i and j are present."""
+
+    def run(batches):
+        total: dict[tuple, np.ndarray] = {}
+        for pdf in batches:
+            if len(pdf) == 0:
+                continue
+            for key, g in (pdf.groupby(by, dropna=False, sort=False) if by else [((), pdf)]):
+                a = g[[f"_x{i}" for i in range(k)]].to_numpy(dtype=float)
+                m = (~np.isnan(a)).astype(float)
+                a = np.nan_to_num(a)
+                part = np.stack([m.T @ m, a.T @ m, m.T @ a, (a * a).T @ m, m.T @ (a * a), a.T @ a])
+                key = tuple(None if pd.isna(x) else x for x in (key if isinstance(key, tuple) else (key,)))
+                total[key] = total.get(key, 0.0) + part
+        names = [*by, "_i", *[f"{s}{j}" for s in _SUMS for j in range(k)]]
+        yield pd.DataFrame([(*key, i, *part[:, i, :].ravel()) for key, part in total.items() for i in range(k)], columns=names)
+
+    return run
+
 
 def _pairs(df: DataFrame, cols: list[str], by: list[str]) -> DataFrame:
-    aggs, structs = [], []
-    for i, a in enumerate(cols):
-        for j in range(i + 1, len(cols)):
-            b = cols[j]
-            x, y = as_double(a), as_double(b)
-            both = x.isNotNull() & y.isNotNull()
-            tag = f"{i}_{j}"
-            aggs += [F.count_if(both).alias(f"n{tag}"), F.covar_pop(x, y).alias(f"c{tag}"),
-                     F.stddev_pop(F.when(both, x)).alias(f"sx{tag}"),
-                     F.stddev_pop(F.when(both, y)).alias(f"sy{tag}")]
-            r = F.try_divide(F.col(f"c{tag}"), F.col(f"sx{tag}") * F.col(f"sy{tag}"))
-            structs.append(F.struct(F.lit(a).alias("var1"), F.lit(b).alias("var2"),
-                                    F.col(f"n{tag}").alias("n"),
-                                    F.when(F.col(f"n{tag}") >= 3,
-                                           F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))).alias("corr")))
-    wide = df.groupBy(*[q(c) for c in by]).agg(*aggs)
-    return wide.select(*[q(c) for c in by], F.inline(F.array(*structs)))
+    """(by..., var1, var2, n, corr) of every ordered pair and the diagonal."""
+    k, keys = len(cols), [q(c) for c in by]
+    base = df.select(*keys, *[as_double(c).alias(f"_x{i}") for i, c in enumerate(cols)])
+    means = base.groupBy(*keys).agg(*[F.avg(f"_x{i}").alias(f"_m{i}") for i in range(k)])
+    centred = join_on(base, means, by).select(*keys, *[(F.col(f"_x{i}") - F.col(f"_m{i}")).alias(f"_x{i}") for i in range(k)])
+    numbers = [f"{s}{j}" for s in _SUMS for j in range(k)]
+    key_fields = [df.schema[c] for c in by]
+    schema = T.StructType(key_fields + [T.StructField("_i", T.IntegerType())] + [T.StructField(c, T.DoubleType()) for c in numbers])
+    sums = (centred.mapInPandas(_gram_rows(k, by), schema).groupBy(*keys, "_i").agg(*[F.sum(c).alias(c) for c in numbers]))
+    name = F.array(*[F.lit(c) for c in cols])
+    cells = F.array(*[F.struct(F.lit(j).alias("j"), *[F.col(f"{s}{j}").alias(s) for s in _SUMS]) for j in range(k)])
+    each = sums.select(*keys, F.get(name, F.col("_i")).alias("var1"), F.col("_i"), F.inline(cells))
+    n = F.col("n")
+    cov = F.col("xy") - F.try_divide(F.col("x") * F.col("y"), n)
+    vx, vy = (F.col(a + a) - F.try_divide(F.col(a) * F.col(a), n) for a in ("x", "y"))
+    # what rounding leaves of a constant column's variance counts as none
+    flat = (vx <= 1e-14 * F.col("xx")) | (vy <= 1e-14 * F.col("yy"))
+    r = F.when(~flat, F.try_divide(cov, F.sqrt(vx) * F.sqrt(vy)))
+    r = F.when(F.col("j") == F.col("_i"), F.lit(1.0)).when(n >= 3, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
+    return each.select(*keys, "var1", F.get(name, F.col("j")).alias("var2"), n.cast("long").alias("n"), r.alias("corr"))
 
 
 def corr_test(df: DataFrame, columns: Sequence[str] | None = None, by: Sequence[str] = (),
@@ -47,15 +76,16 @@ def corr_test(df: DataFrame, columns: Sequence[str] | None = None, by: Sequence[
     cols = as_list(columns) or numeric_columns(df, exclude=by)
     if len(cols) < 2:
         raise ValueError("need at least two numeric columns")
-    half = _pairs(df, cols, by)
-    n, r = F.col("n"), F.col("corr")
+    pairs = _pairs(df, cols, by)
+    n = F.col("n")
+    r = F.when(F.col("var1") != F.col("var2"), F.col("corr"))  # the diagonal has no test
     t = r * F.sqrt(F.try_divide((n - 2).cast("double"), 1 - r * r))
     zc = two_sided_z(level)
     z = F.atanh(r)
     se = F.try_divide(F.lit(1.0), F.sqrt((n - 3).cast("double")))
     lo = F.when(n == 3, F.lit(-1.0)).otherwise(F.tanh(z - zc * se))
     hi = F.when(n == 3, F.lit(1.0)).otherwise(F.tanh(z + zc * se))
-    stats = half.select(*by, "var1", "var2", "n", "corr",
+    stats = pairs.select(*[q(c) for c in by], "var1", "var2", "n", "corr",
                         F.when(r.isNotNull(), t).alias("_t"),
                         F.when(r.isNotNull(), lo).alias("ci_low"), F.when(r.isNotNull(), hi).alias("ci_high"))
     if with_p:
@@ -63,17 +93,7 @@ def corr_test(df: DataFrame, columns: Sequence[str] | None = None, by: Sequence[
         stats = stats.withColumn("p_value", F.when(r.isNotNull(), pv))
     else:
         stats = stats.withColumn("p_value", F.lit(None).cast("double"))
-    stats = stats.drop("_t")
-    mirror = stats.select(*by, F.col("var2").alias("var1"), F.col("var1").alias("var2"), "n", "corr",
-                          "p_value", "ci_low", "ci_high")
-    counts = df.groupBy(*[q(c) for c in by]).agg(
-        *[F.count(as_double(c)).alias(f"_n{i}") for i, c in enumerate(cols)])
-    diag = counts.select(*by, F.inline(F.array(*[
-        F.struct(F.lit(c).alias("var1"), F.lit(c).alias("var2"), F.col(f"_n{i}").alias("n"),
-                 F.lit(1.0).alias("corr"), F.lit(None).cast("double").alias("p_value"),
-                 F.lit(None).cast("double").alias("ci_low"), F.lit(None).cast("double").alias("ci_high"))
-        for i, c in enumerate(cols)])))
-    return stats.unionByName(mirror).unionByName(diag)
+    return stats.select(*[q(c) for c in by], "var1", "var2", "n", "corr", "p_value", "ci_low", "ci_high")
 
 
 def corr_matrix(df: DataFrame, columns: Sequence[str] | None = None, by: Sequence[str] = ()) -> DataFrame:

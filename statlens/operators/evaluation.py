@@ -79,13 +79,18 @@ def regression_metrics(df: DataFrame, y: str, yhat: str) -> DataFrame:
                       (1 - F.try_divide(F.col("_sse"), F.col("_vy") * F.col("n"))).alias("r2"))
 
 
+def _draw(key: str, seed: int):
+    """A whole number below 2**32 from md5 of seed and key, the same anywhere."""
+    text = F.concat(F.lit(f"{seed}:"), F.coalesce(q(key).cast("string"), F.lit("")))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long")
+
+
 def k_fold(df: DataFrame, key: str, k: int = 5, seed: int = 42) -> DataFrame:
     """E5: ``fold`` = hash of (seed, key) mod k: the same rows land in the
-    same fold on any cluster, partitioning or retry."""
-    return df.withColumn("fold", F.pmod(F.xxhash64(F.lit(seed), q(key)), F.lit(k)).cast("int"))
+    same fold on any cluster, partitioning or retry (and in other engines)."""
+    return df.withColumn("fold", (_draw(key, seed) % k).cast("int"))
 
 
 def train_test_split(df: DataFrame, key: str, test_fraction: float = 0.2, seed: int = 42) -> DataFrame:
     """E5: ``is_test`` from the same hash (deterministic, no shuffle)."""
-    u = F.pmod(F.xxhash64(F.lit(seed), q(key)), F.lit(1_000_000)) / 1_000_000.0
-    return df.withColumn("is_test", u < test_fraction)
+    return df.withColumn("is_test", _draw(key, seed) < int(test_fraction * 2**32))

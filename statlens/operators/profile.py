@@ -112,13 +112,22 @@ def _groupable(df: DataFrame) -> DataFrame:
 def duplicate_count(df: DataFrame) -> DataFrame:
     """Rows equal to an earlier row on all columns (NULL = NULL, NaN = NaN).
 
-    ``groupBy(all columns)``: map-side combine collapses a hot duplicate group
-    to one row per task before the shuffle.
+    Rows are first counted by a 128-bit hash of themselves (two longs go through
+    the shuffle instead of whole rows); only rows whose hash was seen twice are
+    grouped by their values, so the result is exact.
     """
     d = _groupable(nan_to_null(df))
-    groups = d.groupBy(*[q(c) for c in d.columns]).agg(F.count(F.lit(1)).alias("_c"))
-    return groups.agg(F.coalesce(F.sum(F.col("_c") - 1), F.lit(0)).cast("bigint").alias("duplicates"),
-                      F.coalesce(F.sum("_c"), F.lit(0)).cast("bigint").alias("n_rows"))
+    # + 0.0: negative zero equals zero
+    cells = [q(f.name) + F.lit(0.0).cast(f.dataType) if isinstance(f.dataType, (T.FloatType, T.DoubleType)) else q(f.name)
+             for f in d.schema.fields]
+    h1, h2 = F.xxhash64(*cells), F.xxhash64(F.lit(1), *cells)
+    seen = d.select(h1.alias("_h1"), h2.alias("_h2")).groupBy("_h1", "_h2").agg(F.count(F.lit(1)).alias("_c"))
+    rows = seen.agg(F.coalesce(F.sum("_c"), F.lit(0)).cast("bigint").alias("n_rows"))
+    twice = seen.where("_c > 1").select("_h1", "_h2")
+    again = d.join(twice, (h1 == F.col("_h1")) & (h2 == F.col("_h2")), "left_semi")
+    dups = (again.groupBy(*[q(c) for c in d.columns]).agg((F.count(F.lit(1)) - 1).alias("_c"))
+            .agg(F.coalesce(F.sum("_c"), F.lit(0)).cast("bigint").alias("duplicates")))
+    return dups.crossJoin(F.broadcast(rows))
 
 
 def _cell_bytes(f: T.StructField):
@@ -145,23 +154,21 @@ def logical_size(df: DataFrame) -> DataFrame:
 
 def table_profile(df: DataFrame) -> DataFrame:
     """One row: rows, columns, numerical, categorical, duplicates, size in
-    MB, total missing cells, completeness %."""
-    nulls = _null_agg(df).groupBy().agg(
-        F.max("n_rows").alias("n_rows"),
-        F.sum("nulls").cast("bigint").alias("total_missing"),
-        F.avg(F.try_divide(F.col("n_rows") - F.col("nulls"), F.col("n_rows")) * 100.0)
-        .alias("completeness_pct"))
-    size = logical_size(df).agg((F.sum("bytes") / (1024.0 * 1024.0)).alias("size_mb"))
+    MB, total missing cells, completeness %.  Null counts and sizes are one
+    aggregate; duplicates are ``duplicate_count``."""
+    d = nan_to_null(df)
+    names = d.columns
+    one = d.agg(F.count(F.lit(1)).alias("n_rows"), *[F.count_if(q(c).isNull()).alias(f"_null_{i}") for i, c in enumerate(names)],
+                *[F.sum(_cell_bytes(f)).alias(f"_size_{i}") for i, f in enumerate(df.schema.fields)])
+    nulls = [F.col(f"_null_{i}") for i in range(len(names))]
+    share = sum((F.try_divide(F.col("n_rows") - x, F.col("n_rows")) for x in nulls), F.lit(0.0)) * 100.0 / len(names)
+    size = sum((F.coalesce(F.col(f"_size_{i}"), F.lit(0)) for i in range(len(names))), F.lit(0)) / (1024.0 * 1024.0)
     dups = duplicate_count(df).select("duplicates")
-    # three one-row aggregates side by side
-    return (nulls.crossJoin(F.broadcast(size)).crossJoin(F.broadcast(dups))
-            .select(F.coalesce(F.col("n_rows"), F.lit(0)).cast("bigint").alias("n_rows"),
-                    F.lit(len(df.columns)).alias("n_columns"),
-                    F.lit(len(numeric_columns(df))).alias("n_numerical"),
-                    F.lit(len(categorical_columns(df))).alias("n_categorical"),
-                    "duplicates", "size_mb",
-                    F.coalesce(F.col("total_missing"), F.lit(0).cast("bigint")).alias("total_missing"),
-                    "completeness_pct"))
+    return one.crossJoin(F.broadcast(dups)).select(
+        F.col("n_rows").cast("bigint").alias("n_rows"), F.lit(len(names)).alias("n_columns"),
+        F.lit(len(numeric_columns(df))).alias("n_numerical"), F.lit(len(categorical_columns(df))).alias("n_categorical"),
+        "duplicates", size.alias("size_mb"), sum(nulls, F.lit(0)).cast("bigint").alias("total_missing"),
+        share.alias("completeness_pct"))
 
 
 def head(df: DataFrame, n: int = 10, order_by: Sequence[str] = ()) -> DataFrame:
