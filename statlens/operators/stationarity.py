@@ -7,9 +7,10 @@ aggregate per group, tau = g / se(g).
 in the usual implementation: max lag ceil(12 (n/100)^(1/4)) (at most
 n//2 - 2), every lag fitted on the common sample, best lag refitted on its
 larger sample; tau = t of the y_{t-1} term, p-value after MacKinnon (1994).
-The data passes only through two Gram-matrix aggregates (X'X summed from
-per-partition numpy products): the k x k matrices go to the driver, never
-the rows.  All nested lag models are leading blocks of the same matrix.
+Lagged products are summed from blocks of consecutive rows (with the rows before
+them), one sum for each lag; X'X follows from these and the series' first and
+last values, so a group is solved from a few thousand numbers whatever its
+length.  All nested lag models share one Cholesky factor.
 """
 
 from __future__ import annotations
@@ -21,11 +22,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from statlens.functions.columns import as_double, as_list, q
+from statlens.functions.columns import as_double, as_list, join_on, q
 from statlens.functions.dist import adf_pvalue
 from statlens.functions.udfs import adf_p
-from statlens.plans.ordered import framed
+from statlens.plans.ordered import BLOCK, dense_index, framed
 
 
 def _series(df, value, order_by, by):
@@ -58,89 +60,146 @@ def df_test_pvalue(df: DataFrame, value: str, order_by: Sequence[str], by: Seque
     return t.withColumn("p_value", adf_p(F.col("tau")))
 
 
-def _gram_batches(k: int):
+def _lag_sums(keys: list[str], most: int):
+    """Per task and group, from blocks with the rows before them: for each lag h
+    the sums of d_t * d_(t-h) and y_(t-1) * d_(t-h), and of y_(t-1) and its square."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        g = np.zeros((k, k))
-        n = 0
+        total: dict[tuple, np.ndarray] = {}
+        held: list[pd.DataFrame] = []
+
+        def add(g: pd.DataFrame) -> None:
+            y, idx = g["_y"].to_numpy(dtype=float), g["idx"].to_numpy()
+            first = int(np.argmax(g["_own"].to_numpy()))
+            t = np.arange(max(first, 1), len(y))  # own rows with a row before them
+            d = np.diff(y, prepend=y[0])
+            part = np.zeros((2, most + 2))
+            for h in range(min(most, len(y) - 1) + 1):
+                s = t[(idx[t] >= h + 1) & (t - h >= 1)]
+                part[0, h], part[1, h] = d[s] @ d[s - h], y[s - 1] @ d[s - h]
+            part[:, -1] = y[t - 1].sum(), y[t - 1] @ y[t - 1]
+            key = tuple(None if pd.isna(x) else x for x in g[keys].iloc[0]) if keys else ()
+            total[key] = total.get(key, 0.0) + part
+
         for pdf in batches:
             if len(pdf) == 0:
                 continue
-            z = np.vstack(pdf["z"].to_numpy())
-            g += z.T @ z
-            n += len(pdf)
-        yield pd.DataFrame({"n": [n], "g": [g.ravel()]})
-    return run
-
-
-def _gram(rows: DataFrame, k: int) -> tuple[int, np.ndarray]:
-    parts = rows.select("z").mapInPandas(_gram_batches(k), "n long, g array<double>")
-    summed = (parts.select("n", F.posexplode("g").alias("pos", "v"))
-              .groupBy("pos").agg(F.sum("v").alias("v"), F.sum("n").alias("n")))
-    got = summed.collect()  # k*k numbers: bounded by the lag count, not the data
-    if not got:
-        return 0, np.zeros((k, k))
-    g = np.zeros(k * k)
-    for r in got:
-        g[r["pos"]] = r["v"]
-    n = int(got[0]["n"])
-    return n, g.reshape(k, k)
+            held.append(pdf)
+            if pdf["_run"].iloc[0] != pdf["_run"].iloc[-1] or held[0]["_run"].iloc[0] != pdf["_run"].iloc[0]:
+                rows = pd.concat(held)
+                runs = rows["_run"].to_numpy()
+                cuts = np.flatnonzero(np.r_[True, runs[1:] != runs[:-1]])
+                for i, j in zip(cuts, cuts[1:]):
+                    add(rows.iloc[i:j])
+                held = [rows.iloc[cuts[-1]:]]
+        if held:
+            add(pd.concat(held))
+        out = [(*k, h, float(p[0, h]), float(p[1, h])) for k, p in total.items() for h in range(most + 2)]
+        yield pd.DataFrame(out, columns=[*keys, "pos", "a", "x"])
 
-
-def _ols(g: np.ndarray, p: int):
-    """OLS of the last component on the first p using the Gram matrix."""
-    a, b, yy = g[:p, :p], g[:p, -1], g[-1, -1]
-    beta = np.linalg.solve(a, b)
-    ssr = max(yy - b @ beta, 0.0)
-    return beta, ssr, np.linalg.inv(a)
+    return run
 
 
-def adf_test(df: DataFrame, value: str, order_by: Sequence[str], max_lag: int | None = None,
+def _gram(y0: np.ndarray, yn: np.ndarray, n: int, a: np.ndarray, x: np.ndarray, s1: float, s2: float, lags: int, start: int) -> np.ndarray:
+    """X'X of [1, y_(t-1), d_(t-1) .. d_(t-lags), d_t] over t >= start, from lag
+    sums over all t and the series' first and last values."""
+    head = np.diff(y0, prepend=y0[0])  # d_0 .. ; d_0 is no difference
+    tail = np.diff(yn)  # the last differences
+    order = [*range(1, lags + 1), 0]
+
+    def d_at(s):  # d_s near either end
+        return head[s] if s < len(head) else tail[len(tail) - (n - s)]
+
+    k = lags + 3
+    g = np.zeros((k, k))
+    m = n - start
+    early = y0[: start - 1]  # y_(t-1) of the rows left out
+    g[0, 0], g[0, 1], g[1, 1] = m, s1 - early.sum(), s2 - early @ early
+    for p, i in enumerate(order, 2):
+        g[0, p] = yn[len(yn) - 1 - i] - y0[start - i - 1]
+        t = np.arange(i + 1, start)
+        g[1, p] = x[i] - (y0[t - 1] @ head[t - i] if len(t) else 0.0)
+    for p, i in enumerate(order, 2):
+        for r, j in enumerate(order[p - 2:], p):
+            lo, h = min(i, j), abs(i - j)
+            s = np.arange(h + 1, start - lo)
+            cut = head[s] @ head[s - h] if len(s) else 0.0
+            for late in range(n - lo, n):
+                cut += d_at(late) * d_at(late - h)
+            g[p, r] = a[h] - cut
+    return g + np.triu(g, 1).T
+
+
+def _solve(n: int, wanted: int, autolag: bool, y0, yn, a, x, s1, s2):
+    """(used_lag, n_obs, tau) or None for a series without variance."""
+    used = wanted
+    if autolag and wanted > 0:
+        g = _gram(y0, yn, n, a, x, s1, s2, wanted, wanted + 1)
+        low = np.linalg.cholesky(g[:-1, :-1])  # the models are nested: one factor serves all lags
+        w = np.linalg.solve(low, g[:-1, -1])
+        ssr = g[-1, -1] - np.cumsum(w * w)[1:]
+        m = n - wanted - 1
+        aic = m * np.log(np.maximum(ssr, 1e-300) / m) + 2.0 * np.arange(2, wanted + 3)
+        used = int(np.argmin(aic))
+    g = _gram(y0, yn, n, a, x, s1, s2, used, used + 1)
+    p, m = used + 2, n - used - 1
+    inv = np.linalg.inv(np.linalg.cholesky(g[:p, :p]))
+    inv = inv.T @ inv
+    beta = inv @ g[:p, -1]
+    ssr = g[-1, -1] - beta @ g[:p, -1]
+    if m <= p or ssr <= 1e-14 * g[-1, -1]:
+        return None
+    return used, m, float(beta[1] / math.sqrt(ssr / (m - p) * inv[1, 1]))
+
+
+def adf_test(df: DataFrame, value: str, order_by: Sequence[str], by: Sequence[str] = (), max_lag: int | None = None,
              autolag: bool = True) -> DataFrame:
-    """One row: n, max_lag, used_lag, n_obs, adf_stat, p_value, stationary."""
-    base, _, order_by = _series(df, value, order_by, ())
-    n = base.count()
-    spark = df.sparkSession
-    schema = ("n long, max_lag int, used_lag int, n_obs long, adf_stat double, "
-              "p_value double, stationary string")
-    if n < 4:
-        return spark.createDataFrame([(n, None, None, None, None, None, None)], schema)
-    lmax = int(math.ceil(12.0 * (n / 100.0) ** 0.25)) if max_lag is None else max_lag
-    lmax = max(0, min(n // 2 - 2, lmax))
-    y = F.col("y")
-    fr = framed(base, order_by, lo=lmax + 1, hi=0,
-                aggs=lambda w: {"_win": F.collect_list(y).over(w)})
-
-    def vec(lags: int):
-        # [1, y_{t-1}, dy_{t-1}..dy_{t-lags}, dy_t] from the last lags+2 values
-        arr = F.slice(F.col("_win"), -(lags + 2), lags + 2)
-        parts = [F.lit(1.0), arr[lags]]
-        parts += [arr[lags - i + 1] - arr[lags - i] for i in range(1, lags + 1)]
-        parts += [arr[lags + 1] - arr[lags]]
-        return F.array(*parts)
-
-    if autolag and lmax > 0:
-        common = fr.where(F.size("_win") == lmax + 2).select(vec(lmax).alias("z"))
-        nobs, g = _gram(common, lmax + 3)
-        best, best_aic = 0, None
-        for lag in range(0, lmax + 1):
-            p = lag + 2
-            sub = np.zeros((p + 1, p + 1))
-            idxs = list(range(p)) + [lmax + 2]
-            sub[:, :] = g[np.ix_(idxs, idxs)]
-            _, ssr, _ = _ols(sub, p)
-            llf = -nobs / 2.0 * (math.log(2 * math.pi) + math.log(ssr / nobs) + 1.0)
-            aic = -2.0 * llf + 2.0 * p
-            if best_aic is None or aic < best_aic:
-                best, best_aic = lag, aic
-        used = best
-    else:
-        used = lmax
-    rows = fr.where(F.size("_win") >= used + 2).select(vec(used).alias("z"))
-    nobs, g = _gram(rows, used + 3)
-    p = used + 2
-    beta, ssr, inv = _ols(g, p)
-    sigma2 = ssr / (nobs - p)
-    tau = float(beta[1] / math.sqrt(sigma2 * inv[1, 1]))
-    pval = adf_pvalue(tau)
-    return spark.createDataFrame(
-        [(n, lmax, used, nobs, tau, pval, "Yes" if pval < 0.05 else "No")], schema)
+    """One row (per group): n, max_lag, used_lag, n_obs, adf_stat, p_value, stationary.
+
+    NULL statistic for fewer than 4 values or a series without variance.  The
+    series is centred first, so its level doesn't matter.
+    """
+    base, by, order_by = _series(df, value, order_by, by)
+    keys = [q(b) for b in by]
+    ix = dense_index(base, order_by, by, size="_n")
+    lags = F.ceil(12.0 * F.pow(F.col("_n") / 100.0, 0.25)) if max_lag is None else F.lit(max_lag)
+    ix = ix.withColumn("_lags", F.greatest(F.lit(0), F.least(F.floor(F.col("_n") / 2) - 2, lags)).cast("int"))
+    ix = join_on(ix, ix.groupBy(*keys).agg(F.avg("y").alias("_mu")), by).select(*keys, "idx", "_n", "_lags", (F.col("y") - F.col("_mu")).alias("_y"))
+    most = ix.agg(F.max("_lags")).first()[0] or 0
+    size = max(BLOCK, 4 * (most + 2))
+    own = F.floor(F.col("idx") / size).cast("long")
+    sent = ix.select("*", F.explode(F.array_compact(F.array(own, F.when(F.pmod("idx", F.lit(size)) >= size - most - 2, own + 1)))).alias("_blk"))
+    sent = sent.withColumn("_own", F.col("_blk") == own).withColumn("_run", F.xxhash64(*keys, "_blk"))
+    sums = (sent.repartition(*keys, "_blk").sortWithinPartitions(*keys, "_blk", "idx").select(*keys, "idx", "_y", "_own", "_run")
+            .mapInPandas(_lag_sums(by, most), T.StructType([ix.schema[b] for b in by] + [
+                T.StructField("pos", T.IntegerType()), T.StructField("a", T.DoubleType()), T.StructField("x", T.DoubleType())]))
+            .groupBy(*keys, "pos").agg(F.sum("a").alias("a"), F.sum("x").alias("x")))
+    near = ix.where((F.col("idx") <= most + 1) | (F.col("idx") >= F.col("_n") - most - 2))
+    ends = near.select(*keys, F.lit(1).alias("kind"), "idx", "_n", "_lags", F.col("_y").alias("a"), F.lit(0.0).alias("x"))
+    lagged = sums.select(*keys, F.lit(0).alias("kind"), F.col("pos").cast("long").alias("idx"), F.lit(0).cast("long").alias("_n"), F.lit(0).alias("_lags"), "a", "x")
+
+    def finish(g: pd.DataFrame) -> pd.DataFrame:
+        end, lag = g[g["kind"] == 1].sort_values("idx"), g[g["kind"] == 0].sort_values("idx")
+        n, wanted = int(end["_n"].iloc[0]), int(end["_lags"].iloc[0])
+        key = [None if pd.isna(end[b].iloc[0]) else end[b].iloc[0] for b in by]
+        got = None
+        if n >= 4:
+            y, at = end["a"].to_numpy(dtype=float), end["idx"].to_numpy()
+            y0, yn = y[at <= wanted + 1], y[at >= n - wanted - 2]
+            a, x = lag["a"].to_numpy(dtype=float), lag["x"].to_numpy(dtype=float)
+            try:
+                got = _solve(n, wanted, autolag, y0, yn, a[:-1], x[:-1], a[-1], x[-1])
+            except np.linalg.LinAlgError:
+                got = None
+        used, m, tau = got or (None, None, None)
+        pval = None if tau is None else adf_pvalue(tau)
+        row = (*key, n, wanted if n >= 4 else None, used, m, tau, pval, None if pval is None else "Yes" if pval < 0.05 else "No")
+        return pd.DataFrame([row], columns=[*by, "n", "max_lag", "used_lag", "n_obs", "adf_stat", "p_value", "stationary"]).astype(
+            {"max_lag": "Int32", "used_lag": "Int32", "n_obs": "Int64"})
+
+    schema = T.StructType([ix.schema[b] for b in by] + T._parse_datatype_string(
+        "n long, max_lag int, used_lag int, n_obs long, adf_stat double, p_value double, stationary string").fields)
+    both = lagged.unionByName(ends)  # a few thousand numbers a group
+    if not by:
+        return both.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(finish, schema)
+    return both.groupBy(*keys).applyInPandas(finish, schema)

@@ -295,3 +295,21 @@ def test_pca_matches_numpy(spark):
     assert pca.pca_n95(df).first()["n_components"] == int(np.argmax(np.cumsum(ev / ev.sum()) >= 0.95) + 1)
     sc = pca.pca_scores(df).toPandas()
     np.testing.assert_allclose(np.var(sc["pc1"]) / 1.0, ev[0] * 499 / 500, rtol=1e-8)
+
+
+def test_adf_level_constant_groups_and_blocks(spark, monkeypatch):
+    """The statistic is that of any level and block size; no variance gives NULL; NULL keys are groups."""
+    from statlens.operators import stationarity as S
+
+    rng = np.random.default_rng(12)
+    walk = np.cumsum(rng.normal(size=400))
+    rows = [("a", i, float(walk[i])) for i in range(400)] + [(None, i, float(walk[i]) + 1e8) for i in range(400)]
+    rows += [("m", i, float(walk[i]) + 1e6) for i in range(400)] + [("c", i, 5.0) for i in range(30)] + [("s", i, float(i)) for i in range(3)]
+    df = spark.createDataFrame(rows, "k string, i int, v double")
+    alone = S.adf_test(df.where("k = 'a'").drop("k"), "v", ["i"]).first()
+    monkeypatch.setattr(S, "BLOCK", 37)
+    got = {r["k"]: r for r in S.adf_test(df, "v", ["i"], by=["k"]).collect()}
+    for k in ("a", "m", None):
+        assert got[k]["adf_stat"] == pytest.approx(alone["adf_stat"], abs=1e-8 if k != None else 1e-5)  # noqa: E711
+        assert got[k]["used_lag"] == alone["used_lag"] and got[k]["n_obs"] == alone["n_obs"]
+    assert got["c"]["adf_stat"] is None and got["c"]["n"] == 30 and got["s"]["adf_stat"] is None
