@@ -2,12 +2,15 @@
 
 Spark has no Excel source.  Files are read with the ``binaryFile`` source;
 each task unpacks its own workbooks (zip + XML from the standard library)
-inside ``mapInPandas`` and emits one row per sheet row.  The header (one row)
-names the columns; values are typed like CSV cells.
+inside ``mapInPandas`` and emits one row per sheet row, written once to the
+shared folder.  Each workbook's own header row names its columns, so other column
+orders and further columns are matched by name.  Cells in a date format become
+ISO time stamps; values are typed like CSV cells.
 """
 
 from __future__ import annotations
 
+import datetime as dt
 import io
 import re
 import zipfile
@@ -18,6 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from statlens.functions.columns import q
+from statlens.session import written
 from statlens.sources.files import DEFAULT_NA, infer_types
 
 _M = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -33,6 +38,34 @@ def _col_index(ref: str) -> int:
     return n - 1
 
 
+# Built-in number formats of the file format that show dates or times.
+_DATE_FORMATS = frozenset([*range(14, 23), *range(27, 37), *range(45, 48), *range(50, 59)])
+
+
+def _date_styles(z: zipfile.ZipFile) -> set[int]:
+    """Indexes of the cell styles whose number format shows a date or time."""
+    if "xl/styles.xml" not in z.namelist():
+        return set()
+    root = ET.fromstring(z.read("xl/styles.xml"))
+    own = {}
+    for f in root.iter(_M + "numFmt"):
+        code = re.sub(r'"[^"]*"|\\.|\[[^\]]*\]', "", f.get("formatCode") or "")
+        own[int(f.get("numFmtId"))] = bool(re.search(r"[dmyhs]", code, re.I)) and "General" not in code
+    xfs = root.find(_M + "cellXfs")
+    return {i for i, x in enumerate(xfs if xfs is not None else ())
+            if own.get(k := int(x.get("numFmtId") or 0), k in _DATE_FORMATS)}
+
+
+def _timestamp(serial: str, since_1904: bool) -> str:
+    """A date serial as text: days since the epoch, to the microsecond."""
+    start = dt.datetime(1904, 1, 1) if since_1904 else dt.datetime(1899, 12, 30)
+    try:
+        when = start + dt.timedelta(milliseconds=round(float(serial) * 86_400_000))
+    except (ValueError, OverflowError):
+        return serial
+    return when.isoformat(sep=" ")
+
+
 def _text(node) -> str:
     return "".join(t.text or "" for t in node.iter(_M + "t"))
 
@@ -41,7 +74,10 @@ def parse_first_sheet(content: bytes) -> list[list[str | None]]:
     """Rows of the first sheet as text (shared strings resolved)."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         names = set(z.namelist())
+        dates = _date_styles(z)
         wb = ET.fromstring(z.read("xl/workbook.xml"))
+        props = wb.find(_M + "workbookPr")
+        since_1904 = props is not None and props.get("date1904") in ("1", "true")
         first = wb.find(f"{_M}sheets/{_M}sheet")
         target = "worksheets/sheet1.xml"
         if first is not None and "xl/_rels/workbook.xml.rels" in names:
@@ -67,6 +103,8 @@ def parse_first_sheet(content: bytes) -> list[list[str | None]]:
                 val = _text(c)
             elif kind == "b" and v is not None:
                 val = "True" if v.text == "1" else "False"
+            elif v is not None and v.text and kind in (None, "n") and int(c.get("s") or 0) in dates:
+                val = _timestamp(v.text, since_1904)
             else:
                 val = v.text if v is not None else None
             cells[idx] = val
@@ -93,16 +131,44 @@ def workbook_rows(spark: SparkSession, path: str) -> DataFrame:
 
 def load_workbooks(spark: SparkSession, path: str, na_values: Sequence[str] = DEFAULT_NA,
                    infer: bool = True) -> DataFrame:
-    """Header from the first row of the first workbook; one row per data row."""
-    rows = workbook_rows(spark, path)
-    head = rows.where(F.col("row") == 0).orderBy("path").select("values").first()  # one row
-    if head is None:
+    """One row per data row of every workbook.
+
+    Columns are matched by the names in each workbook's first row; a name that a
+    workbook lacks is NULL there.  Columns come in the order of the first
+    workbook (by path), further names after them.  A nameless column is
+    ``column_<position>``; a cell beyond the header raises an error.
+    """
+    rows = written(workbook_rows(spark, path), "workbooks")  # parsed once
+    heads = rows.where(F.col("row") == 0).select("path", "values")
+    named = F.transform("values", lambda v, i: F.when(F.coalesce(F.trim(v), F.lit("")) == "", F.concat(F.lit("column_"), i.cast("string"))).otherwise(v))
+    heads = heads.select("path", named.alias("header"))
+    order = (heads.select("path", F.posexplode("header").alias("at", "name")).groupBy("name")
+             .agg(F.min(F.struct("path", "at")).alias("first")).orderBy("first").collect())  # one row per column
+    if not order:
         raise ValueError(f"no .xlsx rows under {path}")
-    header = [h if h else f"column_{i}" for i, h in enumerate(head["values"])]
+    data = rows.where(F.col("row") > 0).join(heads, "path")
+    surplus = F.exists(F.slice("values", F.size("header") + 1, F.greatest(F.size("values") - F.size("header"), F.lit(0))), lambda v: v.isNotNull())
     tokens = list(na_values)
     cols = []
-    for i, h in enumerate(header):
-        v = F.try_element_at(F.col("values"), F.lit(i + 1))  # short rows -> NULL
-        cols.append(F.when(~v.isin(tokens), v).alias(h))
-    data = rows.where(F.col("row") > 0).select(*cols)
-    return infer_types(data) if infer else data
+    for k, r in enumerate(order):
+        at = F.array_position("header", r["name"])
+        v = F.when(at > 0, F.get("values", (at - 1).cast("int")))
+        v = F.when(~v.isin(tokens), v)
+        if k == 0:
+            v = F.when(surplus, F.raise_error(F.concat(F.lit("cells beyond the header in "), F.col("path"))).cast("string")).otherwise(v)
+        cols.append(v.alias(r["name"]))
+    data = data.select(*cols)
+    return infer_dates_iso(infer_types(data)) if infer else data
+
+
+def infer_dates_iso(df: DataFrame) -> DataFrame:
+    """Text columns in which every value is a time stamp as written by
+    ``_timestamp`` become timestamps (dates are known by their cell format, not
+    by a column's name)."""
+    text = [f.name for f in df.schema.fields if f.dataType.simpleString() == "string"]
+    if not text:
+        return df
+    form = r"^[0-9]{4}-[0-9]{2}-[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]+)?$"
+    counts = df.agg(*[x for i, c in enumerate(text) for x in (F.count(q(c)).alias(f"n{i}"), F.count_if(q(c).rlike(form)).alias(f"d{i}"))]).first()
+    dates = {c for i, c in enumerate(text) if counts[f"n{i}"] and counts[f"n{i}"] == counts[f"d{i}"]}
+    return df.select(*[q(c).cast("timestamp_ntz").alias(c) if c in dates else q(c) for c in df.columns])

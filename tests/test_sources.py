@@ -52,6 +52,31 @@ def test_workbook_folder(spark):
     assert files.load_any(spark, os.path.join(d, "a.xlsx")).count() == 2
 
 
+STYLES = """<styleSheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main">
+<numFmts count="1"><numFmt numFmtId="164" formatCode="yyyy\\-mm\\-dd"/></numFmts>
+<cellXfs count="4"><xf numFmtId="0"/><xf numFmtId="14"/><xf numFmtId="164"/><xf numFmtId="2"/></cellXfs></styleSheet>"""
+
+
+def test_workbook_dates_orders_and_widths(spark, tmp_path):
+    def text(x):
+        return (' t="inlineStr"', f"<is><t>{x}</t></is>")
+
+    def book(name, rows):
+        write_xlsx(str(tmp_path / name), rows)
+        with zipfile.ZipFile(str(tmp_path / name), "a") as z:
+            z.writestr("xl/styles.xml", STYLES)
+
+    book("a.xlsx", [[text("id"), text("day"), text("price")], [("", "<v>1</v>"), (' s="1"', "<v>45292</v>"), (' s="3"', "<v>2.5</v>")]])
+    book("b.xlsx", [[text("day"), text("id"), text("note")], [(' s="2"', "<v>45293.5</v>"), ("", "<v>2</v>"), text("new")]])
+    df = load_workbooks(spark, str(tmp_path))
+    assert df.columns == ["id", "day", "price", "note"]
+    rows = sorted(tuple(str(v) for v in r) for r in df.collect())
+    assert rows == [("1", "2024-01-01 00:00:00", "2.5", "None"), ("2", "2024-01-02 12:00:00", "None", "new")]
+    book("c.xlsx", [[text("id")], [("", "<v>3</v>"), text("beyond")]])
+    with pytest.raises(Exception, match="beyond the header"):
+        load_workbooks(spark, str(tmp_path)).collect()
+
+
 def test_csv_tokens_and_dates(spark):
     d = tempfile.mkdtemp(prefix="statlens-csv-")
     p = os.path.join(d, "t.csv")
