@@ -130,6 +130,45 @@ def _lineitem_long_sql() -> str:
     return f"(UNPIVOT (SELECT {cols} FROM lineitem) ON COLUMNS(*) INTO NAME column_name VALUE value)"
 
 
+def _eigen_sql(cols: list[str], source: str) -> str:
+    """CTEs ending in eig(component, ev, cum, v0, v1, ...): eigenpairs of the
+    correlation matrix of the complete rows, by Jacobi rotations."""
+    k = len(cols)
+    corr = {(i, j): f"corr({cols[i]}, {cols[j]})" if i != j else "1.0" for i in range(k) for j in range(i, k)}
+    whole = " AND ".join(f"{c} IS NOT NULL" for c in cols)
+    steps = ["j0 AS MATERIALIZED (SELECT " + ", ".join(f"CAST({x} AS DOUBLE) AS a{i}{j}" for (i, j), x in corr.items()) + ", "
+             + ", ".join(f"CAST({int(i == j)} AS DOUBLE) AS v{i}{j}" for i in range(k) for j in range(k)) + f" FROM {source} src WHERE {whole})"]
+
+    def a(i, j):
+        return f"a{min(i, j)}{max(i, j)}"
+
+    n = 0
+    for _ in range(7):
+        for p in range(k):
+            for r in range(p + 1, k):
+                steps.append(f"""t{n} AS MATERIALIZED (SELECT *, CASE WHEN abs({a(p, r)}) < 1e-200 THEN 0.0 ELSE
+                    (CASE WHEN {a(r, r)} >= {a(p, p)} THEN 1 ELSE -1 END) / (abs(({a(r, r)} - {a(p, p)}) / (2 * {a(p, r)}))
+                    + sqrt((({a(r, r)} - {a(p, p)}) / (2 * {a(p, r)})) ^ 2 + 1)) * sign({a(p, r)}) END AS t FROM j{n})""")
+                steps.append(f"c{n} AS MATERIALIZED (SELECT *, 1 / sqrt(t * t + 1) AS c, t / sqrt(t * t + 1) AS s FROM t{n})")
+                new = {a(p, p): f"{a(p, p)} - t * {a(p, r)}", a(r, r): f"{a(r, r)} + t * {a(p, r)}", a(p, r): "0.0"}
+                for m in range(k):
+                    if m not in (p, r):
+                        new[a(m, p)] = f"c * {a(m, p)} - s * {a(m, r)}"
+                        new[a(m, r)] = f"s * {a(m, p)} + c * {a(m, r)}"
+                    new[f"v{m}{p}"] = f"c * v{m}{p} - s * v{m}{r}"
+                    new[f"v{m}{r}"] = f"s * v{m}{p} + c * v{m}{r}"
+                names = [f"a{i}{j}" for (i, j) in corr] + [f"v{i}{j}" for i in range(k) for j in range(k)]
+                n += 1
+                steps.append(f"j{n} AS MATERIALIZED (SELECT " + ", ".join(f"{new.get(x, x)} AS {x}" for x in names) + f" FROM c{n - 1})")
+    rows = " UNION ALL ".join(f"SELECT a{i}{i} AS ev, " + ", ".join(f"v{m}{i} AS v{m}" for m in range(k)) + f" FROM j{n}" for i in range(k))
+    big = "greatest(" + ", ".join(f"abs(v{m})" for m in range(k)) + ")"
+    sign = "CASE " + " ".join(f"WHEN abs(v{m}) = {big} THEN sign(v{m})" for m in range(k)) + " END"
+    steps.append(f"pairs AS ({rows})")
+    steps.append("eig AS (SELECT CAST(row_number() OVER (ORDER BY ev DESC) AS INTEGER) AS component, ev, sum(ev) OVER (ORDER BY ev DESC) / sum(ev) OVER () AS cum, "
+                 + ", ".join(f"v{m} * ({sign}) AS v{m}" for m in range(k)) + " FROM pairs)")
+    return ", ".join(steps)
+
+
 def r6(df: DataFrame) -> DataFrame:
     """Round every double column to 6 decimals (both sides of the oracle do)."""
     out = []
@@ -227,6 +266,8 @@ def _queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     Q["change_points_by_type"] = lambda s, sf: r6(changepoint.change_points(ev(s, sf), "value", EV_ORDER,
                                                                           by=["event_type"]))
     Q["df_test"] = lambda s, sf: r6(stationarity.df_test(ev(s, sf), "value", EV_ORDER))
+    Q["adf_test_lag1"] = lambda s, sf: r6(stationarity.adf_test(events_plain_null_key(s, sf), "value", EV_ORDER, ["event_type"],
+                                                               max_lag=1, autolag=False))
     Q["adf_test"] = lambda s, sf: r6(stationarity.adf_test(daily_quantity(s, sf), "qty", ["l_shipdate"]))
 
     # group keys that are NULL are groups; an extreme value doesn't disturb quantiles
@@ -304,8 +345,8 @@ def _queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     Q["pca_variance"] = lambda s, sf: r6(pca.pca_variance(_t(s, sf, "lineitem"), ["l_quantity", "l_extendedprice"]))
     PCA_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
     Q["pca_loadings"] = lambda s, sf: pca.pca_loadings(_t(s, sf, "lineitem"), PCA_COLS)
-    Q["pca_scores"] = lambda s, sf: r6(pca.pca_scores(_t(s, sf, "lineitem"), PCA_COLS,
-                                                      keep=["l_orderkey", "l_linenumber"]))
+    Q["pca_scores"] = lambda s, sf: pca.pca_scores(_t(s, sf, "lineitem"), PCA_COLS, keep=["l_orderkey", "l_linenumber"]).select(
+        "l_orderkey", "l_linenumber", *[F.round(f"pc{j}", 4).alias(f"pc{j}") for j in range(1, 5)])
     Q["pca_n95"] = lambda s, sf: pca.pca_n95(_t(s, sf, "lineitem"), PCA_COLS)
     return Q
 
@@ -712,4 +753,29 @@ def _oracle_sql() -> dict[str, str]:
     draw = "CAST('0x' || left(md5('42:' || o_orderkey), 8) AS BIGINT)"
     S["k_fold"] = f"SELECT CAST({draw} % 5 AS INTEGER) AS fold, count(*) AS count FROM orders GROUP BY 1"
     S["train_test_split"] = f"SELECT {draw} < {int(0.2 * 2**32)} AS is_test, count(*) AS count FROM orders GROUP BY 1"
+    P4 = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    eig = _eigen_sql(P4, "lineitem")
+    S["pca_loadings"] = f"WITH {eig} " + " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, component, round(v{m}, 3) AS loading FROM eig" for m, c in enumerate(P4))
+    S["pca_n95"] = f"WITH {eig} SELECT min(component) AS n_components FROM eig WHERE cum >= 0.95 - 1e-12"
+    z = ", ".join(f"coalesce(({c} - avg({c}) OVER ()) / nullif(stddev_pop({c}) OVER (), 0), 0) AS z{m}" for m, c in enumerate(P4))
+    S["pca_scores"] = f"""WITH {eig}, z AS (SELECT l_orderkey, l_linenumber, {z} FROM lineitem WHERE {" AND ".join(f"{c} IS NOT NULL" for c in P4)})
+        SELECT l_orderkey, l_linenumber, """ + ", ".join(
+        "round(" + " + ".join(f"z{m} * e{j}.v{m}" for m in range(4)) + f", 4) AS pc{j}" for j in range(1, 5)) + " FROM z, " + ", ".join(
+        f"(SELECT * FROM eig WHERE component = {j}) e{j}" for j in range(1, 5))
+    S["adf_test_lag1"] = f"""WITH o AS (SELECT event_type, value - avg(value) OVER (PARTITION BY event_type) AS y, row_number() OVER w AS i,
+          count(*) OVER (PARTITION BY event_type) AS n FROM {N} e WHERE value IS NOT NULL WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)),
+        l AS (SELECT *, lag(y) OVER w AS y1, lag(y, 2) OVER w AS y2 FROM o WINDOW w AS (PARTITION BY event_type ORDER BY i)),
+        m AS (SELECT event_type, max(n) AS n, count(*) AS k, regr_sxx(y - y1, y1) AS a, regr_sxx(y, y1 - y2) AS c, regr_sxx(y, y - y1) AS g,
+          regr_sxy(y1, y1 - y2) AS b, regr_sxy(y - y1, y1) AS e, regr_sxy(y - y1, y1 - y2) AS f FROM l WHERE y2 IS NOT NULL GROUP BY event_type),
+        s AS (SELECT *, a * c - b * b AS det, (e * c - f * b) / (a * c - b * b) AS bl, (f * a - e * b) / (a * c - b * b) AS bd FROM m),
+        r AS (SELECT event_type, n, k, bl / sqrt((g - bl * e - bd * f) / (k - 3) * c / det) AS tau FROM s),
+        p AS (SELECT *, CASE WHEN tau <= -1.61 THEN 2.1659 + 1.4412 * tau + 0.038269 * tau ^ 2
+          ELSE 1.7339 + 0.93202 * tau - 0.12745 * tau ^ 2 - 0.010368 * tau ^ 3 END AS x FROM r),
+        q AS (SELECT event_type, sum(CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp(-0.5 * (x * i / 2000.0) ^ 2)) * x / 2000 / 3
+          / sqrt(2 * pi()) AS half FROM (SELECT event_type, x, CAST(unnest(generate_series(0, 2000)) AS INTEGER) AS i FROM p) u GROUP BY event_type, x)
+        SELECT p.event_type, n, CAST(1 AS INTEGER) AS max_lag, CAST(1 AS INTEGER) AS used_lag, k AS n_obs, round(tau, 6) AS adf_stat,
+          round(CASE WHEN tau > 2.74 THEN 1.0 WHEN tau < -18.83 THEN 0.0 ELSE 0.5 + half END, 6) AS p_value,
+          CASE WHEN tau < -18.83 OR (tau <= 2.74 AND 0.5 + half < 0.05) THEN 'Yes' ELSE 'No' END AS stationary
+        FROM p LEFT JOIN q ON p.event_type IS NOT DISTINCT FROM q.event_type"""
     return S

@@ -26,8 +26,9 @@ def test_query_matches_oracle(spark, con, name):
     sdf = E.queries()[name](spark, SF)
     rows = [tuple(r) for r in sdf.collect()]
     sql = E.oracle_sql().get(name)
-    if sql is None:
-        assert len(rows) >= 0
+    if sql is None:  # held against numpy or brute force in test_units.py and llm/
+        assert name == "adf_test" or name == "pipeline" or name.startswith("op")
+        assert rows
         return
     rel = con.sql(sql)
     drows = rel.fetchall()
