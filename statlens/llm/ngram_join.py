@@ -11,8 +11,9 @@ on the whole texts.
 A hot key (a large group of near copies, a passage in a third of all texts) is
 never expanded into all pairs: range partitioning by (key, node) splits it, the
 members of a key are tried against its smallest one, and the components found
-so are labelled.  Only where a key still holds several components are members of
-different ones compared, in blocks of ``BLOCK``; this closes the search exactly.
+so are labelled.  Where a key still holds several, they are tried against
+``HUBS`` more of them; what then is left apart is compared in blocks of
+``BLOCK``, members of different components only, which closes the search exactly.
 
 A node is a distinct set of shingles, known by a 64-bit hash (at 3e10 different
 texts some 25 pairs are expected to share one), so exact copies cost one row.
@@ -40,6 +41,8 @@ from statlens.llm.shingles import U
 
 #: Nodes of a block: their sketches are compared as one matrix.
 BLOCK = 2048
+#: Further hubs that a key's members are tried against before blocks.
+HUBS = 2
 #: Texts that a task holds as numpy arrays at once.
 ROWS = 256
 
@@ -179,17 +182,35 @@ def _texts(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
             .groupBy("node").agg(F.first("text").alias("text")))
 
 
-def _apart(members: DataFrame, labels: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs of members of one key whose components still differ, held against
-    their sketches block by block."""
+def _unsettled(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, node, label) of the keys whose members are in several components;
+    of keys with the same members, one."""
     m = (members.select("key", "node").distinct().join(labels, "node", "left")
          .withColumn("label", F.coalesce("label", "node")))
     same = ["low", "high", "c", "x", "y"]
     keys = (m.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("c"),
                                  F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
-            .filter("low <> high").groupBy(*same).agg(F.min("key").alias("key"), F.min(F.col("c")).alias("c1")))  # one key for each set of members
+            .filter("low <> high").groupBy(*same).agg(F.min("key").alias("key")))
+    return m.join(keys.select("key"), "key")
+
+
+def _second_hubs(open_: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each key's members with another hub: of those outside the
+    key's largest component, the node that stands under most keys."""
+    often = open_.groupBy("node").agg(F.count("*").alias("often"))
+    main = open_.groupBy("key").agg(F.mode("label").alias("main"))
+    out = open_.join(main, "key").filter("label <> main").join(often, "node")
+    hubs = out.groupBy("key").agg(F.max(F.struct("often", "node", "label")).alias("hub"))
+    return (open_.join(hubs, "key").filter("label <> hub.label")
+            .select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct())
+
+
+def _apart(open_: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs of members of one key whose components still differ, held against
+    their sketches block by block."""
+    keys = open_.groupBy("key").agg(F.count("*").alias("c"))
     # Large keys are dealt to blocks at random; a block meets each block of its key.
-    held = m.join(keys.select("key", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks")), "key")
+    held = open_.join(keys.select("key", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks")), "key")
     held = held.withColumn("block", F.pmod(F.xxhash64("node", F.lit(2)), F.col("blocks")).cast("int"))
     held = held.join(nodes.select("node", "n", "sketch"), "node")
     sent = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -200,16 +221,19 @@ def _apart(members: DataFrame, labels: DataFrame, nodes: DataFrame, percent: int
         bits = np.array([S.folded(sk, size) for sk in g["sketch"]]).view(U)
         node, label, n, block = (g[c].to_numpy() for c in ("node", "label", "n", "block"))
         left, right = (np.flatnonzero(block == g[c].iloc[0]) for c in ("i", "j"))
-        step = max(1, 4_000_000 // (len(right) * bits.shape[1]))
-        out = []
-        for at in range(0, len(left), step):
-            x = left[at:at + step]
-            apart = np.bitwise_count(bits[x, None] ^ bits[None, right]).sum(axis=2, dtype=np.int64)
-            total = n[x, None] + n[None, right]
-            near = (100 * np.minimum(n[x, None], n[None, right]) >= percent * np.maximum(n[x, None], n[None, right]))
-            near &= (apart <= total * (100 - percent) // (100 + percent)) & (label[x, None] != label[None, right])
-            p, q = np.nonzero(near)
-            out.append(np.column_stack([node[x[p]], node[right[q]]]))
+        names, times = np.unique(label, return_counts=True)
+        main = label == names[times.argmax()]  # its members needn't be compared with each other
+        out = [np.empty((0, 2), np.int64)]
+        for rows_, cols in ((left[~main[left]], right), (left[main[left]], right[~main[right]])):
+            step = max(1, 4_000_000 // (max(1, len(cols)) * bits.shape[1]))
+            for at in range(0, len(rows_) if len(cols) else 0, step):
+                x = rows_[at:at + step]
+                apart = np.bitwise_count(bits[x, None] ^ bits[None, cols]).sum(axis=2, dtype=np.int64)
+                total = n[x, None] + n[None, cols]
+                near = (100 * np.minimum(n[x, None], n[None, cols]) >= percent * np.maximum(n[x, None], n[None, cols]))
+                near &= (apart <= total * (100 - percent) // (100 + percent)) & (label[x, None] != label[None, cols])
+                p, q = np.nonzero(near)
+                out.append(np.column_stack([node[x[p]], node[cols[q]]]))
         pairs = np.unique(np.sort(np.concatenate(out), axis=1), axis=0)
         return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
@@ -232,9 +256,17 @@ def ngram_join(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     texts = written(_texts(tried, sets, docs), "texts")
     links = written(_verified(tried, texts, width, percent), "links")
 
-    rest = written(_apart(members, components(links), nodes, percent).join(tried, ["a", "b"], "left_anti"), "rest")
-    if not rest.isEmpty():
-        links = written(links.union(_verified(rest, _texts(rest, sets, docs), width, percent)), "links")
+    open_ = written(_unsettled(members, components(links)), "open")
+    for step in range(HUBS + 1):
+        if open_.isEmpty():
+            break
+        # Some more hubs settle most of what is left; then all that may link is tried.
+        near = _sketched(_second_hubs(open_), nodes, percent) if step < HUBS else _apart(open_, nodes, percent)
+        near = written(near.join(tried, ["a", "b"], "left_anti"), "near")
+        links = written(links.union(_verified(near, _texts(near, sets, docs), width, percent)), "links")
+        if step < HUBS:
+            tried = written(tried.union(near), "tried")
+            open_ = written(_unsettled(open_, components(links)), "open")
 
     labels = components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
