@@ -140,7 +140,8 @@ def wide_frame(ix: DataFrame, value: str, by: Sequence[str] = (), *, lo: int | C
     indexed = running_sums(centred, ["_y", "_y2", "_c"], by, idx=idx, block=block)
     lo_c = lo if isinstance(lo, Column) else F.lit(lo)
     hi_c = hi if isinstance(hi, Column) else F.lit(hi)
-    indexed = indexed.withColumn("_lo", lo_c.cast("long")).withColumn("_hi", hi_c.cast("long"))
+    # both the messages and the rows that get them read this
+    indexed = written(indexed.withColumn("_lo", lo_c.cast("long")).withColumn("_hi", hi_c.cast("long")), "running")
     sums = F.struct(F.col("cum__y").alias("s"), F.col("cum__y2").alias("s2"), F.col("cum__c").alias("c"))
     # each row is sent to the row whose frame ends here and to the row whose
     # frame starts right after it
