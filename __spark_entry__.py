@@ -217,6 +217,7 @@ def _queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     Q["missing_summary"] = lambda s, sf: r6(profile.missing_summary(events_dirty(s, sf)))
     Q["missing_topk"] = lambda s, sf: r6(profile.missing_topk(events_dirty(s, sf), 10))
     Q["missing_pattern"] = lambda s, sf: profile.missing_pattern(events_dirty(s, sf))
+    Q["missing_by_bucket"] = lambda s, sf: r6(profile.missing_by_bucket(events_dirty(s, sf), EV_ORDER, 20))
     Q["completeness"] = lambda s, sf: r6(profile.completeness(events_dirty(s, sf)))
     Q["duplicate_count"] = lambda s, sf: profile.duplicate_count(events_dup(s, sf))
     Q["logical_size"] = lambda s, sf: profile.logical_size(events_dirty(s, sf))
@@ -778,4 +779,9 @@ def _oracle_sql() -> dict[str, str]:
           round(CASE WHEN tau > 2.74 THEN 1.0 WHEN tau < -18.83 THEN 0.0 ELSE 0.5 + half END, 6) AS p_value,
           CASE WHEN tau < -18.83 OR (tau <= 2.74 AND 0.5 + half < 0.05) THEN 'Yes' ELSE 'No' END AS stationary
         FROM p LEFT JOIN q ON p.event_type IS NOT DISTINCT FROM q.event_type"""
+    heat_cols = ["event_id", "ts", "user_id", "event_type", "value", "props"]
+    S["missing_by_bucket"] = f"""WITH o AS (SELECT *, row_number() OVER (ORDER BY ts, event_id) - 1 AS idx, count(*) OVER () AS n FROM {D} d),
+        b AS (SELECT *, CAST(idx * 20 // n AS INTEGER) AS bucket FROM o)
+        """ + " UNION ALL ".join(f"""SELECT bucket, '{c}' AS column_name, count(*) AS n_rows, count(*) FILTER (WHERE {c} IS NULL) AS missing,
+          round(count(*) FILTER (WHERE {c} IS NULL) / count(*)::DOUBLE, 6) AS missing_share FROM b GROUP BY bucket""" for c in heat_cols)
     return S

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from statlens.functions.columns import (as_list, categorical_columns, date_columns,
                                         nan_to_null, numeric_columns, q, role_of)
+from statlens.plans.ordered import dense_index
 
 _FIXED_WIDTH = {
     T.ByteType: 1, T.BooleanType: 1, T.ShortType: 2, T.IntegerType: 4, T.FloatType: 4,
@@ -98,6 +99,22 @@ def missing_pattern(df: DataFrame, columns: Sequence[str] | None = None) -> Data
                     .alias("n_missing")))
 
 
+def missing_by_bucket(df: DataFrame, order_by: Sequence[str], buckets: int = 50,
+                      columns: Sequence[str] | None = None) -> DataFrame:
+    """P10, the heat map's cells: share of missing values per column in each of
+    ``buckets`` stretches of rows in ``order_by`` (bucket = idx * buckets // n)."""
+    order_by = as_list(order_by)
+    d = nan_to_null(df)
+    cols = as_list(columns) or d.columns
+    flags = d.select(*[q(c) for c in order_by], *[q(c).isNull().alias(f"_null_{i}") for i, c in enumerate(cols)])
+    ix = dense_index(flags, order_by, size="_n")
+    agg = (ix.groupBy(F.floor(F.col("idx") * buckets / F.col("_n")).cast("int").alias("bucket"))
+           .agg(F.count(F.lit(1)).alias("n_rows"), *[F.count_if(f"_null_{i}").alias(f"_null_{i}") for i in range(len(cols))]))
+    cells = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"_null_{i}").alias("missing")) for i, c in enumerate(cols)])
+    return (agg.select("bucket", "n_rows", F.inline(cells))
+            .select("bucket", "column_name", "n_rows", "missing", (F.col("missing") / F.col("n_rows")).alias("missing_share")))
+
+
 def _groupable(df: DataFrame) -> DataFrame:
     """Map columns are not valid grouping keys: compare them as JSON."""
     out = []
