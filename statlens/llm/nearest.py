@@ -73,7 +73,7 @@ def tile(q: np.ndarray, qid: np.ndarray, x: np.ndarray, xid: np.ndarray, k: int)
             floor = np.full(len(low), -np.inf)
         for r, (hit, mine) in enumerate(zip(near + slack >= floor[:, None], own)):
             hit = np.flatnonzero(hit & ~mine)
-            score = (x[hit] * q[a + r]).sum(axis=1)
+            score = np.add.accumulate(x[hit] * q[a + r], axis=1)[:, -1]  # summed in the order of components
             order = np.lexsort((xid[hit], -score))
             rows.append((qid[a + r], xid[hit][order], score[order]))
     return rows
@@ -95,14 +95,19 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, rows: int = BLOCK
     """(query_id, rank, vec_id, score) of the k largest inner products of each
     query: the rows of ``vectors`` (vec_id, embedding) where ``is_query``."""
     spark = vectors.sparkSession
-    data = written(usable(vectors), "vectors")
+    data = written(usable(vectors).dropDuplicates(["vec_id", "v"]), "vectors")  # else a repeated row would fill a block
     n, m = data.agg(F.count("*"), F.count(F.when(is_query, 1))).first()
     blocks, groups = max(1, -(-n // rows)), max(1, -(-m // queries))
     spread = F.xxhash64("vec_id", "v")
-    left = (data.filter(is_query).dropDuplicates(["vec_id", "v"])
-            .select(F.col("vec_id").alias("qi"), F.col("v").alias("qv"), F.col("dim").alias("qd"), F.pmod(spread, F.lit(groups)).alias("qg"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("qb")))
-    right = data.select(F.col("vec_id").alias("xi"), F.col("v").alias("xv"), F.col("dim").alias("d"), F.pmod(spread, F.lit(blocks)).alias("b"),
-                        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("g"))
+
+    def each(count: int) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long")))
+
+    left = (data.filter(is_query)
+            .select(F.col("vec_id").alias("qi"), F.col("v").alias("qv"), F.col("dim").alias("qd"),
+                    F.pmod(spread, F.lit(groups)).alias("qg"), each(blocks).alias("qb")))
+    right = data.select(F.col("vec_id").alias("xi"), F.col("v").alias("xv"), F.col("dim").alias("d"),
+                        F.pmod(spread, F.lit(blocks)).alias("b"), each(groups).alias("g"))
 
     def tiles(key, q: pa.Table, x: pa.Table) -> pa.Table:
         out: list[tuple] = []
@@ -119,12 +124,14 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, rows: int = BLOCK
         tiles, "query_id long, vec_id long, score double, b long")
 
     def merged(t: pd.DataFrame) -> pd.DataFrame:
-        heap = heapq.nsmallest(len(t), zip(-t["score"].to_numpy(), t["vec_id"].to_numpy()))
-        ids = np.array([i for _, i in heap], np.int64)
-        scores = np.array([-s for s, _ in heap])
-        best = first_of(ids, scores, k)
+        heap = list(zip((-t["score"]).tolist(), t["vec_id"].tolist()))
+        heapq.heapify(heap)
+        best: dict[int, float] = {}  # of a repeated id, the first is the best
+        while heap and len(best) < k:
+            s, i = heapq.heappop(heap)
+            best.setdefault(i, -s)
         return pd.DataFrame({"query_id": t["query_id"].iloc[0], "rank": np.arange(1, len(best) + 1, dtype=np.int32),
-                             "vec_id": [i for _, i in best], "score": [-s for s, _ in best]})
+                             "vec_id": list(best), "score": list(best.values())})
 
     schema = "query_id long, rank int, vec_id long, score double"
     while blocks > FAN:
@@ -133,3 +140,13 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, rows: int = BLOCK
         found = (written(found, "merged").groupBy("query_id", "b").applyInPandas(
             lambda key, t: merged(t).assign(b=key[1]).drop(columns="rank"), "query_id long, vec_id long, score double, b long"))
     return found.groupBy("query_id").applyInPandas(merged, schema)
+
+
+#: op2 in DuckDB SQL.
+ORACLE_SQL = """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+      AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p AS (SELECT q.vec_id AS query_id, c.vec_id, max(list_dot_product(c.v, q.v)) AS score FROM v q JOIN v c
+      ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id AND len(c.v) = len(q.v) GROUP BY 1, 2),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM p)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20"""
