@@ -6,12 +6,13 @@ Of all grams that start within ``min_words - gram_words`` words of a line, the
 one with the smallest hash is selected, so every run of whole lines with
 ``min_words`` words holds a selected gram, and two equal runs select the same
 one (the winnowing guarantee, with words as the unit because lines differ so
-much in length).  Selected grams join their first and their nearest earlier
-occurrence among the documents with the same doc_id modulo 32, in the order of
-(doc_id, text hash, line).  Each such pair is a diagonal between two documents
-(or one document and itself); on it, equal lines are extended both ways, and
-where the run has ``min_words`` words or more, its lines go from the later
-place.  The earliest copy stays.
+much in length).  A selected gram joins earlier places in the order of (doc_id,
+text hash, line): its first one, the first ones with the same line before, with
+the same line after and with both, and the nearest one among the documents with
+the same doc_id modulo 32.  Each such pair is a diagonal between two documents (or
+one document and itself); on it, equal lines are extended both ways, and where
+the run has ``min_words`` words or more, its lines go from the later place.  The
+earliest copy stays.
 
 Defined cases: a NULL text stays NULL; an empty text stays empty; rows with
 the same doc_id and text count as one document and get the same text; NULL
@@ -32,6 +33,11 @@ SHARES = 32
 _D, _K = "_ld_doc", "_ld_key"
 
 
+def _hash(text: Column) -> Column:
+    """60 bits of md5, which other engines have as well."""
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
+
+
 def _key(doc_id: Column, text: Column) -> tuple[Column, Column]:
     return (F.coalesce(doc_id.cast("long"), F.lit(-(1 << 63))).alias(_D),
             F.xxhash64(text).alias(_K))
@@ -43,7 +49,7 @@ def line_table(docs: DataFrame) -> DataFrame:
     text = F.col("text")
     one = docs.filter(text.isNotNull()).select(*_key(F.col("doc_id"), text), F.split(text, "\n", -1).alias("lines"))
     rows = one.select(_D, _K, F.posexplode("lines").alias("i", "line")).withColumn("t", F.trim("line")).filter("t <> ''")
-    rows = rows.select(_D, _K, "i", F.substring(F.md5(F.col("t").cast("binary")), 1, 16).alias("h"),
+    rows = rows.select(_D, _K, "i", _hash(F.col("t")).alias("h"),
                        (F.length("t") - F.length(F.replace("t", F.lit(" "), F.lit(""))) + 1).cast("long").alias("w"))
     # Repeated rows would double each line of a document: keep one of each place.
     rows = rows.groupBy(_D, _K, "i").agg(F.min("h").alias("h"), F.min("w").alias("w"))
@@ -53,30 +59,36 @@ def line_table(docs: DataFrame) -> DataFrame:
 
 
 def fingerprints(lines: DataFrame, gram_words: int = GRAM_WORDS, min_words: int = MIN_WORDS) -> DataFrame:
-    """The selected grams: (document, p, fp)."""
+    """The selected grams: (document, p, fp, before, after), with the hashes of
+    the lines around (0 at a text's ends)."""
     o = Window.partitionBy(_D, _K).orderBy("s")
     gram = o.rangeBetween(0, gram_words - 1)
     near = o.rangeBetween(0, min_words - gram_words)
-    grams = lines.select(
-        _D, _K, "p", "s",
-        F.when(F.sum("w").over(gram) >= gram_words,
-               F.substring(F.md5(F.concat_ws(",", F.collect_list("h").over(gram)).cast("binary")), 1, 16)).alias("fp"))
-    best = F.min(F.when(F.col("fp").isNotNull(), F.struct("fp", "p"))).over(near)
-    return (grams.select(_D, _K, best.alias("m")).filter("m IS NOT NULL")
-            .select(_D, _K, F.col("m.p").alias("p"), F.col("m.fp").alias("fp")).distinct())
+    grams = lines.withColumn("next", F.lead("h", 1, 0).over(o)).select(
+        _D, _K, "p", "s", F.when(F.sum("w").over(gram) >= gram_words, _hash(F.concat_ws(",", F.collect_list("h").over(gram)))).alias("fp"),
+        F.lag("h", 1, 0).over(o).alias("before"), F.last("next").over(gram).alias("after"))
+    best = F.min(F.when(F.col("fp").isNotNull(), F.struct("fp", "p", "before", "after"))).over(near)
+    return grams.select(_D, _K, best.alias("m")).filter("m IS NOT NULL").select(_D, _K, "m.p", "m.fp", "m.before", "m.after").distinct()
 
 
 def repeated_runs(lines: DataFrame, fps: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """Later runs as (document, first and last line place, words, where from)."""
     place = F.struct(F.col(_D).alias("d"), F.col(_K).alias("k"), F.col("p").alias("p"))
-    # A passage can be in a third of all documents: the first place comes from a
-    # combined aggregate, and the nearest earlier one is looked up within shares.
-    firsts = fps.groupBy("fp").agg(F.min(place).alias("a"), F.count("*").alias("n")).filter("n > 1")
-    share = Window.partitionBy("fp", F.pmod(_D, F.lit(SHARES))).orderBy(_D, _K, "p")
-    seen = (fps.join(firsts, "fp").withColumn("b", F.lag(place).over(share))
-            .filter(place != F.col("a")).withColumn("b", F.coalesce("b", "a")))
-    diag = (seen.select(_D, _K, "p", F.explode(F.array("a", "b")).alias("a"))
-            .select(_D, _K, F.col("a.d").alias("d0"), F.col("a.k").alias("k0"), (F.col("p") - F.col("a.p")).alias("shift"))
+    # A passage can be in a third of all documents: first places come from combined
+    # aggregates, and the nearest earlier one is looked up within shares.
+    firsts = fps.groupBy("fp").agg(F.min(place).alias("a"), F.count("*").alias("n")).filter("n > 1").select("fp", "a")
+    seen = written(fps.join(firsts, "fp"), "seen")
+    found = seen.select(_D, _K, "p", "a")
+    for key in (["fp", "before"], ["fp", "after"], ["fp", "before", "after"]):
+        first = seen.groupBy(*key).agg(F.min(place).alias("c"), F.count("*").alias("n")).filter("n > 1").select(*key, "c")
+        # the first place of all is known already
+        found = found.union(seen.join(first, key).filter(F.col("c") != F.col("a")).select(_D, _K, "p", F.col("c").alias("a")))
+    share = F.pmod(_D, F.lit(SHARES))
+    last = F.lag(place).over(Window.partitionBy("fp", "share").orderBy(_D, _K, "p"))
+    found = found.union(seen.withColumn("share", share).repartition("fp", "share").withColumn("b", last)
+                        .filter("b IS NOT NULL AND b <> a").select(_D, _K, "p", F.col("b").alias("a")))
+    seen = found.filter(place != F.col("a"))
+    diag = (seen.select(_D, _K, F.col("a.d").alias("d0"), F.col("a.k").alias("k0"), (F.col("p") - F.col("a.p")).alias("shift"))
             .distinct())
     here = lines.select(_D, _K, "p", "i", "h", "w")
     there = lines.select(F.col(_D).alias("d0"), F.col(_K).alias("k0"), (F.col("p")).alias("p0"), F.col("h").alias("h0"))
@@ -115,22 +127,21 @@ def line_dedup(docs: DataFrame, gram_words: int = GRAM_WORDS, min_words: int = M
 ORACLE_SQL = f"""WITH raw AS (
     SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i
     FROM documents WHERE text IS NOT NULL),
-l AS (SELECT doc_id, i, left(md5(trim(line, ' ')), 16) AS h,
+l AS (SELECT doc_id, i, CAST('0x' || left(md5(trim(line, ' ')), 15) AS BIGINT) AS h,
         length(trim(line, ' ')) - length(replace(trim(line, ' '), ' ', '')) + 1 AS w,
         row_number() OVER (PARTITION BY doc_id ORDER BY i) AS p FROM raw WHERE trim(line, ' ') <> ''),
-ls AS (SELECT *, CAST(sum(w) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) - w AS s FROM l),
-g AS (SELECT doc_id, p, s, sum(w) OVER fr AS gw, md5(array_to_string(list(h) OVER fr, ',')) AS full_fp FROM ls
+ls AS (SELECT *, CAST(sum(w) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) - w AS s,
+        lead(h, 1, 0) OVER (PARTITION BY doc_id ORDER BY i) AS nh, lag(h, 1, 0) OVER (PARTITION BY doc_id ORDER BY i) AS bh FROM l),
+g AS (SELECT doc_id, p, s, bh, last_value(nh) OVER fr AS ah, sum(w) OVER fr AS gw, md5(array_to_string(list(h) OVER fr, ',')) AS full_fp FROM ls
         WINDOW fr AS (PARTITION BY doc_id ORDER BY s RANGE BETWEEN CURRENT ROW AND {GRAM_WORDS - 1} FOLLOWING)),
-gv AS (SELECT doc_id, p, s, CASE WHEN gw >= {GRAM_WORDS} THEN left(full_fp, 16) END AS fp FROM g),
-m AS (SELECT doc_id, min(CASE WHEN fp IS NOT NULL THEN {{'fp': fp, 'p': p}} END) OVER (PARTITION BY doc_id ORDER BY s
+gv AS (SELECT doc_id, p, s, bh, ah, CASE WHEN gw >= {GRAM_WORDS} THEN CAST('0x' || left(full_fp, 15) AS BIGINT) END AS fp FROM g),
+m AS (SELECT doc_id, min(CASE WHEN fp IS NOT NULL THEN {{'fp': fp, 'p': p, 'bh': bh, 'ah': ah}} END) OVER (PARTITION BY doc_id ORDER BY s
         RANGE BETWEEN CURRENT ROW AND {MIN_WORDS - GRAM_WORDS} FOLLOWING) AS b FROM gv),
-fps AS (SELECT DISTINCT doc_id, b.p AS p, b.fp AS fp FROM m WHERE b IS NOT NULL),
-firsts AS (SELECT fp, min({{'d': doc_id, 'p': p}}) AS a FROM fps GROUP BY fp HAVING count(*) > 1),
-seen AS (SELECT doc_id, p, a, lag({{'d': doc_id, 'p': p}}) OVER (PARTITION BY fp, doc_id % {SHARES} ORDER BY doc_id, p) AS b
-        FROM fps JOIN firsts USING (fp)),
-diag AS (SELECT DISTINCT doc_id, c.d AS d0, p - c.p AS shift FROM (
-        SELECT doc_id, p, a AS c FROM seen WHERE {{'d': doc_id, 'p': p}} <> a
-        UNION ALL SELECT doc_id, p, coalesce(b, a) FROM seen WHERE {{'d': doc_id, 'p': p}} <> a)),
+fps AS (SELECT DISTINCT doc_id, b.p AS p, b.fp AS fp, b.bh AS bh, b.ah AS ah FROM m WHERE b IS NOT NULL),
+pl AS (SELECT *, {{'d': doc_id, 'p': p}} AS x FROM fps),
+seen AS (SELECT doc_id, p, x, unnest([min(x) OVER (PARTITION BY fp), min(x) OVER (PARTITION BY fp, bh), min(x) OVER (PARTITION BY fp, ah),
+        min(x) OVER (PARTITION BY fp, bh, ah), lag(x) OVER (PARTITION BY fp, doc_id % {SHARES} ORDER BY doc_id, p)]) AS c FROM pl),
+diag AS (SELECT DISTINCT doc_id, c.d AS d0, p - c.p AS shift FROM seen WHERE c IS NOT NULL AND c <> x),
 eq AS (SELECT x.doc_id, x.d0, x.shift, h.i, h.p, h.w FROM diag x JOIN ls h ON h.doc_id = x.doc_id
         JOIN ls t ON t.doc_id = x.d0 AND t.p = h.p - x.shift AND t.h = h.h),
 isle AS (SELECT *, p - row_number() OVER (PARTITION BY doc_id, d0, shift ORDER BY p) AS g FROM eq),
