@@ -313,3 +313,69 @@ def test_adf_level_constant_groups_and_blocks(spark, monkeypatch):
         assert got[k]["adf_stat"] == pytest.approx(alone["adf_stat"], abs=1e-8 if k != None else 1e-5)  # noqa: E711
         assert got[k]["used_lag"] == alone["used_lag"] and got[k]["n_obs"] == alone["n_obs"]
     assert got["c"]["adf_stat"] is None and got["c"]["n"] == 30 and got["s"]["adf_stat"] is None
+
+
+def test_index_of_nan_null_and_tied_keys(spark):
+    """NULL sorts first and NaN last, and ties are ordered alike, at any number of partitions."""
+    rng = np.random.default_rng(4)
+    keys = [None] * 7 + [float("nan")] * 9 + [float(x) for x in rng.integers(0, 12, 150)]
+    rows = [(k, f"r{i}") for i, k in enumerate(keys)]
+    seen = []
+    for parts in (1, 7, 64):
+        df = spark.createDataFrame(rows, "k double, name string").repartition(3)
+        got = dense_index(df, ["k"], partitions=parts, size="n").orderBy("idx").collect()
+        assert [r["idx"] for r in got] == list(range(len(rows))) and {r["n"] for r in got} == {len(rows)}
+        order = [r["k"] for r in got]
+        assert order[:7] == [None] * 7 and all(np.isnan(x) for x in order[-9:]) and order[7:-9] == sorted(order[7:-9])
+        seen.append([r["name"] for r in got])
+    assert seen[0] == seen[1] == seen[2]
+
+
+def test_null_keys_are_groups(spark):
+    rows = [(None if i % 3 == 0 else "ab"[i % 2], i, float(i % 17)) for i in range(300)]
+    df = spark.createDataFrame(rows, "g string, i int, v double")
+    from statlens.operators import changepoint, distribution, outliers, rolling, trend
+    assert rolling.row_index(df, ["i"], ["g"]).count() == 300
+    assert rolling.rolling(df, "v", ["i"], ["g"]).count() == 300
+    assert trend.trend_band(df, "v", ["i"], ["g"]).count() == 300
+    for r in (outliers.outlier_report(df, ["v"], ["g"]), distribution.box_stats(df, "v", ["g"]), distribution.mean_ci(df, "v", by=["g"]),
+              changepoint.change_point_count(df, "v", ["i"], ["g"]), distribution.histogram(df, "v", ["g"]).select("g").distinct(),
+              distribution.kde_curve(df, "v", by=["g"]).select("g").distinct()):
+        assert sorted(str(x["g"]) for x in r.collect()) == ["None", "a", "b"]
+    short = changepoint.change_points(df.limit(5), "v", ["i"])
+    assert short.count() == 0 and short.columns == changepoint.change_points(df, "v", ["i"]).columns
+
+
+def test_correlation_of_many_columns(spark):
+    from statlens.operators import correlation
+
+    rng = np.random.default_rng(9)
+    a = rng.normal(size=(300, 60)) + 1e6
+    a[:, 1] = a[:, 0] * 2
+    a[:, 2] = 5.0
+    a[rng.random(a.shape) < 0.1] = np.nan
+    names = [f"c{j}" for j in range(60)]
+    df = spark.createDataFrame(pd.DataFrame(a, columns=names))
+    got = {(r["var1"], r["var2"]): r for r in correlation.corr_matrix(df, names).collect()}
+    assert len(got) == 3600
+    want = pd.DataFrame(a, columns=names).corr()
+    for i, j in [(0, 1), (3, 40), (59, 7), (1, 0)]:
+        assert got[names[i], names[j]]["corr"] == pytest.approx(want.iloc[i, j], abs=1e-9)
+        assert got[names[i], names[j]]["n"] == int((~np.isnan(a[:, i]) & ~np.isnan(a[:, j])).sum())
+    assert got["c2", "c5"]["corr"] is None and got["c4", "c4"]["corr"] == 1.0
+
+
+def test_histogram_of_an_extreme_value_says_so(spark):
+    from statlens.operators import distribution
+
+    df = spark.createDataFrame([(float(x),) for x in np.random.default_rng(0).random(2000)] + [(1e12,)], "v double")
+    with pytest.raises(Exception, match="raise max_bins"):
+        distribution.histogram(df, "v").collect()
+
+
+def test_t_quantiles_of_many_groups(spark):
+    from statlens.operators import distribution
+
+    df = spark.range(100_000).selectExpr("id % 40000 AS g", "cast(id AS double) AS v")
+    got = distribution.mean_ci(df, "v", by=["g"])
+    assert got.count() == 40_000 and got.where("ci_lower > ci_upper").count() == 0
