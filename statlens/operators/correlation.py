@@ -64,7 +64,8 @@ def _pairs(df: DataFrame, cols: list[str], by: list[str]) -> DataFrame:
     # what rounding leaves of a constant column's variance counts as none
     flat = (vx <= 1e-12 * F.col("xx")) | (vy <= 1e-12 * F.col("yy"))
     r = F.when(~flat, F.try_divide(cov, F.sqrt(vx) * F.sqrt(vy)))
-    r = F.when(F.col("j") == F.col("_i"), F.lit(1.0)).when(n >= 3, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
+    # least and greatest pass over NULL, so it is kept out
+    r = F.when(F.col("j") == F.col("_i"), F.lit(1.0)).when((n >= 3) & r.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
     return each.select(*keys, "var1", F.get(name, F.col("j")).alias("var2"), n.cast("long").alias("n"), r.alias("corr"))
 
 
