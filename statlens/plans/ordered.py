@@ -31,6 +31,8 @@ from statlens.session import written
 
 #: Consecutive rows of a series that one window sorts together.
 BLOCK = 65_536
+#: Ranges of an index where the caller names none; None: as many as the session shuffles to.
+PARTITIONS: int | None = None
 _LOW = (1 << 33) - 1  # monotonically_increasing_id: partition above bit 33, row below
 
 
@@ -40,14 +42,15 @@ def dense_index(df: DataFrame, order_by: Sequence[str], by: Sequence[str] = (),
     and, if named, ``size`` = rows of the group.
 
     ``partitions`` is the number of ranges, by default the session's shuffle
-    partitions, as for any sort.  Rows equal in ``order_by`` get an arbitrary
-    but repeatable order.
+    partitions, as for any sort (AQE joins small neighbours).  Rows equal in
+    ``order_by`` get an arbitrary but repeatable order.
     """
     by, order_by = list(by), list(order_by)
     hashable = [q(f.name) for f in df.schema.fields if not isinstance(f.dataType, T.MapType)]
     keys = [q(c) for c in dict.fromkeys(by + order_by)] + [F.xxhash64(*hashable)]
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    base = written(df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    n = partitions or PARTITIONS
+    ranged = df.repartitionByRange(n, *keys) if n else df.repartitionByRange(*keys)
+    base = written(ranged.sortWithinPartitions(*keys)
                    .withColumn("_m", F.monotonically_increasing_id()), "ordered")
     base = base.select(*[q(c) for c in df.columns], F.shiftright("_m", 33).alias("_b"),
                        F.col("_m").bitwiseAND(F.lit(_LOW)).alias("_pos"))
@@ -68,13 +71,13 @@ def frame_bounds(w: int) -> tuple[int, int]:
 
 
 def framed_index(ix: DataFrame, by: Sequence[str] = (), *, lo: int, hi: int,
-                 aggs: Callable[[WindowSpec], dict[str, Column]], idx: str = "idx", block: int = BLOCK) -> DataFrame:
+                 aggs: Callable[[WindowSpec], dict[str, Column]], idx: str = "idx", block: int | None = None) -> DataFrame:
     """Window aggregates over the row frame [idx-lo, idx+hi] of an indexed series.
 
     ``aggs(frame)`` returns {name: window expression}.
     """
     by, cols = list(by), ix.columns
-    size = max(block, lo + hi + 1)
+    size = max(block or BLOCK, lo + hi + 1)
     own, place = F.floor(q(idx) / size).cast("long"), F.pmod(q(idx), F.lit(size))
     blocks = F.array(own, F.when((place < hi) & (own > 0), own - 1), F.when(place >= size - lo, own + 1))
     sent = ix.select("*", F.explode(F.array_compact(blocks)).alias("_blk"))
@@ -85,14 +88,14 @@ def framed_index(ix: DataFrame, by: Sequence[str] = (), *, lo: int, hi: int,
 
 def framed(df: DataFrame, order_by: Sequence[str], by: Sequence[str] = (), *, lo: int, hi: int,
            aggs: Callable[[WindowSpec], dict[str, Column]], idx: str = "idx", size: str | None = None,
-           partitions: int | None = None, block: int = BLOCK) -> DataFrame:
+           partitions: int | None = None, block: int | None = None) -> DataFrame:
     """``dense_index`` and ``framed_index`` in one."""
     ix = dense_index(df, order_by, by, idx=idx, size=size, partitions=partitions)
     return framed_index(ix, by, lo=lo, hi=hi, aggs=aggs, idx=idx, block=block)
 
 
 def rolling_frame(df: DataFrame, value: str, order_by: Sequence[str], by: Sequence[str] = (),
-                  *, w: int, idx: str = "idx", partitions: int | None = None, block: int = BLOCK) -> DataFrame:
+                  *, w: int, idx: str = "idx", partitions: int | None = None, block: int | None = None) -> DataFrame:
     """Centred rolling ``count/mean/std`` of ``value`` over w rows (sample std).
 
     Adds ``idx``, ``_wcount``, ``_wmean``, ``_wstd``; the caller applies
@@ -106,12 +109,12 @@ def rolling_frame(df: DataFrame, value: str, order_by: Sequence[str], by: Sequen
 
 
 def running_sums(ix: DataFrame, columns: Sequence[str], by: Sequence[str] = (), *, idx: str = "idx",
-                 block: int = BLOCK) -> DataFrame:
+                 block: int | None = None) -> DataFrame:
     """Add ``cum_<c>`` = sum of ``c`` (NULL as 0) over the rows up to and with this one."""
     by = list(by)
     keys = [q(c) for c in by]
     cells = {c: F.coalesce(q(c), F.lit(0)) for c in columns}
-    d = ix.withColumn("_blk", F.floor(q(idx) / block).cast("long"))
+    d = ix.withColumn("_blk", F.floor(q(idx) / (block or BLOCK)).cast("long"))
     run = Window.partitionBy(*keys, "_blk").orderBy(q(idx)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     totals = d.groupBy(*keys, "_blk").agg(*[F.sum(x).alias(f"_tot_{c}") for c, x in cells.items()])
@@ -122,7 +125,7 @@ def running_sums(ix: DataFrame, columns: Sequence[str], by: Sequence[str] = (),
 
 
 def wide_frame(ix: DataFrame, value: str, by: Sequence[str] = (), *, lo: int | Column, hi: int | Column,
-               idx: str = "idx", block: int = BLOCK) -> DataFrame:
+               idx: str = "idx", block: int | None = None) -> DataFrame:
     """Rolling ``count/mean/std`` over rows [idx-lo, idx+hi] of an indexed series
     (``dense_index``) by running sums.
 

@@ -8,6 +8,7 @@ import pytest
 
 import __spark_entry__ as E
 from scripts.check_oracle import TABLES, digest
+from statlens.plans import ordered
 
 SF = os.environ.get("STATLENS_TEST_SF", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test data not present")
@@ -37,6 +38,18 @@ def test_query_matches_oracle(spark, con, name):
     assert digest(sdf.columns, rows)[0] == digest(rel.columns, drows)[0]
 
 
+ORDERED = ["row_index_by_user", "rolling", "rolling_by_user", "trend_band", "seasonal_decompose", "change_points", "change_points_by_type",
+           "rolling_null_key", "df_test", "adf_test_lag1", "roc_curve", "missing_by_bucket"]
+
+
+@pytest.mark.parametrize("name", ORDERED)
+def test_ordered_queries_in_many_ranges_and_blocks(spark, con, name, monkeypatch):
+    """The plans of long series, forced on the small table."""
+    monkeypatch.setattr(ordered, "PARTITIONS", 7)
+    monkeypatch.setattr(ordered, "BLOCK", 101)
+    test_query_matches_oracle(spark, con, name)
+
+
 def test_entry(spark):
     df = E.entry(spark)
     assert df.count() >= 4
