@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from statlens.llm.common import forget, written
@@ -24,6 +24,13 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     return out.filter("u <> v").distinct()
 
 
+def _measured(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """``edges`` written, with their count and a hash of their set (taken on the way)."""
+    seen = Observation()
+    edges = written(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")), "edges")
+    return edges, (seen.get["n"], seen.get["x"])
+
+
 def components(links: DataFrame) -> DataFrame:
     """``links`` (a, b) to (node, label): label is the smallest node reachable.
 
@@ -31,14 +38,21 @@ def components(links: DataFrame) -> DataFrame:
     halves the depth of the trees, so rounds grow with the logarithm of the
     longest chain.
     """
-    edges = written(links.select(F.col("a").alias("u"), F.col("b").alias("v")).filter("u <> v").distinct(), "edges")
+    edges, state = _measured(links.select(F.col("a").alias("u"), F.col("b").alias("v")).filter("u <> v").distinct())
     before = None
-    while True:
-        state = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if state == before:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).union(
-                edges.select("v", "v").distinct())
-        before = state
-        mid = _stars(edges, large=True)
-        last, edges = edges, written(_stars(mid, large=False), "edges")
+    while state != before and state[0]:
+        last, before = edges, state
+        edges, state = _measured(_stars(_stars(edges, large=True), large=False))
         forget(last)
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).union(edges.select("v", "v").distinct())
+
+
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Components after more ``links`` (a, b), from the ``labels`` before them:
+    only the labels that the links join are searched."""
+    ends = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    known = written(labels.union(ends.join(labels, "node", "left_anti").select("node", F.col("node").alias("label"))), "labels")
+    a, b = (known.select(F.col("node").alias(x), F.col("label").alias(f"l{x}")) for x in ("a", "b"))
+    joined = components(links.join(a, "a").join(b, "b").select(F.col("la").alias("a"), F.col("lb").alias("b")))
+    joined = joined.select(F.col("node").alias("old"), F.col("label").alias("new"))
+    return written(known.join(joined, known.label == joined.old, "left").select("node", F.coalesce("new", "label").alias("label")), "labels")

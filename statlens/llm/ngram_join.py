@@ -28,15 +28,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from statlens.llm import shingles as S
-from statlens.llm.common import written
-from statlens.llm.components import components
+from statlens.llm.common import forget, written
+from statlens.llm.components import components, merged
 from statlens.llm.shingles import U
 
 #: Nodes of a block: their sketches are compared as one matrix.
@@ -215,29 +214,50 @@ def _apart(open_: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     held = held.join(nodes.select("node", "n", "sketch"), "node")
     sent = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     sent = sent.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "label", "n", "sketch")
+    sent = (sent.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+            .select(F.xxhash64("key", "i", "j").alias("run"), "i", "j", "block", "node", "label", "n", "sketch"))
 
-    def rows(g: pd.DataFrame) -> pd.DataFrame:
-        size = min(map(len, g["sketch"]))
-        bits = np.array([S.folded(sk, size) for sk in g["sketch"]]).view(U)
-        node, label, n, block = (g[c].to_numpy() for c in ("node", "label", "n", "block"))
-        left, right = (np.flatnonzero(block == g[c].iloc[0]) for c in ("i", "j"))
-        names, times = np.unique(label, return_counts=True)
-        main = label == names[times.argmax()]  # its members needn't be compared with each other
-        out = [np.empty((0, 2), np.int64)]
-        for rows_, cols in ((left[~main[left]], right), (left[main[left]], right[~main[right]])):
-            step = max(1, 4_000_000 // (max(1, len(cols)) * bits.shape[1]))
-            for at in range(0, len(rows_) if len(cols) else 0, step):
-                x = rows_[at:at + step]
-                apart = np.bitwise_count(bits[x, None] ^ bits[None, cols]).sum(axis=2, dtype=np.int64)
-                total = n[x, None] + n[None, cols]
-                near = (100 * np.minimum(n[x, None], n[None, cols]) >= percent * np.maximum(n[x, None], n[None, cols]))
-                near &= (apart <= total * (100 - percent) // (100 + percent)) & (label[x, None] != label[None, cols])
-                p, q = np.nonzero(near)
-                out.append(np.column_stack([node[x[p]], node[cols[q]]]))
-        pairs = np.unique(np.sort(np.concatenate(out), axis=1), axis=0)
-        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
-
-    return sent.groupBy("key", "i", "j").applyInPandas(rows, "a long, b long").distinct()
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left: pa.Table | None = None  # the run that may go on in the next batch
+        for b in batches:
+            t = pa.Table.from_batches([b] if left is None else [*left.to_batches(), b])
+            run = t["run"].to_numpy()
+            cuts = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
+            left = t.slice(cuts[-1]).combine_chunks()
+            yield from _compared(t.slice(0, cuts[-1]), cuts, percent)
+        if left is not None:
+            yield from _compared(left, np.zeros(1, np.int64), percent)
+
+    return sent.mapInArrow(rows, "a long, b long").distinct()
+
+
+def _compared(t: pa.Table, cuts: np.ndarray, percent: int) -> Iterator[pa.RecordBatch]:
+    """The pairs of each run (rows from one cut to the next) that may link."""
+    if not t.num_rows:
+        return
+    i, j, block, node, label, n = (t[c].to_numpy() for c in ("i", "j", "block", "node", "label", "n"))
+    sketch = t["sketch"].to_pylist()
+    ends = [*cuts[1:], t.num_rows] if len(cuts) == 1 else cuts[1:]
+    out = [np.empty((0, 2), np.int64)]
+    for start, end in zip(cuts, ends):
+        own = np.arange(start, end)
+        size = min(len(sketch[x]) for x in own)
+        bits = np.array([S.folded(sketch[x], size) for x in own]).view(U)
+        names, times = np.unique(label[own], return_counts=True)
+        main = label[own] == names[times.argmax()]  # its members needn't be compared with each other
+        first, second = block[own] == i[start], block[own] == j[start]
+        for x, y in ((first & ~main, second), (first & main, second & ~main)):
+            x, y = np.flatnonzero(x), np.flatnonzero(y)
+            step = max(1, 4_000_000 // (max(1, len(y)) * bits.shape[1]))
+            for at in range(0, len(x) if len(y) else 0, step):
+                p = x[at:at + step]
+                apart = np.bitwise_count(bits[p, None] ^ bits[None, y]).sum(axis=2, dtype=np.int64)
+                na, nb = n[own[p], None], n[None, own[y]]
+                near = (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)) & (apart <= (na + nb) * (100 - percent) // (100 + percent))
+                u, v = np.nonzero(near & (label[own[p], None] != label[None, own[y]]))
+                out.append(np.column_stack([node[own[p[u]]], node[own[y[v]]]]))
+    pairs = np.unique(np.sort(np.concatenate(out), axis=1), axis=0)
+    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
 
 def ngram_join(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -255,20 +275,26 @@ def ngram_join(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     tried = written(_sketched(pairs, nodes, percent), "tried")
     texts = written(_texts(tried, sets, docs), "texts")
     links = written(_verified(tried, texts, width, percent), "links")
+    spent = [texts]  # written tables that the result doesn't read
 
-    open_ = written(_unsettled(members, components(links)), "open")
+    labels = components(links)
+    open_ = written(_unsettled(members, labels), "open")
     for step in range(HUBS + 1):
+        spent.append(open_)
         if open_.isEmpty():
             break
         # Some more hubs settle most of what is left; then all that may link is tried.
         near = _sketched(_second_hubs(open_), nodes, percent) if step < HUBS else _apart(open_, nodes, percent)
         near = written(near.join(tried, ["a", "b"], "left_anti"), "near")
-        links = written(links.union(_verified(near, _texts(near, sets, docs), width, percent)), "links")
+        new = written(_verified(near, _texts(near, sets, docs), width, percent), "links")
+        labels, links = merged(labels, new), links.union(new)
         if step < HUBS:
+            spent += [near, tried]
             tried = written(tried.union(near), "tried")
-            open_ = written(_unsettled(open_, components(links)), "open")
+            open_ = written(_unsettled(open_, labels), "open")
+    for df in [*spent, members, tried]:
+        forget(df)
 
-    labels = components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
     known = sets.drop("sketch").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = known.filter("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("component_id"))
@@ -295,3 +321,19 @@ def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     columns = [F.col(f"`{c}`") for c in docs.columns]
     alone = kept.filter("_nj_c = 1").select(*columns)
     return alone.union(kept.filter("_nj_c > 1").dropDuplicates(["_nj_id", "_nj_th"]).select(*columns))
+
+
+#: op1 (three words, 90 per cent) in DuckDB SQL.
+ORACLE_SQL = """WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'),
+        lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+        ELSE list_transform(generate_series(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS g FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+both_have AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM both_have JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 90 * (x.n + y.n - i)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b),
+c AS (SELECT a, least(min(b), a) AS component FROM r GROUP BY a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.component, d.doc_id) AS component_id
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.a = d.doc_id"""

@@ -24,7 +24,7 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents linked at 90 per cent of common 3-word shingles."""
     return (_ngram_join.ngram_join(_t(spark, sf_dir, "documents"), width=3, percent=90)
-            .select("doc_id", "n_shingles", "component_id", "links"))
+            .select("doc_id", "n_shingles", "component_id"))
 
 
 def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,4 +89,9 @@ QUERIES = {
     "op10_decontaminate": op10_decontaminate,
 }
 
-ORACLE_SQL = {"op6_line_dedup": _line_dedup.ORACLE_SQL, "op7_lm_score": _lm_score.ORACLE_SQL}
+ORACLE_SQL = {
+    "op1_ngram_join": _ngram_join.ORACLE_SQL,
+    "op2_nearest": _nearest.ORACLE_SQL,
+    "op6_line_dedup": _line_dedup.ORACLE_SQL,
+    "op7_lm_score": _lm_score.ORACLE_SQL,
+}
