@@ -73,16 +73,14 @@ def key_table(docs: DataFrame, width: int, percent: int) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, ROWS):
-                found: dict[int, np.ndarray] = {}
+                found = {}  # copies in a slice are keyed once
                 for t in whole.column(0).slice(at, ROWS):
                     s = S.shingle_set(t.as_py(), width)
-                    if len(s) and (node := _node(s)) not in found:
-                        found[node] = S.segment_keys(s, percent)
-                if found:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate(list(found.values())).view(np.int64)),
-                         pa.array(np.repeat(np.fromiter(found, np.int64, len(found)), [len(k) for k in found.values()]))],
-                        ["key", "node"])
+                    if len(s):
+                        found[_node(s)] = s
+                keys, of = S.segment_keys(list(found.values()), percent)
+                nodes = np.fromiter(found, np.int64, len(found))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(nodes[of])], ["key", "node"])
 
     return docs.filter(F.col("text").isNotNull()).select("text").mapInArrow(rows, "key long, node long")
 

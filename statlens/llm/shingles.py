@@ -59,8 +59,9 @@ def segments(band: int, percent: int) -> int:
     return max(need, need * 115 // 100)
 
 
-def segment_keys(s: np.ndarray, percent: int) -> np.ndarray:
-    """Join keys of a set: two sets with Jaccard >= percent share at least one.
+def segment_keys(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Join keys of each set, and the number of the set that each belongs to: two
+    sets with Jaccard >= percent share at least one.
 
     In the band of the smaller set, each shingle flips one bit of one segment.
     A pair that differs in d shingles has d or fewer segments that differ, so of
@@ -68,29 +69,40 @@ def segment_keys(s: np.ndarray, percent: int) -> np.ndarray:
     then by key; the first of the equal ones is among the first d+1 of either
     set, so the first d+1 are enough (d for the largest possible partner).
     """
-    n = len(s)
-    if not n:
-        return np.empty(0, U)
-    band, out = n.bit_length() - 1, []
-    wanted = [(band, most_apart(n + 100 * n // percent, percent) + 1)]
-    below = 2 ** band - 1  # the largest set of the band below
-    if band and -(-percent * n // 100) <= below:
-        wanted.append((band - 1, most_apart(n + below, percent) + 1))
-    spread = mix(s ^ U(0xD6E8FEB86659FD93))
-    for b, count in wanted:
-        k = segments(b, percent)
-        place = (((s >> U(32)) * U(k) >> U(32)) << U(SEGMENT_BITS)) | (spread >> U(64 - SEGMENT_BITS))
-        place, times = np.unique(place, return_counts=True)
-        place = place[times % 2 == 1]
-        seg = (place >> U(SEGMENT_BITS)).astype(np.int64)
-        bits = np.bincount(seg, minlength=k)
-        keys = np.zeros(k, U)
-        if len(seg):
-            starts = np.flatnonzero(np.r_[True, seg[1:] != seg[:-1]])
-            keys[seg[starts]] = np.bitwise_xor.reduceat(mix(place + U(1)), starts)
-        keys = mix(keys ^ mix(np.arange(k, dtype=U) + (U(b + 1) << U(40))))
-        out.append(keys[np.lexsort((keys, -bits))[:count]])
-    return np.concatenate(out)
+    owner, band, count = [], [], []
+    for at, s in enumerate(sets):
+        n = len(s)
+        if not n:
+            continue
+        b = n.bit_length() - 1
+        owner.append(at), band.append(b), count.append(most_apart(n + 100 * n // percent, percent) + 1)
+        below = 2 ** b - 1  # the largest set of the band below
+        if b and -(-percent * n // 100) <= below:
+            owner.append(at), band.append(b - 1), count.append(most_apart(n + below, percent) + 1)
+    if not owner:
+        return np.empty(0, U), np.empty(0, np.int64)
+    k = np.array([segments(b, percent) for b in band])
+    first = np.cumsum(k) - k  # a sketch is a row of k segments; all rows in one array
+    s = np.concatenate([sets[at] for at in owner])
+    row = np.repeat(np.arange(len(owner)), [len(sets[at]) for at in owner])
+    seg = (s >> U(32)) * k[row].astype(U) >> U(32)
+    place = ((first[row].astype(U) + seg) << U(SEGMENT_BITS)) | (mix(s ^ U(0xD6E8FEB86659FD93)) >> U(64 - SEGMENT_BITS))
+    place, times = np.unique(place, return_counts=True)
+    place = place[times % 2 == 1]
+    slot = (place >> U(SEGMENT_BITS)).astype(np.int64)
+    total = int(k.sum())
+    of = np.repeat(np.arange(len(owner)), k)
+    number = np.arange(total) - first[of]
+    bits = np.bincount(slot, minlength=total)
+    keys = np.zeros(total, U)
+    if len(slot):
+        starts = np.flatnonzero(np.r_[True, slot[1:] != slot[:-1]])
+        own = place - (first[of[slot]].astype(U) << U(SEGMENT_BITS))  # the place in its own sketch
+        keys[slot[starts]] = np.bitwise_xor.reduceat(mix(own + U(1)), starts)
+    keys = mix(keys ^ mix(number.astype(U) + ((np.array(band, U) + U(1)) << U(40))[of]))
+    order = np.lexsort((keys, -bits, of))
+    chosen = order[number < np.array(count)[of]]  # rows stay in their places, so number is the rank as well
+    return keys[chosen], np.array(owner)[of[chosen]]
 
 
 def sketch(s: np.ndarray) -> bytes:

@@ -122,7 +122,9 @@ def test_similar_sets_share_a_key_and_sketches_bound_the_difference(percent):
             gone, new = r.integers(0, room + 1, 2)
             b = np.unique(np.concatenate([r.permutation(a)[min(gone, n - 1):], r.integers(0, 2**63, new).astype(np.uint64)]))
             if S.linked(a, b, percent):
-                assert np.intersect1d(S.segment_keys(a, percent), S.segment_keys(b, percent)).size, (n, gone, new)
+                keys, of = S.segment_keys([a, b[:0], b], percent)
+                assert np.intersect1d(keys[of == 0], keys[of == 2]).size, (n, gone, new)
+                assert not (of == 1).any() and (keys[of == 2] == S.segment_keys([b], percent)[0]).all()
                 assert S.may_link(len(a), S.sketch(a), len(b), S.sketch(b), percent)
 
 
