@@ -1,42 +1,21 @@
-"""Helpers shared by the operators: written tables, row keys, dispatch of blocks."""
+"""Helpers shared by the operators: written tables, folds, columns from texts."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-_LOCAL: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``.
-
-    Only a local session (tests) that names none gets a folder of its own;
-    a cluster without the setting is an error, because executors do not see
-    each other's disks.
-    """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return _LOCAL.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="statlens-llm-"))
+from statlens import session
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read back: lineage is
-    cut, and a lost executor costs no more than a read."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/llm-{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """``df`` as a table in the shared folder (``statlens.session.written``)."""
+    return session.written(df, f"llm-{name}")
 
 
 def forget(df: DataFrame) -> None:
@@ -54,18 +33,6 @@ def crc_mod(doc_id: Column, mod: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % mod
 
 
-def crc_mod_py(doc_id: object, mod: int) -> int:
-    return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % mod
-
-
-def free_name(df: DataFrame, wanted: str) -> str:
-    """``wanted``, lengthened until no column of ``df`` has it (case ignored)."""
-    taken = {c.lower() for c in df.columns}
-    while wanted.lower() in taken:
-        wanted += "_"
-    return wanted
-
-
 def with_text_columns(df: DataFrame, make, fields: list[tuple[str, str]], text: str = "text", rows: int = 256) -> DataFrame:
     """``df`` with columns that ``make(texts)`` returns for lists of whole texts.
 
