@@ -111,7 +111,8 @@ def infer_dates(df: DataFrame, name_parts: Sequence[str] = DATE_NAME_PARTS,
     """String columns whose lower-cased name contains a part are turned
     into timestamps when every non-null value reads in one form: ISO 8601, or
     the first of ``formats`` that fits them all; otherwise left as they are (all
-    or nothing, one aggregate for all candidates and forms)."""
+    or nothing; one aggregate for all candidates, over the forms that a first value
+    fits)."""
     cand = [f.name for f in df.schema.fields
             if isinstance(f.dataType, STRING_TYPES) and any(p in f.name.lower() for p in name_parts)]
     if not cand:
@@ -122,11 +123,15 @@ def infer_dates(df: DataFrame, name_parts: Sequence[str] = DATE_NAME_PARTS,
         return [F.expr(f"try_cast({_name(c)} AS TIMESTAMP_NTZ)")] + [
             F.try_to_timestamp(text, F.lit(f + t)).cast("timestamp_ntz") for f in formats for t in TIMES]
 
+    # The forms that fit a column's first value are counted over all of them.
+    firsts = df.agg(*[F.first(q(c), ignorenulls=True).alias(c) for c in cand])
+    fit = firsts.select(*[F.array(*[x.isNotNull() | q(c).isNull() for x in forms(c)]).alias(c) for c in cand]).first()
+    tried = {c: [x for x, ok in zip(forms(c), fit[c]) if ok] for c in cand}
     counts = df.agg(*[F.count(q(c)).alias(f"_n{i}") for i, c in enumerate(cand)],
-                    *[F.count(x).alias(f"_p{i}_{k}") for i, c in enumerate(cand) for k, x in enumerate(forms(c))]).first()
+                    *[F.count(x).alias(f"_p{i}_{k}") for i, c in enumerate(cand) for k, x in enumerate(tried[c])]).first()
     out = {}
     for i, c in enumerate(cand):
-        for k, x in enumerate(forms(c)):
+        for k, x in enumerate(tried[c]):
             if counts[f"_p{i}_{k}"] == counts[f"_n{i}"]:
                 out[c] = x.alias(c)
                 break
