@@ -1,12 +1,11 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman.
 
 Words are the runs of letters, digits and non-ASCII bytes, A-Z in lower case.
 One scan of the corpus finds where documents share an n-gram (``GRAM`` words)
 with a test item and keeps the passages around, as long as the longest item with
-that n-gram on either side.  Counts of the n-grams over all of the corpus then
-tell the seeds: of every ``WINDOW`` n-grams in a row, an item's rarest one.  So a
-stretch of GRAM + WINDOW - 1 unchanged words always has a seed.  Passages join
-items on seeds, and a local alignment of words (match 1, else -1) scores them.
+that n-gram on either side.  Every passage and item that share an n-gram are a
+pair, however common the n-gram is, and a local alignment of words (match 1, else
+-1) scores it; pairs that share too few words to reach the score need none.
 A document is contaminated where the score is ``SHARE`` of the item's words, and
 ``LEAST`` or all of them.
 
@@ -25,14 +24,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from statlens.llm.common import written
 from statlens.llm.shingles import U, gram_hashes
 
 GRAM = 4
-WINDOW = 4
 SHARE = 0.5
 LEAST = 8
 #: Words of test items that one scan looks for.
@@ -123,9 +121,12 @@ def _aligned(pairs: DataFrame) -> DataFrame:
         for b in batches:
             out = []
             for doc, th, item, first, pw, iw in zip(*(b.column(k).to_pylist() for k in range(6))):
-                w = hashed(iw.encode("utf-8", "surrogatepass").split())
-                score, end = align(w, hashed(pw.encode("utf-8", "surrogatepass").split()))
-                if score >= max(SHARE * len(w), min(len(w), LEAST)):
+                w, p = (hashed(x.encode("utf-8", "surrogatepass").split()) for x in (iw, pw))
+                need = max(SHARE * len(w), min(len(w), LEAST))
+                if np.isin(w, p).sum() < need:  # the score is at most the item's words found
+                    continue
+                score, end = align(w, p)
+                if score >= need:
                     out.append((doc, th, item, score, len(w), first + end))
             cols = list(zip(*out)) if out else [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in cols], ["doc_id", "th", "item_id", "score", "item_words", "end_word"])
@@ -151,16 +152,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         return items.selectExpr("0L AS doc_id", "0L AS th", "item_id", "0L AS score", "n AS item_words", "0D AS similarity", "0L AS end_word").limit(0)
 
     hits = found.select("doc_id", "th", "first", F.explode("hits").alias("gram"))
-    counts = hits.groupBy("gram").agg(F.count("*").alias("count"))
-    ahead = Window.partitionBy("item_id", "iw").orderBy("pos").rowsBetween(0, WINDOW - 1)
-    seeds = (items.join(counts, "gram")  # an n-gram that no document has is no seed
-             .select("item_id", "iw", "pos", F.min(F.struct("count", "pos", "gram")).over(ahead).alias("s"))
-             .select("item_id", "iw", F.col("s.gram").alias("gram")).distinct())
-    seeds = written(seeds, "seeds")
-    who = seeds.select("item_id", "iw", "gram")
-    pairs = hits.distinct().join(who.select("item_id", F.xxhash64("iw").alias("ih"), "gram"), "gram").select("doc_id", "th", "first", "item_id", "ih").distinct()
+    who = items.select("item_id", F.xxhash64("iw").alias("ih"), "gram").distinct()
+    pairs = hits.join(who, "gram").select("doc_id", "th", "first", "item_id", "ih").distinct()
     texts = found.select(F.col("doc_id").alias("d"), F.col("th").alias("t"), F.col("first").alias("f"), "pw").distinct()
-    whole = who.select(F.col("item_id").alias("i"), F.xxhash64("iw").alias("h"), "iw").distinct()
+    whole = items.select(F.col("item_id").alias("i"), F.xxhash64("iw").alias("h"), "iw").distinct()
     pairs = (pairs.join(texts, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")) & (F.col("first") == F.col("f")))
              .join(whole, F.col("item_id").eqNullSafe(F.col("i")) & (F.col("ih") == F.col("h"))))
     best = _aligned(pairs).groupBy("doc_id", "th", "item_id").agg(F.max(F.struct("score", "item_words", "end_word")).alias("m"))

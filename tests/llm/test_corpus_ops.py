@@ -200,6 +200,19 @@ def test_copies_edited_copies_and_clean_documents(spark, monkeypatch):
         (d, t or "") for d, t in docs if d is not None and not (d in bad and (d != 300 or t == items[1][1])))
 
 
+def test_edited_copies_beside_exact_ones(spark):
+    """Exact copies make the n-grams that an edited copy kept the more frequent ones."""
+    items = [(k, " ".join(f"i{k}x{j}" for j in range(24 + k))) for k in range(12)]
+    docs = [(10 * k + c, f"before{k} {text} after{c}") for k, text in items for c in range(3)]
+    for k, text in items:
+        docs.append((10 * k + 5, " ".join(f"new{j}" if j % 6 == 5 else w for j, w in enumerate(text.split()))))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    df, want = docs_of(spark, docs), leaks(docs, items)
+    assert {d for d, _, _ in want} == {d for d, _ in docs}
+    assert {(x.doc_id, x.item_id, x.score) for x in D.contaminated(df, bench).collect()} == want
+    assert D.clean(df, bench).count() == 0
+
+
 def test_decontamination_of_nothing(spark, empty_docs, edge_rows):
     bench = spark.createDataFrame([(1, prose(5999, 30))], "item_id long, text string")
     assert D.contaminated(empty_docs, bench).count() == 0
