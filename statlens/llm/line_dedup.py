@@ -3,16 +3,14 @@
 Lines are the non-blank pieces of a text between line feeds.  The *gram* at a
 line is the shortest run of lines from there that has ``gram_words`` words.
 Of all grams that start within ``min_words - gram_words`` words of a line, the
-one with the smallest hash is selected, so every run of whole lines with
-``min_words`` words holds a selected gram, and two equal runs select the same
-one (the winnowing guarantee, with words as the unit because lines differ so
-much in length).  A selected gram joins earlier places in the order of (doc_id,
-text hash, line): its first one, the first ones with the same line before, with
-the same line after and with both, and the nearest one among the documents with
-the same doc_id modulo 32.  Each such pair is a diagonal between two documents (or
-one document and itself); on it, equal lines are extended both ways, and where
-the run has ``min_words`` words or more, its lines go from the later place.  The
-earliest copy stays.
+one with the smallest hash is selected, so equal runs of whole lines with
+``min_words`` words select equal grams (the winnowing guarantee, with words as
+the unit because lines differ so much in length), and only runs whose gram is
+selected at two places or more are looked at further.  Of those, the shortest
+runs with ``min_words`` words from each first line, and to each last line, are
+hashed whole and joined with the first place of the hash in the order of (doc_id,
+text hash, line).  The lines of a later run go; the earliest copy stays.  Any
+longer repeated run is made up of such shortest ones, so no repeat is missed.
 
 Defined cases: a NULL text stays NULL; an empty text stays empty; rows with
 the same doc_id and text count as one document and get the same text; NULL
@@ -29,6 +27,7 @@ from statlens.llm.common import written
 
 GRAM_WORDS = 25
 MIN_WORDS = 50
+#: Of the SQL twin alone, which joins a choice of earlier places.
 SHARES = 32
 _D, _K = "_ld_doc", "_ld_key"
 
@@ -58,47 +57,56 @@ def line_table(docs: DataFrame) -> DataFrame:
                        (F.sum("w").over(o.rowsBetween(Window.unboundedPreceding, 0)) - F.col("w")).alias("s"))
 
 
-def fingerprints(lines: DataFrame, gram_words: int = GRAM_WORDS, min_words: int = MIN_WORDS) -> DataFrame:
-    """The selected grams: (document, p, fp, before, after), with the hashes of
-    the lines around (0 at a text's ends)."""
-    o = Window.partitionBy(_D, _K).orderBy("s")
+def run_table(lines: DataFrame, gram_words: int = GRAM_WORDS, min_words: int = MIN_WORDS) -> DataFrame:
+    """The shortest runs of each document: place ``p`` of the first line, places
+    ``i0`` and ``i1`` among all lines, hash ``run`` and the fingerprint ``fp``
+    selected at the first line; ``new`` where no line before selected that place."""
+    doc = Window.partitionBy(_D, _K)
+    o = doc.orderBy("s")
     gram = o.rangeBetween(0, gram_words - 1)
     near = o.rangeBetween(0, min_words - gram_words)
-    grams = lines.withColumn("next", F.lead("h", 1, 0).over(o)).select(
-        _D, _K, "p", "s", F.when(F.sum("w").over(gram) >= gram_words, _hash(F.concat_ws(",", F.collect_list("h").over(gram)))).alias("fp"),
-        F.lag("h", 1, 0).over(o).alias("before"), F.last("next").over(gram).alias("after"))
-    best = F.min(F.when(F.col("fp").isNotNull(), F.struct("fp", "p", "before", "after"))).over(near)
-    return grams.select(_D, _K, best.alias("m")).filter("m IS NOT NULL").select(_D, _K, "m.p", "m.fp", "m.before", "m.after").distinct()
-
-
-def repeated_runs(lines: DataFrame, fps: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """Later runs as (document, first and last line place, words, where from)."""
+    long = o.rangeBetween(0, min_words - 1)
+    x = lines.select("*", F.when(F.sum("w").over(gram) >= gram_words, _hash(F.concat_ws(",", F.collect_list("h").over(gram)))).alias("fp"),
+                     F.when(F.sum("w").over(long) >= min_words, F.xxhash64(F.collect_list("h").over(long))).alias("ahead"),
+                     F.last("i").over(long).alias("i1"),
+                     F.lag("h").over(o).alias("h0"), F.lag("w").over(o).alias("w0"), F.lag("i").over(o).alias("i0"))
+    best = F.min(F.when(F.col("fp").isNotNull(), F.struct("fp", "p"))).over(near)
+    x = x.withColumn("fp", best).withColumn("ends", F.col("s") + F.col("w"))
+    x = x.withColumn("new", F.coalesce(F.lag("fp.p").over(o) != F.col("fp.p"), F.lit(True))).withColumn("fp", F.col("fp.fp"))
+    x = x.withColumn("fp0", F.lag("fp").over(o))
+    back = doc.orderBy("ends").rangeBetween(-(min_words - 1), 0)
+    # A last line with min_words words of its own: only the pair with another such line says that both are one run.
+    pair = (F.col("w") >= min_words) & (F.col("w0") >= min_words)
+    # Where the run without its last line has too few words, it is the shortest from its first line as well.
+    other = F.sum("w").over(back) - F.col("w") >= min_words
+    x = x.select(_D, _K, "p", "i", "fp", "ahead", "i1", "new",
+                 F.when(pair, F.xxhash64(F.array("h0", "h"))).when(other, F.xxhash64(F.collect_list("h").over(back))).alias("behind"),
+                 F.when(pair, F.lit(2)).otherwise(F.count("*").over(back)).alias("n"),
+                 F.when(pair, F.col("i0")).otherwise(F.first("i").over(back)).alias("i0"),
+                 F.when(pair, F.col("fp0")).otherwise(F.first("fp").over(back)).alias("fp0"))
+
+    def run(fp, h, p, i0, i1, new):
+        return F.struct(fp.alias("fp"), h.alias("run"), p.cast("long").alias("p"), i0.alias("i0"), i1.alias("i1"), new.alias("new"))
+
+    both = F.array(run(F.col("fp"), F.col("ahead"), F.col("p"), F.col("i"), F.col("i1"), F.col("new")),
+                   run(F.col("fp0"), F.col("behind"), F.col("p") - F.col("n") + 1, F.col("i0"), F.col("i"), F.lit(False)))
+    return x.select(_D, _K, F.inline(F.filter(both, lambda r: r["run"].isNotNull())))
+
+
+def repeated_runs(runs: DataFrame) -> DataFrame:
+    """Stretches of later runs as (document, first and last line place)."""
     place = F.struct(F.col(_D).alias("d"), F.col(_K).alias("k"), F.col("p").alias("p"))
-    # A passage can be in a third of all documents: first places come from combined
-    # aggregates, and the nearest earlier one is looked up within shares.
-    firsts = fps.groupBy("fp").agg(F.min(place).alias("a"), F.count("*").alias("n")).filter("n > 1").select("fp", "a")
-    seen = written(fps.join(firsts, "fp"), "seen")
-    found = seen.select(_D, _K, "p", "a")
-    for key in (["fp", "before"], ["fp", "after"], ["fp", "before", "after"]):
-        first = seen.groupBy(*key).agg(F.min(place).alias("c"), F.count("*").alias("n")).filter("n > 1").select(*key, "c")
-        # the first place of all is known already
-        found = found.union(seen.join(first, key).filter(F.col("c") != F.col("a")).select(_D, _K, "p", F.col("c").alias("a")))
-    share = F.pmod(_D, F.lit(SHARES))
-    last = F.lag(place).over(Window.partitionBy("fp", "share").orderBy(_D, _K, "p"))
-    found = found.union(seen.withColumn("share", share).repartition("fp", "share").withColumn("b", last)
-                        .filter("b IS NOT NULL AND b <> a").select(_D, _K, "p", F.col("b").alias("a")))
-    seen = found.filter(place != F.col("a"))
-    diag = (seen.select(_D, _K, F.col("a.d").alias("d0"), F.col("a.k").alias("k0"), (F.col("p") - F.col("a.p")).alias("shift"))
-            .distinct())
-    here = lines.select(_D, _K, "p", "i", "h", "w")
-    there = lines.select(F.col(_D).alias("d0"), F.col(_K).alias("k0"), (F.col("p")).alias("p0"), F.col("h").alias("h0"))
-    pairs = (diag.join(here, [_D, _K]).withColumn("p0", F.col("p") - F.col("shift"))
-             .join(there, ["d0", "k0", "p0"]).filter("h = h0"))
-    run = Window.partitionBy(_D, _K, "d0", "k0", "shift").orderBy("p")
-    isles = pairs.withColumn("isle", F.col("p") - F.row_number().over(run))
-    return (isles.groupBy(_D, _K, "d0", "k0", "shift", "isle")
-            .agg(F.min("i").alias("i0"), F.max("i").alias("i1"), F.sum("w").alias("words"))
-            .filter(F.col("words") >= min_words))
+    # A passage can be in a third of all documents: counts and first places come from
+    # combined aggregates.
+    shared = runs.filter("new").groupBy("fp").agg(F.count("*").alias("c")).filter("c > 1").select("fp")
+    tried = written(runs.join(shared, "fp").select(_D, _K, "p", "i0", "i1", "run"), "tried")
+    firsts = tried.groupBy("run").agg(F.min(place).alias("a"), F.count("*").alias("c")).filter("c > 1").select("run", "a")
+    later = tried.join(firsts, "run").filter(place != F.col("a")).select(_D, _K, "i0", "i1")
+    o = Window.partitionBy(_D, _K).orderBy("i0", "i1")
+    reach = F.max("i1").over(o.rowsBetween(Window.unboundedPreceding, -1))
+    isles = later.withColumn("fresh", F.coalesce(F.col("i0") > reach, F.lit(True)).cast("int")).withColumn(
+        "isle", F.sum("fresh").over(o.rowsBetween(Window.unboundedPreceding, 0)))
+    return isles.groupBy(_D, _K, "isle").agg(F.min("i0").alias("i0"), F.max("i1").alias("i1"))
 
 
 def line_dedup(docs: DataFrame, gram_words: int = GRAM_WORDS, min_words: int = MIN_WORDS) -> DataFrame:
@@ -107,8 +115,7 @@ def line_dedup(docs: DataFrame, gram_words: int = GRAM_WORDS, min_words: int = M
     Adds ``_ld_deleted``, the number of lines deleted.  See the module's text
     for the rules.
     """
-    lines = written(line_table(docs), "lines")
-    runs = repeated_runs(lines, fingerprints(lines, gram_words, min_words), min_words)
+    runs = repeated_runs(written(run_table(line_table(docs), gram_words, min_words), "runs"))
     gone = (runs.groupBy(_D, _K)
             .agg(F.array_distinct(F.flatten(F.collect_set(F.sequence("i0", "i1")))).alias("_ld_gone"))
             .withColumnsRenamed({_D: _D + "_g", _K: _K + "_g"}))

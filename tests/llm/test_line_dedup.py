@@ -1,5 +1,6 @@
 """Line dedup against a brute-force search for repeated runs."""
 
+import random
 from collections import defaultdict
 
 from helpers_llm import docs_of, prose
@@ -37,6 +38,28 @@ def test_later_runs_go_and_first_stay(spark):
     assert got[0].text == rows[0][1] and got[22].text == ""
 
 
+def test_every_later_run_around_a_common_core(spark):
+    """Passages around a core that stands alone in many documents, and lines of all lengths."""
+    r = random.Random(4)
+    core = [prose(600 + k, 3) for k in range(15)]  # 45 words
+    passage = [prose(700, 3), prose(701, 3), *core, prose(702, 3), prose(703, 3)]
+    rows = []
+    for k in range(300):
+        part = passage if k % 33 == 20 else core if k % 3 == 0 else []
+        rows.append((k, "\n".join([prose(1000 + k, r.randrange(5, 40)), *part, prose(2000 + k, r.randrange(5, 40))])))
+    pool = [prose(3000 + k, r.choice((1, 2, 3, 10, 30, 45, 50, 60))) for k in range(40)]
+    for k in range(120):  # runs out of a pool, with blank lines between some
+        at = r.randrange(len(pool))
+        own = [x for y in pool[at:at + r.randrange(1, 15)] for x in ([y, ""] if r.random() < 0.3 else [y])]
+        rows.append((400 + k, "\n".join([prose(4000 + k, 20), *own, *own[:r.randrange(3)], prose(5000 + k, 20)])))
+    got = {x.doc_id: x for x in line_dedup(docs_of(spark, rows)).collect()}
+    need = later_runs(rows)
+    assert sum(len(need[k]) > 0 for k in range(300)) == 8
+    for doc, text in rows:
+        assert got[doc].text == "\n".join(x for k, x in enumerate(text.split("\n")) if k not in need[doc]), doc
+        assert got[doc]["_ld_deleted"] == len(need[doc])
+
+
 def test_edge_rows_and_columns(spark, edge_rows):
     docs = docs_of(spark, edge_rows)
     rows = line_dedup(docs).collect()
