@@ -5,8 +5,9 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
-from helpers_llm import docs_of
+from helpers_llm import docs_of, prose
 from pyspark.sql import functions as F
 from statlens.llm import language_id as L
 from statlens.llm import main_text as M
@@ -120,6 +121,25 @@ def test_quality_edge_rows(spark, edge_rows, empty_docs):
     assert Q.quality(empty_docs, labels).count() == 0
 
 
+def test_threshold_does_not_follow_the_sample(monkeypatch, spark):
+    """The cut of a sample drawn evenly per label is that of all labelled rows."""
+    r = np.random.default_rng(5)
+    s, y = np.concatenate([r.normal(0, 1, 3000), r.normal(3, 1, 18000)]), np.repeat([0, 1], [3000, 18000])
+    blank = lambda: Q.Ranking(np.zeros(1), np.ones(1), np.zeros(1), 0.0, 1.0)
+    whole = Q._cut(blank(), s, y)
+    assert whole.threshold == pytest.approx(np.quantile(s, 1 / 7), abs=1e-9)
+    at = np.concatenate([np.arange(3000), 3000 + r.choice(18000, 3000, replace=False)])
+    part = Q._cut(blank(), s[at], y[at], {0: 3000, 1: 18000})
+    assert part.threshold == pytest.approx(whole.threshold, abs=0.06)
+    assert part.slope == pytest.approx(whole.slope, rel=0.25)
+    # The whole way from labels: the number of labelled rows reaches the cut.
+    seen = []
+    monkeypatch.setattr(Q, "_cut", lambda model, s, y, stands=None: seen.append((len(y), stands)) or model)
+    docs = docs_of(spark, [(k, prose(k, 20) if k % 5 else "BUY !!! | NOW") for k in range(200)])
+    Q.fit(docs, docs.selectExpr("doc_id", "cast(doc_id % 5 > 0 as int) AS quality"), F.lit(True), sample=40)
+    assert seen[0][0] < 140 and seen[0][1] == {0: 40, 1: 160}
+
+
 # -- main text --------------------------------------------------------------
 
 WEIGHTS = M.weights({})
