@@ -5,7 +5,7 @@ dealt to blocks, and a pair of blocks is one tile: the product of its codes,
 taken in float32 (whole numbers below 2**24, so exact), gives inner products up
 to a bound that follows from the lengths of the coding errors.  For each query
 the tile keeps every vector whose upper bound reaches the k-th largest lower
-bound, recomputes those in double precision and hands on its k best; tiles are
+bound of distinct ids, recomputes those in double precision and hands on its k best; tiles are
 merged by heaps, in shares of ``FAN`` tiles at most, until one list is left.
 No true neighbour is lost, so recall is 1.
 
@@ -56,6 +56,9 @@ def coded(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
 def tile(q: np.ndarray, qid: np.ndarray, x: np.ndarray, xid: np.ndarray, k: int):
     """For each query its k best of ``x``: lists of (query row, id, score)."""
     qc, qs, ql, qe = coded(q)
+    by_id = np.argsort(xid, kind="stable")
+    xid, x = xid[by_id], x[by_id]
+    firsts = np.flatnonzero(np.r_[True, xid[1:] != xid[:-1]])
     xc, xs, xl, xe = coded(x)
     rows: list[tuple] = []
     pieces = range(0, q.shape[1], 1040)  # 1040 * 127 * 127 < 2**24
@@ -67,8 +70,10 @@ def tile(q: np.ndarray, qid: np.ndarray, x: np.ndarray, xid: np.ndarray, k: int)
         slack = (ql[at, None] * xe[None] + qe[at, None] * (xl + xe)[None]) * (1 + 1e-9) + 1e-12 * (ql[at, None] * xl[None])
         own = qid[at, None] == xid[None]
         low = np.where(own, -np.inf, near - slack)
-        if len(x) > k:
-            floor = np.partition(low, len(x) - k, axis=1)[:, len(x) - k]
+        if len(firsts) < len(x):  # an id's vectors count once, or k of them would hide the other ids
+            low = np.maximum.reduceat(low, firsts, axis=1)
+        if len(firsts) > k:
+            floor = np.partition(low, len(firsts) - k, axis=1)[:, len(firsts) - k]
         else:
             floor = np.full(len(low), -np.inf)
         for r, (hit, mine) in enumerate(zip(near + slack >= floor[:, None], own)):

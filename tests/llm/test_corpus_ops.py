@@ -51,6 +51,17 @@ def test_neighbours(spark, monkeypatch, kw, fan):
     assert N.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_many_vectors_of_one_id(spark):
+    """An id with more vectors near the query than there are neighbours takes one place."""
+    r = random.Random(3)
+    rows = [(0, [5.0] * 6)] + [(7, [4 + r.random() for _ in range(6)]) for _ in range(25)] + [(100 + 20 * k + 1, [r.random() for _ in range(6)]) for k in range(200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((x.query_id, x["rank"], x.vec_id, x.score) for x in N.nearest(df, F.col("vec_id") % 20 == 0, k=20).collect())
+    want = sorted(exact(rows, 20))
+    assert len(got) == 20 and [g[:3] for g in got] == [w[:3] for w in want]
+    assert np.allclose([g[3] for g in got], [w[3] for w in want], rtol=1e-12)
+
+
 # -- LM scores --------------------------------------------------------------
 
 def slow_scores(rows):
