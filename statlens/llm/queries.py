@@ -14,7 +14,10 @@ from statlens.llm import nearest as _nearest
 from statlens.llm import ngram_join as _ngram_join
 from statlens.llm import packing as _packing
 from statlens.llm import quality as _quality
+from statlens.llm import resampling as _resampling
 from statlens.llm import secrets as _secrets
+from statlens.llm import spelling as _spelling
+from statlens.llm import substring_dedup as _substring_dedup
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,6 +79,25 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", "item_id", "score", "item_words", "similarity", "end_word"))
 
 
+def op11_spelling_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every frequent word of the documents with its near words' number, form and root."""
+    return (_spelling.spelling_forms(_t(spark, sf_dir, "documents"))
+            .select("word", "form", "root", "n", "n_near", "form_n"))
+
+
+def op12_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's weight towards the benchmark's words, and the rank of the drawn ones."""
+    return (_resampling.importance_resample(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "benchmark"))
+            .select("doc_id", "n_features", "weight", "score", "rank"))
+
+
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's words without those of passages of 35 words that stand elsewhere too."""
+    return (_substring_dedup.substring_dedup(_t(spark, sf_dir, "documents"))
+            .select("doc_id", F.col("_sd_words").alias("n_words"), F.col("_sd_removed").alias("n_removed"),
+                    F.col("_sd_sha256").alias("kept_sha256")))
+
+
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
     "op2_nearest": op2_nearest,
@@ -87,6 +109,9 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_main_text": op9_main_text,
     "op10_decontaminate": op10_decontaminate,
+    "op11_spelling_forms": op11_spelling_forms,
+    "op12_importance_resample": op12_importance_resample,
+    "op13_substring_dedup": op13_substring_dedup,
 }
 
 ORACLE_SQL = {
@@ -94,4 +119,7 @@ ORACLE_SQL = {
     "op2_nearest": _nearest.ORACLE_SQL,
     "op6_line_dedup": _line_dedup.ORACLE_SQL,
     "op7_lm_score": _lm_score.ORACLE_SQL,
+    "op11_spelling_forms": _spelling.ORACLE_SQL,
+    "op12_importance_resample": _resampling.ORACLE_SQL,
+    "op13_substring_dedup": _substring_dedup.ORACLE_SQL,
 }
