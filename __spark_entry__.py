@@ -14,6 +14,7 @@ projected to a few columns, which repeats them).
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -181,6 +182,21 @@ def r6(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
+def r10(df: DataFrame) -> DataFrame:
+    """:func:`r6`, and 10 significant digits of doubles from a million on (of an extreme value's own frames)."""
+    def digits(c):
+        return F.when(F.abs(c) < 1e6, F.round(c, 6)).otherwise(F.format_string("%.9e", c).try_cast("double"))
+
+    return df.select(*[digits(F.col(f"`{f.name}`")).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f"`{f.name}`")
+                       for f in df.schema.fields])
+
+
+def _r10_sql(sql: str, columns: str) -> str:
+    """Twin of :func:`r10` for a query whose doubles are rounded like ``round(x, 6)``."""
+    kept = [f"CASE WHEN abs({c}) < 1e6 THEN round({c}, 6) ELSE CAST(printf('%.9e', {c}) AS DOUBLE) END AS {c}" for c in columns.split()]
+    return f"SELECT * REPLACE ({', '.join(kept)}) FROM ({re.sub(r'round[(]([a-z_ +-]+), 6[)]', r'(\1)', sql)}) AS exact"
+
+
 # Spark simpleString of the DuckDB types found in the given tables
 _SPARK_TYPE_SQL = """CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int'
     WHEN 'DOUBLE' THEN 'double' WHEN 'VARCHAR' THEN 'string' WHEN 'TIMESTAMP' THEN 'timestamp_ntz'
@@ -275,10 +291,10 @@ def _queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     by = ["event_type"]
     Q["row_index_null_key"] = lambda s, sf: rolling.row_index(events_plain_null_key(s, sf), EV_ORDER, by).select(
         "event_id", "event_type", "idx")
-    Q["rolling_null_key"] = lambda s, sf: r6(rolling.rolling(events_plain_null_key(s, sf), "value", EV_ORDER, by))
+    Q["rolling_null_key"] = lambda s, sf: r10(rolling.rolling(events_null_key(s, sf), "value", EV_ORDER, by))
     Q["trend_band_null_key"] = lambda s, sf: r6(trend.trend_band(events_plain_null_key(s, sf), "value", EV_ORDER, by))
-    Q["change_points_null_key"] = lambda s, sf: r6(changepoint.change_points(events_plain_null_key(s, sf), "value", EV_ORDER, by,
-                                                                           window=30))
+    Q["change_points_null_key"] = lambda s, sf: r10(changepoint.change_points(events_null_key(s, sf), "value", EV_ORDER, by, window=30))
+    Q["change_points_extreme"] = lambda s, sf: r10(changepoint.change_points(events_null_key(s, sf), "value", EV_ORDER, window=30))
     Q["change_point_count_by_user"] = lambda s, sf: changepoint.change_point_count(ev(s, sf), "value", EV_ORDER, ["user_id"], k=2.5)
     Q["outlier_report_null_key"] = lambda s, sf: r6(outliers.outlier_report(events_null_key(s, sf), ["value"], by))
     Q["box_stats_null_key"] = lambda s, sf: r6(distribution.box_stats(events_null_key(s, sf), "value", by))
@@ -518,7 +534,7 @@ def _oracle_sql() -> dict[str, str]:
           WINDOW fr AS (PARTITION BY _PK_ ORDER BY idx ROWS BETWEEN greatest(w, 1) // 2 PRECEDING AND (greatest(w, 1) - 1) // 2 FOLLOWING)),
         m AS (SELECT *, CASE WHEN w > 0 AND wc = w THEN wm END AS rm, CASE WHEN w > 0 AND wc = w THEN ws END AS rs FROM r),
         o AS (SELECT *, rm - {Z95} * rs / sqrt(w) AS lo, rm + {Z95} * rs / sqrt(w) AS hi FROM m)"""
-    cols = """ts, event_id, idx, round(value, 6) AS value, CAST(w AS INTEGER) AS window_size,
+    cols = """ts, event_id, idx, round(value, 6) AS value, w AS window_size,
         round(rm, 6) AS rolling_mean, round(rs, 6) AS rolling_std, round(lo, 6) AS ci_lower, round(hi, 6) AS ci_upper"""
     S["rolling"] = f"WITH {roll.replace('PARTITION BY _PK_', '').replace('(PARTITION BY _PK_)', '()')} SELECT {cols} FROM o"
     S["rolling_by_user"] = f"WITH {roll.replace('_PK_', 'user_id')} SELECT user_id, {cols} FROM o"
@@ -526,7 +542,7 @@ def _oracle_sql() -> dict[str, str]:
         f AS (SELECT max(w) AS w, avg(rm) AS mm, avg(rs) AS ms, avg(hi - lo) AS mw,
           arg_min(rm, idx) FILTER (WHERE rm IS NOT NULL) AS fm, arg_max(rm, idx) FILTER (WHERE rm IS NOT NULL) AS lm, count(rm) AS nm,
           arg_min(rs, idx) FILTER (WHERE rs IS NOT NULL) AS fs, arg_max(rs, idx) FILTER (WHERE rs IS NOT NULL) AS ls, count(rs) AS ns FROM o)
-        SELECT CAST(w AS INTEGER) AS window_size, round(mm, 6) AS mean_rolling_mean, round(ms, 6) AS mean_rolling_std,
+        SELECT w AS window_size, round(mm, 6) AS mean_rolling_mean, round(ms, 6) AS mean_rolling_std,
           round(CASE WHEN mm <> 0 THEN mw / mm * 100.0 ELSE 0.0 END, 6) AS ci_width_pct,
           CASE WHEN ms < mm * 0.1 THEN 'Stable' ELSE 'Volatile' END AS volatility_status,
           CASE WHEN nm < 2 THEN 'Insufficient data' WHEN lm > fm * 1.1 THEN 'Strongly Increasing'
@@ -577,7 +593,7 @@ def _oracle_sql() -> dict[str, str]:
           WINDOW fr AS (ORDER BY idx ROWS BETWEEN w // 2 PRECEDING AND (w - 1) // 2 FOLLOWING)),
         m AS (SELECT *, CASE WHEN wc = w THEN wm END AS rm, CASE WHEN wc = w THEN ws END AS rs FROM r),
         z AS (SELECT *, CASE WHEN rs <> 0 THEN abs((value - rm) / rs) END AS z FROM m)"""
-    S["change_points"] = f"""WITH {cp} SELECT ts, event_id, idx, round(value, 6) AS value, CAST(w AS INTEGER) AS window_size,
+    S["change_points"] = f"""WITH {cp} SELECT ts, event_id, idx, round(value, 6) AS value, w AS window_size,
         round(rm, 6) AS rolling_mean, round(rs, 6) AS rolling_std, round(z, 6) AS z FROM z WHERE z > 2"""
     S["change_point_count"] = f"WITH {cp} SELECT count(*) AS n_change_points FROM z WHERE z > 2"
     S["change_points_by_type"] = """WITH b AS (SELECT event_type, ts, event_id, value,
@@ -588,7 +604,7 @@ def _oracle_sql() -> dict[str, str]:
           WINDOW fr AS (PARTITION BY event_type ORDER BY idx ROWS BETWEEN w // 2 PRECEDING AND (w - 1) // 2 FOLLOWING)),
         m AS (SELECT *, CASE WHEN wc = w THEN wm END AS rm, CASE WHEN wc = w THEN ws END AS rs FROM r),
         z AS (SELECT *, CASE WHEN rs <> 0 THEN abs((value - rm) / rs) END AS z FROM m)
-        SELECT event_type, ts, event_id, idx, round(value, 6) AS value, CAST(w AS INTEGER) AS window_size,
+        SELECT event_type, ts, event_id, idx, round(value, 6) AS value, w AS window_size,
           round(rm, 6) AS rolling_mean, round(rs, 6) AS rolling_std, round(z, 6) AS z FROM z WHERE z > 2"""
     S["df_test"] = """WITH b AS (SELECT value AS y, lag(value) OVER (ORDER BY ts, event_id) AS prev FROM events WHERE value IS NOT NULL),
         p AS (SELECT y - prev AS dy, prev FROM b WHERE prev IS NOT NULL),
@@ -698,7 +714,8 @@ def _oracle_sql() -> dict[str, str]:
     S["row_index_null_key"] = f"""SELECT event_id, event_type,
         row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS idx FROM {N} e"""
     by_type = roll.replace("_PK_", "event_type").replace("event_id, user_id,", "event_id, event_type,").replace("FROM events", f"FROM {N} e")
-    S["rolling_null_key"] = f"WITH {by_type} SELECT event_type, {cols} FROM o"
+    S["rolling_null_key"] = _r10_sql(f"WITH {by_type} SELECT event_type, {cols} FROM o".replace(f"FROM {N} e", f"FROM {X} e"),
+                                     "value rolling_mean rolling_std ci_lower ci_upper")
     S["trend_band_null_key"] = f"""WITH o AS (SELECT ts, event_id, event_type, value,
           row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS idx FROM {N} e),
         fit AS (SELECT event_type, CAST(regr_count(value, idx) AS BIGINT) AS n, regr_slope(value, idx) AS slope,
@@ -709,7 +726,9 @@ def _oracle_sql() -> dict[str, str]:
           g.t * g.sigma * sqrt(1.0 / g.n + (o.idx - g.xbar) ^ 2 / g.sxx) AS half FROM o JOIN g ON o.event_type IS NOT DISTINCT FROM g.event_type)
         SELECT event_type, ts, event_id, idx, round(value, 6) AS value, round(fitted, 6) AS fitted, round(value - fitted, 6) AS residual,
           round(half, 6) AS half_width, round(fitted - half, 6) AS lower, round(fitted + half, 6) AS upper FROM rows"""
-    S["change_points_null_key"] = S["change_points_by_type"].replace("FROM events", f"FROM {N} e").replace("n // 10 AS w", "30 AS w")
+    extreme = "value rolling_mean rolling_std z"
+    S["change_points_null_key"] = _r10_sql(S["change_points_by_type"].replace("FROM events", f"FROM {X} e").replace("n // 10 AS w", "CAST(30 AS BIGINT) AS w"), extreme)
+    S["change_points_extreme"] = _r10_sql(S["change_points"].replace("FROM events", f"FROM {X} e").replace("n // 10 AS w", "CAST(30 AS BIGINT) AS w"), extreme)
     S["change_point_count_by_user"] = (S["change_points_by_type"].replace("event_type", "user_id").split("SELECT user_id, ts, event_id, idx, round")[0]
         + "SELECT e.user_id, count(z.user_id) AS n_change_points FROM (SELECT DISTINCT user_id FROM events) e LEFT JOIN (SELECT * FROM z WHERE z > 2.5) z USING (user_id) GROUP BY e.user_id")
     S["outlier_report_null_key"] = f"""WITH e AS {X}, st AS (SELECT event_type, count(*) AS n, avg(value) AS mu, stddev_pop(value) AS sd,

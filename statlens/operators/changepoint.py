@@ -1,8 +1,8 @@
 """Change points (W16-W17): values far from their own centred window.
 
 The series is the non-null values in order; the window is n // 10 rows,
-so it grows with the data: the frame statistics come from global prefix
-sums (``wide_frame``) instead of an O(n * w) sliding window.
+so it grows with the data: the frame statistics are merged from the ends of
+stretches (``wide_frame``) instead of an O(n * w) sliding window.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ def _frames(df, value, order_by, by, window):
             .where(F.col("value").isNotNull()))
     w_col = F.lit(window) if window is not None else F.floor(F.col("_n") / 10)
     ix = (dense_index(base, order_by, by, size="_n").where(F.col("_n") >= MIN_N)
-          .withColumn("window_size", w_col.cast("int")).where(F.col("window_size") >= 1).drop("_n"))
+          .withColumn("window_size", w_col.cast("long")).where(F.col("window_size") >= 1).drop("_n"))
     r = wide_frame(ix, "value", by, lo=F.floor(F.col("window_size") / 2), hi=F.floor((F.col("window_size") - 1) / 2))
     return r, keep, by
 

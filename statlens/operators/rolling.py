@@ -24,7 +24,7 @@ def default_window(n: int) -> int:
 
 
 def _window_col(n: Column) -> Column:
-    return F.when(n > 10, F.least(F.lit(MAX_WINDOW), F.floor(n / 10).cast("int"))).otherwise(F.lit(0))
+    return F.when(n > 10, F.least(F.lit(MAX_WINDOW).cast("long"), F.floor(n / 10)).cast("int")).otherwise(F.lit(0))
 
 
 def row_index(df: DataFrame, order_by: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -47,7 +47,7 @@ def rolling_raw(df: DataFrame, value: str, order_by: Sequence[str], by: Sequence
         w = window if window is not None else default_window(base.count())
         r = rolling_frame(base, "value", order_by, by, w=max(w, 1))
         return r.withColumn("window_size", F.lit(w))
-    # each group has its own window: running sums with per-row bounds
+    # each group has its own window
     ix = dense_index(base, order_by, by, size="_n")
     ix = ix.withColumn("window_size", _window_col(F.col("_n"))).drop("_n")
     w1 = F.greatest(F.col("window_size"), F.lit(1))

@@ -13,9 +13,9 @@ task.  Everything here starts from a range partitioning instead:
   near a block's edge are also sent to the neighbouring block, so one exchange
   serves all frames and no window runs over a whole series.
 * ``running_sums``: running sums inside the blocks plus the blocks' offsets.
-* ``wide_frame``: frames that grow with n (w = n/10) are differences of running
-  sums; the sums at ``i+hi`` and ``i-lo-1`` are brought to row ``i`` by one
-  exchange that sends each row's sums to the two rows that need them.
+* ``wide_frame``: frames that grow with n (w = n/10) are merged from the tail of
+  one stretch of w rows and the head of the next, each of which is computed once
+  for every row; one exchange brings both to the row of the frame.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ from statlens.session import written
 
 #: Consecutive rows of a series that one window sorts together.
 BLOCK = 65_536
+#: Blocks whose moments are merged at once, per level.
+FAN = 128
 #: Ranges of an index where the caller names none; None: as many as the session shuffles to.
 PARTITIONS: int | None = None
 _LOW = (1 << 33) - 1  # monotonically_increasing_id: partition above bit 33, row below
@@ -124,46 +126,93 @@ def running_sums(ix: DataFrame, columns: Sequence[str], by: Sequence[str] = (),
         *[q(c) for c in ix.columns], *[(F.col(f"_off_{c}") + F.col(f"_run_{c}")).alias(f"cum_{c}") for c in columns])
 
 
+def _moments(n: Column, mean: Column, squares: Column) -> Column:
+    """Count, mean and sum of squared deviations of a stretch of rows."""
+    return F.struct(n.alias("n"), mean.alias("m"), squares.alias("s"))
+
+
+def _both(a: Column, b: Column) -> Column:
+    """Moments of two disjoint stretches as one (Chan, Golub and LeVeque): only sums of what the
+    stretches hold, so a value outside of them has no influence on the rounding."""
+    n, apart = a["n"] + b["n"], b["m"] - a["m"]
+    share = b["n"] / F.greatest(n, F.lit(1))
+    return (F.when(b["n"] == 0, a).when(a["n"] == 0, b)
+            .otherwise(_moments(n, a["m"] + apart * share, a["s"] + b["s"] + apart * apart * a["n"] * share)))
+
+
+def _all_of(parts: Column) -> Column:
+    return F.aggregate(parts, _moments(F.lit(0).cast("long"), F.lit(0.0), F.lit(0.0)), _both)
+
+
+def _around(totals: DataFrame, keys: list[str], place: str, last: int) -> DataFrame:
+    """Add to every row the moments of all rows ``before`` and ``after`` it in ``place`` (0 .. ``last``)
+    among those with its keys.  ``FAN`` neighbours are merged at once and their totals one level up."""
+    cols, up = totals.columns, place + "u"
+    own = totals.withColumn(up, F.floor(q(place) / FAN).cast("long"))
+    group = Window.partitionBy(*[q(c) for c in keys], up)
+    past = (Window.unboundedPreceding, -1)
+    own = own.select("*", _all_of(F.collect_list("t").over(group.orderBy(place).rowsBetween(*past))).alias("before"),
+                     _all_of(F.collect_list("t").over(group.orderBy(F.desc(place)).rowsBetween(*past))).alias("after"))
+    if last < FAN:
+        return own.drop(up)
+    upper = own.groupBy(*[q(c) for c in keys], up).agg(_all_of(F.collect_list("t")).alias("t"))
+    upper = _around(upper, keys, up, last // FAN).select(*[q(c) for c in keys], up, F.col("before").alias("_b"), F.col("after").alias("_a"))
+    return join_on(own, upper, keys + [up]).select(*cols, _both(F.col("_b"), F.col("before")).alias("before"),
+                                                      _both(F.col("after"), F.col("_a")).alias("after"))
+
+
 def wide_frame(ix: DataFrame, value: str, by: Sequence[str] = (), *, lo: int | Column, hi: int | Column,
                idx: str = "idx", block: int | None = None) -> DataFrame:
     """Rolling ``count/mean/std`` over rows [idx-lo, idx+hi] of an indexed series
-    (``dense_index``) by running sums.
-
-    ``lo``/``hi`` may be columns (e.g. derived from a per-group n).  Values are
-    centred by the group mean first, so the running sums stay small.
-    Adds ``_wcount``, ``_wmean``, ``_wstd``.
+    (``dense_index``) of any width.
+
+    ``lo``/``hi`` may be columns that are constant per group.  The series is cut
+    into stretches as long as the frame, so a frame is the tail of one stretch
+    and the head of the next: every row gets the moments of the head that ends with it
+    and of the tail that starts with it, and each frame merges one of each.
+    Stretches longer than a block are cut into blocks; heads and tails then run
+    inside the blocks and are merged with those of the whole blocks before and
+    after (:func:`_around`).  Nothing is ever subtracted: values outside a frame
+    don't touch its result, however large they are.
+    Adds ``_wcount``, ``_wmean``, ``_wstd``, NULL where an end of the series cuts the frame.
     """
-    by = list(by)
+    by, size = list(by), block or BLOCK
     keys = [q(c) for c in by]
-    v = q(value)
-    centred = join_on(ix, ix.groupBy(*keys).agg(F.avg(v).alias("_mu")), by)
-    centred = (centred.withColumn("_y", v - F.col("_mu"))
-               .withColumn("_y2", F.col("_y") * F.col("_y"))
-               .withColumn("_c", F.when(v.isNotNull(), F.lit(1)).otherwise(F.lit(0))))
-    indexed = running_sums(centred, ["_y", "_y2", "_c"], by, idx=idx, block=block)
-    lo_c = lo if isinstance(lo, Column) else F.lit(lo)
-    hi_c = hi if isinstance(hi, Column) else F.lit(hi)
-    # both the messages and the rows that get them read this
-    indexed = written(indexed.withColumn("_lo", lo_c.cast("long")).withColumn("_hi", hi_c.cast("long")), "running")
-    sums = F.struct(F.col("cum__y").alias("s"), F.col("cum__y2").alias("s2"), F.col("cum__c").alias("c"))
-    # each row is sent to the row whose frame ends here and to the row whose
-    # frame starts right after it
-    msgs = indexed.select(
-        *keys, F.explode(F.array(
-            F.struct((q(idx) - F.col("_hi")).alias("_k"), F.lit(True).alias("_ends"), sums.alias("_s")),
-            F.struct((q(idx) + F.col("_lo") + 1).alias("_k"), F.lit(False).alias("_ends"), sums.alias("_s")))).alias("_m"))
-    agg = (msgs.groupBy(*keys, F.col("_m._k").alias("_at"))
-           .agg(F.max(F.when(F.col("_m._ends"), F.col("_m._s"))).alias("_up"),
-                F.max(F.when(~F.col("_m._ends"), F.col("_m._s"))).alias("_down")))
-    rows = join_on(indexed.withColumn("_at", q(idx)), agg, by + ["_at"], "left")
-    start = q(idx) == F.col("_lo")
-    down_s = F.when(start, F.lit(0.0)).otherwise(F.col("_down.s"))
-    down_s2 = F.when(start, F.lit(0.0)).otherwise(F.col("_down.s2"))
-    down_c = F.when(start, F.lit(0)).otherwise(F.col("_down.c"))
-    cnt = F.col("_up.c") - down_c
-    s = F.col("_up.s") - down_s
-    s2 = F.col("_up.s2") - down_s2
-    mean_y = F.try_divide(s, cnt.cast("double"))
-    var = F.try_divide(s2 - s * mean_y, (cnt - 1).cast("double"))
-    return rows.select(*[q(c) for c in ix.columns], cnt.alias("_wcount"), (F.col("_mu") + mean_y).alias("_wmean"),
-                       F.when(cnt > 1, F.sqrt(F.greatest(var, F.lit(0.0)))).alias("_wstd"))
+    lo_c, hi_c = (c if isinstance(c, Column) else F.lit(c) for c in (lo, hi))
+    wide = (lo_c + hi_c + 1).cast("long")
+    d = ix.select(*keys, q(idx).alias("_i"), q(value).alias("_v"), wide.alias("_w"))
+    if isinstance(lo, Column) or isinstance(hi, Column):
+        longest = d.agg(F.max("_w")).first()[0] or 1
+    else:
+        longest = lo + hi + 1
+    d = d.select("*", F.floor(F.col("_i") / F.col("_w")).cast("long").alias("_s"),
+                 F.floor(F.col("_i") % F.col("_w") / size).cast("long").alias("_j"))
+    part = Window.partitionBy(*keys, "_s", "_j")
+
+    def moments(over):
+        n = F.count("_v").over(over)
+        return _moments(n, F.coalesce(F.avg("_v").over(over), F.lit(0.0)), F.coalesce(F.var_pop("_v").over(over), F.lit(0.0)) * n)
+
+    run = (Window.unboundedPreceding, Window.currentRow)
+    ends = d.select(*keys, "_i", "_w", "_s", "_j", moments(part.orderBy("_i").rowsBetween(*run)).alias("head"),
+                    moments(part.orderBy(F.desc("_i")).rowsBetween(*run)).alias("tail"))
+    if longest > size:
+        totals = d.groupBy(*keys, "_s", "_j").agg(_moments(F.count("_v"), F.coalesce(F.avg("_v"), F.lit(0.0)),
+                                                           F.coalesce(F.var_pop("_v"), F.lit(0.0)) * F.count("_v")).alias("t"))
+        totals = _around(totals, by + ["_s"], "_j", (longest - 1) // size).drop("t")
+        ends = join_on(ends, totals, by + ["_s", "_j"]).select(
+            *keys, "_i", "_w", _both(F.col("before"), F.col("head")).alias("head"), _both(F.col("tail"), F.col("after")).alias("tail"))
+    # A head goes to the frame that ends with it, a tail to the frame that starts with it; frames go by their first row.
+    none = F.lit(None).cast("struct<n:bigint,m:double,s:double>")
+    sent = ends.select(*keys, F.inline(F.array(
+        F.struct((F.col("_i") - F.col("_w") + 1).alias("_at"), F.col("head").alias("head"), none.alias("tail")),
+        F.struct(F.col("_i").alias("_at"), none.alias("head"), F.col("tail").alias("tail"))))).where("_at >= 0")
+    fields = [(side, f) for side in ("head", "tail") for f in "nms"]
+    met = sent.groupBy(*keys, "_at").agg(*[F.max(f"{side}.{f}").alias(f"_{side}_{f}") for side, f in fields])
+    rows = join_on(ix.withColumn("_at", q(idx) - lo_c.cast("long")), met, by + ["_at"], "left")
+    head, tail = (_moments(*[F.col(f"_{side}_{f}") for f in "nms"]) for side in ("head", "tail"))
+    whole = F.when(F.col("_at") % wide == 0, head).otherwise(_both(tail, head))
+    found = rows.select(*[q(c) for c in ix.columns], F.when(F.col("_head_n").isNotNull() & F.col("_tail_n").isNotNull(), whole).alias("_f"))
+    n = F.col("_f.n")
+    return found.select(*[q(c) for c in ix.columns], n.alias("_wcount"), F.when(n > 0, F.col("_f.m")).alias("_wmean"),
+                        F.when(n > 1, F.sqrt(F.col("_f.s") / (n - 1))).alias("_wstd"))
