@@ -49,7 +49,8 @@ EVERY = 97
 #: Signatures: dimensions that may differ, parts that must agree.  Words of one length
 #: agree on one part of three at least; others on one of two, the second of which is two of the three.
 SIGNATURES = ((2, (0,)), (2, (1,)), (2, (2,)), (1, (0,)), (1, (1, 2)))
-PARTS, BITS = 3, 20
+#: Hash bits of a part; above them, LETTERS bits hold the parity of each letter's number (letters by hash).
+PARTS, BITS, LETTERS = 3, 11, 31
 #: Words of a key above which it is split; keys with more than a share of 1 / TASKS of all rows are
 #: split before the exchange (at most TASKS such keys can be).
 HOT, TASKS = 128, 1 << 14
@@ -91,12 +92,17 @@ def word_counts(docs: DataFrame, every: int = EVERY) -> DataFrame:
             .groupBy("word").agg(F.sum("n").alias("n")))
 
 
-def _letter_parts(word: Column) -> list[Column]:
-    """Hashes (``BITS`` bits) of the word's letter dimensions in each part."""
+def _letter_parts(word: Column) -> Column:
+    """Hashes of the word's letter dimensions in each part, and the letters' parities, in one long."""
     letters = F.array_sort(F.split(word, ""))
     # The i-th of equal letters in sorted order is its i-th occurrence.
     dims = F.transform(letters, lambda c, i: F.xxhash64(c, i - F.array_position(letters, c)))
-    return [F.pmod(F.xxhash64(F.filter(dims, lambda d: F.pmod(d, F.lit(PARTS)) == p)), F.lit(1 << BITS)) for p in range(PARTS)]
+    packed = F.aggregate(letters, F.lit(0).cast("long"), lambda x, c: x.bitwiseXOR(
+        F.call_function("shiftleft", F.lit(1).cast("long"), (F.pmod(F.xxhash64(c), F.lit(LETTERS)) + PARTS * BITS).cast("int"))))
+    for p in range(PARTS):
+        h = F.pmod(F.xxhash64(F.filter(dims, lambda d: F.pmod(d, F.lit(PARTS)) == p)), F.lit(1 << BITS))
+        packed = packed.bitwiseOR(F.shiftleft(h, BITS * p))
+    return packed
 
 
 def _mask(keep: tuple[int, ...]) -> int:
@@ -117,12 +123,9 @@ def signature_rows(words: DataFrame) -> DataFrame:
     """One row per word and signature: (key, code, m, word, n, len, parts).
 
     ``m`` is the length of the shorter word of the pairs looked for, ``code``
-    numbers signature and half, ``parts`` packs the hashes of the letter parts.
+    numbers signature and half, ``parts`` packs the hashes of the letter parts and the letters' parities.
     """
-    packed = F.lit(0).cast("long")
-    for p, h in enumerate(_letter_parts(F.col("word"))):
-        packed = packed.bitwiseOR(F.shiftleft(h, BITS * p))
-    w = words.select("word", "n", F.length("word").alias("len"), packed.alias("parts"))
+    w = words.select("word", "n", F.length("word").alias("len"), _letter_parts(F.col("word")).alias("parts"))
     length, rows = F.col("len"), []
     for s, (d, keep) in enumerate(SIGNATURES):
         for m in ((length,) if d == 2 else (length, length - 1)):
@@ -168,7 +171,10 @@ def near_pairs(rows: DataFrame) -> DataFrame:
     split = (rows.join(F.broadcast(hot), "key", "left_semi").union(rest.filter(F.col("c") > HOT).drop("c"))
              .select("*", F.inline(_without_one_letter())))
     a, b = F.col("a.word"), F.col("b.word")
-    near = (F.col("a.code") == F.col("b.code")) & (a < b) & (F.levenshtein(a, b, 1) == 1) & (F.col("a.code") == _first_meeting())
+    # Cheap tests first: as many letters as an edit changes, the words in order, their first meeting; then the edit.
+    odd = F.bit_count(F.shiftrightunsigned(F.col("a.parts").bitwiseXOR(F.col("b.parts")), BITS * PARTS))
+    near = ((F.col("a.code") == F.col("b.code")) & (odd <= F.when(F.col("a.len") == F.col("b.len"), 2).otherwise(1)) & (a < b)
+            & (F.col("a.code") == _first_meeting()) & (F.levenshtein(a, b, 1) == 1))
     out = []
     for part, on in ((few, ["key"]), (split, ["key", "at", "rest"])):
         met = part.alias("a").join(part.alias("b"), [F.col(f"a.{c}") == F.col(f"b.{c}") for c in on] + [near])
