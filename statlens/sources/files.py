@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from statlens.functions.columns import STRING_TYPES, q
+from statlens.sources import records
 
 # Cell texts read as missing (pandas' default NA tokens).
 DEFAULT_NA = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND",
@@ -36,10 +37,31 @@ _NUMBER = r"(?i)^[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?|inf|infinity)$"
 _SURPLUS = "_statlens_surplus"
 
 
+_CSV = {"escape": '"', "mode": "PERMISSIVE", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+
+
 def _csv_reader(spark: SparkSession, multi_line: bool):
-    return (spark.read.option("header", True).option("inferSchema", False).option("escape", '"')
-            .option("multiLine", multi_line).option("lineSep", "\n").option("mode", "PERMISSIVE")
-            .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False))
+    """Line ends are LF or CRLF, found by the reader for each file."""
+    return spark.read.options(**_CSV, header=True, inferSchema=False, multiLine=multi_line)
+
+
+def _raw_csv(spark: SparkSession, path: str, text: str, multi_line: bool) -> DataFrame:
+    """The cells of all files as text columns ``text``.
+
+    The reader cuts files into splits only where no cell holds a line break, so files that are larger
+    than a split are looked at first: without such cells they are read by lines, with them by
+    the records that :mod:`statlens.sources.records` finds in each split.  Files that end their
+    lines in CRLF go the same way, because the reader would change these line ends inside of cells."""
+    split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    listed = spark.read.format("binaryFile").load(path).where(~F.lower("path").rlike(r"[.](gz|bz2|zst|xz|lz4|snappy|deflate)$"))
+    crlf = [r[0][-1:] for r in spark.read.option("lineSep", "\n").text(path).take(1)] == ["\r"]
+    if multi_line and (crlf or listed.where(F.col("length") > split).select("length").take(1)):  # lists files, reads none
+        maps = records.split_maps(spark, path)
+        if maps:
+            cells = F.from_csv("record", text, {**_CSV, "multiLine": "true"})
+            return records.csv_records(spark, path, maps).select(cells.alias("r")).select("r.*")
+        multi_line = False
+    return _csv_reader(spark, multi_line).schema(text).csv(path)
 
 
 def _name(c: str) -> str:
@@ -88,14 +110,15 @@ def load_csv(spark: SparkSession, path: str, schema=None, na_values: Sequence[st
     """CSV with a header row; ``na_values`` cells are NULL; types
     inferred from the values (or ``schema`` applied).
 
-    Quoted cells may hold line breaks; a file is then read by one task.  Where
-    no cell does, ``multi_line=False`` lets Spark split large files.  Missing
-    cells at a line's end are NULL; a line with more cells than the header
-    raises an error.
+    Quoted cells may hold line breaks.  A file that is larger than a split is read by many
+    tasks all the same, after a scan that finds its records; ``multi_line=False``
+    saves that scan where no cell holds a line break.  Lines end in LF or CRLF.
+    Missing cells at a line's end are NULL; a line with more cells than the
+    header raises an error.
     """
     names = _csv_reader(spark, multi_line).csv(path).columns
     text = ", ".join(f"{_name(c)} STRING" for c in [*names, _SURPLUS])
-    raw = _csv_reader(spark, multi_line).schema(text).csv(path)
+    raw = _raw_csv(spark, path, text, multi_line)
     tokens = list(na_values)
     surplus = F.raise_error(F.concat(F.lit(f"a line has more than {len(names)} cells: "), q(_SURPLUS)))
     first, *rest = names
@@ -158,20 +181,18 @@ def _suffix(uri: str) -> str | None:
 
 def load_any(spark: SparkSession, uri: str, **kw) -> DataFrame:
     """S3: pick the reader from the file's (or folder's) suffix; without a known
-    one, from that of the files in the folder; else try CSV, then a workbook."""
+    one, from that of the files in the folder; else a workbook is known by its
+    first bytes, other binary files are refused, and text is CSV."""
     suffix = _suffix(uri)
     if suffix is None:
         inside = spark.read.format("binaryFile").load(uri).select("path").take(1)  # lists files, reads none
         suffix = _suffix(inside[0]["path"]) if inside else None
     if suffix is None:
-        try:
-            return load_csv(spark, uri, **kw)
-        except Exception as not_csv:
-            from statlens.sources.workbooks import load_workbooks
-            try:
-                return load_workbooks(spark, uri, **kw)
-            except Exception:
-                raise ValueError(f"Unsupported file format: {os.path.basename(uri)} (use CSV, XLSX, Parquet, ORC or JSON)") from not_csv
+        start = spark.read.text(uri).take(1)
+        start = start[0][0] if start else ""
+        if "\0" in start and not start.startswith("PK\3\4"):
+            raise ValueError(f"Unsupported file format: {os.path.basename(uri)} (use CSV, XLSX, Parquet, ORC or JSON)")
+        suffix = ".xlsx" if start.startswith("PK\3\4") else ".csv"
     if suffix.startswith(".csv"):
         return load_csv(spark, uri, **kw)
     if suffix == ".xlsx":

@@ -1,6 +1,8 @@
 """Sources: CSV NA tokens and typing, date inference, workbooks, demo table."""
 
+import csv
 import os
+import random
 import tempfile
 import zipfile
 
@@ -124,3 +126,73 @@ def test_sample_table(spark):
                           "product_category", "customer_rating", "advertising_budget"]
     s = df.selectExpr("min(customer_rating) a", "max(customer_rating) b", "count(distinct region) r").first()
     assert 1 <= s["a"] and s["b"] <= 5 and s["r"] == 4
+
+
+def _split(spark, size):
+    """Files in splits of ``size`` bytes."""
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    spark.conf.set("spark.sql.files.openCostInBytes", 1)
+
+
+@pytest.fixture
+def small_splits(spark):
+    yield lambda size: _split(spark, size)
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_csv_split_inside_quoted_cells(spark, tmp_path, small_splits):
+    """Cells with line breaks, quotes and delimiters against Python's reader, cut at any byte."""
+    r = random.Random(1)
+    texts = ["plain", "", "a\nb", "\n\n", 'say "hi"', '"', '""\n"', "x,y\n,", "tail\n", "é\n" * 30, 'a "b\nc" d', "  pad ", "w" * 200]
+    rows = [(k, r.choice(texts), r.choice(texts)) for k in range(40)]
+    for name, end in (("lf", "\n"), ("crlf", "\r\n")):
+        path = tmp_path / name
+        path.mkdir()
+        for part in range(2):
+            with open(path / f"p{part}.csv", "w", newline="", encoding="utf-8") as f:
+                w = csv.writer(f, lineterminator=end)
+                w.writerow(["id", "te\nxt", "last"] if name == "lf" else ["id", "te xt", "last"])
+                w.writerows(rows[part::2])
+        whole = sorted(tuple(x) for x in files.load_csv(spark, str(path), na_values=["none"]).collect())
+        assert whole == [(a, b or None, c or None) for a, b, c in rows]
+        for size in (1 << 20, 299, 41):
+            small_splits(size)
+            got = files.load_csv(spark, str(path), na_values=["none"])
+            assert sorted(tuple(x) for x in got.collect()) == whole, (name, size)
+            assert size > 1000 or got.rdd.getNumPartitions() > 5
+        small_splits(1 << 20)
+
+
+def test_csv_quotes_inside_cells_are_text(spark, tmp_path, small_splits):
+    f = tmp_path / "q.csv"
+    f.write_text('size,name\n5" pipe,x\n3" a "b,"open\ncell"\n6,"a"\n7" ,""\n' * 8)
+    want = [tuple(x) for x in files.load_csv(spark, str(f), infer=False).collect()]
+    small_splits(50)
+    got = [tuple(x) for x in files.load_csv(spark, str(f), infer=False).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str) and ('3" a "b', "open\ncell") in got
+
+
+def test_csv_crlf_files(spark, tmp_path, small_splits):
+    f = tmp_path / "w.csv"
+    f.write_bytes(b"id,when_date,note\r\n1,2024-01-02,NA\r\n2,2024-01-03,b\r\n\r\n3,2024-01-04,\"x\r\ny\"\r\n")
+    for size in (1 << 20, 9):
+        small_splits(size)
+        df = files.infer_dates(files.load_csv(spark, str(f)))
+        assert df.columns == ["id", "when_date", "note"]
+        assert sorted((r["id"], str(r["when_date"]), r["note"]) for r in df.collect()) == [
+            (1, "2024-01-02 00:00:00", None), (2, "2024-01-03 00:00:00", "b"), (3, "2024-01-04 00:00:00", "x\r\ny")]
+    plain = tmp_path / "p.csv"
+    plain.write_bytes(b"a,b\r\n1,NA\r\n2,x\r\n")
+    for many in (True, False):
+        small_splits(5 if many else 1 << 20)
+        assert sorted(tuple(r) for r in files.load_csv(spark, str(plain), multi_line=many).collect()) == [(1, None), (2, "x")]
+
+
+def test_errors_of_a_file_without_a_suffix(spark, tmp_path):
+    (tmp_path / "long").write_text("a,b\n1,2\n3,4,5\n")
+    with pytest.raises(Exception, match="more than 2 cells"):
+        files.load_any(spark, str(tmp_path / "long")).collect()
+    (tmp_path / "bin").write_bytes(b"\x00\x01\x02\xff")
+    with pytest.raises(ValueError, match="Unsupported file format"):
+        files.load_any(spark, str(tmp_path / "bin"))
