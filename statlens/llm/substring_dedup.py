@@ -48,8 +48,10 @@ from pyspark.sql import types as T
 from statlens.llm.common import forget, written
 
 SIZE = 35
-#: Keys with more than 1 / TASKS of all rows are broadcast; characters a task works on at once.
-TASKS, CHARS = 1 << 13, 1 << 21
+#: Keys with more than 1 / TASKS of all rows are broadcast.
+TASKS = 1 << 13
+#: Characters a task works on at once: small arrays stay in the cache.
+CHARS = 1 << 18
 #: Rounds; in the last, a context has ten words or so.
 ROUNDS = 4
 _KEY = "_sd_key"
@@ -73,7 +75,7 @@ def _words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         words = text.split()  # bytes: blank and the control characters from tab to carriage return
         sizes.append(len(words))
         at += [known.setdefault(w, len(known)) for w in words]
-    names = np.frombuffer(b"".join(xxhash.xxh3_128_digest(w) for w in known), ">u8").astype(_U).reshape(-1, 2)
+    names = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, known)), ">u8").astype(_U).reshape(-1, 2)
     return names[np.array(at, np.int64)], np.array(sizes, np.int64)
 
 
@@ -178,10 +180,10 @@ def _anchored(words: np.ndarray, sizes: np.ndarray, size: int) -> tuple[np.ndarr
     return a0[a], a1[a], p[a], np.diff(np.append(a, len(p)))
 
 
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows whose texts (the last column) have about ``CHARS`` characters together."""
+def _slices(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
+    """Rows whose texts (column ``at``) have about ``CHARS`` characters together."""
     for b in batches:
-        size = np.cumsum(pc.fill_null(pc.binary_length(b.column(b.num_columns - 1)), 0).to_numpy(zero_copy_only=False)) // CHARS
+        size = np.cumsum(pc.fill_null(pc.binary_length(b.column(at)), 0).to_numpy(zero_copy_only=False)) // CHARS
         cuts = [0, *(np.flatnonzero(np.diff(size)) + 1).tolist(), b.num_rows]
         for a, z in zip(cuts[:-1], cuts[1:]):
             if z > a:
@@ -196,8 +198,8 @@ def stretches(docs: DataFrame, size: int = SIZE) -> DataFrame:
     """(name, s1, s2, key, p, n) of every stretch of ``n`` windows from word ``p`` with one anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _slices(batches):
-            words, sizes = _words([t.as_py() for t in b.column(1).cast(pa.binary())])
+        for b in _slices(batches, 1):
+            words, sizes = _words(b.column(1).cast(pa.binary()).to_pylist())
             rows = np.flatnonzero(sizes >= size)
             words, sizes = words[np.repeat(sizes >= size, sizes)], sizes[rows]
             if len(rows) == 0:
@@ -219,17 +221,26 @@ def of_keys(rows: DataFrame, keys: DataFrame, on: list[str], total: int) -> Data
     """The rows whose ``on`` is among ``keys`` (distinct, with their number of rows ``c``; written):
     frequent keys by broadcast (each has more than 1 / TASKS of ``total`` rows), the rest by join."""
     often = F.col("c") > total // TASKS
+    if keys.filter(often).isEmpty():
+        return rows.join(keys.select(on), on, "left_semi")
     hot = F.broadcast(keys.filter(often).select(on))
     return (rows.join(hot, on, "left_semi")
             .union(rows.join(hot, on, "left_anti").join(keys.filter(~often).select(on), on, "left_semi")))
 
 
-def _windows(docs: DataFrame, todo: DataFrame, size: int) -> DataFrame:
-    """(w1, w2, key, p): hashes of the single windows of the stretches ``todo`` (key, p, n)."""
+def frequent_texts(docs: DataFrame) -> DataFrame | None:
+    """Hashes of the texts that more than 1 / TASKS of all rows hold, if there are any (at most TASKS)."""
+    texts = _keyed(docs.select("text")).groupBy(_KEY).agg(F.count("*").alias("c"))
+    hot = written(texts.filter((F.col("c") > max(1, docs.count() // TASKS)) & F.col(_KEY).isNotNull()).select(_KEY), "often")
+    return None if hot.isEmpty() else F.broadcast(hot)
+
+
+def _windows(docs: DataFrame, todo: DataFrame, size: int, hot: DataFrame | None) -> DataFrame:
+    """(w1, w2, key, p): hashes of the single windows of the stretches ``todo`` (key, p, n), of one copy of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _slices(batches):
-            words, sizes = _words([t.as_py() for t in b.column(2).cast(pa.binary())])
+        for b in _slices(batches, 2):
+            words, sizes = _words(b.column(2).cast(pa.binary()).to_pylist())
             before, ranges = np.cumsum(sizes) - sizes, _Ranges(words)
             parts = b.column(1)
             doc = np.repeat(np.arange(b.num_rows), np.diff(parts.offsets.to_numpy()))
@@ -241,11 +252,16 @@ def _windows(docs: DataFrame, todo: DataFrame, size: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(w1), pa.array(w2), b.column(0).take(pa.array(doc)), pa.array(each)], ["w1", "w2", "key", "p"])
 
     lists = todo.groupBy("key").agg(F.collect_list(F.struct("p", "n")).alias("parts"))  # of one text
-    texts = _keyed(docs.select("text")).select(F.col(_KEY).alias("key"), "text").dropDuplicates(["key"])
-    return lists.join(texts, "key").select("key", "parts", "text").mapInArrow(run, "w1 long, w2 long, key binary, p long")
+    lists = lists.withColumnRenamed("key", _KEY)
+    texts = _keyed(docs.select("text"))
+    few = texts if hot is None else texts.join(hot, _KEY, "left_anti")
+    one = few.join(lists, _KEY).dropDuplicates([_KEY]).select(_KEY, "parts", "text")
+    if hot is not None:  # copies go before the exchange
+        one = one.union(texts.join(hot, _KEY, "left_semi").dropDuplicates([_KEY]).join(lists, _KEY).select(_KEY, "parts", "text"))
+    return one.mapInArrow(run, "w1 long, w2 long, key binary, p long")
 
 
-def repeated(docs: DataFrame, size: int = SIZE) -> DataFrame:
+def repeated(docs: DataFrame, size: int = SIZE, hot: DataFrame | None = None) -> DataFrame:
     """(key, p, n): ``n`` words from word ``p`` of the texts with hash ``key`` are covered by repeated windows."""
     rows = written(stretches(docs, size), "stretches")
     total = rows.count()
@@ -259,7 +275,7 @@ def repeated(docs: DataFrame, size: int = SIZE) -> DataFrame:
     mixed = written(kinds.filter("c = 1").groupBy("name").agg(F.count("*").alias("c")), "mixed")
     # of names with a single stretch: that one, and one copy of each repeated one
     todo = kinds.filter("c = 1").select("one.*").union(of_keys(twice.drop("c"), mixed, ["name"], total).select("one.*"))
-    windows = written(_windows(docs, todo, size), "windows")
+    windows = written(_windows(docs, todo, size, hot), "windows")
     seen = written(windows.groupBy("w1", "w2").agg(F.count("*").alias("c")).filter("c > 1"), "seen")
     found = (of_keys(shared, twice, own, total).select("key", "p", (F.col("n") + size - 1).alias("n"))
              .union(of_keys(windows, seen, ["w1", "w2"], total).select("key", "p", F.lit(size).cast("long").alias("n"))))
@@ -272,35 +288,39 @@ def repeated(docs: DataFrame, size: int = SIZE) -> DataFrame:
 def substring_dedup(docs: DataFrame, size: int = SIZE) -> DataFrame:
     """``docs`` with ``text`` cut to the kept words, joined by one blank, and the columns
     ``_sd_words``, ``_sd_removed`` (numbers of words) and ``_sd_sha256`` (of the kept text).  A NULL text stays NULL."""
-    found = repeated(docs, size)
+    hot = frequent_texts(docs)
+    found = repeated(docs, size, hot)
     gone = (found.groupBy(F.col("key").alias("_sd_text")).agg(F.collect_list(F.struct("p", "n")).alias("_sd_parts")))  # of one text
     keyed, own = _keyed(docs), docs.columns
     at, kept_columns = own.index("text"), [F.col(f"`{c}`") for c in own]
-    often = (_keyed(docs.select("text")).groupBy(_KEY).agg(F.count("*").alias("c"))
-             .filter((F.col("c") > max(1, docs.count() // TASKS)) & F.col(_KEY).isNotNull()))
-    hot = F.broadcast(written(often.select(_KEY), "often"))  # at most TASKS texts; they go whole
-    whole = F.array(F.struct(F.lit(0).cast("long").alias("p"), F.lit(-1).cast("long").alias("n")))
-    parts = (keyed.join(hot, _KEY, "left_semi").select(*kept_columns, whole.alias("_sd_parts"))
-             .union(keyed.join(hot, _KEY, "left_anti").join(gone, F.col(_KEY) == F.col("_sd_text"), "left")
-                    .select(*kept_columns, "_sd_parts")))
+    few = keyed if hot is None else keyed.join(hot, _KEY, "left_anti")
+    parts = few.join(gone, F.col(_KEY) == F.col("_sd_text"), "left").select(*kept_columns, "_sd_parts")
+    if hot is not None:  # these go whole
+        whole = F.array(F.struct(F.lit(0).cast("long").alias("p"), F.lit(-1).cast("long").alias("n")))
+        parts = parts.union(keyed.join(hot, _KEY, "left_semi").select(*kept_columns, whole))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches, at):
             texts, counts, removed, digests = [], [], [], []
-            for text, cut in zip(b.column(at).cast(pa.binary()), b.column(b.num_columns - 1)):
-                words = (text.as_py() or b"").split()
-                keep = np.ones(len(words) + 1, bool)
-                for c in cut.as_py() or ():
-                    if c["n"] >= 0:
-                        keep[c["p"]:c["p"] + c["n"]] = False
+            cuts = b.column(b.num_columns - 1)
+            p, n = (cuts.flatten().field(k).to_pylist() for k in (0, 1))
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(cuts), 0).to_numpy(zero_copy_only=False)).tolist()
+            last = 0
+            for text, end in zip(b.column(at).cast(pa.binary()).to_pylist(), ends):
+                words = (text or b"").split()
+                keep = np.ones(len(words), bool)
+                for k in range(last, end):
+                    if n[k] >= 0:
+                        keep[p[k]:p[k] + n[k]] = False
                     elif len(words) >= size:
                         keep[:] = False
-                kept = b" ".join(w for w, k in zip(words, keep) if k)
-                texts.append(None if not text.is_valid else kept.decode())
+                kept = b" ".join(words if last == end else [words[k] for k in np.flatnonzero(keep).tolist()])
+                last = end
+                texts.append(None if text is None else kept.decode())
                 counts.append(len(words))
-                removed.append(len(words) - int(keep[:len(words)].sum()))
+                removed.append(len(words) - int(keep.sum()))
                 digests.append(hashlib.sha256(kept).hexdigest())
-            columns = [pa.array(texts, pa.string()) if k == at else b.column(k) for k in range(b.num_columns - 1)]
+            columns = [pa.array(texts, pa.string()) if k == at else b.column(k) for k in range(len(own))]
             yield pa.RecordBatch.from_arrays(columns + [pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests)],
                                              [*own, "_sd_words", "_sd_removed", "_sd_sha256"])
 
