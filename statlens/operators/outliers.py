@@ -1,20 +1,19 @@
 """Outliers: z-scores (population std), IQR fences, the per-column report.
 
-Every column is handled in the same job: the numeric columns are unpivoted
-to ``(by..., column_name, value)`` (an Expand on the scan), statistics are
-one grouped aggregate over that long form, and the per-column statistics
-(<= #columns x #groups rows) are joined back for the counting pass.
+Counts and fences of all columns come from wide aggregates (one row per group, a
+few numbers per column), and only the cells that can decide a quartile or a fence
+become rows of their own (:func:`statlens.plans.quantiles.fence_table`).
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from statlens.functions.columns import as_double, as_list, join_on, numeric_columns, q, unpivot_numeric
-from statlens.plans.quantiles import quantile_table
+from statlens.plans.quantiles import fence_table
 
 KEY = "column_name"
 
@@ -25,12 +24,6 @@ def _long(df: DataFrame, columns, by) -> tuple[DataFrame, list[str], list[str]]:
     return unpivot_numeric(df, cols, keep=by, column_name=KEY), cols, by
 
 
-def _attach(long: DataFrame, stats: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
-    # per-column statistics: bounded by #columns when ungrouped -> broadcast;
-    # with groups AQE chooses from the measured size.
-    return join_on(long, stats, keys, small=not by)
-
-
 def moments(df: DataFrame, columns: Sequence[str] | None = None, by: Sequence[str] = ()) -> DataFrame:
     """Per column: rows (incl. nulls), n, mean, population std, sample std."""
     long, _, by = _long(df, columns, by)
@@ -58,59 +51,54 @@ def zscore(df: DataFrame, columns: Sequence[str] | None = None, by: Sequence[str
     return joined.select(*[q(c) for c in df.columns], *zs)
 
 
+def _columns(df: DataFrame, columns, by) -> tuple[list[tuple[str, Column]], list[str]]:
+    by = as_list(by)
+    cols = as_list(columns) or numeric_columns(df, exclude=by)
+    if not cols:
+        raise ValueError("no numeric columns")
+    return [(c, as_double(c)) for c in cols], by
+
+
 def zscore_outliers(df: DataFrame, columns: Sequence[str] | None = None, by: Sequence[str] = (),
                     k: float = 3.0) -> DataFrame:
     """Q2: per column, values with |z| > k (constant column: 0)."""
-    long, _, by = _long(df, columns, by)
-    keys = by + [KEY]
-    stats = long.groupBy(*keys).agg(F.avg("value").alias("_mu"), F.stddev_pop("value").alias("_sd"))
-    z = F.abs(F.try_divide(F.col("value") - F.col("_mu"), F.col("_sd")))
-    return (_attach(long, stats, keys, by).groupBy(*keys)
-            .agg(F.count_if(z > k).alias("z_outliers")))
+    cols, by = _columns(df, columns, by)
+    keys, aggs, counts = [q(b) for b in by], [], []
+    wide = df.select(*keys, *[c.alias(f"_v{i}") for i, (_, c) in enumerate(cols)])
+    for i, (name, _) in enumerate(cols):
+        v = F.col(f"_v{i}")
+        aggs += [F.avg(v).alias(f"_mu{i}"), F.stddev_pop(v).alias(f"_sd{i}")]
+        counts.append(F.count_if(F.abs(F.try_divide(v - F.col(f"_mu{i}"), F.col(f"_sd{i}"))) > k).alias(f"_z{i}"))
+    found = join_on(wide, wide.groupBy(*keys).agg(*aggs), by).groupBy(*keys).agg(*counts)
+    return found.select(*keys, F.inline(F.array(*[F.struct(F.lit(c).alias(KEY), F.col(f"_z{i}").alias("z_outliers"))
+                                                  for i, (c, _) in enumerate(cols)])))
 
 
 def iqr_bounds(df: DataFrame, columns: Sequence[str] | None = None, by: Sequence[str] = (),
                k: float = 1.5) -> DataFrame:
     """Q3: Q1, Q3, IQR and the fences Q1 - k*IQR, Q3 + k*IQR per column
-    (exact linear-interpolated quantiles, nulls skipped)."""
-    long, _, by = _long(df, columns, by)
-    keys = by + [KEY]
-    qt = quantile_table(long, keys, "value", [0.25, 0.75], ["q1", "q3"], small_keys=not by)
-    return qt.select(*keys, "n", "q1", "q3", (F.col("q3") - F.col("q1")).alias("iqr"),
-                     (F.col("q1") - k * (F.col("q3") - F.col("q1"))).alias("lower"),
-                     (F.col("q3") + k * (F.col("q3") - F.col("q1"))).alias("upper"))
-
-
-def _report_counts(df, columns, by, z_k, iqr_k):
-    long, _, by = _long(df, columns, by)
-    keys = by + [KEY]
-    # moments ride in the quantile plan's first aggregate: one scan fewer
-    stats = quantile_table(long, keys, "value", [0.25, 0.75], ["q1", "q3"], small_keys=not by,
-                           extra={"n_rows": F.count(F.lit(1)), "_mu": F.avg("_v"), "_sd": F.stddev_pop("_v")})
-    iqr = F.col("q3") - F.col("q1")
-    z = F.abs(F.try_divide(F.col("value") - F.col("_mu"), F.col("_sd")))
-    out_iqr = (F.col("value") < F.col("q1") - iqr_k * iqr) | (F.col("value") > F.col("q3") + iqr_k * iqr)
-    counts = (_attach(long, stats.select(*keys, "n_rows", "_mu", "_sd", "q1", "q3"), keys, by).groupBy(*keys)
-              .agg(F.max("n_rows").alias("n_rows"), F.count_if(z > z_k).alias("z_outliers"),
-                   F.count_if(out_iqr).alias("iqr_outliers")))
-    return counts, keys
+    (exact linear-interpolated quantiles, nulls skipped; no row without values)."""
+    cols, by = _columns(df, columns, by)
+    return fence_table(df, cols, by, KEY, iqr_k=k).where("n > 0").select(
+        *[q(b) for b in by], KEY, "n", "q1", "q3", (F.col("q3") - F.col("q1")).alias("iqr"), "lower", "upper")
 
 
 def iqr_outliers(df: DataFrame, columns: Sequence[str] | None = None, by: Sequence[str] = (),
                  k: float = 1.5) -> DataFrame:
     """Q4: per column, values strictly outside the IQR fences."""
-    counts, keys = _report_counts(df, columns, by, 3.0, k)
-    return counts.select(*keys, "iqr_outliers")
+    cols, by = _columns(df, columns, by)
+    return fence_table(df, cols, by, KEY, iqr_k=k).select(*[q(b) for b in by], KEY, "iqr_outliers")
 
 
 def outlier_report(df: DataFrame, columns: Sequence[str] | None = None, by: Sequence[str] = (),
                    z_k: float = 3.0, iqr_k: float = 1.5) -> DataFrame:
     """Q5: per column z and IQR outlier counts, share of all rows (nulls
     included) in %, rounded to 2, and High (> 5) / Medium (> 1) / Low."""
-    counts, keys = _report_counts(df, columns, by, z_k, iqr_k)
+    cols, by = _columns(df, columns, by)
+    counts = fence_table(df, cols, by, KEY, z_k=z_k, iqr_k=iqr_k)
     pct = F.try_divide(F.greatest("z_outliers", "iqr_outliers").cast("double"), F.col("n_rows")) * 100.0
     return counts.select(
-        *keys, "z_outliers", "iqr_outliers", F.round(pct, 2).alias("outlier_pct"),
+        *[q(b) for b in by], KEY, "z_outliers", "iqr_outliers", F.round(pct, 2).alias("outlier_pct"),
         F.when(pct > 5, "High").when(pct > 1, "Medium").otherwise("Low").alias("outlier_status"))
 
 

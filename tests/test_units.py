@@ -12,7 +12,8 @@ from statlens.functions import dist
 from statlens.operators import (changepoint, correlation, distribution, outliers, pca, profile, quality,
                                 rolling, seasonal, stationarity, trend)
 from statlens.plans.ordered import dense_index, rolling_frame, wide_frame
-from statlens.plans.quantiles import exact_quantiles
+from statlens.functions.columns import as_double
+from statlens.plans.quantiles import exact_quantiles, fence_table
 
 
 # ---------------------------------------------------------------- distributions
@@ -379,3 +380,36 @@ def test_t_quantiles_of_many_groups(spark):
     df = spark.range(100_000).selectExpr("id % 40000 AS g", "cast(id AS double) AS v")
     got = distribution.mean_ci(df, "v", by=["g"])
     assert got.count() == 40_000 and got.where("ci_lower > ci_upper").count() == 0
+
+
+@pytest.mark.parametrize("limit", [1_000_000, 3])
+def test_wide_fences_against_numpy(spark, limit):
+    """Quartiles, fences and counts of many columns: few and many rows, ties, gaps, extremes, NULL keys."""
+    rng = np.random.default_rng(5)
+    frames = []
+    for g, n in (("a", 1), ("b", 2), ("c", 6), ("d", 399), ("e", 2_003), (None, 30_001)):
+        x = pd.DataFrame({"g": [g] * n, "normal": rng.normal(size=n), "ties": rng.integers(0, 4, n).astype(float), "flat": 7.0,
+                          "heavy": rng.standard_cauchy(n), "gaps": np.where(rng.random(n) < 0.4, np.nan, rng.exponential(size=n)),
+                          "none": np.nan, "whole": rng.integers(-50, 50, n) ** 3})
+        x.loc[0, "normal"] = 1e12
+        frames.append(x)
+    pdf = pd.concat(frames, ignore_index=True)
+    df = spark.createDataFrame(pdf).withColumn("g", F.when(F.col("g") != "NaN", F.col("g")))
+    cols = [c for c in pdf.columns if c != "g"]
+    for by in ([], ["g"]):
+        got = {(r["g"] if by else 0, r["c"]): r for r in fence_table(df, [(c, as_double(c)) for c in cols], by, "c", limit=limit).collect()}
+        groups = [(0, pdf)] if not by else [(None if isinstance(k, float) else k, p) for k, p in pdf.groupby("g", dropna=False)]
+        assert len(got) == len(groups) * len(cols)
+        for key, part in groups:
+            for c in cols:
+                r, x = got[key, c], part[c].dropna().to_numpy(float)
+                assert (r["n"], r["n_rows"]) == (len(x), len(part))
+                if not len(x):
+                    assert (r["q1"], r["z_outliers"], r["iqr_outliers"]) == (None, 0, 0)
+                    continue
+                q1, q3 = np.quantile(x, [0.25, 0.75])
+                assert math.isclose(r["q1"], q1, rel_tol=1e-12, abs_tol=1e-12) and math.isclose(r["q3"], q3, rel_tol=1e-12, abs_tol=1e-12), (key, c)
+                low, high = r["lower"], r["upper"]
+                assert r["iqr_outliers"] == ((x < low) | (x > high)).sum(), (key, c)
+                sd = x.std()
+                assert r["z_outliers"] == (0 if sd == 0 else (abs((x - x.mean()) / sd) > 3).sum()), (key, c)
