@@ -798,6 +798,34 @@ def _oracle_sql() -> dict[str, str]:
           round(CASE WHEN tau > 2.74 THEN 1.0 WHEN tau < -18.83 THEN 0.0 ELSE 0.5 + half END, 6) AS p_value,
           CASE WHEN tau < -18.83 OR (tau <= 2.74 AND 0.5 + half < 0.05) THEN 'Yes' ELSE 'No' END AS stationary
         FROM p LEFT JOIN q ON p.event_type IS NOT DISTINCT FROM q.event_type"""
+    # X'X of [1, y1, d1 .. dk, d]; eliminating its columns one by one leaves each model's residual sum in the corner.
+    # The model with the least AIC is fitted again on its own rows, y1 last but one.
+    def gram(name, rows, variables):
+        return f"""{name}x AS ({variables}), {name}g AS (SELECT a.i, b.i AS j, sum(a.v * b.v) AS v FROM {name}x a JOIN {name}x b USING (t) GROUP BY ALL),
+        {name}(p, g) AS (SELECT 0, list(r ORDER BY i) FROM (SELECT i, list(v ORDER BY j) AS r FROM {name}g GROUP BY i)
+          UNION ALL SELECT p + 1, list_transform(range(1, len(g) + 1), lambda a: list_transform(range(1, len(g) + 1),
+            lambda b: g[a][b] - g[a][p + 1] * g[p + 1][b] / g[p + 1][p + 1])) FROM {name} WHERE p < {rows})"""
+    fit = gram("f", "len(g) - 1", """SELECT t, 0 AS i, 1.0 AS v FROM d, par WHERE t > k UNION ALL SELECT t, 1, y1 FROM d, par WHERE t > k
+          UNION ALL SELECT t, k + 2, d FROM d, par WHERE t > k
+          UNION ALL SELECT a.t, 1 + h, b.d FROM (SELECT t, unnest(range(1, k + 1)) AS h FROM d, par WHERE t > k) a JOIN d b ON b.t = a.t - a.h""")
+    again = gram("s", "len(g) - 2", """SELECT t, 0 AS i, 1.0 AS v FROM d, best WHERE t > lag UNION ALL SELECT t, lag + 1, y1 FROM d, best WHERE t > lag
+          UNION ALL SELECT t, lag + 2, d FROM d, best WHERE t > lag
+          UNION ALL SELECT a.t, h, b.d FROM (SELECT t, unnest(range(1, lag + 1)) AS h FROM d, best WHERE t > lag) a JOIN d b ON b.t = a.t - a.h""")
+    S["adf_test"] = f"""WITH RECURSIVE o AS (SELECT qty - avg(qty) OVER () AS y, row_number() OVER (ORDER BY l_shipdate) - 1 AS t FROM {DAILY_QTY_SQL} q WHERE qty IS NOT NULL),
+        d AS (SELECT t, y - lag(y) OVER (ORDER BY t) AS d, lag(y) OVER (ORDER BY t) AS y1 FROM o),
+        par AS (SELECT count(*) AS n, CAST(least(count(*) // 2 - 2, ceil(12 * (count(*) / 100.0) ^ 0.25)) AS INTEGER) AS k FROM o),
+        {fit},
+        best AS (SELECT CAST(arg_min(p - 2, (n - k - 1) * ln(g[k + 3][k + 3] / (n - k - 1)) + 2 * p) AS INTEGER) AS lag FROM f, par WHERE p >= 2),
+        {again},
+        r AS (SELECT n, k, lag, n - lag - 1 AS m, g[lag + 2][lag + 2] AS a, g[lag + 2][lag + 3] AS b, g[lag + 3][lag + 3] AS c FROM s, best, par WHERE p = lag + 1),
+        u AS (SELECT *, b / a / sqrt((c - b * b / a) / (m - lag - 2) / a) AS tau FROM r),
+        p AS (SELECT *, CASE WHEN tau <= -1.61 THEN 2.1659 + 1.4412 * tau + 0.038269 * tau ^ 2
+          ELSE 1.7339 + 0.93202 * tau - 0.12745 * tau ^ 2 - 0.010368 * tau ^ 3 END AS x FROM u),
+        q AS (SELECT sum(CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp(-0.5 * (x * i / 2000.0) ^ 2)) * max(x) / 2000 / 3
+          / sqrt(2 * pi()) AS half FROM (SELECT x, CAST(unnest(generate_series(0, 2000)) AS INTEGER) AS i FROM p) z)
+        SELECT n, k AS max_lag, lag AS used_lag, m AS n_obs, round(tau, 6) AS adf_stat,
+          round(CASE WHEN tau > 2.74 THEN 1.0 WHEN tau < -18.83 THEN 0.0 ELSE 0.5 + half END, 6) AS p_value,
+          CASE WHEN tau < -18.83 OR (tau <= 2.74 AND 0.5 + half < 0.05) THEN 'Yes' ELSE 'No' END AS stationary FROM p, q"""
     heat_cols = ["event_id", "ts", "user_id", "event_type", "value", "props"]
     S["missing_by_bucket"] = f"""WITH o AS (SELECT *, row_number() OVER (ORDER BY ts, event_id) - 1 AS idx, count(*) OVER () AS n FROM {D} d),
         b AS (SELECT *, CAST(idx * 20 // n AS INTEGER) AS bucket FROM o)

@@ -7,9 +7,10 @@ aggregate per group, tau = g / se(g).
 in the usual implementation: max lag ceil(12 (n/100)^(1/4)) (at most
 n//2 - 2), every lag fitted on the common sample, best lag refitted on its
 larger sample; tau = t of the y_{t-1} term, p-value after MacKinnon (1994).
-Lagged products are summed from blocks of consecutive rows (with the rows before
-them), one sum for each lag; X'X follows from these and the series' first and
-last values, so a group is solved from a few thousand numbers whatever its
+The sums of lagged products come from blocks of consecutive rows (with the rows before
+them): all lags of a block at once, as a correlation by FFT, so a series of n rows costs
+n log n whatever the number of lags.  X'X follows from these and the series' first
+and last values, so a group is solved from a few thousand numbers whatever its
 length.  All nested lag models share one Cholesky factor.
 """
 
@@ -60,6 +61,33 @@ def df_test_pvalue(df: DataFrame, value: str, order_by: Sequence[str], by: Seque
     return t.withColumn("p_value", adf_p(F.col("tau")))
 
 
+#: A difference this many times the usual one is summed by itself: beside it, rounding in an FFT would hide the others.
+EXTREME = 1e3
+
+
+def lagged_products(u: np.ndarray, v: np.ndarray, most: int) -> np.ndarray:
+    """Sums over t of u[t] * v[t - h] for h = 0 .. ``most``.
+
+    By FFT over the ordinary values; products with an extreme one directly."""
+    def split(x):
+        usual = np.median(np.abs(x[x != 0])) if x.any() else 0.0
+        far = np.flatnonzero(np.abs(x) > EXTREME * usual)
+        near = x.copy()
+        near[far] = 0.0
+        return near, far
+
+    (a, far_u), (b, far_v) = split(u), split(v)
+    size = 1 << (len(u) + most).bit_length()
+    out = np.fft.irfft(np.fft.rfft(a, size) * np.conj(np.fft.rfft(b, size)), size)[:most + 1]
+    for t in far_u:  # with all of v
+        h = min(most, t)
+        out[:h + 1] += u[t] * v[t - h:t + 1][::-1]
+    for t in far_v:  # with the ordinary values of u
+        w = a[t:t + most + 1]
+        out[:len(w)] += w * v[t]
+    return out
+
+
 def _lag_sums(keys: list[str], most: int):
     """Per task and group, from blocks with the rows before them: for each lag h
     the sums of d_t * d_(t-h) and y_(t-1) * d_(t-h), and of y_(t-1) and its square."""
@@ -69,15 +97,14 @@ def _lag_sums(keys: list[str], most: int):
         held: list[pd.DataFrame] = []
 
         def add(g: pd.DataFrame) -> None:
-            y, idx = g["_y"].to_numpy(dtype=float), g["idx"].to_numpy()
-            first = int(np.argmax(g["_own"].to_numpy()))
-            t = np.arange(max(first, 1), len(y))  # own rows with a row before them
-            d = np.diff(y, prepend=y[0])
+            y = g["_y"].to_numpy(dtype=float)
+            first = max(int(np.argmax(g["_own"].to_numpy())), 1)  # the first own row with a row before it
+            d, before = np.diff(y, prepend=y[0]), np.zeros(len(y))
+            before[first:] = y[first - 1:-1]
+            own = np.where(np.arange(len(y)) >= first, d, 0.0)
             part = np.zeros((2, most + 2))
-            for h in range(min(most, len(y) - 1) + 1):
-                s = t[(idx[t] >= h + 1) & (t - h >= 1)]
-                part[0, h], part[1, h] = d[s] @ d[s - h], y[s - 1] @ d[s - h]
-            part[:, -1] = y[t - 1].sum(), y[t - 1] @ y[t - 1]
+            part[0, :-1], part[1, :-1] = lagged_products(own, d, most), lagged_products(before, d, most)
+            part[:, -1] = before.sum(), before @ before
             key = tuple(None if pd.isna(x) else x for x in g[keys].iloc[0]) if keys else ()
             total[key] = total.get(key, 0.0) + part
 

@@ -413,3 +413,28 @@ def test_wide_fences_against_numpy(spark, limit):
                 assert r["iqr_outliers"] == ((x < low) | (x > high)).sum(), (key, c)
                 sd = x.std()
                 assert r["z_outliers"] == (0 if sd == 0 else (abs((x - x.mean()) / sd) > 3).sum()), (key, c)
+
+
+def test_lagged_products_by_fft():
+    """Against a sum for each lag, next to values up to 1e12 and with ends that have no partner."""
+    rng = np.random.default_rng(8)
+    for n, most, extreme in ((1, 3, 1.0), (5, 9, 1.0), (4000, 700, 1.0), (4000, 700, 1e6), (4000, 50, 1e9), (4000, 50, 1e12)):
+        u, v = rng.normal(size=n), rng.normal(size=n)
+        u[n // 2] *= extreme
+        v[n // 3] *= extreme
+        got = stationarity.lagged_products(u, v, most)
+        want = np.array([u[h:] @ v[:n - h] if h < n else 0.0 for h in range(most + 1)])
+        scale = np.array([np.abs(u[h:]) @ np.abs(v[:n - h]) if h < n else 1.0 for h in range(most + 1)])
+        assert (np.abs(got - want) <= 1e-12 * scale).all(), (n, most, extreme)
+
+
+@pytest.mark.parametrize("level", [0.0, 1e6, 1e9])
+def test_adf_many_lags_in_blocks(spark, monkeypatch, level):
+    """All lags of a longer series, in blocks, against least squares at any level."""
+    rng = np.random.default_rng(13)
+    x = np.cumsum(rng.normal(size=3000)) * 0.1 + rng.normal(size=3000)
+    monkeypatch.setattr(stationarity, "BLOCK", 256)
+    df = spark.createDataFrame([(i, float(v) + level) for i, v in enumerate(x)], "i int, v double")
+    r = stationarity.adf_test(df, "v", ["i"]).first()
+    lag, tau = _adf_numpy(x + level - (x + level).mean())
+    assert (r["max_lag"], r["used_lag"]) == (29, lag) and r["adf_stat"] == pytest.approx(tau, abs=1e-8)
