@@ -4,7 +4,8 @@ A word's letters are a binary vector: one dimension per letter and occurrence
 ("the second e").  Words one edit apart differ in at most two dimensions (a
 replaced letter: two, an inserted or deleted one: one), so with the dimensions
 dealt into d + 1 parts, words that differ in d of them agree on one part at
-least: each part's content is a signature, and signatures are equi-joined.
+least: each part's content is a signature, and signatures are equi-joined
+(thirds and halves of six parts here).
 Words of one length can differ in two dimensions, words whose lengths differ by
 one in one, so each kind has signatures of its own.
 
@@ -46,14 +47,15 @@ from statlens.llm.resampling import CRC_SQL, crc_of
 MIN_LETTERS, MIN_COUNT = 5, 3
 #: One run in EVERY, by its hash, loses a letter before it is counted.
 EVERY = 97
-#: Signatures: dimensions that may differ, parts that must agree.  Words of one length
-#: agree on one part of three at least; others on one of two, the second of which is two of the three.
-SIGNATURES = ((2, (0,)), (2, (1,)), (2, (2,)), (1, (0,)), (1, (1, 2)))
+#: The letter dimensions are dealt into PARTS parts; a signature is (dimensions that may differ, parts that must agree).
+#: Words of one length agree on one third of the parts at least, others on one half.
+PARTS = 6
+SIGNATURES = ((2, (0, 1)), (2, (2, 3)), (2, (4, 5)), (1, (0, 1, 2)), (1, (3, 4, 5)))
 #: Hash bits of a part; above them, LETTERS bits hold the parity of each letter's number (letters by hash).
-PARTS, BITS, LETTERS = 3, 11, 31
+BITS, LETTERS = 8, 16
 #: Words of a key above which it is split; keys with more than a share of 1 / TASKS of all rows are
 #: split before the exchange (at most TASKS such keys can be).
-HOT, TASKS = 128, 1 << 14
+HOT, TASKS = 48, 1 << 14
 #: Distinct words a task adds up before it passes them on.
 HELD = 1 << 18
 
