@@ -438,3 +438,31 @@ def test_adf_many_lags_in_blocks(spark, monkeypatch, level):
     r = stationarity.adf_test(df, "v", ["i"]).first()
     lag, tau = _adf_numpy(x + level - (x + level).mean())
     assert (r["max_lag"], r["used_lag"]) == (29, lag) and r["adf_stat"] == pytest.approx(tau, abs=1e-8)
+
+
+def test_correlations_in_tiles(spark, monkeypatch):
+    """Many columns in tiles and several scans against pandas, with gaps, groups and a NULL group."""
+    rng = np.random.default_rng(21)
+    monkeypatch.setattr(correlation, "SIDE", 16)
+    monkeypatch.setattr(correlation, "TILES", 4)  # squares of 2 x 2 tiles: 10 scans
+    x = rng.normal(size=(300, 100)) @ rng.normal(size=(100, 100)) + 1e6
+    x[rng.random(x.shape) < 0.2] = np.nan
+    x[:, 7] = 3.0
+    pdf = pd.DataFrame(x, columns=[f"c{i}" for i in range(100)])
+    pdf["g"] = ["a", "b", None] * 100
+    df = spark.createDataFrame(pdf).withColumn("g", F.when(F.col("g") != "NaN", F.col("g")))
+    assert len(correlation._tile_groups(100)) == 10
+    for by, groups in (([], {0: pdf}), (["g"], {None if isinstance(k, float) else k: p for k, p in pdf.groupby("g", dropna=False)})):
+        got = correlation.corr_matrix(df, [f"c{i}" for i in range(100)], by).toPandas()
+        assert len(got) == 10_000 * len(groups)
+        for key, part in groups.items():
+            r = got if not by else got[got["g"].isna()] if key is None else got[got["g"] == key]
+            m = r.pivot(index="var1", columns="var2", values="corr")
+            want = part.drop(columns="g").corr()
+            np.fill_diagonal(want.values, 1.0)
+            want = want.loc[m.index, m.columns]
+            assert (m.isna() == want.isna()).all().all()
+            assert np.nanmax(np.abs(m.to_numpy(float) - want.to_numpy())) < 1e-9
+            n = r.pivot(index="var1", columns="var2", values="n")
+            there = part[list(n.index)].notna().to_numpy(float)
+            assert (n.to_numpy() == there.T @ there).all()
