@@ -466,3 +466,29 @@ def test_correlations_in_tiles(spark, monkeypatch):
             n = r.pivot(index="var1", columns="var2", values="n")
             there = part[list(n.index)].notna().to_numpy(float)
             assert (n.to_numpy() == there.T @ there).all()
+
+
+@pytest.mark.parametrize("basis", [160, 20])  # 20: the iteration starts again from its best vectors
+def test_pca_of_many_columns(spark, monkeypatch, basis):
+    """Leading components from products with few vectors against the decomposed matrix, and against Spark ML's PCA."""
+    from pyspark.ml.feature import PCA, VectorAssembler
+
+    rng = np.random.default_rng(31)
+    x = rng.normal(size=(400, 6)) @ rng.normal(size=(6, 120)) + 2.0 * rng.normal(size=(400, 120)) + 1e4
+    x[:, 11] = 5.0
+    df = spark.createDataFrame(pd.DataFrame(x, columns=[f"c{i:03}" for i in range(120)]))
+    with_gap = df.withColumn("c005", F.when(F.col("c000") < 1e9, F.col("c005"))).unionByName(df.limit(3).withColumn("c001", F.lit(None).cast("double")))
+    monkeypatch.setattr(pca, "SMALL", 10)
+    monkeypatch.setattr(pca, "BASIS", basis)
+    ml = PCA(k=5, inputCol="v", outputCol="p").fit(VectorAssembler(inputCols=df.columns, outputCol="v").transform(pca.standardize(df)))
+    got = pca.pca_variance(with_gap).toPandas()
+    np.testing.assert_allclose(got["explained_variance_ratio"], ml.explainedVariance.toArray(), atol=1e-9)
+    values, vectors = pca._Correlations(with_gap, df.columns).components(5)
+    want = ml.pc.toArray()
+    np.testing.assert_allclose(np.abs((vectors * want).sum(axis=0)), 1.0, atol=1e-9)
+    np.testing.assert_allclose(np.abs(vectors), np.abs(want), atol=1e-6)
+    z = (x - x.mean(0)) / np.where(x.std(0) > 0, x.std(0), 1.0)
+    full = np.sort(np.linalg.eigvalsh(z.T @ z))[::-1]
+    assert pca.pca_n95(with_gap).first()["n_components"] == int(np.argmax(np.cumsum(full / full.sum()) >= 0.95) + 1)
+    scores = pca.pca_scores(df, components=2).toPandas().to_numpy()
+    np.testing.assert_allclose(np.sort(np.abs(scores), axis=0), np.sort(np.abs(z @ want[:, :2]), axis=0), atol=1e-5)
