@@ -32,12 +32,12 @@ result; words that tie in count go by code points; other columns aren't read.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,12 +55,12 @@ SIGNATURES = ((2, (0, 1)), (2, (2, 3)), (2, (4, 5)), (1, (0, 1, 2)), (1, (3, 4,
 BITS, LETTERS = 8, 16
 #: Words of a key above which it is split; keys with more than a share of 1 / TASKS of all rows are
 #: split before the exchange (at most TASKS such keys can be).
-HOT, TASKS = 48, 1 << 14
+HOT, TASKS = 96, 1 << 14
 #: Distinct words a task adds up before it passes them on.
 HELD = 1 << 18
 
-_RUN = re.compile("[A-Za-zÀ-ÿ]+")
-_LOWER = {c: c + 32 for c in range(65, 91)}
+#: Of Latin-1, in which a letter is one byte: A-Z in lower case, letters as they are, all else a blank.
+_LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 0xC0 else 32 for c in range(256))
 
 
 def word_counts(docs: DataFrame, every: int = EVERY) -> DataFrame:
@@ -68,19 +68,21 @@ def word_counts(docs: DataFrame, every: int = EVERY) -> DataFrame:
     crc32 with its doc_id is a multiple of ``every``, the letter at crc32 modulo length is left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter[str] = Counter()
+        held: Counter[bytes] = Counter()
 
         def out() -> pa.RecordBatch:
-            made = pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
+            words = pa.array([w.decode("latin-1") for w in held], pa.string())
+            made = pa.RecordBatch.from_arrays([words, pa.array(list(held.values()), pa.int64())], ["word", "n"])
             held.clear()
             return made
 
         for b in batches:
             for doc_id, text in zip(b.column(0), b.column(1)):
-                doc_id, text = doc_id.as_py(), text.as_py()
+                doc_id = doc_id.as_py()
                 start = zlib.crc32(f"{'' if doc_id is None else doc_id}:".encode())
-                for w, n in Counter(_RUN.findall(text.translate(_LOWER))).items():
-                    h = zlib.crc32(w.encode(), start)
+                letters = text.as_py().encode("latin-1", "replace").translate(_LETTERS)
+                for w, n in Counter(letters.split()).items():
+                    h = zlib.crc32(w if w.isascii() else w.decode("latin-1").encode(), start)
                     if h % every == 0:
                         k = h % len(w)
                         w = w[:k] + w[k + 1:]
@@ -94,17 +96,30 @@ def word_counts(docs: DataFrame, every: int = EVERY) -> DataFrame:
             .groupBy("word").agg(F.sum("n").alias("n")))
 
 
-def _letter_parts(word: Column) -> Column:
-    """Hashes of the word's letter dimensions in each part, and the letters' parities, in one long."""
-    letters = F.array_sort(F.split(word, ""))
-    # The i-th of equal letters in sorted order is its i-th occurrence.
-    dims = F.transform(letters, lambda c, i: F.xxhash64(c, i - F.array_position(letters, c)))
-    packed = F.aggregate(letters, F.lit(0).cast("long"), lambda x, c: x.bitwiseXOR(
-        F.call_function("shiftleft", F.lit(1).cast("long"), (F.pmod(F.xxhash64(c), F.lit(LETTERS)) + PARTS * BITS).cast("int"))))
-    for p in range(PARTS):
-        h = F.pmod(F.xxhash64(F.filter(dims, lambda d: F.pmod(d, F.lit(PARTS)) == p)), F.lit(1 << BITS))
-        packed = packed.bitwiseOR(F.shiftleft(h, BITS * p))
-    return packed
+def _letter_parts(words: DataFrame) -> DataFrame:
+    """(word, n) with ``parts``: hashes of the letter dimensions in each part and the letters' parities, in one long."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dims: dict[tuple[str, int], int] = {}  # hash of a letter's i-th occurrence
+        for b in batches:
+            packed = []
+            for word in b.column(0).to_pylist():
+                sums, parity = [0] * PARTS, 0
+                seen: dict[str, int] = {}
+                for c in word:
+                    seen[c] = i = seen.get(c, 0) + 1
+                    h = dims.get((c, i))
+                    if h is None:
+                        h = dims[c, i] = xxhash.xxh3_64_intdigest(f"{c}{i}")
+                    sums[h % PARTS] += h >> 8  # a sum does not depend on the letters' order
+                    parity ^= 1 << (ord(c) * 0x9E37 >> 4) % LETTERS
+                bits = parity
+                for x in sums:
+                    bits = bits << BITS | (x * 0x9E3779B97F4A7C15 >> 40) & (1 << BITS) - 1
+                packed.append(bits - (1 << 64) if bits >> 63 else bits)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(packed, pa.int64())], ["word", "n", "parts"])
+
+    return words.select("word", "n").mapInArrow(run, "word string, n long, parts long")
 
 
 def _mask(keep: tuple[int, ...]) -> int:
@@ -127,7 +142,7 @@ def signature_rows(words: DataFrame) -> DataFrame:
     ``m`` is the length of the shorter word of the pairs looked for, ``code``
     numbers signature and half, ``parts`` packs the hashes of the letter parts and the letters' parities.
     """
-    w = words.select("word", "n", F.length("word").alias("len"), _letter_parts(F.col("word")).alias("parts"))
+    w = _letter_parts(words).withColumn("len", F.length("word"))
     length, rows = F.col("len"), []
     for s, (d, keep) in enumerate(SIGNATURES):
         for m in ((length,) if d == 2 else (length, length - 1)):
