@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from statlens.session import scratch_path
 from statlens.sources import files
 from statlens.operators import (changepoint, correlation, distribution, evaluation, outliers, pca, profile, quality,
-                                rolling, seasonal, stationarity, trend)
+                                rolling, seasonal, states, stationarity, trend)
 
 try:  # the operators of statlens.llm and the pipeline are optional; the rest works without them
     import corpus_pipeline
@@ -237,6 +237,14 @@ def _queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     Q["completeness"] = lambda s, sf: r6(profile.completeness(events_dirty(s, sf)))
     Q["duplicate_count"] = lambda s, sf: profile.duplicate_count(events_dup(s, sf))
     Q["logical_size"] = lambda s, sf: profile.logical_size(events_dirty(s, sf))
+    def day_states(s, sf):
+        """The state of each day of events with gaps, merged as one table."""
+        d = events_dirty(s, sf).withColumn("day", F.to_date("ts"))
+        return states.profile_state(d, ["day"])
+    Q["state_info"] = lambda s, sf: r6(states.state_info(day_states(s, sf)))
+    Q["state_missing"] = lambda s, sf: r6(states.state_missing(day_states(s, sf)))
+    Q["state_profile"] = lambda s, sf: r6(states.state_profile(day_states(s, sf)).drop("approx_duplicates"))
+    Q["state_distinct"] = lambda s, sf: states.state_distinct(day_states(s, sf)).where("column_name = 'event_type'")
     Q["head"] = lambda s, sf: r6(profile.head(_t(s, sf, "events"), 10, ["ts", "event_id"]))
     Q["tail"] = lambda s, sf: r6(profile.tail(_t(s, sf, "events"), 10, ["ts", "event_id"]))
     Q["drop_missing"] = lambda s, sf: r6(profile.drop_missing(events_dirty(s, sf)))
@@ -448,6 +456,16 @@ def _oracle_sql() -> dict[str, str]:
         n_rows - nulls AS non_null, nulls FROM nulls"""
     S["missing_summary"] = f"""WITH {nulls} SELECT column_name, nulls AS missing,
         round(nulls / n_rows * 100.0, 6) AS missing_pct FROM nulls WHERE nulls > 0"""
+    moments = {"event_id": "event_id", "user_id": "user_id", "value": "value"}
+    S["state_info"] = f"WITH {nulls}, m AS (" + " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, avg({c}) AS mean, stddev_samp({c}) AS std, min({c})::DOUBLE AS least, max({c})::DOUBLE AS most FROM {D} d" for c in moments) + """)
+        SELECT position, column_name, data_type, n_rows, n_rows - nulls AS non_null, nulls, round(mean, 6) AS mean, round(std, 6) AS std,
+          round(least, 6) AS least, round(most, 6) AS most FROM nulls LEFT JOIN m USING (column_name)"""
+    S["state_missing"] = S["missing_summary"]
+    S["state_profile"] = f"""WITH {nulls}, {sizes} SELECT (SELECT max(n_rows) FROM nulls) AS n_rows, 6::BIGINT AS n_columns, 3::BIGINT AS n_numerical, 2::BIGINT AS n_categorical,
+          round((SELECT sum(bytes) FROM sizes) / (1024.0 * 1024.0), 6) AS size_mb, CAST((SELECT sum(nulls) FROM nulls) AS BIGINT) AS total_missing,
+          round((SELECT avg((n_rows - nulls) / n_rows * 100.0) FROM nulls), 6) AS completeness_pct"""
+    S["state_distinct"] = f"SELECT 'event_type' AS column_name, count(DISTINCT event_type) AS approx_distinct FROM {D} d"
     S["missing_topk"] = f"""WITH {nulls} SELECT column_name, nulls AS missing,
         round(nulls / n_rows * 100.0, 6) AS missing_pct FROM nulls WHERE nulls > 0
         ORDER BY missing_pct DESC, column_name LIMIT 10"""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from statlens.functions import dist
 from statlens.operators import (changepoint, correlation, distribution, outliers, pca, profile, quality,
-                                rolling, seasonal, stationarity, trend)
+                                rolling, seasonal, states, stationarity, trend)
 from statlens.plans.ordered import dense_index, rolling_frame, wide_frame
 from statlens.functions.columns import as_double
 from statlens.plans.quantiles import exact_quantiles, fence_table
@@ -492,3 +492,46 @@ def test_pca_of_many_columns(spark, monkeypatch, basis):
     assert pca.pca_n95(with_gap).first()["n_components"] == int(np.argmax(np.cumsum(full / full.sum()) >= 0.95) + 1)
     scores = pca.pca_scores(df, components=2).toPandas().to_numpy()
     np.testing.assert_allclose(np.sort(np.abs(scores), axis=0), np.sort(np.abs(z @ want[:, :2]), axis=0), atol=1e-5)
+
+
+def test_profile_states_of_halves_merge_to_the_whole(spark, tmp_path):
+    """Exact parts equal those of the whole table; estimates stay within the sketches' errors."""
+    rng = np.random.default_rng(41)
+    n = 40_000
+    pdf = pd.DataFrame({"part": rng.integers(0, 7, n), "age": rng.normal(1e9, 1.0, n), "price": np.where(rng.random(n) < 0.3, np.nan, rng.exponential(size=n)),
+                        "kind": rng.choice(["a", "b", "c"], n), "name": [f"n{v}" for v in rng.integers(0, 15_000, n)], "none": None})
+    pdf["kind"] = pdf["kind"].where(rng.random(n) < 0.9, None)
+    df = spark.createDataFrame(pdf, "part long, age double, price double, kind string, name string, none string")
+    df = df.unionByName(df.where("part = 3"))  # repeated rows
+    path = str(tmp_path / "states")
+    states_ = states.profile_state(df.drop("part"))
+    for part in range(7):
+        states.append_state(df.where(F.col("part") == part), path, ["part"])
+    stored = states.load_states(spark, path)
+    whole, merged = (states.state_info(s).toPandas().sort_values("position") for s in (states_, stored))
+    for c in ("column_name", "n_rows", "non_null", "nulls", "least", "most"):
+        assert whole[c].fillna(-1).tolist() == merged[c].fillna(-1).tolist()
+    all_rows = pd.concat([pdf, pdf[pdf["part"] == 3]])
+    got = merged.set_index("column_name")
+    for c in ("age", "price"):
+        assert got.loc[c, "mean"] == pytest.approx(all_rows[c].mean(), rel=1e-14)
+        assert got.loc[c, "std"] == pytest.approx(all_rows[c].std(), rel=1e-7)
+    info = profile.column_info(df.drop("part")).toPandas().set_index("column_name")
+    assert (info["nulls"] == got["nulls"]).all()
+    assert states.state_missing(stored).collect() == profile.missing_summary(df.drop("part")).collect()
+    exact = profile.table_profile(df.drop("part")).first()
+    est = states.state_profile(stored).first()
+    assert all(est[c] == pytest.approx(exact[c]) for c in ("n_rows", "n_columns", "n_numerical", "n_categorical", "size_mb", "total_missing", "completeness_pct"))
+    rows = exact["n_rows"]
+    assert abs(est["approx_duplicates"] - exact["duplicates"]) <= 4 * 0.0163 * rows
+    d = {r["column_name"]: r["approx_distinct"] for r in states.state_distinct(stored).collect()}
+    real = {r["column_name"]: r["n_distinct"] for r in quality.distinct_counts(df.drop("part")).collect()}
+    assert d["kind"] == 3 and d["none"] == 0 and abs(d["name"] - real["name"]) <= 4 * 0.0163 * real["name"]
+    for r in states.state_quantiles(stored).collect():
+        x = np.sort(all_rows[r["column_name"]].dropna())
+        assert abs(np.searchsorted(x, r["approx_quantile"]) / len(x) - r["p"]) < 0.0133 * 1.5
+    q1, q2 = states.state_quality(stored).first(), quality.quality_summary(df.drop("part")).first()
+    assert q1["completeness"] == pytest.approx(q2["completeness"]) and q1["validity"] == q2["validity"] and q1["approx_consistency"] == q2["consistency"]
+    assert q1["approx_uniqueness"] == pytest.approx(q2["uniqueness"], abs=6.5)
+    by_part = {r["part"]: r["n_rows"] for r in states.state_info(stored, ["part"]).where("column_name = 'age'").collect()}
+    assert by_part == (all_rows["part"].value_counts()).to_dict()
