@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from statlens.session import scratch_path
 from statlens.sources import files
-from statlens.operators import (changepoint, correlation, distribution, evaluation, outliers, pca, profile, quality,
+from statlens.operators import (changepoint, correlation, distribution, evaluation, modelling, outliers, pca, profile, quality,
                                 rolling, seasonal, states, stationarity, trend)
 
 try:  # the operators of statlens.llm and the pipeline are optional; the rest works without them
@@ -349,6 +349,16 @@ def _queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
                                           "l_extendedprice", "pred")
         return r6(m.withColumn("mse", F.round("mse", 2)))
     Q["regression_metrics"] = reg
+
+    def forest(s, sf):
+        """The quality label from numbers of the document and its language."""
+        text = F.coalesce("text", F.lit(""))
+        letters = F.length(F.regexp_replace(text, r"[^\p{L} ]", ""))
+        d = _t(s, sf, "documents").select("doc_id", "lang", "n_chars", F.size(F.split(text, " ")).alias("n_words"), F.size(F.split(text, "\n")).alias("n_lines"),
+                                          F.try_divide(letters, F.length(text)).alias("letters"),
+                                          F.try_divide(F.length(text), F.size(F.split(text, " "))).alias("word_length"))
+        return r6(modelling.fit_evaluate(_t(s, sf, "labels").select("doc_id", "quality").join(d, "doc_id"), "quality", "doc_id"))
+    Q["fit_evaluate"] = forest
     Q["k_fold"] = lambda s, sf: evaluation.k_fold(_t(s, sf, "orders"), "o_orderkey").groupBy("fold").count()
     Q["train_test_split"] = lambda s, sf: (evaluation.train_test_split(_t(s, sf, "orders"), "o_orderkey")
                                            .groupBy("is_test").count())
