@@ -312,7 +312,7 @@ def _queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def csv_roundtrip(s, sf):
         src = ev(s, sf).select("event_id", F.col("ts").alias("event_time"), "user_id", "event_type", "value", "props")
         path = files.export_csv(src, scratch_path(s, "events-csv"))
-        return r6(files.infer_dates(files.load_csv(s, path)))
+        return r6(files.load_csv(s, path, dates=True))
     Q["csv_roundtrip"] = csv_roundtrip
 
     def csv_documents(s, sf):

@@ -10,9 +10,10 @@ from __future__ import annotations
 
 import math
 import os
+import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from statlens.functions.columns import STRING_TYPES, q
@@ -68,47 +69,55 @@ def _name(c: str) -> str:
     return "`" + c.replace("`", "``") + "`"
 
 
+class _Types:
+    """Counts of one aggregate that decide the types of text columns, and what they decide."""
+
+    def __init__(self, df: DataFrame, columns: Sequence[str]):
+        self.df, self.cols, self.aggs = df, list(columns), [F.count(F.lit(1)).alias("_rows")]
+        self.whole, self.number = {}, {}
+        for i, c in enumerate(self.cols):
+            s = F.trim(q(c))
+            # the patterns keep out what a cast alone takes, such as 10d or 0x1p3
+            self.whole[c] = F.when(s.rlike(_INTEGER), F.expr(f"try_cast(trim({_name(c)}) AS BIGINT)"))
+            self.number[c] = F.when(s.rlike(_NUMBER), F.expr(f"try_cast(trim({_name(c)}) AS DOUBLE)"))
+            self.aggs += [F.count(q(c)).alias(f"_n{i}"), F.count(self.whole[c]).alias(f"_l{i}"), F.count(self.number[c]).alias(f"_d{i}"),
+                          F.count_if(F.lower(s).isin("true", "false")).alias(f"_b{i}")]
+
+    def decided(self, counts) -> dict[str, Column]:
+        """Columns that are no text, from the aggregate's row."""
+        out = {}
+        for i, c in enumerate(self.cols if counts["_rows"] else []):
+            n = counts[f"_n{i}"]
+            if n and counts[f"_l{i}"] == n:
+                out[c] = self.whole[c].alias(c)
+            elif counts[f"_d{i}"] == n:
+                out[c] = self.number[c].alias(c)
+            elif counts[f"_b{i}"] == n:
+                out[c] = (F.lower(F.trim(q(c))) == "true").alias(c)
+        return out
+
+
+def _text_columns(df: DataFrame) -> list[str]:
+    return [f.name for f in df.schema.fields if isinstance(f.dataType, STRING_TYPES)]
+
+
 def infer_types(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Cast string columns to bigint / double / boolean when every non-null
     value reads as such (one aggregate over the data).  A column with rows but
     no value is double, like any all-missing column."""
-    cols = list(columns) if columns is not None else [
-        f.name for f in df.schema.fields if isinstance(f.dataType, STRING_TYPES)]
+    cols = list(columns) if columns is not None else _text_columns(df)
     if not cols:
         return df
-    aggs = [F.count(F.lit(1)).alias("_rows")]
-    whole, number = {}, {}
-    for i, c in enumerate(cols):
-        s = F.trim(q(c))
-        # the patterns keep out what a cast alone takes, such as 10d or 0x1p3
-        whole[c] = F.when(s.rlike(_INTEGER), F.expr(f"try_cast(trim({_name(c)}) AS BIGINT)"))
-        number[c] = F.when(s.rlike(_NUMBER), F.expr(f"try_cast(trim({_name(c)}) AS DOUBLE)"))
-        aggs += [F.count(q(c)).alias(f"_n{i}"), F.count(whole[c]).alias(f"_l{i}"), F.count(number[c]).alias(f"_d{i}"),
-                 F.count_if(F.lower(s).isin("true", "false")).alias(f"_b{i}")]
-    counts = df.agg(*aggs).first()  # 4 numbers per column
-    out = []
-    for f in df.schema.fields:
-        c = f.name
-        if c not in cols or not counts["_rows"]:
-            out.append(q(c))
-            continue
-        i = cols.index(c)
-        n = counts[f"_n{i}"]
-        if n and counts[f"_l{i}"] == n:
-            out.append(whole[c].alias(c))
-        elif counts[f"_d{i}"] == n:
-            out.append(number[c].alias(c))
-        elif counts[f"_b{i}"] == n:
-            out.append((F.lower(F.trim(q(c))) == "true").alias(c))
-        else:
-            out.append(q(c))
-    return df.select(*out)
+    types = _Types(df, cols)
+    typed = types.decided(df.agg(*types.aggs).first())  # 4 numbers per column
+    return df.select(*[typed.get(c, q(c)) for c in df.columns])
 
 
 def load_csv(spark: SparkSession, path: str, schema=None, na_values: Sequence[str] = DEFAULT_NA,
-             infer: bool = True, multi_line: bool = True) -> DataFrame:
+             infer: bool = True, multi_line: bool = True, dates: bool = False) -> DataFrame:
     """CSV with a header row; ``na_values`` cells are NULL; types
-    inferred from the values (or ``schema`` applied).
+    inferred from the values (or ``schema`` applied); with ``dates`` also those of
+    :func:`infer_dates`, in the same scan.
 
     Quoted cells may hold line breaks.  A file that is larger than a split is read by many
     tasks all the same, after a scan that finds its records; ``multi_line=False``
@@ -126,7 +135,57 @@ def load_csv(spark: SparkSession, path: str, schema=None, na_values: Sequence[st
     raw = raw.select(*cells, *[F.when(~q(c).isin(tokens), q(c)).alias(c) for c in rest])
     if schema is not None:
         return raw.select(*[q(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
-    return infer_types(raw) if infer else raw
+    if not infer:
+        return raw
+    if not dates:
+        return infer_types(raw)
+    cols = _text_columns(raw)
+    types, times = _Types(raw, cols), _Dates(raw, DATE_NAME_PARTS, DATE_FORMATS)
+    counts = raw.agg(*types.aggs, *times.aggs).first()
+    chosen = times.decided(counts) | types.decided(counts)
+    return raw.select(*[chosen.get(c, q(c)) for c in raw.columns])
+
+
+def _shapes(fmt: str) -> list[str]:
+    """Shapes of the texts that a date format reads: 9 for a digit, a for letters."""
+    out = [""]
+    for token in re.findall(r"([A-Za-z])(\1*)|(.)", fmt):
+        text = token[0] + token[1] if token[0] else token[2]
+        if text == "d":
+            more = ["9", "99"]
+        elif token[0]:
+            more = ["a"] if text in ("MMM", "MMMM") else ["9" * len(text)]
+        else:
+            more = [text]
+        out = [a + b for a in out for b in more]
+    return out
+
+
+class _Dates:
+    """Counts of one aggregate that decide which text columns are dates, and in what form.
+
+    A value is reduced to its shape first (digits to 9, letters to a), and only the few
+    formats with that shape try to read it."""
+
+    def __init__(self, df: DataFrame, name_parts: Sequence[str], formats: Sequence[str]):
+        self.aggs, self.forms = [], {}
+        for i, c in enumerate(c for c in _text_columns(df) if any(p in c.lower() for p in name_parts)):
+            text = F.trim(q(c))
+            shape = F.regexp_replace(F.translate(text, "012345678", "999999999"), r"\p{L}+", "a")
+            # a year first; what else ISO 8601 allows is the cast's to say
+            forms = [F.when(shape.rlike(r"^[+-]?9"), F.expr(f"try_cast({_name(c)} AS TIMESTAMP_NTZ)"))]
+            forms += [F.when(shape.isin(_shapes(f + t)), F.try_to_timestamp(text, F.lit(f + t)).cast("timestamp_ntz")) for f in formats for t in TIMES]
+            self.forms[c] = forms
+            self.aggs += [F.count(q(c)).alias(f"_t{i}"), *[F.count(x).alias(f"_t{i}_{k}") for k, x in enumerate(forms)]]
+
+    def decided(self, counts) -> dict[str, Column]:
+        """Columns that are dates, from the aggregate's row: the first form that reads all values."""
+        out = {}
+        for i, (c, forms) in enumerate(self.forms.items()):
+            k = next((k for k in range(len(forms)) if counts[f"_t{i}_{k}"] == counts[f"_t{i}"]), None)
+            if k is not None:
+                out[c] = forms[k].alias(c)
+        return out
 
 
 def infer_dates(df: DataFrame, name_parts: Sequence[str] = DATE_NAME_PARTS,
@@ -134,31 +193,12 @@ def infer_dates(df: DataFrame, name_parts: Sequence[str] = DATE_NAME_PARTS,
     """String columns whose lower-cased name contains a part are turned
     into timestamps when every non-null value reads in one form: ISO 8601, or
     the first of ``formats`` that fits them all; otherwise left as they are (all
-    or nothing; one aggregate for all candidates, over the forms that a first value
-    fits)."""
-    cand = [f.name for f in df.schema.fields
-            if isinstance(f.dataType, STRING_TYPES) and any(p in f.name.lower() for p in name_parts)]
-    if not cand:
+    or nothing; one aggregate for all columns and forms)."""
+    dates = _Dates(df, name_parts, formats)
+    if not dates.aggs:
         return df
-
-    def forms(c):
-        text = F.trim(q(c))
-        return [F.expr(f"try_cast({_name(c)} AS TIMESTAMP_NTZ)")] + [
-            F.try_to_timestamp(text, F.lit(f + t)).cast("timestamp_ntz") for f in formats for t in TIMES]
-
-    # The forms that fit a column's first value are counted over all of them.
-    firsts = df.agg(*[F.first(q(c), ignorenulls=True).alias(c) for c in cand])
-    fit = firsts.select(*[F.array(*[x.isNotNull() | q(c).isNull() for x in forms(c)]).alias(c) for c in cand]).first()
-    tried = {c: [x for x, ok in zip(forms(c), fit[c]) if ok] for c in cand}
-    counts = df.agg(*[F.count(q(c)).alias(f"_n{i}") for i, c in enumerate(cand)],
-                    *[F.count(x).alias(f"_p{i}_{k}") for i, c in enumerate(cand) for k, x in enumerate(tried[c])]).first()
-    out = {}
-    for i, c in enumerate(cand):
-        for k, x in enumerate(tried[c]):
-            if counts[f"_p{i}_{k}"] == counts[f"_n{i}"]:
-                out[c] = x.alias(c)
-                break
-    return df.select(*[out.get(c, q(c)) for c in df.columns])
+    chosen = dates.decided(df.agg(*dates.aggs).first())
+    return df.select(*[chosen.get(c, q(c)) for c in df.columns])
 
 
 def export_csv(df: DataFrame, path: str, mode: str = "overwrite") -> str:

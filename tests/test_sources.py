@@ -3,6 +3,7 @@
 import csv
 import os
 import random
+import re
 import tempfile
 import zipfile
 
@@ -196,3 +197,37 @@ def test_errors_of_a_file_without_a_suffix(spark, tmp_path):
     (tmp_path / "bin").write_bytes(b"\x00\x01\x02\xff")
     with pytest.raises(ValueError, match="Unsupported file format"):
         files.load_any(spark, str(tmp_path / "bin"))
+
+
+def test_dates_by_shapes(spark, tmp_path):
+    """Every format with every time of day; what one value rules out; one scan with the types."""
+    import datetime as dt
+    days = [dt.datetime(2024, 1, 31, 10, 5, 7), dt.datetime(1999, 12, 9, 23, 59, 0), dt.datetime(2024, 2, 29, 0, 0, 30)]
+    as_python = {"MM": "%m", "dd": "%d", "yyyy": "%Y", "MMM": "%b", "MMMM": "%B", "HH": "%H", "mm": "%M", "ss": "%S"}
+
+    def show(x, fmt):
+        return re.sub(r"([A-Za-z])\1*", lambda m: str(x.day) if m[0] == "d" else x.strftime(as_python[m[0]]), fmt)
+
+    cells, want = {}, {}
+    for k, f in enumerate(files.DATE_FORMATS):
+        for t in files.TIMES:
+            name = f"date_{k}_{len(t)}"
+            cells[name] = [show(x, f + t) for x in days]
+            want[name] = [dt.datetime.strptime(show(x, f + t), re.sub(r"([A-Za-z])\1*", lambda m: "%d" if m[0] == "d" else as_python[m[0]], f + t)) for x in days]
+    plain = {"iso_time": ["2024-01-31T10:05:07.123456", "1999-12-09", " 2024-02-29 00:00:30 "], "bad_date": ["01/31/2024", "31/01/2024", "02/29/2024"],
+             "feb_date": ["02/29/2024", "02/30/2024", "01/01/2024"], "mixed_time": ["2024-01-31", "01/31/2024", None], "gap_date": [None, "Jan 5, 2024", None],
+             "no_date": [None, None, None], "word_date": ["January", "5", "2024 AD"], "plain": ["2024-01-31"] * 3}
+    table = {**cells, **plain}
+    df = spark.createDataFrame(list(zip(*table.values())), ", ".join(f"{c} string" for c in table))
+    got = files.infer_dates(df)
+    kept = {f.name for f in got.schema.fields if f.dataType.simpleString() == "string"}
+    assert kept == {"bad_date", "feb_date", "mixed_time", "word_date", "plain"}
+    rows = got.collect()
+    for c, x in want.items():
+        assert [r[c] for r in rows] == x, c
+    assert [str(r["iso_time"]) for r in rows] == ["2024-01-31 10:05:07.123456", "1999-12-09 00:00:00", "2024-02-29 00:00:30"]
+    f = tmp_path / "d.csv"
+    f.write_text("id,when_date,time_n,x\n1,31.01.2024,10,a\n2,NA,20,b\n3,01.02.2024,,c\n")
+    one, two = files.load_csv(spark, str(f), dates=True), files.infer_dates(files.load_csv(spark, str(f)))
+    assert one.schema == two.schema and one.collect() == two.collect()
+    assert [c.dataType.simpleString() for c in one.schema.fields] == ["bigint", "timestamp_ntz", "bigint", "string"]
