@@ -307,6 +307,8 @@ def _queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     Q["outlier_report_null_key"] = lambda s, sf: r6(outliers.outlier_report(events_null_key(s, sf), ["value"], by))
     Q["box_stats_null_key"] = lambda s, sf: r6(distribution.box_stats(events_null_key(s, sf), "value", by))
     Q["histogram_null_key"] = lambda s, sf: r6(distribution.histogram(events_plain_null_key(s, sf), "value", by))
+    Q["histogram_runs"] = lambda s, sf: r10(distribution.histogram_runs(events_null_key(s, sf), "value"))
+    Q["histogram_runs_null_key"] = lambda s, sf: r10(distribution.histogram_runs(events_null_key(s, sf), "value", by))
     Q["iqr_bounds_extreme"] = lambda s, sf: r6(outliers.iqr_bounds(events_null_key(s, sf), ["value"]))
 
     def csv_roundtrip(s, sf):
@@ -781,6 +783,19 @@ def _oracle_sql() -> dict[str, str]:
         g AS (SELECT event_type, unnest(generate_series(0, bins - 1)) AS bin, lo, hi, bins FROM b)
         SELECT g.event_type, g.bin, round(lo + g.bin * ((hi - lo) / bins), 6) AS lower, round(lo + (g.bin + 1) * ((hi - lo) / bins), 6) AS upper,
           CAST(coalesce(cnt, 0) AS BIGINT) AS count FROM g LEFT JOIN c ON g.event_type IS NOT DISTINCT FROM c.event_type AND g.bin = c.bin"""
+    def runs(key, same):
+        return _r10_sql(f"""WITH v AS (SELECT {key} value FROM {X} e WHERE value IS NOT NULL),
+        st AS (SELECT {key} count(*) AS n, min(value) AS lo0, max(value) AS hi0, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM v GROUP BY {key or "()"}),
+        w AS (SELECT *, (hi0 - lo0) / (log2(n) + 1.0) AS sturges, 2.0 * (q3 - q1) * pow(n, CAST(-1 AS DOUBLE) / 3.0) AS fd FROM st),
+        b AS (SELECT *, CASE WHEN hi0 > lo0 THEN CAST(ceil((hi0 - lo0) / CASE WHEN fd > 0 THEN least(sturges, fd) ELSE sturges END) AS BIGINT)
+            ELSE 1 END AS bins, CASE WHEN hi0 > lo0 THEN lo0 ELSE lo0 - 0.5 END AS lo, CASE WHEN hi0 > lo0 THEN hi0 ELSE hi0 + 0.5 END AS hi FROM w),
+        c AS (SELECT {same[0]} lo, hi, bins, least(CAST(floor((value - lo) / (hi - lo) * bins) AS BIGINT), bins - 1) AS bin, count(*) AS cnt FROM v JOIN b ON {same[1]} GROUP BY ALL),
+        l AS (SELECT *, lead(bin) OVER (PARTITION BY {key} 1 ORDER BY bin) AS nxt FROM c),
+        r AS (SELECT *, bin AS first_bin, bin AS last_bin FROM l
+          UNION ALL SELECT * REPLACE (0 AS cnt), bin + 1, nxt - 1 FROM l WHERE nxt > bin + 1)
+        SELECT {key} first_bin, last_bin, lo + first_bin * ((hi - lo) / bins) AS lower, lo + (last_bin + 1) * ((hi - lo) / bins) AS upper, cnt AS count FROM r""", "lower upper")
+    S["histogram_runs"] = runs("", ("", "true")).replace("GROUP BY ()", "")
+    S["histogram_runs_null_key"] = runs("event_type,", ("v.event_type,", "v.event_type IS NOT DISTINCT FROM b.event_type")).replace("GROUP BY event_type,", "GROUP BY event_type")
     S["iqr_bounds_extreme"] = f"""WITH st AS (SELECT 'value' AS column_name, count(value) AS n, quantile_cont(value, 0.25) AS q1,
           quantile_cont(value, 0.75) AS q3 FROM {X} e)
         SELECT column_name, n, round(q1, 6) AS q1, round(q3, 6) AS q3, round(q3 - q1, 6) AS iqr,

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from statlens.functions.columns import as_double, as_list, join_on, q
 from statlens.functions.udfs import two_sided_t_col
+from statlens.plans.ordered import framed
 from statlens.plans.quantiles import quantile_table
 
 INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
@@ -36,13 +37,8 @@ def _long(df: DataFrame, column: str, by: list[str]) -> DataFrame:
     return df.select(*[q(b) for b in by], F.lit(column).alias("column_name"), as_double(column).alias("value"))
 
 
-def histogram(df: DataFrame, column: str, by: Sequence[str] = (), max_bins: int = 10_000_000) -> DataFrame:
-    """Counts in equal-width bins chosen like numpy's ``bins='auto'``
-    (the smaller of the Sturges and Freedman-Diaconis widths); empty bins
-    are listed with 0.  A column whose spread asks for more than ``max_bins``
-    bins raises an error that says so (an extreme value makes bins without
-    number); nothing is cut."""
-    by = as_list(by)
+def _binned(df: DataFrame, column: str, by: list[str], max_bins: int | None) -> tuple[DataFrame, DataFrame]:
+    """Bins like numpy's ``bins='auto'``: per group (lo, hi, bins), and the counts of the filled ones."""
     integral = isinstance(df.schema[column].dataType, INTEGRAL)
     long = _long(df, column, by)
     keys = by + ["column_name"]
@@ -57,8 +53,9 @@ def histogram(df: DataFrame, column: str, by: Sequence[str] = (), max_bins: int
     if integral:
         width = F.greatest(width, F.lit(1.0))
     wanted = F.when(rng > 0, F.ceil(rng / width)).otherwise(F.lit(1.0))
-    bins = F.when(wanted <= max_bins, wanted.cast("long")).otherwise(F.raise_error(F.concat(
-        F.lit(f"histogram of {column}: "), wanted.cast("string"), F.lit(f" bins; raise max_bins ({max_bins}) or drop extreme values"))).cast("long"))
+    most, hint = (max_bins, f"raise max_bins ({max_bins}), use histogram_runs or drop extreme values") if max_bins else (2 ** 53, "more than doubles can number")
+    bins = F.when(wanted <= most, wanted.cast("long")).otherwise(F.raise_error(F.concat(
+        F.lit(f"histogram of {column}: "), wanted.cast("string"), F.lit(f" bins; {hint}"))).cast("long"))
     st = st.select(*keys, "n", "lo", "hi", bins.alias("bins"))
     # numpy: a constant column spans [x - 0.5, x + 0.5]
     lo = F.when(F.col("hi") > F.col("lo"), F.col("lo")).otherwise(F.col("lo") - 0.5)
@@ -68,17 +65,63 @@ def histogram(df: DataFrame, column: str, by: Sequence[str] = (), max_bins: int
                 F.col("bins") - 1)
     per_key = st.select(*keys, "lo", "hi", "bins")
     counts = (join_on(long.where(F.col("value").isNotNull()), per_key, keys, small=not by)
-              .groupBy(*keys, b.alias("bin")).agg(F.count(F.lit(1)).alias("count")))
+              .groupBy(*keys, "lo", "hi", "bins", b.alias("bin")).agg(F.count(F.lit(1)).alias("count")))
+    return st, counts
+
+
+_STEP = "(hi - lo) / bins"
+
+
+def histogram(df: DataFrame, column: str, by: Sequence[str] = (), max_bins: int = 10_000_000) -> DataFrame:
+    """Counts in equal-width bins chosen like numpy's ``bins='auto'``
+    (the smaller of the Sturges and Freedman-Diaconis widths); empty bins
+    are listed with 0.  A column whose spread asks for more than ``max_bins``
+    bins raises an error that says so (an extreme value makes bins without
+    number; :func:`histogram_runs` tells them in as many rows as are filled); nothing is cut."""
+    by = as_list(by)
+    keys = by + ["column_name"]
+    st, counts = _binned(df, column, by, max_bins)
     # bins are made a thousand at a time, so no row holds all of them
     grid = (st.select(*keys, "lo", "hi", "bins", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bins") - 1, F.lit(1000).cast("long"))).alias("_from"))
             .select(*keys, "lo", "hi", "bins", F.explode(F.sequence("_from", F.least(F.col("_from") + 999, F.col("bins") - 1))).alias("bin")))
-    step = (F.col("hi") - F.col("lo")) / F.col("bins")
-    return (join_on(grid, counts, keys + ["bin"], "left")
+    step = F.expr(_STEP)
+    return (join_on(grid, counts.drop("lo", "hi", "bins"), keys + ["bin"], "left")
             .select(*by, "bin", (F.col("lo") + F.col("bin") * step).alias("lower"),
                     (F.col("lo") + (F.col("bin") + 1) * step).alias("upper"),
                     F.coalesce(F.col("count"), F.lit(0).cast("bigint")).alias("count")))
 
 
+def histogram_runs(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
+    """D2 for any spread: the bins of :func:`histogram`, a run of empty ones as one row.
+
+    Rows (by..., first_bin, last_bin, lower, upper, count): a filled bin by itself, and between two
+    filled bins that aren't neighbours one row with count 0.  As many rows as twice the filled bins,
+    however many bins there are (up to 2^53); :func:`expand_runs` lists a range of them."""
+    by = as_list(by)
+    _, counts = _binned(df, column, by, None)
+    # the first and the last bin hold the least and the largest value, so every run lies between two filled bins
+    nxt = framed(counts, ["bin"], by, lo=0, hi=1, aggs=lambda w: {"_next": F.max("bin").over(w)})
+    none = F.lit(0).cast("bigint")
+    runs = F.array(F.struct(F.col("bin").alias("first_bin"), F.col("bin").alias("last_bin"), F.col("count").alias("count")),
+                   F.when(F.col("_next") > F.col("bin") + 1, F.struct((F.col("bin") + 1).alias("first_bin"), (F.col("_next") - 1).alias("last_bin"), none.alias("count"))))
+    out = nxt.select(*[q(b) for b in by], "lo", "hi", "bins", F.inline(F.array_compact(runs)))
+    step = F.expr(_STEP)
+    return out.select(*[q(b) for b in by], "first_bin", "last_bin", (F.col("lo") + F.col("first_bin") * step).alias("lower"),
+                      (F.col("lo") + (F.col("last_bin") + 1) * step).alias("upper"), "count")
+
+
+def expand_runs(runs: DataFrame, first: int, last: int) -> DataFrame:
+    """The bins ``first`` .. ``last`` of :func:`histogram_runs`, one row each (columns as :func:`histogram`)."""
+    cut = runs.where((F.col("last_bin") >= first) & (F.col("first_bin") <= last))
+    width = (F.col("upper") - F.col("lower")) / (F.col("last_bin") - F.col("first_bin") + 1)
+    bins = cut.select("*", width.alias("_width"), F.explode(F.sequence(
+        F.greatest("first_bin", F.lit(first)), F.least("last_bin", F.lit(last)))).alias("bin"))
+    by = [c for c in runs.columns if c not in ("first_bin", "last_bin", "lower", "upper", "count")]
+    at = F.col("bin") - F.col("first_bin")
+    return bins.select(*[q(b) for b in by], "bin", (F.col("lower") + at * F.col("_width")).alias("lower"),
+                       (F.col("lower") + (at + 1) * F.col("_width")).alias("upper"), "count")
+
+
 def _kde_partials(by: list[str], grid: int):
     """Per task: kernel sums of its bins at every grid point (numpy on an Arrow
     batch), one row per (group, point)."""

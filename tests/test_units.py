@@ -535,3 +535,26 @@ def test_profile_states_of_halves_merge_to_the_whole(spark, tmp_path):
     assert q1["approx_uniqueness"] == pytest.approx(q2["uniqueness"], abs=6.5)
     by_part = {r["part"]: r["n_rows"] for r in states.state_info(stored, ["part"]).where("column_name = 'age'").collect()}
     assert by_part == (all_rows["part"].value_counts()).to_dict()
+
+
+def test_histogram_runs(spark):
+    """The bins of the full list where that exists; any spread; a range of bins by demand."""
+    rng = np.random.default_rng(51)
+    pdf = pd.DataFrame({"g": ["a"] * 3000 + [None] * 500, "v": np.concatenate([rng.normal(size=2990), [30.0] * 9, [41.5], rng.exponential(size=500)])})
+    df = spark.createDataFrame(pdf, "g string, v double")
+    full = distribution.histogram(df, "v", ["g"]).toPandas()
+    runs = distribution.histogram_runs(df, "v", ["g"])
+    got = distribution.expand_runs(runs, 0, 10**6).toPandas()
+    assert len(got) == len(full) and (full["count"] == 0).sum() > 20
+    a, b = (x.sort_values(["g", "bin"], na_position="first").reset_index(drop=True) for x in (got, full))
+    assert (a["count"] == b["count"]).all() and np.allclose(a[["lower", "upper"]], b[["lower", "upper"]], atol=1e-9)
+    rows = runs.toPandas()
+    empty = rows[rows["count"] == 0]
+    assert len(empty) < 20 and (rows[rows["count"] > 0]["first_bin"] == rows[rows["count"] > 0]["last_bin"]).all()
+    wide = spark.createDataFrame([(float(v),) for v in rng.random(20_000)] + [(1e12,)], "v double")
+    r = distribution.histogram_runs(wide, "v").toPandas().sort_values("first_bin")
+    assert r["count"].sum() == 20_001 and r["upper"].iloc[-1] == pytest.approx(1e12) and r["last_bin"].iloc[-1] > 10**12
+    assert (r["first_bin"].iloc[1:].to_numpy() == r["last_bin"].iloc[:-1].to_numpy() + 1).all()
+    assert distribution.expand_runs(distribution.histogram_runs(wide, "v"), 10**11, 10**11 + 4).toPandas()["count"].tolist() == [0] * 5
+    assert distribution.histogram_runs(wide.limit(0), "v").count() == 0
+    assert distribution.histogram_runs(wide.limit(3).select(F.lit(2.0).alias("v")), "v").first()["count"] == 3
