@@ -142,49 +142,57 @@ COLUMNS = 64
 WIDE, SURE = 0.01, 4
 
 
-def _per_column(k: int, make) -> Column:
-    """Array of one struct per column: ``make(i)`` returns {name: Column}."""
-    return F.array(*[F.struct(F.lit(i).alias("i"), *[c.alias(nm) for nm, c in make(i).items()]) for i in range(k)])
+def _sql(value) -> str:
+    """A driver's number as SQL."""
+    return "CAST(NULL AS DOUBLE)" if value is None else f"{value}L" if isinstance(value, int) else f"CAST('{value!r}' AS DOUBLE)"
 
 
-def _wide_brackets(wide: DataFrame, keys: list[str], k: int, probs: list[float], small_keys: bool, limit: int) -> DataFrame:
+class _Wide:
+    """Columns ``_v0`` .. of a table next to the statistics of their group: names in SQL, or numbers where
+    there is one group only."""
+
+    def __init__(self, wide: DataFrame, keys: list[str], stats: DataFrame):
+        row = None if keys else (stats.first() or {}).asDict()
+        self.rows = join_on(wide, stats, keys) if keys else wide
+        self.at = (lambda c: c) if keys else (lambda c: _sql(row[c]))
+
+    def agg(self, keys: list[str], exprs: list[str]) -> DataFrame:
+        return self.rows.groupBy(*[q(c) for c in keys]).agg(*map(F.expr, exprs))
+
+
+def _wide_brackets(wide: DataFrame, keys: list[str], k: int, probs: list[float], limit: int) -> DataFrame:
     """One row per key: for column i count ``_n``, mean ``_mu``, deviation ``_sd``, brackets ``_lo{i}_{j}``, ``_hi{i}_{j}``
     and ``_a{i}_{j}``, ``_z{i}_{j}``, between which the quantile lies for certain (NULL where the rows are too few to say)."""
     names = [q(c) for c in keys]
-    ends = F.array(*[F.lit(_clip(e)) for p in probs for e in (p - MARGIN, p + MARGIN, p - WIDE, p + WIDE)])
-    aggs = [F.count(F.lit(1)).alias("_rows")]
+    ends = ", ".join(f"{_clip(e)!r}D" for p in probs for e in (p - MARGIN, p + MARGIN, p - WIDE, p + WIDE))
+    aggs = ["count(1) AS _rows"]
     for i in range(k):
-        v = F.col(f"_v{i}")
-        aggs += [F.count(v).alias(f"_n{i}"), F.avg(v).alias(f"_mu{i}"), F.stddev_pop(v).alias(f"_sd{i}"),
-                 F.percentile_approx(v, ends, ACCURACY).alias(f"_q{i}")]
-    first = wide.groupBy(*names).agg(*aggs)
+        aggs += [f"count(_v{i}) AS _n{i}", f"avg(_v{i}) AS _mu{i}", f"stddev_pop(_v{i}) AS _sd{i}", f"percentile_approx(_v{i}, array({ends}), {ACCURACY}) AS _q{i}"]
     pairs = [(i, j) for i in range(k) for j in range(len(probs))]
     kept = ["_rows", *[f"{c}{i}" for i in range(k) for c in ("_n", "_mu", "_sd")]]
     got = []
     for i, j in pairs:
-        narrow, broad = ([F.get(f"_q{i}", F.lit(4 * j + e)) for e in ends] for ends in ((0, 1), (2, 3)))
-        got += [c.alias(f"_{side}{i}_{j}") for side, c in zip(("lo", "hi"), narrow)]
-        n = F.col(f"_n{i}")
-        got += [F.when(n * MARGIN >= SURE, a).when(n * WIDE >= SURE, b).alias(f"_{side}{i}_{j}") for side, a, b in zip("az", narrow, broad)]
-    stats = written(first.select(*names, *kept, *got), "brackets")
+        lo, hi, a, z = (f"get(_q{i}, {4 * j + e})" for e in range(4))
+        got += [f"{lo} AS _lo{i}_{j}", f"{hi} AS _hi{i}_{j}"]
+        got += [f"CASE WHEN _n{i} * {MARGIN}D >= {SURE} THEN {near} WHEN _n{i} * {WIDE}D >= {SURE} THEN {far} END AS _{side}{i}_{j}"
+                for side, near, far in (("a", lo, a), ("z", hi, z))]
+    stats = written(wide.groupBy(*names).agg(*map(F.expr, aggs)).select(*names, *kept, *map(F.expr, got)), "brackets")
     kept += [f"_{side}{i}_{j}" for i, j in pairs for side in "az"]
-    held = (stats.agg(F.max(F.greatest(F.lit(0), *[F.col(f"_n{i}") for i in range(k)]))).first()[0] or 0) * 2.4 * MARGIN
-    grid = F.array(*[F.lit(g / GRID) for g in range(GRID + 1)])
+    most = "greatest(" + ", ".join(["0", "0", *[f"_n{i}" for i in range(k)]]) + ")"
+    held = (stats.agg(F.max(F.expr(most))).first()[0] or 0) * 2.4 * MARGIN
+    grid = ", ".join(f"{g / GRID!r}D" for g in range(GRID + 1))
     while held > limit:  # by the quantiles of the rows inside, as far as needed
-        aggs = []
-        for i, j in pairs:
-            v, lo, hi = F.col(f"_v{i}"), F.col(f"_lo{i}_{j}"), F.col(f"_hi{i}_{j}")
-            inside = (v >= lo) & (v <= hi)
-            aggs += [F.count_if(v < lo).alias(f"_b{i}_{j}"), F.count_if(inside).alias(f"_m{i}_{j}"),
-                     F.percentile_approx(F.when(inside, v), grid, ACCURACY).alias(f"_g{i}_{j}")]
-        got = join_on(stats, join_on(wide, stats, keys, small=small_keys).groupBy(*names).agg(*aggs), keys)
-        ends = []
+        near, aggs, ends = _Wide(wide, keys, stats), [], []
         for i, j in pairs:
-            rank = F.floor((F.col(f"_n{i}") - 1) * F.lit(probs[j])) - F.col(f"_b{i}_{j}")
-            at = [F.try_divide(rank + d, F.col(f"_m{i}_{j}")) + F.lit(e) for d, e in ((0, -MARGIN), (2, MARGIN))]
-            ends += [F.get(f"_g{i}_{j}", F.greatest(F.lit(0), F.floor(at[0] * GRID)).cast("int")).alias(f"_lo{i}_{j}"),
-                     F.get(f"_g{i}_{j}", F.least(F.lit(GRID), F.ceil(at[1] * GRID)).cast("int")).alias(f"_hi{i}_{j}")]
-        stats = written(got.select(*names, *kept, *ends), "brackets")
+            lo, hi = near.at(f"_lo{i}_{j}"), near.at(f"_hi{i}_{j}")
+            inside = f"_v{i} >= {lo} AND _v{i} <= {hi}"
+            aggs += [f"count_if(_v{i} < {lo}) AS _b{i}_{j}", f"count_if({inside}) AS _m{i}_{j}",
+                     f"percentile_approx(CASE WHEN {inside} THEN _v{i} END, array({grid}), {ACCURACY}) AS _g{i}_{j}"]
+            rank = f"floor((_n{i} - 1) * {probs[j]!r}D) - _b{i}_{j}"
+            ends += [f"get(_g{i}_{j}, CAST(greatest(0, floor((try_divide({rank}, _m{i}_{j}) - {MARGIN}D) * {GRID})) AS INT)) AS _lo{i}_{j}",
+                     f"get(_g{i}_{j}, CAST(least({GRID}, ceil((try_divide({rank} + 2, _m{i}_{j}) + {MARGIN}D) * {GRID})) AS INT)) AS _hi{i}_{j}"]
+        got = join_on(stats, near.agg(keys, aggs), keys)
+        stats = written(got.select(*names, *kept, *map(F.expr, ends)), "brackets")
         held *= 4 / GRID
     return stats
 
@@ -203,41 +211,42 @@ def fence_table(df: DataFrame, columns: Sequence[tuple[str, Column]], by: Sequen
        z-scores beyond ``z_k`` (exact by now) and the values that are outside wherever in
        their brackets the quartiles lie;
     3. the few cells inside a bracket, or where a fence may lie, counted per value.
+
+    Each scan's small result is written, so no scan is repeated.
     """
     by = list(by)
     if len(columns) > COLUMNS:
         out = [fence_table(df, columns[a:a + COLUMNS], by, name, z_k=z_k, iqr_k=iqr_k, limit=limit) for a in range(0, len(columns), COLUMNS)]
         return _all(out)
-    probs, k, small = [0.25, 0.75], len(columns), not by
+    probs, k = [0.25, 0.75], len(columns)
     names = [q(c) for c in by]
     wide = df.select(*names, *[c.alias(f"_v{i}") for i, (_, c) in enumerate(columns)])
-    stats = _wide_brackets(wide, by, k, probs, small, limit)
-    rows = join_on(wide, stats, by, small=small)
-
-    def limits(i):
-        """Where the fences may lie, from the brackets of both quartiles."""
-        a, b, c, d = (F.col(f"_{side}{i}_{j}") for j in (0, 1) for side in "az")
-        return a - iqr_k * (d - a), b - iqr_k * F.greatest(c - b, F.lit(0.0)), c + iqr_k * F.greatest(c - b, F.lit(0.0)), d + iqr_k * (d - a)
-
-    aggs, cells = [], []
+    stats = _wide_brackets(wide, by, k, probs, limit)
+    near = _Wide(wide, by, stats)
+    aggs, cells, here, parts = [], [], [], []
     for i in range(k):
-        v = F.col(f"_v{i}")
-        low0, low1, high0, high1 = limits(i)
-        z = F.abs(F.try_divide(v - F.col(f"_mu{i}"), F.col(f"_sd{i}")))
-        aggs += [F.count_if(z > z_k).alias(f"_z{i}"), F.count_if((v < low0) | (v > high1)).alias(f"_sure{i}")]
-        near = [(2, F.coalesce((v >= low0) & (v <= low1), v.isNotNull())), (3, F.coalesce((v >= high0) & (v <= high1), v.isNotNull()))]
+        v = f"_v{i}"
+        a, b, c, d = (near.at(f"_{side}{i}_{j}") for j in (0, 1) for side in "az")
+        # where the fences may lie, from what is certain of both quartiles
+        low = f"{a} - {iqr_k}D * ({d} - {a})", f"{b} - {iqr_k}D * greatest({c} - {b}, 0D)"
+        high = f"{c} + {iqr_k}D * greatest({c} - {b}, 0D)", f"{d} + {iqr_k}D * ({d} - {a})"
+        z = f"abs(try_divide({v} - {near.at(f'_mu{i}')}, {near.at(f'_sd{i}')})) > {float(z_k)!r}D"
+        aggs += [f"count_if({z}) AS _z{i}", f"count_if({v} < {low[0]} OR {v} > {high[1]}) AS _sure{i}"]
+        # a fence or a quartile that can be one value only asks for no cells
+        found = [(2 + e, f"coalesce({f[0]} < {f[1]} AND {v} >= {f[0]} AND {v} <= {f[1]}, {v} IS NOT NULL)") for e, f in enumerate((low, high))]
         for j in range(2):
-            lo, hi = F.col(f"_lo{i}_{j}"), F.col(f"_hi{i}_{j}")
-            aggs += [F.count_if(v < lo).alias(f"_b{i}_{j}"), F.count_if((v >= lo) & (v <= hi)).alias(f"_m{i}_{j}"),
-                     F.max(F.when(v < lo, v)).alias(f"_p{i}_{j}"), F.min(F.when(v > hi, v)).alias(f"_s{i}_{j}")]
-            near.append((j, (v >= lo) & (v <= hi)))
-        cells += [F.when(inside, F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), v.alias("v"))) for j, inside in near]
-    counts = join_on(stats, rows.groupBy(*names).agg(*aggs), by)
-    one = counts.select(*names, "_rows", F.inline(_per_column(k, lambda i: {
-        "n": F.col(f"_n{i}"), "mean": F.col(f"_mu{i}"), "sd": F.col(f"_sd{i}"), "z": F.col(f"_z{i}"), "sure": F.col(f"_sure{i}"),
-        "ends": F.array(*[F.struct(*[F.col(f"_{c}{i}_{j}").alias(c) for c in "bmps"]) for j in range(2)])})))
-    groups = (rows.select(*names, F.inline(F.array_compact(F.array(*cells))))
-              .groupBy(*names, "i", "j", "v").agg(F.count(F.lit(1)).alias("c")))
+            lo, hi = near.at(f"_lo{i}_{j}"), near.at(f"_hi{i}_{j}")
+            aggs += [f"count_if({v} < {lo}) AS _b{i}_{j}", f"count_if({v} >= {lo} AND {v} <= {hi}) AS _m{i}_{j}",
+                     f"max(CASE WHEN {v} < {lo} THEN {v} END) AS _p{i}_{j}", f"min(CASE WHEN {v} > {hi} THEN {v} END) AS _s{i}_{j}"]
+            found.append((j, f"{lo} < {hi} AND {v} >= {lo} AND {v} <= {hi}"))
+        here += [inside for _, inside in found]
+        cells += [f"CASE WHEN {inside} THEN struct({i} AS i, {j} AS j, {v} AS v) END" for j, inside in found]
+        ends = ", ".join("struct(" + ", ".join(f"_{c}{i}_{j} AS {c}" for c in ("b", "m", "p", "s", "lo", "hi")) + ")" for j in range(2))
+        parts.append(f"struct({i} AS i, _n{i} AS n, _mu{i} AS mean, _sd{i} AS sd, _z{i} AS z, _sure{i} AS sure, array({ends}) AS ends)")
+    counts = join_on(stats, near.agg(by, aggs), by)
+    one = written(counts.select(*names, "_rows", F.expr(f"inline(array({', '.join(parts)}))")), "counts")
+    groups = written(near.rows.where(" OR ".join(here)).select(*names, F.expr(f"inline(array_compact(array({', '.join(cells)})))"))
+                     .groupBy(*names, "i", "j", "v").agg(F.count(F.lit(1)).alias("c")), "cells")
     # Ranks inside the brackets.
     run = Window.partitionBy(*names, "i", "j").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
     inside = groups.where("j < 2").withColumn("before", F.coalesce(F.sum("c").over(run), F.lit(0)))
@@ -245,25 +254,26 @@ def fence_table(df: DataFrame, columns: Sequence[tuple[str, Column]], by: Sequen
     want = (one.select(*names, "i", "n", F.posexplode("ends").alias("j", "e")).select("*", F.floor(h).cast("long").alias("r0"))
             .select(*names, "i", "j", "e", (h - F.col("r0")).alias("share"), (F.col("r0") - F.col("e.b")).alias("r0"),
                     (F.least(F.col("r0") + 1, F.col("n") - 1) - F.col("e.b")).alias("r1")).where("r1 IS NOT NULL"))
-    met = join_on(want, inside.where("c > 0"), by + ["i", "j"], "left")
+    met = join_on(want, inside, by + ["i", "j"], "left")
 
-    def value_at(rank: Column) -> Column:
+    def value_at(rank: str) -> Column:
         """The value of a rank (from the bracket's first): inside, or the one next to the bracket."""
-        found = F.max(F.when((rank >= F.col("before")) & (rank < F.col("before") + F.col("c")), F.col("v")))
-        r, e = F.max(rank), F.max("e")
-        return (F.when((r >= 0) & (r < e["m"]), found).when(r == -1, e["p"]).when(r == e["m"], e["s"])
-                .otherwise(F.raise_error(F.lit("a quantile lies outside its bracket")).cast("double")))
+        return F.expr(f"""CASE WHEN max({rank}) >= 0 AND max({rank}) < max(e.m) 
+              THEN coalesce(max(CASE WHEN {rank} >= before AND {rank} < before + c THEN v END), max(CASE WHEN e.lo = e.hi THEN e.lo END))
+            WHEN max({rank}) = -1 THEN max(e.p) WHEN max({rank}) = max(e.m) THEN max(e.s)
+            ELSE CAST(raise_error('a quantile lies outside its bracket') AS DOUBLE) END""")
 
-    values = met.groupBy(*names, "i", "j").agg(value_at(F.col("r0")).alias("v0"), value_at(F.col("r1")).alias("v1"), F.max("share").alias("share"))
+    values = met.groupBy(*names, "i", "j").agg(value_at("r0").alias("v0"), value_at("r1").alias("v1"), F.max("share").alias("share"))
     value = F.col("v0") + F.col("share") * (F.col("v1") - F.col("v0"))
     quartiles = values.groupBy(*names, "i").agg(*[F.max(F.when(F.col("j") == j, value)).alias(nm) for j, nm in ((0, "q1"), (1, "q3"))])
     iqr = F.col("q3") - F.col("q1")
     quartiles = quartiles.select(*names, "i", "q1", "q3", (F.col("q1") - iqr_k * iqr).alias("lower"), (F.col("q3") + iqr_k * iqr).alias("upper"))
     # Cells where a fence may lie.
-    beyond = join_on(groups.where("j >= 2"), quartiles, by + ["i"]).groupBy(*names, "i").agg(F.sum(F.when(
-        ((F.col("j") == 2) & (F.col("v") < F.col("lower"))) | ((F.col("j") == 3) & (F.col("v") > F.col("upper"))), F.col("c")).otherwise(0)).alias("more"))
+    table = join_on(one, quartiles, by + ["i"], "left")
+    beyond = (join_on(groups.where("j >= 2"), quartiles, by + ["i"]).where("(j = 2 AND v < lower) OR (j = 3 AND v > upper)")
+              .groupBy(*names, "i").agg(F.sum("c").alias("more")))
     label = F.element_at(F.array(*[F.lit(c) for c, _ in columns]), F.col("i") + 1)
-    table = join_on(join_on(one, quartiles, by + ["i"], "left"), beyond, by + ["i"], "left")
+    table = join_on(table, beyond, by + ["i"], "left")
     return table.select(*names, label.alias(name), F.col("_rows").alias("n_rows"), "n", "mean", F.col("sd").alias("std_pop"), "q1", "q3", "lower", "upper",
                         F.col("z").alias("z_outliers"), (F.col("sure") + F.coalesce("more", F.lit(0))).alias("iqr_outliers"))
 
