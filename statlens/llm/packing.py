@@ -11,8 +11,9 @@ sequence in all.
 Packing happens where the documents are: batches follow the order of rows in a
 partition and nothing is shuffled; sequence ids are the partition's number and a
 count.  The ids are those of the tokenizer file ``VOCABULARY`` of `tokenizers`;
-they are made by tiktoken from the same vocabulary, which is tested to agree and
-takes a quarter of the time.
+they are made by tiktoken from the same vocabulary and the file's added tokens (a
+text that spells ``<|endoftext|>`` gets its id, as the file reads it), which is
+tested to agree and takes a quarter of the time.
 
 Defined cases: a NULL text is empty, and an empty text has the end id alone;
 repeated rows are packed like any other; an empty table gives no piece; batches
@@ -22,8 +23,10 @@ are bounded in tokens as well, so very long texts don't pile up.
 from __future__ import annotations
 
 import heapq
+import json
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +34,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statlens.llm.secrets import _encoder, _path
+from statlens.llm.secrets import _path
 
+#: The tokenizer file whose added tokens count.
+TOKENIZER = "byte_bpe_50k.json"
 LENGTH = 2048
 END = 1
 BATCH = 4096
@@ -101,17 +106,41 @@ def pieces(ids: np.ndarray) -> tuple[int, list[tuple[int, int]]]:
     return rest, [(a, zlib.crc32(ids[a:a + LENGTH].tobytes())) for a in range(0, rest, LENGTH)]
 
 
+@lru_cache(maxsize=2)
+def encoder_of(path: str, tokenizer: str):
+    """tiktoken's encoder of the vocabulary ``path`` with the added tokens of the file ``tokenizer``."""
+    import base64
+
+    import public_tokenizers
+    import tiktoken
+
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    with open(tokenizer, encoding="utf-8") as f:
+        added = json.load(f)["added_tokens"]
+    if any(a["single_word"] or a["lstrip"] or a["rstrip"] for a in added):
+        raise ValueError(f"{tokenizer}: an added token takes more than its own text")
+    return tiktoken.Encoding("vocabulary", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks,
+                             special_tokens={a["content"]: a["id"] for a in added})
+
+
+def _tokenizer() -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(TOKENIZER))
+
+
 def encode(text: str | None, encoder) -> np.ndarray:
     """The ids of a whole text and the end id."""
-    return np.append(encoder.encode_to_numpy(text or "", disallowed_special=()), END).astype("<u4")
+    return np.append(encoder.encode_to_numpy(text or "", allowed_special="all"), END).astype("<u4")
 
 
-def pack(docs: DataFrame, path: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, path: str | None = None, tokenizer: str | None = None) -> DataFrame:
     """One row per piece of each document: ``COLUMNS``."""
-    path = path or _path()
+    path, tokenizer = path or _path(), tokenizer or _tokenizer()
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, base, made = _encoder(path), TaskContext.get().partitionId() << 36, 0
+        encoder, base, made = encoder_of(path, tokenizer), TaskContext.get().partitionId() << 36, 0
         rests: list[tuple[object, int, int, np.ndarray]] = []  # doc_id, start, tokens, ids
         out: list[tuple] = []
         held = 0

@@ -14,7 +14,7 @@ from statlens.llm import decontaminate as D
 from statlens.llm import lm_score as LM
 from statlens.llm import nearest as N
 from statlens.llm import packing as P
-from statlens.llm.secrets import _encoder, _path
+from statlens.llm.secrets import _path
 
 SF = "/root/testdata/sf0.01"
 
@@ -110,10 +110,10 @@ def test_packing_against_the_tokenizers_library(spark):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     texts = {r.doc_id: r.text for r in docs.collect()}
-    texts |= {-1: "<|endoftext|> a  b\r\n\t x y 日本語 🙂 don't 12345 ___ ", -2: " " * 3000, -3: "a" * 5000, -4: ""}
+    texts |= {-1: "<|endoftext|> a  b\r\n\t x y 日本語 🙂 don't 12345 ___ ", -2: " " * 3000, -3: "a" * 5000, -4: "",
+              -5: "a <|endoftext|> b", -6: "<|endoftext|>" * 3, -7: "x<|endoftext|>y <|endoftext|", -8: "<|endof<|endoftext|>text|>"}
     ids = {k: np.array(t.encode(v, add_special_tokens=False).ids + [1], "<u4") for k, v in texts.items()}
     got = P.pack(docs_of(spark, list(texts.items())).coalesce(1)).toPandas()
     verify(got, ids)
@@ -123,7 +123,7 @@ def test_packing_against_the_tokenizers_library(spark):
 
 def test_packing_edge_rows(spark, edge_rows, empty_docs, monkeypatch):
     rows = [(k, t) for k, (_, t, *_) in enumerate(edge_rows)]
-    encoder = _encoder(_path())
+    encoder = P.encoder_of(_path(), P._tokenizer())
     ids = {k: P.encode(t, encoder) for k, t in rows}
     verify(P.pack(docs_of(spark, rows)).toPandas(), ids)
     monkeypatch.setattr(P, "BATCH", 2)
@@ -276,7 +276,7 @@ def test_pipeline_against_brute_force(spark):
     assert {r.doc_id for r in clean} == {r.doc_id for r in kept} - near
 
     pieces = stages["packing"](spark, d, sf).toPandas()
-    encoder = _encoder(_path())
+    encoder = P.encoder_of(_path(), P._tokenizer())
     verify(pieces, {r.doc_id: P.encode(r.text, encoder) for r in clean})
 
 
