@@ -3,10 +3,16 @@
 A text is the average of the embeddings of its hashed character grams (2 to 4
 letters of a word, its ends marked); a linear layer and a softmax give the
 language.  Both are trained by stochastic gradient descent in numpy on a bounded
-sample of labelled rows (``SAMPLE`` expected per language, chosen by a hash of
-the id).  A temperature and the score below which a text is rejected are fitted
-on a third of the sample that the descent hasn't seen: ``REJECT`` of the texts
-in known languages may fall below it, and it is ``MOST`` at the highest.
+sample of labelled rows (at most ``SAMPLE`` per language, chosen by a hash of
+id and text; repeated rows count once).
+
+The score is the softmax's probability, with a temperature fitted on a third of the
+sample that the descent hasn't seen.  It can't tell an unknown language, because one
+class always wins.  What rejects a text is the share of its grams that the training
+texts have: in a learnt language, or a mix of them, nearly all; elsewhere clearly
+fewer.  The lowest share that passes is calibrated on the held third: ``REJECT`` of
+its texts fall below.  ``FORGIVEN`` unknown grams and ``PRIOR`` known ones are
+given to every text, so that a rare word doesn't reject a short one.
 
 As average and layer are linear, prediction needs one table of class scores for
 each bucket; a text costs a gather and a sum, over all of its characters.
@@ -22,20 +28,19 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from statlens.llm.common import crc_mod, with_text_columns
 from statlens.llm.shingles import mix
 
-BUCKETS = 1 << 15
+BUCKETS = 1 << 17
 DIM = 16
 SAMPLE = 1000
 EPOCHS = 8
 RATE = 4.0
 REJECT = 0.001
-#: The threshold is never higher: texts in two known languages score about a half.
-MOST = 0.4
+FORGIVEN, PRIOR = 3, 30
 CHUNK = 1 << 20  # characters held as numpy arrays at once
 U = np.uint64
 _LETTER: np.ndarray | None = None
@@ -95,26 +100,33 @@ def counts(text: str) -> np.ndarray:
 class Model:
     languages: list[str]
     table: np.ndarray  # scores of each bucket and language
-    threshold: float
+    known: np.ndarray  # whether a training text has the bucket
+    threshold: float  # of the share of known grams
 
     def predict(self, texts: list[str | None]) -> tuple[list, list, list]:
         """Language, score and whether it is rejected, for each text."""
         langs, scores, rejected = [], [], []
         for text in texts:
-            total, n = np.zeros(len(self.languages)), 0
+            total, n, known = np.zeros(len(self.languages)), 0, 0
             for piece in pieces(text or ""):
                 g = subwords(piece)
                 total += self.table[g].sum(axis=0, dtype=np.float64)
+                known += int(self.known[g].sum())
                 n += len(g)
             if not n or not self.languages:
                 langs.append("und"), scores.append(0.0), rejected.append(True)
                 continue
             p = softmax(total / n)
             k = int(p.argmax())
-            langs.append(self.languages[k]), scores.append(float(p[k])), rejected.append(bool(p[k] < self.threshold))
+            langs.append(self.languages[k]), scores.append(float(p[k])), rejected.append(bool(share(known, n) < self.threshold))
         return langs, scores, rejected
 
 
+def share(known, n):
+    """The share of known grams, after what every text is given."""
+    return np.minimum(1.0, (known + FORGIVEN + PRIOR) / (n + PRIOR))
+
+
 def softmax(x: np.ndarray) -> np.ndarray:
     e = np.exp(x - x.max(axis=-1, keepdims=True))
     return e / e.sum(axis=-1, keepdims=True)
@@ -124,7 +136,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, str]], seed: int = 7, reject:
     """Rows: buckets, their counts and the language of a text."""
     languages = sorted({lang for _, _, lang in rows})
     if not languages:
-        return Model([], np.zeros((BUCKETS, 0), np.float32), 0.0)
+        return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(BUCKETS, bool), 0.0)
     where = {lang: k for k, lang in enumerate(languages)}
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(rows))
@@ -157,10 +169,10 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, str]], seed: int = 7, reject:
         return -np.log(softmax(logits * scale)[np.arange(len(held)), truth] + 1e-12).mean()
 
     scale = min(np.geomspace(0.1, 20, 60), key=loss)
-    p = softmax(logits * scale)
-    right = p.max(axis=1)[p.argmax(axis=1) == truth]
-    threshold = min(float(np.quantile(right, reject)), MOST) if len(right) else 0.0
-    return Model(languages, (table * scale).astype(np.float32), threshold)
+    threshold = float(np.quantile([share(rows[r][1][seen[rows[r][0]]].sum(), rows[r][1].sum()) for r in held], reject))
+    for r in held:  # known from here on
+        seen[rows[r][0]] = True
+    return Model(languages, (table * scale).astype(np.float32), seen, threshold)
 
 
 def fit(docs: DataFrame, learn, sample: int = SAMPLE) -> Model:
@@ -169,21 +181,24 @@ def fit(docs: DataFrame, learn, sample: int = SAMPLE) -> Model:
     sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return train([])
-    draw = F.pmod(F.xxhash64("doc_id", "lang"), F.lit(1 << 30)) / float(1 << 30)
-    share = F.lit(0.0)
+    # Twice the share that the sample needs, copies of a row dropped where they are, and of these the first by the draw.
+    draw = F.pmod(F.xxhash64("doc_id", "lang", "text"), F.lit(1 << 40)) / float(1 << 40)
+    part = F.lit(0.0)
     for lang, n in sorted(sizes.items()):
-        share = F.when(F.col("lang") == lang, min(1.0, sample / n)).otherwise(share)
+        part = F.when(F.col("lang") == lang, min(1.0, 2 * sample / n)).otherwise(part)
+    chosen = labelled.select("doc_id", "text", "lang", draw.alias("_draw")).filter(F.col("_draw") < part).dropDuplicates(["_draw", "lang"])
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("_draw", "doc_id"))
+    chosen = chosen.withColumn("_rank", first).filter(F.col("_rank") <= sample).select("doc_id", "text", "lang")
 
     def features(texts):
         found = [counts(t) for t in texts]
         ids = [np.flatnonzero(c) for c in found]
-        return [[i.astype(np.uint16).tobytes() for i in ids],
+        return [[i.astype(np.uint32).tobytes() for i in ids],
                 [np.minimum(c[i], 65535).astype(np.uint16).tobytes() for c, i in zip(found, ids)]]
 
-    chosen = labelled.filter(draw < share).select("doc_id", "text", "lang")
     got = with_text_columns(chosen, features, [("ids", "binary"), ("n", "binary")], rows=32).drop("text").toPandas()
     got = got.sort_values(["doc_id", "lang", "ids"], kind="stable")
-    rows = [(np.frombuffer(i, np.uint16).astype(np.int64), np.frombuffer(n, np.uint16).astype(np.float32), lang)
+    rows = [(np.frombuffer(i, np.uint32).astype(np.int64), np.frombuffer(n, np.uint16).astype(np.float32), lang)
             for i, n, lang in zip(got["ids"], got["n"], got["lang"])]
     return train([r for r in rows if len(r[0])])
 

@@ -46,6 +46,37 @@ def test_language_edge_rows(spark, edge_rows, empty_docs):
     assert L.language_id(empty_docs).count() == 0
 
 
+@pytest.mark.parametrize("out", ["de", "en", "es", "fr"])
+def test_an_unlearned_language_is_rejected(spark, out):
+    """Each language left out of training; known and mixed texts stay; what no language has goes."""
+    rows = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").filter("text IS NOT NULL").select("doc_id", "text", "lang").toPandas()
+    train = rows[(rows.lang != out) & (rows.doc_id % 4 != 2)]
+    model = L.fit(docs_of(spark, list(train.itertuples(index=False, name=None))), F.lit(True), sample=600)
+    assert sorted(model.languages) == sorted(set(train.lang))
+    test = rows[rows.doc_id % 4 == 2]
+    gone = {lang: np.mean(model.predict(list(g.text[:250]))[2]) for lang, g in test.groupby("lang")}
+    assert gone.pop(out) >= 0.9 and all(v <= 0.01 for v in gone.values()), gone
+    known = [list(g.text[:120]) for lang, g in test.groupby("lang") if lang != out]
+    mixed = [a + "\n" + b for a, b in zip(known[0], known[1])] + [a[:300] + " " + b[:300] for a, b in zip(known[1], known[2])]
+    assert np.mean(model.predict(mixed)[2]) <= 0.01
+    r = random.Random(2)
+    noise = [" ".join("".join(r.choice("bcdfghjklmnpqrstvwxz") for _ in range(r.randrange(3, 9))) for _ in range(60)) for _ in range(50)]
+    other = ["これは日本語の文章です。言語を判定します。" * 3, "Это предложение написано по-русски, а не иначе. " * 3]
+    assert all(model.predict(noise + other)[2])
+
+
+def test_sample_is_bounded_with_one_id_or_row_in_a_third_of_the_rows(spark):
+    rows = [(7, prose(k, 40), "en") for k in range(400)] + [(9, "le chat et les chiens " * 5, "fr")] * 600 + [(1000 + k, prose(5000 + k, 40), "fr") for k in range(300)]
+    seen = []
+    train = L.train
+    L.train = lambda got, **kw: seen.append([x[2] for x in got]) or train(got, **kw)
+    try:
+        L.fit(docs_of(spark, rows), F.lit(True), sample=100)
+    finally:
+        L.train = train
+    assert {lang: seen[0].count(lang) for lang in ("en", "fr")}["en"] == 100 and seen[0].count("fr") <= 100
+
+
 def test_long_texts_are_read_whole(monkeypatch):
     text = " ".join(f"word{k} été" for k in range(3000))
     whole = L.counts(text)
