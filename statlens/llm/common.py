@@ -28,6 +28,24 @@ def forget(df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: A key with more than 1 / TASKS of all rows is joined by broadcast.
+TASKS = 1 << 13
+
+
+def hot_join(rows: DataFrame, keys: DataFrame, on: list[str], total: int, tasks: int = TASKS) -> DataFrame:
+    """``rows`` joined with ``keys``, a written table of distinct ``on`` with the number ``c`` of their rows
+    among ``total`` (dropped) and any other columns.
+
+    Frequent keys come by broadcast, which at most ``tasks`` can be, so their rows stay spread over
+    the tasks that read them; the rest by an ordinary join, in which no key has more than 1 / tasks of all rows."""
+    often = F.col("c") > total // tasks
+    if keys.filter(often).isEmpty():
+        return rows.join(keys.drop("c"), on)
+    hot = F.broadcast(keys.filter(often).drop("c"))
+    rest = rows.join(hot.select(*on), on, "left_anti").join(keys.filter(~often).drop("c"), on)
+    return rows.join(hot, on).unionByName(rest)
+
+
 def crc_mod(doc_id: Column, mod: int) -> Column:
     """crc32 of the id written as text, modulo ``mod`` (NULL ids: of the empty text)."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % mod

@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from statlens.llm.common import forget, written
+from statlens.llm.common import forget, hot_join, written
 
 SIZE = 35
 #: Keys with more than 1 / TASKS of all rows are broadcast.
@@ -218,14 +218,8 @@ def stretches(docs: DataFrame, size: int = SIZE) -> DataFrame:
 
 
 def of_keys(rows: DataFrame, keys: DataFrame, on: list[str], total: int) -> DataFrame:
-    """The rows whose ``on`` is among ``keys`` (distinct, with their number of rows ``c``; written):
-    frequent keys by broadcast (each has more than 1 / TASKS of ``total`` rows), the rest by join."""
-    often = F.col("c") > total // TASKS
-    if keys.filter(often).isEmpty():
-        return rows.join(keys.select(on), on, "left_semi")
-    hot = F.broadcast(keys.filter(often).select(on))
-    return (rows.join(hot, on, "left_semi")
-            .union(rows.join(hot, on, "left_anti").join(keys.filter(~often).select(on), on, "left_semi")))
+    """The rows whose ``on`` is among ``keys`` (distinct, with their number of rows ``c``; written)."""
+    return hot_join(rows, keys.select(*on, "c"), on, total, TASKS).select(rows.columns)
 
 
 def frequent_texts(docs: DataFrame) -> DataFrame | None:
