@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from statlens.llm.common import forget, written
+from statlens.llm.common import forget, hot_join, written
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -54,5 +54,8 @@ def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     known = written(labels.union(ends.join(labels, "node", "left_anti").select("node", F.col("node").alias("label"))), "labels")
     a, b = (known.select(F.col("node").alias(x), F.col("label").alias(f"l{x}")) for x in ("a", "b"))
     joined = components(links.join(a, "a").join(b, "b").select(F.col("la").alias("a"), F.col("lb").alias("b")))
-    joined = joined.select(F.col("node").alias("old"), F.col("label").alias("new"))
-    return written(known.join(joined, known.label == joined.old, "left").select("node", F.coalesce("new", "label").alias("label")), "labels")
+    joined = joined.select(F.col("node").alias("label"), F.col("label").alias("new"))
+    all_labels = written(known.groupBy("label").agg(F.count("*").alias("c")).join(joined, "label", "left")
+                         .select("label", "c", F.coalesce("new", "label").alias("new")), "renamed")
+    # a component can hold a third of all nodes
+    return written(hot_join(known, all_labels, ["label"], known.count()).select("node", F.col("new").alias("label")), "labels")

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from statlens.llm import shingles as S
-from statlens.llm.common import forget, written
+from statlens.llm.common import forget, hot_join, written
 from statlens.llm.components import components, merged
 from statlens.llm.shingles import U
 
@@ -195,7 +195,8 @@ def _second_hubs(open_: DataFrame) -> DataFrame:
     """Pairs (a, b) of each key's members with another hub: of those outside the
     key's largest component, the node that stands under most keys."""
     often = open_.groupBy("node").agg(F.count("*").alias("often"))
-    main = open_.groupBy("key").agg(F.mode("label").alias("main"))
+    main = (open_.groupBy("key", "label").agg(F.count("*").alias("c"))
+            .groupBy("key").agg(F.max(F.struct("c", "label")).alias("m")).select("key", F.col("m.label").alias("main")))
     out = open_.join(main, "key").filter("label <> main").join(often, "node")
     hubs = out.groupBy("key").agg(F.max(F.struct("often", "node", "label")).alias("hub"))
     return (open_.join(hubs, "key").filter("label <> hub.label")
@@ -260,9 +261,7 @@ def _compared(t: pa.Table, cuts: np.ndarray, percent: int) -> Iterator[pa.Record
 
 def ngram_join(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, th (the text's hash),
-    n_shingles, node, component_id (smallest doc_id of its component), and links
-    (links found between its distinct set and others; at least a spanning tree
-    of each component, not every pair)."""
+    n_shingles, node, component_id (smallest doc_id of its component)."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sets = written(set_table(docs, width), "sets")
@@ -293,13 +292,16 @@ def ngram_join(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     for df in [*spent, members, tried]:
         forget(df)
 
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
-    known = sets.drop("sketch").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    least = known.filter("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    return (known.join(least, "label", "left").join(degree, "node", "left")
-            .select("doc_id", "th", F.col("n").alias("n_shingles"), "node",
-                    F.coalesce("component_id", "doc_id").alias("component_id"),
-                    F.coalesce("links", F.lit(0)).alias("links")))
+    # A text or a component can have a third of all rows: those come by broadcast.
+    named = sets.filter("node IS NOT NULL").select("doc_id", "th", "n", "node")
+    total = named.count()
+    own = written(named.groupBy("node").agg(F.count("*").alias("c")).join(labels, "node", "left")
+                  .select("node", "c", F.coalesce("label", "node").alias("label")), "own")
+    known = written(hot_join(named, own, ["node"], total), "known")
+    least = written(known.groupBy("label").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("c")), "least")
+    found = hot_join(known, least, ["label"], total).select("doc_id", "th", F.col("n").alias("n_shingles"), "node",
+                                                            F.coalesce("component_id", "doc_id").alias("component_id"))
+    return found.union(sets.filter("node IS NULL").select("doc_id", "th", "n", "node", "doc_id"))
 
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
