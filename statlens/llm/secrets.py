@@ -2,9 +2,11 @@
 
 Patterns give the base spans (assignments, access keys, long hex runs).  The
 method adds `random` spans: runs of key characters that a tiktoken vocabulary
-can only spell out, with fewer than ``RATIO`` characters per token, after known
-digests (hex of a usual length), UUIDs, dates and numbers, and identifiers
-(words, paths and names without a mix of letters and digits) are left out.
+can only spell out, with ``RATIO`` characters per token or fewer.  The ratio decides for
+whole runs, and for the longer pieces between their marks, so that a path doesn't hide
+a key.  Words, names and paths need no rule: the vocabulary has their parts.
+Left out before are what is as dense as a key but known: digests (hex of a usual
+length), UUIDs, runs without a letter (dates, numbers) and runs of mostly marks.
 
 Spans count code points, the end exclusive, and are listed by start, then kind.
 
@@ -24,8 +26,8 @@ from pyspark.sql import functions as F
 
 from statlens.llm.common import with_text_columns
 
-#: Characters per token below which a run counts as random.
-RATIO = 2.1
+#: Characters per token up to which a run counts as random; share of marks from which it counts as none.
+RATIO, MARKS = 2.0, 0.25
 #: Shortest piece that the ratio is taken of.
 PIECE = 16
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -73,17 +75,12 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def is_random(run: str, encoder) -> bool:
     """Whether a run of key characters is spelt out by the vocabulary."""
-    if UUID.search(run):
-        return False
-    for piece in re.split(r"[/_=-]+", run):
-        if len(piece) < PIECE or DIGEST.fullmatch(piece) and len(piece) in DIGEST_CHARS:
-            continue
-        digits = sum(map(str.isdigit, piece))
-        turns = sum(a.islower() and b.isupper() for a, b in zip(piece, piece[1:]))
-        if digits == len(piece) or not (digits >= 2 and digits < len(piece) or turns >= 3):
-            continue
-        if len(piece) < RATIO * len(encoder.encode_ordinary(piece)):
-            return True
+    pieces = [x for x in re.split(r"([/_=+-]+)", UUID.sub("", run)) if not (len(x) in DIGEST_CHARS and DIGEST.fullmatch(x))]
+    for part in ("".join(pieces), *pieces):
+        letters, digits = sum(map(str.isalpha, part)), sum(map(str.isdigit, part))
+        if len(part) >= PIECE and letters and letters + digits >= (1 - MARKS) * len(part):
+            if len(part) <= RATIO * len(encoder.encode_ordinary(part)):
+                return True
     return False
 
 
