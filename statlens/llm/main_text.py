@@ -1,13 +1,19 @@
 """Main text of web pages by a maximum-scoring subsequence.
 
 A page is a sequence of words and tags.  Words score by the zone they stand in
-(article, plain body, menu, footer, advert ...) and by whether they are a link;
+(article, plain body, menu, footer, advert ...), by whether they are a link and, where
+the page names no zone, by the block they stand in (paragraph, list item, bare div ...);
 tags score below zero.  A linear scan finds the contiguous stretch with the
 largest sum, and its blocks, without those in zones that are never content, are
-the text.  Weights are log odds of standing inside the content, counted on a
+the text; in plain body, blocks of a kind that is rarely content are left out as well.
+Weights are log odds of standing inside the content, counted on a
 bounded sample of pages (``SAMPLE`` expected, by a hash of the page id) that
 label it themselves with a single article or main element; ``PRIOR`` counts
-stand in where no page does.
+stand in where no page does.  A page whose words are all in blocks that are rarely
+content is scanned again without the blocks' weights.
+
+A header inside an article is the article's own: its headings are content, the rest
+is not.
 
 Defined cases: NULL html is empty and gives the empty text, as does a page
 without a word in its content; cut or unclosed markup ends where the page ends;
@@ -36,10 +42,11 @@ LIMIT = 3.0
 BLOCKS = frozenset("""address article aside blockquote body center caption dd details dialog dir div dl dt fieldset figcaption figure footer
     form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead
     tr ul""".split())
-RAW = frozenset("script style noscript template textarea title iframe object svg math select button noframes xmp".split())
+RAW = frozenset("script style noscript template textarea title iframe noframes xmp".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SPACE = frozenset("br wbr img hr input".split())
-ZONES = {"nav": "menu", "menu": "menu", "header": "header", "footer": "footer", "aside": "aside", "form": "form", "fieldset": "form",
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+ZONES = {"nav": "menu", "menu": "menu", "header": "header", "footer": "footer", "aside": "aside", "form": "form", "fieldset": "form", "button": "form", "select": "form",
          "head": "head", "article": "content", "main": "content", "dialog": "notice"}
 OPEN = frozenset(("content", "body", "beside"))  # zones that can be content
 #: Words in class, id and role names that make an element a zone.
@@ -59,7 +66,7 @@ SPLIT = re.compile(r"[^a-z0-9]+")
 
 
 def zone_of(tag: str, attributes: str) -> str | None:
-    zone = ZONES.get(tag)
+    zone = ZONES.get(tag, "heading" if tag in HEADINGS else None)
     if attributes and tag not in ("html", "body", "article", "main"):
         for _, value in ATTRIBUTE.findall(attributes):
             for w in SPLIT.split(re.sub(r"([a-z])([A-Z])", r"\1-\2", value).lower()):
@@ -184,11 +191,29 @@ def _lower(page: str) -> str:
 
 def _zone(zones: list[list]) -> str:
     """The zone in force: the outermost that is never content ("inset" where it
-    stands in an article), else the inmost."""
+    stands in an article), else the inmost.  A heading in an article's own header is content."""
+    if [z[0] for z in zones[-3:]] == ["content", "header", "heading"] and all(z[0] in OPEN for z in zones[:-3]):
+        return "content"
     for k, z in enumerate(zones):
-        if z[0] not in OPEN:
+        if z[0] not in OPEN and z[0] != "heading":
             return "inset" if k else z[0]
-    return zones[-1][0] if zones else "body"
+    inmost = [z[0] for z in zones if z[0] != "heading"]
+    return inmost[-1] if inmost else "body"
+
+
+def in_blocks(found: list[tuple[str, str, str, bool]]):
+    """The events with the block element that each stands in ("" outside of all)."""
+    open_: list[str] = []
+    for kind, value, zone, link in found:
+        if kind != "t" and value in BLOCKS and value not in VOID:
+            if kind == "+":
+                while open_ and (open_[-1] == "p" or open_[-1] == value == "li"):  # closed by what opens
+                    open_.pop()
+                open_.append(value)
+            elif value in open_:
+                while open_.pop() != value:
+                    pass
+        yield kind, value, zone, link, open_[-1] if open_ else ""
 
 
 def feature(kind: str, value: str, zone: str, link: bool) -> str:
@@ -211,14 +236,17 @@ def tally(page: str) -> dict[str, list[int]]:
     inside = Counter()
     outside = Counter()
     depth = seen = 0
-    for kind, value, zone, link in marked(page):
+    for kind, value, zone, link, block in in_blocks(marked(page)):
         if kind != "t" and value in ("article", "main"):
             seen += kind == "+"
             depth += 1 if kind == "+" else -1
             continue
         n = len(value.split()) if kind == "t" else 1
         if n:
-            (inside if depth > 0 and zone in OPEN else outside)[feature(kind, value, zone, link)] += n
+            side = inside if depth > 0 and zone in OPEN else outside
+            side[feature(kind, value, zone, link)] += n
+            if kind == "t":
+                side[f"block {block}"] += n
     if seen != 1:
         return {}
     return {f: [inside[f], outside[f]] for f in inside | outside}
@@ -231,7 +259,9 @@ def weights(counts: dict[str, tuple[int, int]]) -> dict[str, float]:
     names = {f"word {z}{k}" for z in zones for k in ("", " link")} | set(counts)
     for f in names:
         i, o = counts.get(f, (0, 0))
-        if f.startswith("word "):
+        if f.startswith("block "):
+            out[f] = max(-LIMIT, min(LIMIT, math.log((i + PRIOR / 2) / (o + PRIOR / 2))))
+        elif f.startswith("word "):
             zone = f.split()[1]
             share = {"content": 0.9, "body": 0.7}.get(zone, 0.05)
             if f.endswith("link"):
@@ -251,26 +281,35 @@ def weights(counts: dict[str, tuple[int, int]]) -> dict[str, float]:
 
 def extract(page: str | None, weight: dict[str, float]) -> str:
     """The blocks of the best stretch, joined by line feeds."""
-    found = marked(page or "")
+    found = list(in_blocks(marked(page or "")))
+    text = _best(found, weight, True)
+    return text or _best(found, weight, False)
+
+
+def _best(found: list[tuple[str, str, str, bool, str]], weight: dict[str, float], by_block: bool) -> str:
     best, total, start = 0.0, 0.0, 0
     stretch = (0, 0)
-    for k, (kind, value, zone, link) in enumerate(found):
+    for k, (kind, value, zone, link, block) in enumerate(found):
         n = len(value.split()) if kind == "t" else 1
-        total += n * weight.get(feature(kind, value, zone, link), -0.1)
+        w = weight.get(feature(kind, value, zone, link), -0.1)
+        if by_block and kind == "t" and zone == "body":
+            w += weight.get(f"block {block}", 0.0)
+        total += n * w
         if total <= 0:
             total, start = 0.0, k + 1
         elif total > best:
             best, stretch = total, (start, k + 1)
     blocks: list[list[str]] = [[]]
-    for kind, value, zone, _ in found[stretch[0]:stretch[1]]:
+    for kind, value, zone, link, block in found[stretch[0]:stretch[1]]:
         if kind == "t":
-            if zone in OPEN:
-                blocks[-1].append(value)
+            rare = by_block and zone == "body" and weight.get(feature(kind, value, zone, link), -0.1) + weight.get(f"block {block}", 0.0) < 0
+            if zone in OPEN and not rare:
+                blocks[-1].append(entities.unescape(value))  # a reference ends with its run of text
         elif value in BLOCKS:
             blocks.append([])
         elif value in SPACE:
             blocks[-1].append(" ")
-    texts = (" ".join(entities.unescape("".join(b)).split()) for b in blocks)
+    texts = (" ".join("".join(b).split()) for b in blocks)
     return "\n".join(t for t in texts if t)
 
 
