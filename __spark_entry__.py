@@ -361,6 +361,15 @@ def _queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
                                           F.try_divide(F.length(text), F.size(F.split(text, " "))).alias("word_length"))
         return r6(modelling.fit_evaluate(_t(s, sf, "labels").select("doc_id", "quality").join(d, "doc_id"), "quality", "doc_id"))
     Q["fit_evaluate"] = forest
+    # whole-table reports of each group
+    Q["duplicate_count_by_type"] = lambda s, sf: profile.duplicate_count(events_dup(s, sf), by)
+    Q["distinct_counts_by_type"] = lambda s, sf: quality.distinct_counts(events_dirty(s, sf), by=by)
+    Q["table_profile_by_type"] = lambda s, sf: r6(profile.table_profile(events_dirty(s, sf), by))
+    Q["quality_summary_by_type"] = lambda s, sf: r6(quality.quality_summary(events_dirty(s, sf), by=by))
+    Q["roc_auc_by_lang"] = lambda s, sf: r6(evaluation.roc_auc(
+        _t(s, sf, "labels").join(_t(s, sf, "documents").select("doc_id", "n_chars", "lang"), "doc_id"), "quality", "n_chars", ["lang"]))
+    Q["regression_metrics_by_flag"] = lambda s, sf: r6(evaluation.regression_metrics(
+        _t(s, sf, "lineitem").withColumn("pred", F.col("l_quantity") * 1400.0), "l_extendedprice", "pred", ["l_returnflag"]).withColumn("mse", F.round("mse", 2)))
     Q["k_fold"] = lambda s, sf: evaluation.k_fold(_t(s, sf, "orders"), "o_orderkey").groupBy("fold").count()
     Q["train_test_split"] = lambda s, sf: (evaluation.train_test_split(_t(s, sf, "orders"), "o_orderkey")
                                            .groupBy("is_test").count())
@@ -526,6 +535,27 @@ def _oracle_sql() -> dict[str, str]:
         SELECT event_id, round(value, 6) AS value, round(lower, 6) AS lower,
           round(upper, 6) AS upper, CASE WHEN value < lower THEN 'low' ELSE 'high' END AS side
         FROM f WHERE value < lower OR value > upper"""
+    S["duplicate_count_by_type"] = f"""SELECT event_type, CAST(sum(c - 1) AS BIGINT) AS duplicates, CAST(sum(c) AS BIGINT) AS n_rows FROM
+        (SELECT event_type, count(*) AS c FROM {U} u GROUP BY user_id, event_type, v10) GROUP BY event_type"""
+    S["distinct_counts_by_type"] = f"SELECT event_type, 'props' AS column_name, count(DISTINCT props) AS n_distinct FROM {D} d GROUP BY event_type"
+    kept = ["event_id", "ts", "user_id", "value", "props"]
+    full = " + ".join(f"count({c})" for c in kept) + ""
+    S["table_profile_by_type"] = f"""SELECT event_type, count(*) AS n_rows, 5 AS n_columns, 3 AS n_numerical, 1 AS n_categorical, CAST(count(*) - count(DISTINCT event_id) AS BIGINT) AS duplicates,
+          round((8 * (count(event_id) + count(ts) + count(user_id) + count(value)) + sum(coalesce(strlen(props), 0))) / (1024.0 * 1024.0), 6) AS size_mb,
+          CAST(5 * count(*) - ({full}) AS BIGINT) AS total_missing, round(({full}) / (5.0 * count(*)) * 100.0, 6) AS completeness_pct FROM {D} d GROUP BY event_type"""
+    S["quality_summary_by_type"] = f"""WITH g AS (SELECT event_type, ({full}) / (5.0 * count(*)) * 100.0 AS completeness,
+          CASE WHEN count(DISTINCT props) > count(*) * 0.5 THEN 95.0 ELSE 100.0 END AS consistency FROM {D} d GROUP BY event_type),
+        o AS (SELECT *, (completeness + 100.0 + consistency + 100.0) / 4.0 AS overall FROM g)
+        SELECT event_type, round(completeness, 6) AS completeness, 100.0::DOUBLE AS uniqueness, consistency::DOUBLE AS consistency, 100.0::DOUBLE AS validity,
+          round(overall, 6) AS overall, CASE WHEN overall >= 90 THEN 'Excellent' WHEN overall >= 75 THEN 'Good' ELSE 'Poor' END AS verdict FROM o"""
+    S["roc_auc_by_lang"] = """WITH pts AS (SELECT lang, n_chars, count(*) FILTER (WHERE quality = 1) AS pos, count(*) FILTER (WHERE quality <> 1) AS neg
+          FROM labels JOIN documents USING (doc_id) GROUP BY ALL),
+        cum AS (SELECT *, sum(pos) OVER (PARTITION BY lang ORDER BY n_chars DESC) AS cp FROM pts)
+        SELECT lang, CAST(sum(pos) AS BIGINT) AS n_pos, CAST(sum(neg) AS BIGINT) AS n_neg,
+          round(sum(neg * (cp - pos + 0.5 * pos)) / nullif(sum(pos) * sum(neg), 0), 6) AS auc FROM cum GROUP BY lang"""
+    S["regression_metrics_by_flag"] = """WITH p AS (SELECT l_returnflag, l_extendedprice AS y, l_extendedprice - l_quantity * 1400.0::DOUBLE AS e FROM lineitem)
+        SELECT l_returnflag, count(*) AS n, round(avg(abs(e)), 6) AS mae, round(avg(e * e), 2) AS mse, round(sqrt(avg(e * e)), 6) AS rmse,
+          round(1 - sum(e * e) / (var_pop(y) * count(*)), 6) AS r2 FROM p GROUP BY l_returnflag"""
     S["uniqueness"] = f"""WITH g AS (SELECT count(*) AS c FROM {U} u GROUP BY user_id, event_type, v10),
         t AS (SELECT CAST(sum(c - 1) AS BIGINT) AS duplicates, CAST(sum(c) AS BIGINT) AS n_rows FROM g)
         SELECT duplicates, n_rows, round((1.0 - duplicates / n_rows) * 100.0, 6) AS uniqueness_pct FROM t"""

@@ -8,74 +8,83 @@ distributed running sums of ``dense_index`` over the distinct scores.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statlens.functions.columns import q
+from statlens.functions.columns import as_list, join_on, q
 from statlens.plans.ordered import dense_index, running_sums
 
 
-def confusion_matrix(df: DataFrame, label: str, prediction: str) -> DataFrame:
-    """Rows (label, prediction, count)."""
-    return (df.groupBy(q(label).alias("label"), q(prediction).alias("prediction"))
+def confusion_matrix(df: DataFrame, label: str, prediction: str, by: Sequence[str] = ()) -> DataFrame:
+    """Rows (by..., label, prediction, count)."""
+    return (df.groupBy(*[q(b) for b in as_list(by)], q(label).alias("label"), q(prediction).alias("prediction"))
             .agg(F.count(F.lit(1)).alias("count")))
 
 
-def class_report(df: DataFrame, label: str, prediction: str) -> DataFrame:
-    """Per class precision, recall, F1 and support, plus accuracy."""
-    cm = confusion_matrix(df, label, prediction)
-    cells = cm.select(F.explode(F.array(
+def class_report(df: DataFrame, label: str, prediction: str, by: Sequence[str] = ()) -> DataFrame:
+    """Per class (and group) precision, recall, F1 and support, plus accuracy."""
+    by = as_list(by)
+    keys = [q(b) for b in by]
+    cm = confusion_matrix(df, label, prediction, by)
+    cells = cm.select(*keys, F.explode(F.array(
         F.struct(F.col("label").cast("string").alias("cls"), F.col("count").alias("support"),
                  F.lit(0).cast("bigint").alias("predicted"),
                  F.when(F.col("label") == F.col("prediction"), F.col("count")).otherwise(0).alias("tp")),
         F.struct(F.col("prediction").cast("string").alias("cls"), F.lit(0).cast("bigint").alias("support"),
                  F.col("count").alias("predicted"), F.lit(0).cast("bigint").alias("tp")))).alias("c"))
-    per = cells.groupBy(F.col("c.cls").alias("class")).agg(
+    per = cells.groupBy(*keys, F.col("c.cls").alias("class")).agg(
         F.sum("c.support").alias("support"), F.sum("c.predicted").alias("predicted"), F.sum("c.tp").alias("tp"))
-    total = cm.agg(F.sum("count").alias("_n"),
-                   F.sum(F.when(F.col("label") == F.col("prediction"), F.col("count")).otherwise(0)).alias("_ok"))
+    total = cm.groupBy(*keys).agg(F.sum("count").alias("_n"),
+                                  F.sum(F.when(F.col("label") == F.col("prediction"), F.col("count")).otherwise(0)).alias("_ok"))
     p = F.try_divide(F.col("tp"), F.col("predicted"))
     r = F.try_divide(F.col("tp"), F.col("support"))
     f1 = F.try_divide(2 * p * r, p + r)
-    return (per.crossJoin(F.broadcast(total))
-            .select("class", "support", p.alias("precision"), r.alias("recall"), f1.alias("f1"),
+    return (join_on(per, total, by)
+            .select(*keys, "class", "support", p.alias("precision"), r.alias("recall"), f1.alias("f1"),
                     F.try_divide(F.col("_ok"), F.col("_n")).alias("accuracy")))
 
 
-def _roc_points(df: DataFrame, label: str, score: str) -> DataFrame:
+def _roc_points(df: DataFrame, label: str, score: str, by: list[str]) -> DataFrame:
     pos = F.when(q(label) == 1, 1).otherwise(0)
     per_score = (df.where(q(score).isNotNull() & q(label).isNotNull())
-                 .groupBy(q(score).cast("double").alias("threshold"))
+                 .groupBy(*[q(b) for b in by], q(score).cast("double").alias("threshold"))
                  .agg(F.sum(pos).cast("bigint").alias("pos"), F.sum(1 - pos).cast("bigint").alias("neg"))
                  .withColumn("_desc", -F.col("threshold")))
-    return running_sums(dense_index(per_score, ["_desc"]), ["pos", "neg"])
+    return running_sums(dense_index(per_score, ["_desc"], by), ["pos", "neg"], by)
 
 
-def roc_curve(df: DataFrame, label: str, score: str) -> DataFrame:
-    """ROC points per distinct score (descending), ties grouped."""
-    pts = _roc_points(df, label, score)
-    tot = pts.agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_q"))
-    return (pts.crossJoin(F.broadcast(tot))
-            .select("threshold", F.try_divide(F.col("cum_neg"), F.col("_q")).alias("fpr"),
+def roc_curve(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFrame:
+    """ROC points per distinct score (descending; of each group), ties grouped."""
+    by = as_list(by)
+    keys = [q(b) for b in by]
+    pts = _roc_points(df, label, score, by)
+    tot = pts.groupBy(*keys).agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_q"))
+    return (join_on(pts, tot, by)
+            .select(*keys, "threshold", F.try_divide(F.col("cum_neg"), F.col("_q")).alias("fpr"),
                     F.try_divide(F.col("cum_pos"), F.col("_p")).alias("tpr")))
 
 
-def roc_auc(df: DataFrame, label: str, score: str) -> DataFrame:
-    """Area under the ROC curve by the trapezoid rule."""
-    pts = _roc_points(df, label, score)
+def roc_auc(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFrame:
+    """Area under the ROC curve (of each group) by the trapezoid rule."""
+    by = as_list(by)
+    keys = [q(b) for b in by]
+    pts = _roc_points(df, label, score, by)
     before = F.col("cum_pos") - F.col("pos")
-    return pts.agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"),
-                   F.sum(F.col("neg") * (before + 0.5 * F.col("pos"))).alias("_area")).select(
-        "n_pos", "n_neg", F.try_divide(F.col("_area"), (F.col("n_pos") * F.col("n_neg")).cast("double")).alias("auc"))
+    return pts.groupBy(*keys).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"),
+                                  F.sum(F.col("neg") * (before + 0.5 * F.col("pos"))).alias("_area")).select(
+        *keys, "n_pos", "n_neg", F.try_divide(F.col("_area"), (F.col("n_pos") * F.col("n_neg")).cast("double")).alias("auc"))
 
 
-def regression_metrics(df: DataFrame, y: str, yhat: str) -> DataFrame:
-    """N, MAE, MSE, RMSE, R^2 in one aggregate."""
+def regression_metrics(df: DataFrame, y: str, yhat: str, by: Sequence[str] = ()) -> DataFrame:
+    """N, MAE, MSE, RMSE, R^2 (of each group) in one aggregate."""
+    keys = [q(b) for b in as_list(by)]
     e = q(y) - q(yhat)
-    agg = df.where(q(y).isNotNull() & q(yhat).isNotNull()).agg(
+    agg = df.where(q(y).isNotNull() & q(yhat).isNotNull()).groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.avg(F.abs(e)).alias("mae"), F.avg(e * e).alias("mse"),
         F.sum(e * e).alias("_sse"), F.var_pop(q(y)).alias("_vy"))
-    return agg.select("n", "mae", "mse", F.sqrt("mse").alias("rmse"),
+    return agg.select(*keys, "n", "mae", "mse", F.sqrt("mse").alias("rmse"),
                       (1 - F.try_divide(F.col("_sse"), F.col("_vy") * F.col("n"))).alias("r2"))
 
 

@@ -9,11 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from statlens.functions.columns import (as_list, categorical_columns, date_columns,
+from statlens.functions.columns import (as_list, categorical_columns, date_columns, join_on,
                                         nan_to_null, numeric_columns, q, role_of)
 from statlens.plans.ordered import dense_index
 
@@ -32,10 +32,16 @@ def column_roles(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, schema)
 
 
-def shape(df: DataFrame) -> DataFrame:
-    """One row (n_rows, n_columns)."""
-    return df.agg(F.count(F.lit(1)).alias("n_rows")).select(
-        "n_rows", F.lit(len(df.columns)).alias("n_columns"))
+def _others(df: DataFrame, by: Sequence[str]) -> list[str]:
+    """The columns a report is about: all but those that name the group."""
+    return [c for c in df.columns if c not in by]
+
+
+def shape(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """One row (per group) with n_rows and n_columns."""
+    by = as_list(by)
+    return df.groupBy(*[q(b) for b in by]).agg(F.count(F.lit(1)).alias("n_rows")).select(
+        *[q(b) for b in by], "n_rows", F.lit(len(_others(df, by))).alias("n_columns"))
 
 
 def _null_agg(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -71,9 +77,13 @@ def missing_summary(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
             .orderBy(*[q(b) for b in by], F.desc("missing_pct"), "column_name"))
 
 
-def missing_topk(df: DataFrame, k: int = 10) -> DataFrame:
-    """The k columns with the most missing values (ties by name)."""
-    return missing_summary(df).limit(k)
+def missing_topk(df: DataFrame, k: int = 10, by: Sequence[str] = ()) -> DataFrame:
+    """The k columns (of each group) with the most missing values (ties by name)."""
+    by = as_list(by)
+    if not by:
+        return missing_summary(df).limit(k)
+    place = Window.partitionBy(*[q(b) for b in by]).orderBy(F.desc("missing_pct"), "column_name")
+    return missing_summary(df, by).withColumn("_place", F.row_number().over(place)).where(F.col("_place") <= k).drop("_place")
 
 
 def completeness(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -85,16 +95,16 @@ def completeness(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
                  .alias("completeness_pct")))
 
 
-def missing_pattern(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+def missing_pattern(df: DataFrame, columns: Sequence[str] | None = None, by: Sequence[str] = ()) -> DataFrame:
     """P10: the null/not-null matrix, aggregated: one row per distinct pattern
     ('1' = missing, in column order) with its row count.  Partial aggregation
     collapses the patterns map-side, so the result is small at any size."""
-    d = nan_to_null(df)
-    cols = as_list(columns) or d.columns
+    d, keys = nan_to_null(df), [q(b) for b in as_list(by)]
+    cols = as_list(columns) or _others(d, as_list(by))
     pattern = F.concat(*[F.when(q(c).isNull(), F.lit("1")).otherwise(F.lit("0")) for c in cols])
-    return (d.select(pattern.alias("pattern"))
-            .groupBy("pattern").agg(F.count(F.lit(1)).alias("n_rows"))
-            .select("pattern", "n_rows",
+    return (d.select(*keys, pattern.alias("pattern"))
+            .groupBy(*keys, "pattern").agg(F.count(F.lit(1)).alias("n_rows"))
+            .select(*keys, "pattern", "n_rows",
                     F.expr("length(pattern) - length(replace(pattern, '1', ''))").cast("int")
                     .alias("n_missing")))
 
@@ -126,25 +136,30 @@ def _groupable(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
-def duplicate_count(df: DataFrame) -> DataFrame:
-    """Rows equal to an earlier row on all columns (NULL = NULL, NaN = NaN).
+def duplicate_count(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Rows equal to an earlier row (of the group) on all columns (NULL = NULL, NaN = NaN).
 
     Rows are first counted by a 128-bit hash of themselves (two longs go through
     the shuffle instead of whole rows); only rows whose hash was seen twice are
     grouped by their values, so the result is exact.
     """
+    by = as_list(by)
+    keys = [q(b) for b in by]
     d = _groupable(nan_to_null(df))
     # + 0.0: negative zero equals zero
     cells = [q(f.name) + F.lit(0.0).cast(f.dataType) if isinstance(f.dataType, (T.FloatType, T.DoubleType)) else q(f.name)
              for f in d.schema.fields]
     h1, h2 = F.xxhash64(*cells), F.xxhash64(F.lit(1), *cells)
-    seen = d.select(h1.alias("_h1"), h2.alias("_h2")).groupBy("_h1", "_h2").agg(F.count(F.lit(1)).alias("_c"))
-    rows = seen.agg(F.coalesce(F.sum("_c"), F.lit(0)).cast("bigint").alias("n_rows"))
-    twice = seen.where("_c > 1").select("_h1", "_h2")
+    seen = d.select(*keys, h1.alias("_h1"), h2.alias("_h2")).groupBy(*keys, "_h1", "_h2").agg(F.count(F.lit(1)).alias("_c"))
+    rows = seen.groupBy(*keys).agg(F.coalesce(F.sum("_c"), F.lit(0)).cast("bigint").alias("n_rows"))
+    twice = seen.where("_c > 1").select("_h1", "_h2").distinct()
     again = d.join(twice, (h1 == F.col("_h1")) & (h2 == F.col("_h2")), "left_semi")
-    dups = (again.groupBy(*[q(c) for c in d.columns]).agg((F.count(F.lit(1)) - 1).alias("_c"))
+    dups = (again.groupBy(*[q(c) for c in d.columns]).agg((F.count(F.lit(1)) - 1).alias("_c")).groupBy(*keys)
             .agg(F.coalesce(F.sum("_c"), F.lit(0)).cast("bigint").alias("duplicates")))
-    return dups.crossJoin(F.broadcast(rows))
+    if not by:
+        return dups.crossJoin(F.broadcast(rows))
+    none = F.lit(0).cast("bigint")
+    return join_on(rows, dups, by, "left").select(*keys, F.coalesce("duplicates", none).alias("duplicates"), "n_rows")
 
 
 def _cell_bytes(f: T.StructField):
@@ -158,32 +173,34 @@ def _cell_bytes(f: T.StructField):
     return F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0))
 
 
-def logical_size(df: DataFrame) -> DataFrame:
+def logical_size(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Data size per column in bytes (fixed width for fixed types, UTF-8
     bytes for strings); one aggregate."""
-    fields = df.schema.fields
-    agg = df.agg(*[F.sum(_cell_bytes(f)).cast("bigint").alias(f"_s{i}") for i, f in enumerate(fields)])
+    keys = [q(b) for b in as_list(by)]
+    fields = [df.schema[c] for c in _others(df, as_list(by))]
+    agg = df.groupBy(*keys).agg(*[F.sum(_cell_bytes(f)).cast("bigint").alias(f"_s{i}") for i, f in enumerate(fields)])
     pairs = F.array(*[F.struct(F.lit(i).alias("position"), F.lit(f.name).alias("column_name"),
                                F.coalesce(F.col(f"_s{i}"), F.lit(0).cast("bigint")).alias("bytes"))
                       for i, f in enumerate(fields)])
-    return agg.select(F.inline(pairs))
+    return agg.select(*keys, F.inline(pairs))
 
 
-def table_profile(df: DataFrame) -> DataFrame:
-    """One row: rows, columns, numerical, categorical, duplicates, size in
+def table_profile(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """One row (per group): rows, columns, numerical, categorical, duplicates, size in
     MB, total missing cells, completeness %.  Null counts and sizes are one
     aggregate; duplicates are ``duplicate_count``."""
-    d = nan_to_null(df)
-    names = d.columns
-    one = d.agg(F.count(F.lit(1)).alias("n_rows"), *[F.count_if(q(c).isNull()).alias(f"_null_{i}") for i, c in enumerate(names)],
-                *[F.sum(_cell_bytes(f)).alias(f"_size_{i}") for i, f in enumerate(df.schema.fields)])
+    by = as_list(by)
+    keys = [q(b) for b in by]
+    d, names = nan_to_null(df), _others(df, by)
+    one = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"), *[F.count_if(q(c).isNull()).alias(f"_null_{i}") for i, c in enumerate(names)],
+                               *[F.sum(_cell_bytes(df.schema[c])).alias(f"_size_{i}") for i, c in enumerate(names)])
     nulls = [F.col(f"_null_{i}") for i in range(len(names))]
     share = sum((F.try_divide(F.col("n_rows") - x, F.col("n_rows")) for x in nulls), F.lit(0.0)) * 100.0 / len(names)
     size = sum((F.coalesce(F.col(f"_size_{i}"), F.lit(0)) for i in range(len(names))), F.lit(0)) / (1024.0 * 1024.0)
-    dups = duplicate_count(df).select("duplicates")
-    return one.crossJoin(F.broadcast(dups)).select(
-        F.col("n_rows").cast("bigint").alias("n_rows"), F.lit(len(names)).alias("n_columns"),
-        F.lit(len(numeric_columns(df))).alias("n_numerical"), F.lit(len(categorical_columns(df))).alias("n_categorical"),
+    dups = duplicate_count(df, by).drop("n_rows")
+    return join_on(one, dups, by).select(
+        *keys, F.col("n_rows").cast("bigint").alias("n_rows"), F.lit(len(names)).alias("n_columns"),
+        F.lit(len(numeric_columns(df, by))).alias("n_numerical"), F.lit(len(categorical_columns(df, by))).alias("n_categorical"),
         "duplicates", size.alias("size_mb"), sum(nulls, F.lit(0)).cast("bigint").alias("total_missing"),
         share.alias("completeness_pct"))
 

@@ -81,12 +81,10 @@ def exact_quantiles(long: DataFrame, keys: Sequence[str], value: str, probs: Seq
     ends = F.array(*[F.lit(_clip(e)) for p in probs for e in (p - MARGIN, p + MARGIN)])
     stats = cells.groupBy(*names).agg(F.count("_v").alias("_n"), F.percentile_approx("_v", ends, ACCURACY).alias("_q"),
                                       *[e.alias(nm) for e, nm in zip(extra_aggs, extra_names)])
-    stats = stats.where(F.col("_n") > 0)
+    stats = written(stats.where(F.col("_n") > 0), "brackets")
     brackets = stats
-    # A bracket holds at most the margin and the sketch's error on either side.
-    held = cells.count() * 2.4 * MARGIN
-    if held > limit:  # by the largest key; each narrowing leaves a grid step and the error
-        held = (stats.agg(F.max("_n")).first()[0] or 0) * 2.4 * MARGIN
+    # A bracket holds at most the margin and the sketch's error on either side; each narrowing leaves a grid step and the error.
+    held = (stats.agg(F.max("_n")).first()[0] or 0) * 2.4 * MARGIN
     while held > limit:
         brackets = written(_narrowed(cells, brackets, keys, probs, small_keys), "brackets")
         held *= 4 / GRID

@@ -23,26 +23,26 @@ def table(spark):
 
 def test_classes(spark, table):
     d = table.drop("value")
-    got = modelling.cross_predictions(d, "target", "id", max_categories=50)
+    got = modelling.cross_predictions(d, "target", "id", max_categories=50, trees=15, folds=4)
     rows = got.collect()
     assert len(rows) == 599 and len({r["id"] for r in rows}) == 599
-    folds = {r["id"]: r["fold"] for r in evaluation.k_fold(table, "id").collect()}
+    folds = {r["id"]: r["fold"] for r in evaluation.k_fold(table, "id", 4).collect()}
     assert all(folds[r["id"]] == r["fold"] for r in rows)
     right = np.mean([r["target"] == r["prediction"] for r in rows])
     assert right > 0.85
-    report = {(r["metric"], r["class"]): r["value"] for r in modelling.fit_evaluate(d, "target", "id", max_categories=50).collect()}
+    report = {(r["metric"], r["class"]): r["value"] for r in modelling.fit_evaluate(d, "target", "id", max_categories=50, trees=15, folds=4).collect()}
     assert report["accuracy", None] == pytest.approx(right, abs=0.02)
     assert report["support", "yes"] + report["support", "no"] == 599 and report["auc", None] > 0.9
     with pytest.raises(ValueError, match="more than 50 values"):
         modelling.cross_predictions(d, "target", "id", features=["note"], max_categories=50)
     # targets dealt anew can't be learnt: the predicted rows were not seen
     noise = d.withColumn("target", F.when(F.xxhash64("id") % 2 == 0, "yes").otherwise("no"))
-    blind = {(r["metric"], r["class"]): r["value"] for r in modelling.fit_evaluate(noise, "target", "id", features=["x", "y", "kind"]).collect()}
+    blind = {(r["metric"], r["class"]): r["value"] for r in modelling.fit_evaluate(noise, "target", "id", features=["x", "y", "kind"], trees=10, depths=(4,), folds=3).collect()}
     assert blind["accuracy", None] < 0.62
 
 
 def test_numbers(spark, table):
-    report = {r["metric"]: r["value"] for r in modelling.fit_evaluate(table, "value", "id", features=["x", "kind", "y", "empty"], problem="regression").collect()}
+    report = {r["metric"]: r["value"] for r in modelling.fit_evaluate(table, "value", "id", features=["x", "kind", "y", "empty"], problem="regression", trees=15, folds=3).collect()}
     assert report["n"] == 600 and report["r2"] > 0.75 and report["rmse"] == pytest.approx(report["mse"] ** 0.5)
 
 

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from statlens.functions import dist
-from statlens.operators import (changepoint, correlation, distribution, outliers, pca, profile, quality,
+from statlens.operators import (changepoint, correlation, distribution, evaluation, outliers, pca, profile, quality,
                                 rolling, seasonal, states, stationarity, trend)
 from statlens.plans.ordered import dense_index, rolling_frame, wide_frame
 from statlens.functions.columns import as_double
@@ -558,3 +558,39 @@ def test_histogram_runs(spark):
     assert distribution.expand_runs(distribution.histogram_runs(wide, "v"), 10**11, 10**11 + 4).toPandas()["count"].tolist() == [0] * 5
     assert distribution.histogram_runs(wide.limit(0), "v").count() == 0
     assert distribution.histogram_runs(wide.limit(3).select(F.lit(2.0).alias("v")), "v").first()["count"] == 3
+
+
+def test_written_tables_are_released(spark):
+    from statlens import session
+
+    session.release(spark)
+    before = session.checkpoint_dir(spark)
+    got = rolling.rolling(spark.range(40).selectExpr("id", "id * 1.5D AS v"), "v", ["id"]).count()
+    assert got == 40 and session.release(spark) >= 1 and session.release(spark) == 0
+    assert session.checkpoint_dir(spark) == before
+
+
+GROUPED = [lambda d, by: profile.shape(d, by), lambda d, by: profile.column_info(d, by), lambda d, by: profile.missing_summary(d, by),
+           lambda d, by: profile.missing_topk(d, 1, by), lambda d, by: profile.completeness(d, by), lambda d, by: profile.missing_pattern(d, by=by),
+           lambda d, by: profile.duplicate_count(d, by), lambda d, by: profile.logical_size(d, by), lambda d, by: profile.table_profile(d, by),
+           lambda d, by: quality.uniqueness(d, by), lambda d, by: quality.distinct_counts(d, by=by), lambda d, by: quality.consistency_score(d, by=by),
+           lambda d, by: quality.validity_score(d, by=by), lambda d, by: quality.quality_summary(d, by=by),
+           lambda d, by: evaluation.confusion_matrix(d, "label", "guess", by), lambda d, by: evaluation.class_report(d, "label", "guess", by),
+           lambda d, by: evaluation.roc_curve(d, "label", "price", by), lambda d, by: evaluation.roc_auc(d, "label", "price", by),
+           lambda d, by: evaluation.regression_metrics(d, "label", "price", by)]
+
+
+@pytest.mark.parametrize("report", range(len(GROUPED)))
+def test_reports_by_group_equal_those_of_each_group(spark, report):
+    rng = np.random.default_rng(61)
+    rows = [(g, int(rng.integers(0, 2)), int(rng.integers(0, 2)), [None, -1.5, 2.0, 3.0][rng.integers(0, 4)], [None, "x", "y"][rng.integers(0, 3)], f"n{rng.integers(0, 40)}")
+            for g in ["a"] * 60 + ["b"] * 25 + [None] * 15]
+    df = spark.createDataFrame(rows, "g string, label int, guess int, price double, kind string, name string")
+    got = GROUPED[report](df, ["g"])
+    columns = [c for c in got.columns if c != "g"]
+    for g in ("a", "b", None):
+        own = df.where(F.col("g").eqNullSafe(F.lit(g))).drop("g")
+        want = GROUPED[report](own, [])
+        assert sorted(want.columns) == sorted(columns)
+        there = got.where(F.col("g").eqNullSafe(F.lit(g))).select(*want.columns)
+        assert sorted(map(str, there.collect())) == sorted(map(str, want.collect())), g
