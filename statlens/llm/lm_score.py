@@ -11,8 +11,9 @@ distinct n-grams with counts, which go to the count table's buckets by a uniform
 hash; there all batches' counts are added and each batch gets the totals of its
 own n-grams back, to be joined to its words.  So an n-gram that stands in every
 document costs one entry a batch, and no bucket grows with it.  Batches are cut
-where rows stand in a partition, which the two scans must see alike: the table
-must be a file scan (as written tables are), and a difference raises an error.
+where rows stand in a partition, which the two scans must see alike: a table that
+comes out of a shuffle is written first, and each batch's totals carry a checksum of
+their n-grams, so a batch that differs between the scans raises an error.
 
 N-grams are 64-bit hashes.  Words are as in ``shingles``: runs of bytes other
 than white space, A-Z in lower case.
@@ -79,6 +80,10 @@ def exploded(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return sizes, mix(h ^ PAIR) & ~U(1), pairs
 
 
+def checksum(keys: np.ndarray) -> int:
+    return int(np.bitwise_xor.reduce(mix(keys)).view(np.int64)) if len(keys) else 0
+
+
 def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
     return ((keys >> U(32)) * U(buckets) >> U(32)).astype(np.int64)
 
@@ -104,7 +109,7 @@ def requests(docs: DataFrame, buckets: int) -> DataFrame:
 
 
 def totals(asked: DataFrame) -> DataFrame:
-    """(batch, bucket, totals): the corpus's counts of each batch's n-grams."""
+    """(batch, bucket, totals, checksum): the corpus's counts of each batch's n-grams."""
 
     def rows(t: pa.Table) -> pa.Table:
         keys = [np.cumsum(unplaned(b), dtype=U) for b in t["keys"].to_pylist()]
@@ -112,9 +117,10 @@ def totals(asked: DataFrame) -> DataFrame:
         _, inverse = np.unique(np.concatenate(keys), return_inverse=True)
         total = np.bincount(inverse, weights=counts).astype(U)[inverse]  # exact below 2**53
         parts = np.split(total, np.cumsum([len(k) for k in keys])[:-1])
-        return pa.table([t["batch"], t["bucket"], pa.array([planes(p) for p in parts], pa.binary())], ["batch", "bucket", "totals"])
+        return pa.table([t["batch"], t["bucket"], pa.array([planes(p) for p in parts], pa.binary()), pa.array([checksum(k) for k in keys], pa.int64())],
+                        ["batch", "bucket", "totals", "checksum"])
 
-    return asked.groupBy("bucket").applyInArrow(rows, "batch long, bucket int, totals binary")
+    return asked.groupBy("bucket").applyInArrow(rows, "batch long, bucket int, totals binary, checksum long")
 
 
 def tagged(docs: DataFrame) -> DataFrame:
@@ -135,7 +141,8 @@ def _scored(left: pa.Table, right: pa.Table) -> pa.Table:
     order = np.argsort(right["bucket"].to_numpy())
     answer = right["totals"].to_pylist()
     total = np.concatenate([unplaned(answer[k]) for k in order] or [np.empty(0, U)]).astype(np.float64)
-    if len(total) != len(keys):
+    told = np.bitwise_xor.reduce(right["checksum"].to_numpy()) if right.num_rows else 0
+    if len(total) != len(keys) or told != checksum(keys):
         raise RuntimeError("a batch changed between two scans; write the table before scoring it")
     if not len(keys):
         logs, backed = np.zeros(0), np.zeros(0, bool)
@@ -159,6 +166,8 @@ def _scored(left: pa.Table, right: pa.Table) -> pa.Table:
 def lm_score(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, log_score, mean_log_score, backed_off) of each row."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if "Exchange" in own._jdf.queryExecution().executedPlan().toString():
+        own = written(own, "texts")
     chars = own.agg(F.sum(F.length("text"))).first()[0] or 0
     answers = totals(requests(own, max(1, -(-chars // BUCKET_CHARS))))
     rows = written(tagged(own).groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(

@@ -299,3 +299,23 @@ def test_pipeline_runs_whole(spark):
 
     got = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert got.columns == list(P.COLUMNS) and got.count() > 0
+
+
+def test_lm_scores_of_a_shuffled_table_and_of_changed_batches(spark):
+    """A table out of a shuffle scores like the same rows from a file; other n-grams with as many keys raise."""
+    import pyarrow as pa
+
+    from statlens.llm import lm_score as LM
+
+    rows = [(k, prose(k, 30, 200)) for k in range(80)]
+    docs = docs_of(spark, rows)
+    want = {r.doc_id: (r.n_words, round(r.log_score, 6), r.backed_off) for r in LM.lm_score(docs).collect()}
+    mixed = docs.repartition(5, "text")
+    assert {r.doc_id: (r.n_words, round(r.log_score, 6), r.backed_off) for r in LM.lm_score(mixed).collect()} == want
+    _, words, pairs = LM.exploded(["one two three"])
+    keys = np.unique(np.concatenate([words, pairs[pairs > 0]]))
+    left = pa.table({"batch": [0], "doc_id": [1], "text": ["one two four"]})
+    right = pa.table({"bucket": [0], "totals": [LM.planes(np.ones(len(keys), np.uint64))], "checksum": [LM.checksum(keys)]})
+    with pytest.raises(RuntimeError, match="changed"):
+        LM._scored(left, right)
+    assert LM._scored(pa.table({"batch": [0], "doc_id": [1], "text": ["one two three"]}), right)["n_words"].to_pylist() == [3]
