@@ -46,6 +46,27 @@ def hot_join(rows: DataFrame, keys: DataFrame, on: list[str], total: int, tasks:
     return rows.join(hot, on).unionByName(rest)
 
 
+DRAWS = 1 << 40
+
+
+def bounded_sample(rows: DataFrame, group: str, hashed: Column, sizes: dict, sample: int) -> DataFrame:
+    """At most ``sample`` rows of each ``group`` (``sizes``: its number of rows): those with the least ``_draw``, from a
+    64-bit hash of what makes a row; copies of a row count once.
+
+    A share of the rows that holds twice as many is looked at; only its draws, a few thousand numbers, go to the driver."""
+    part = F.lit(0)
+    for g, n in sorted(sizes.items()):
+        part = F.when(F.col(group) == g, int(DRAWS * min(1.0, 2 * sample / n))).otherwise(part)
+    some = rows.withColumn("_draw", F.pmod(hashed, F.lit(DRAWS))).filter(F.col("_draw") < part)
+    draws: dict = {}
+    for r in some.select(group, "_draw").distinct().collect():
+        draws.setdefault(r[group], []).append(r["_draw"])
+    last = F.lit(-1)
+    for g, found in sorted(draws.items()):
+        last = F.when(F.col(group) == g, sorted(found)[:sample][-1]).otherwise(last)
+    return some.filter(F.col("_draw") <= last).dropDuplicates([group, "_draw"])
+
+
 def crc_mod(doc_id: Column, mod: int) -> Column:
     """crc32 of the id written as text, modulo ``mod`` (NULL ids: of the empty text)."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % mod

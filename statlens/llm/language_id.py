@@ -28,13 +28,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statlens.llm.common import crc_mod, with_text_columns
+from statlens.llm.common import bounded_sample, crc_mod, with_text_columns
 from statlens.llm.shingles import mix
 
-BUCKETS = 1 << 17
+BUCKETS = 1 << 16
 DIM = 16
 SAMPLE = 1000
 EPOCHS = 8
@@ -181,25 +181,20 @@ def fit(docs: DataFrame, learn, sample: int = SAMPLE) -> Model:
     sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return train([])
-    # Twice the share that the sample needs, copies of a row dropped where they are, and of these the first by the draw.
-    draw = F.pmod(F.xxhash64("doc_id", "lang", "text"), F.lit(1 << 40)) / float(1 << 40)
-    part = F.lit(0.0)
-    for lang, n in sorted(sizes.items()):
-        part = F.when(F.col("lang") == lang, min(1.0, 2 * sample / n)).otherwise(part)
-    chosen = labelled.select("doc_id", "text", "lang", draw.alias("_draw")).filter(F.col("_draw") < part).dropDuplicates(["_draw", "lang"])
-    first = F.row_number().over(Window.partitionBy("lang").orderBy("_draw", "doc_id"))
-    chosen = chosen.withColumn("_rank", first).filter(F.col("_rank") <= sample).select("doc_id", "text", "lang")
+    chosen = bounded_sample(labelled.select("text", "lang", "doc_id"), "lang", F.xxhash64("doc_id", "lang", "text"), sizes, sample)
 
     def features(texts):
         found = [counts(t) for t in texts]
         ids = [np.flatnonzero(c) for c in found]
-        return [[i.astype(np.uint32).tobytes() for i in ids],
+        return [[i.astype(np.uint16).tobytes() for i in ids],
                 [np.minimum(c[i], 65535).astype(np.uint16).tobytes() for c, i in zip(found, ids)]]
 
-    got = with_text_columns(chosen, features, [("ids", "binary"), ("n", "binary")], rows=32).drop("text").toPandas()
-    got = got.sort_values(["doc_id", "lang", "ids"], kind="stable")
-    rows = [(np.frombuffer(i, np.uint32).astype(np.int64), np.frombuffer(n, np.uint16).astype(np.float32), lang)
-            for i, n, lang in zip(got["ids"], got["n"], got["lang"])]
+    # Arrow keeps the sample in two buffers; the rows are views of them.
+    made = with_text_columns(chosen, features, [("ids", "binary"), ("n", "binary")], rows=32)
+    got = made.select("_draw", "lang", "ids", "n").toArrow().sort_by([("_draw", "ascending"), ("lang", "ascending")]).combine_chunks()
+    ids, n = (got[c].combine_chunks() for c in ("ids", "n"))
+    rows = [(np.frombuffer(ids[k].as_buffer(), np.uint16), np.frombuffer(n[k].as_buffer(), np.uint16), lang)
+            for k, lang in enumerate(got["lang"].to_pylist())]
     return train([r for r in rows if len(r[0])])
 
 

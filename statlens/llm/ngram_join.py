@@ -182,24 +182,28 @@ def _texts(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
 def _unsettled(members: DataFrame, labels: DataFrame) -> DataFrame:
     """(key, node, label) of the keys whose members are in several components;
     of keys with the same members, one."""
-    m = (members.select("key", "node").distinct().join(labels, "node", "left")
-         .withColumn("label", F.coalesce("label", "node")))
+    m = written(members.select("key", "node").distinct().join(labels, "node", "left")
+                .select("key", "node", F.coalesce("label", "node").alias("label")), "marked")
     same = ["low", "high", "c", "x", "y"]
     keys = (m.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("c"),
                                  F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
             .filter("low <> high").groupBy(*same).agg(F.min("key").alias("key")))
-    return m.join(keys.select("key"), "key")
+    open_ = written(hot_join(m, written(keys.select("key", "c"), "wanted"), ["key"], m.count()), "open")
+    forget(m)
+    return open_
 
 
 def _second_hubs(open_: DataFrame) -> DataFrame:
     """Pairs (a, b) of each key's members with another hub: of those outside the
     key's largest component, the node that stands under most keys."""
+    total = open_.count()
     often = open_.groupBy("node").agg(F.count("*").alias("often"))
-    main = (open_.groupBy("key", "label").agg(F.count("*").alias("c"))
-            .groupBy("key").agg(F.max(F.struct("c", "label")).alias("m")).select("key", F.col("m.label").alias("main")))
-    out = open_.join(main, "key").filter("label <> main").join(often, "node")
-    hubs = out.groupBy("key").agg(F.max(F.struct("often", "node", "label")).alias("hub"))
-    return (open_.join(hubs, "key").filter("label <> hub.label")
+    main = (open_.groupBy("key", "label").agg(F.count("*").alias("n"))
+            .groupBy("key").agg(F.max(F.struct("n", "label")).alias("m"), F.sum("n").alias("c")))
+    main = written(main.select("key", F.col("m.label").alias("main"), "c", F.col("c").alias("size")), "main")
+    out = hot_join(open_, main, ["key"], total).filter("label <> main").join(often, "node")
+    hubs = written(out.groupBy("key").agg(F.max(F.struct("often", "node", "label")).alias("hub"), F.max("size").alias("c")), "hubs")
+    return (hot_join(open_, hubs, ["key"], total).filter("label <> hub.label")
             .select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct())
 
 
@@ -208,7 +212,8 @@ def _apart(open_: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     their sketches block by block."""
     keys = open_.groupBy("key").agg(F.count("*").alias("c"))
     # Large keys are dealt to blocks at random; a block meets each block of its key.
-    held = open_.join(keys.select("key", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks")), "key")
+    keys = written(keys.select("key", "c", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks")), "blocks")
+    held = hot_join(open_, keys, ["key"], open_.count())
     held = held.withColumn("block", F.pmod(F.xxhash64("node", F.lit(2)), F.col("blocks")).cast("int"))
     held = held.join(nodes.select("node", "n", "sketch"), "node")
     sent = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -275,7 +280,7 @@ def ngram_join(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     spent = [texts]  # written tables that the result doesn't read
 
     labels = components(links)
-    open_ = written(_unsettled(members, labels), "open")
+    open_ = _unsettled(members, labels)
     for step in range(HUBS + 1):
         spent.append(open_)
         if open_.isEmpty():
@@ -288,7 +293,7 @@ def ngram_join(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
         if step < HUBS:
             spent += [near, tried]
             tried = written(tried.union(near), "tried")
-            open_ = written(_unsettled(open_, labels), "open")
+            open_ = _unsettled(open_, labels)
     for df in [*spent, members, tried]:
         forget(df)
 
