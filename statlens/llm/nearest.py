@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from statlens.llm.common import written
 
 BLOCK_ROWS = 16_384
-BLOCK_QUERIES = 4_096
-TILE = 1_024
+BLOCK_QUERIES = 16_384
+TILE = 256
 FAN = 64
 
 
