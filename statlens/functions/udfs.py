@@ -6,8 +6,6 @@ the raw rows, so the Python work is proportional to the number of results.
 
 from __future__ import annotations
 
-import math
-
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -16,10 +14,6 @@ from pyspark.sql import types as T
 from statlens.functions import dist
 
 
-def _nan_to_none(x: float):
-    return None if x is None or (isinstance(x, float) and math.isnan(x)) else x
-
-
 @F.pandas_udf(T.DoubleType())
 def t_quantile(p: pd.Series, nu: pd.Series) -> pd.Series:
     known: dict[tuple, float | None] = {}  # groups of one size share a value
@@ -32,13 +26,8 @@ def t_quantile(p: pd.Series, nu: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.DoubleType())
 def t_two_sided_p(t: pd.Series, nu: pd.Series) -> pd.Series:
-    out = []
-    for ti, ni in zip(t, nu):
-        if pd.isna(ti) or pd.isna(ni) or ni <= 0:
-            out.append(None)
-        else:
-            out.append(_nan_to_none(dist.t_sf2(float(ti), float(ni))))
-    return pd.Series(out, dtype="float64")
+    p = pd.Series(dist.t_sf2_many(t.to_numpy(float, na_value=float("nan")), nu.to_numpy(float, na_value=float("nan"))))
+    return p.astype(object).where(p.notna(), None)
 
 
 @F.pandas_udf(T.DoubleType())

@@ -594,3 +594,14 @@ def test_reports_by_group_equal_those_of_each_group(spark, report):
         assert sorted(want.columns) == sorted(columns)
         there = got.where(F.col("g").eqNullSafe(F.lit(g))).select(*want.columns)
         assert sorted(map(str, there.collect())) == sorted(map(str, want.collect())), g
+
+
+def test_t_tails_of_many_numbers():
+    """The same as one by one, from the centre to where they vanish."""
+    rng = np.random.default_rng(71)
+    t = np.concatenate([rng.normal(size=400), 10.0 ** rng.uniform(-8, 4, 400), [0.0, -2.5, np.inf, np.nan, 1.0, 1.0]])
+    nu = np.concatenate([rng.integers(1, 50, 400).astype(float), 10.0 ** rng.uniform(0, 7, 400), [5.0, 5.0, 5.0, 5.0, 0.0, np.nan]])
+    got = dist.t_sf2_many(t, nu)
+    for a, b, p in zip(t, nu, got):
+        want = float("nan") if math.isnan(a) or math.isnan(b) or b <= 0 else dist.t_sf2(float(a), float(b))
+        assert (math.isnan(p) and math.isnan(want)) or math.isclose(p, want, rel_tol=1e-10, abs_tol=1e-15), (a, b, p, want)
