@@ -93,7 +93,8 @@ def cross_predictions(df: DataFrame, target: str, key: str, features: Sequence[s
     best = (max if by.isLargerBetter() else min)(range(len(grid)), key=lambda i: fitted.avgMetrics[i])
     out = None
     for fold in range(folds):
-        seen = fitted.subModels[fold][best].transform(rows.where(F.col("fold") == fold))
+        # A fitted forest of classes carries its training summary, and with it the session, to the tasks; a copy doesn't.
+        seen = fitted.subModels[fold][best].copy().transform(rows.where(F.col("fold") == fold))
         if classes:
             guess = F.element_at(F.array(*[F.lit(x) for x in names]), F.col("prediction").cast("int") + 1)
             score = vector_to_array("probability")[1] if len(names) == 2 else F.lit(None).cast("double")

@@ -3,6 +3,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 import __spark_entry__ as E
@@ -49,3 +50,11 @@ def test_numbers(spark, table):
 def test_quality_of_documents(spark):
     got = {(r["metric"], r["class"]): r["value"] for r in E.queries()["fit_evaluate"](spark, "/root/testdata/sf0.01").collect()}
     assert got["accuracy", None] > 0.9 and got["auc", None] > 0.9 and got["f1", "0"] > 0.7
+
+
+def test_classes_in_a_session_that_has_observed(spark, table):
+    """Once a session has observed a query it can't be sent to tasks, so no model may bring it along."""
+    seen = Observation()
+    assert table.observe(seen, F.count(F.lit(1)).alias("n")).count() == 600 and seen.get["n"] == 600
+    got = modelling.cross_predictions(table, "target", "id", features=["x", "y", "kind"], trees=3, depths=(3,), folds=2).collect()
+    assert len(got) == 599 and all(0 <= r["score"] <= 1 for r in got)
