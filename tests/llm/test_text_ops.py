@@ -205,6 +205,29 @@ def test_threshold_does_not_follow_the_sample(monkeypatch, spark):
     assert seen[0][0] < 140 and seen[0][1] == {0: 40, 1: 160}
 
 
+def test_quality_learns_from_all_labelled_rows(spark):
+    """More rows than any sample held: the weights are those of all pairs, threshold and slope those of all scores."""
+    n, r = 9000, np.random.default_rng(8)
+    good = r.random(n) < 0.5
+    texts = [prose(k, 12) + (" !!! | 77" if not g and r.random() < 0.8 or r.random() < 0.1 else "") + ("\nBUY" if not g and r.random() < 0.5 else "") for k, g in enumerate(good)]
+    docs = docs_of(spark, [*enumerate(texts), (None, "no id"), (n, "no label")])
+    labels = spark.createDataFrame([(k, int(g)) for k, g in enumerate(good)] + [(0, int(good[0]))] * 2 + [(n + 1, 0), (None, 1)], "doc_id long, quality int")
+    model = Q.fit(docs, labels, F.lit(True))
+    x, y = np.array([Q.features(t) for t in texts]), good.astype(int)
+    x, y = np.concatenate([x, x[:1], x[:1]]), np.concatenate([y, y[:1], y[:1]])  # a label that comes three times
+    w = Q.wide(x)
+    assert model.mean == pytest.approx(w.mean(axis=0), abs=1e-9)
+    z = Q.standard(x, model.mean, model.scale)
+    s = z @ model.weights
+    p = 1 / (1 + np.exp(np.clip(s[y == 1][:, None] - s[y == 0], -40, 40)))
+    pull = (p.sum(axis=0) @ z[y == 0] - p.sum(axis=1) @ z[y == 1]) / p.size + Q.PENALTY * model.weights
+    assert np.abs(pull).max() < 1e-4
+    whole = Q._cut(Q.Ranking(model.mean, model.scale, model.weights, 0.0, 1.0), model.scores(x), y)
+    assert model.threshold == pytest.approx(whole.threshold, abs=1e-9) and model.slope == pytest.approx(whole.slope, rel=1e-9)
+    one = Q.fit(docs, labels.filter("quality = 1"), F.lit(True))
+    assert one.slope == 0 and not one.weights.any()
+
+
 # -- main text --------------------------------------------------------------
 
 WEIGHTS = M.weights({})
